@@ -223,7 +223,7 @@ def search(
 
     def best(vs: pd.DataFrame, qs: pd.DataFrame) -> pd.DataFrame:
         if not len(vs) or not len(qs):
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
+            return pd.DataFrame({"query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0)})
         vs = vs.sort_values("vec_id", ignore_index=True)
         v, q, ids = _matrix(vs["v"], dim), _matrix(qs["q"], dim), vs["vec_id"].to_numpy()
         out = []

@@ -163,19 +163,23 @@ def in_order_blocks(docs: DataFrame, text: str, id_col: str, blocks: int) -> Dat
     first document of the next block (the last: of the first), so that each row's successor is in
     its own block. One shuffle moves the texts. `blocks` quantiles of the ids bound what is
     broadcast: one id per block."""
+    spark = docs.sparkSession
     low = F.lit(-(2**63)).cast("long")
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), low).alias("order"), F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     cuts = rows.agg(F.percentile_approx("order", [i / blocks for i in range(1, blocks)] or [0.5], 20 * blocks)).first()[0] or []
-    cuts = sorted(set(cuts)) if blocks > 1 else []
-    block = F.size(F.filter(F.array(*[F.lit(int(c)).cast("long") for c in cuts]), lambda c: c < F.col("order"))) if cuts else F.lit(0)
-    placed = rows.withColumn("block", block.cast("int"))
+    shared = spark.sparkContext.broadcast(np.array(sorted(set(cuts)) if blocks > 1 else [], np.int64))
+
+    @F.pandas_udf("int")
+    def block_of(order: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(shared.value, order.to_numpy(np.int64), side="left"))
+
+    placed = rows.withColumn("block", block_of("order"))
     heads = sorted((r["block"], r["first"]) for r in placed.groupBy("block").agg(F.min("order").alias("first")).collect())  # one row per block
-    if not heads:
-        return placed.select("block", "id", "text", F.lit(False).alias("borrowed"))
-    lend = F.lit(None).cast("int")
-    for at, (_, first) in enumerate(heads):
-        lend = F.when(F.col("order") == F.lit(first).cast("long"), F.lit(heads[at - 1][0])).otherwise(lend)
-    spread = placed.withColumn("_at", F.explode(F.filter(F.array(F.struct(F.col("block").alias("block"), F.lit(False).alias("borrowed")), F.struct(lend.alias("block"), F.lit(True).alias("borrowed"))), lambda s: s["block"].isNotNull())))
+    lending = spark.createDataFrame([(first, heads[at - 1][0]) for at, (_, first) in enumerate(heads)], "order long, lend int")
+    both = placed.join(F.broadcast(lending), "order", "left")
+    own = F.struct(F.col("block").alias("block"), F.lit(False).alias("borrowed"))
+    lent = F.struct(F.col("lend").alias("block"), F.lit(True).alias("borrowed"))
+    spread = both.withColumn("_at", F.explode(F.filter(F.array(own, lent), lambda s: s["block"].isNotNull())))
     return spread.select(F.col("_at.block").alias("block"), "order", "id", "text", F.col("_at.borrowed").alias("borrowed"))
 
 
@@ -185,8 +189,7 @@ def fingerprint_documents(docs: DataFrame, text: str = "text", id_col: str = "do
     spark = docs.sparkSession
     blocks = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     spread = in_order_blocks(docs, text, id_col, blocks)
-    order = ["block", "borrowed", *(["order"] if "order" in spread.columns else []), "text"]
-    dealt = spread.repartition("block").sortWithinPartitions(*order)
+    dealt = spread.repartition("block").sortWithinPartitions("block", "borrowed", "order", "text")
 
     def finish(chunk: list[tuple]) -> pd.DataFrame:
         """chunk: (id, text, next text)."""

@@ -24,6 +24,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import fresh
+
 UNKNOWN = "und"
 #: Genealogical families of common language codes.
 FAMILIES = {
@@ -149,5 +151,6 @@ def predict(docs: DataFrame, model: Model | None, text: str = "text", keep: list
         out = [model.predict(t) if known and model else (UNKNOWN, 0.0) for t, known in zip(texts, ok, strict=True)]
         return pd.DataFrame(out, columns=["label", "score"])
 
-    judged = docs.select(*(keep or docs.columns), judge(F.col(text).cast("string"), legible).alias("_judged"))
-    return judged.withColumns({names[0]: F.col("_judged.label"), names[1]: F.col("_judged.score")}).drop("_judged")
+    own = fresh(docs, "_judged")
+    judged = docs.select(*(keep or docs.columns), judge(F.col(text).cast("string"), legible).alias(own))
+    return judged.withColumns({names[0]: F.col(f"{own}.label"), names[1]: F.col(f"{own}.score")}).drop(own)

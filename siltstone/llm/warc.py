@@ -145,7 +145,8 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
                 held, held_file = (part, file) if done is None else (None, None)
                 if done is not None:
                     out.append(done)
-            yield pd.DataFrame(out, columns=names)
+            if out:
+                yield pd.DataFrame(out, columns=names)
         if held is not None:
             raise ValueError(f"{held_file}: a record ends before its Content-Length")
 
