@@ -15,9 +15,11 @@ occur; an empty table gives no rows; other columns of the input are not read.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -87,25 +89,58 @@ def best_fit_decreasing(lengths: list[int], window: int) -> tuple[list[int], lis
     return number, offset
 
 
+#: A full stop or comma that goes on a run of other marks.
+_MARKS = re.compile(r"[^\w \n][.,]|_[.,]")
+
+
 def _words(text: str) -> list[str]:
-    """Parts at spaces and newlines, where a tokenizer that drops white space always cuts.
+    """Parts at spaces and newlines, where a tokenizer that drops white space always cuts, and
+    before a full stop or comma after a letter or digit, where its pattern does.
 
     Latin-1 text is lower-cased at once, as the tokenizer would; a text that may hold a special
-    string is left as it is.
+    string or other scripts is only cut at its spaces.
     """
     if "<|" not in text:
         try:
             text.encode("latin-1")
-            text = text.lower()
         except UnicodeEncodeError:
             pass
+        else:
+            text = text.lower()
+            if not _MARKS.search(text):
+                text = text.replace(".", " .").replace(",", " ,")
     return text.replace("\n", " ").split(" ")
 
 
-def encode_texts(texts: list[str], tokenizer_path: str, end_id: int, cache_size: int = 500_000) -> list[bytes]:
+def _encode_words(words: list[str], tokenizer) -> dict[str, bytes]:
+    """Each word's ids. Words of letters only are single pre-tokens, so many are encoded as one text
+    and told apart by the numbers of its pre-tokens."""
+    out = {}
+    plain = [w for w in words if w.isalpha()]
+    for at in range(0, len(plain), 5_000):
+        part = plain[at : at + 5_000]
+        got = tokenizer.encode(" ".join(part), add_special_tokens=False)
+        number = np.array(got.word_ids, np.int64)
+        ends = np.searchsorted(number, np.arange(len(part)), side="right") * 4
+        if not len(number) or number[-1] != len(part) - 1:
+            out.update((w, np.array(ids, "<u4").tobytes()) for w, ids in zip(part, library_ids(tokenizer, part), strict=True))
+            continue
+        ids, start = np.array(got.ids, "<u4").tobytes(), 0
+        for w, end in zip(part, ends.tolist(), strict=True):
+            out[w] = ids[start:end]
+            start = end
+    rest = [w for w in words if not w.isalpha()]
+    for at in range(0, len(rest), 10_000):
+        part = rest[at : at + 10_000]
+        out.update((w, np.array(ids, "<u4").tobytes()) for w, ids in zip(part, library_ids(tokenizer, part), strict=True))
+    return out
+
+
+def encode_texts(texts: list[str], tokenizer_path: str, end_id: int, cache_size: int = 700_000) -> list[bytes]:
     """Each text's ids and the end id as little-endian 32-bit numbers.
 
-    For a tokenizer that lower-cases and drops white space. Words' ids are cached by the worker.
+    For a tokenizer that lower-cases, drops white space and sets letters apart from marks. Words'
+    ids are cached by the worker.
     """
     tokenizer = load_tokenizer(tokenizer_path)
     cache = _WORKER.setdefault(("ids", tokenizer_path), {})
@@ -117,10 +152,7 @@ def encode_texts(texts: list[str], tokenizer_path: str, end_id: int, cache_size:
         if len(cache) + len(absent) > cache_size:
             cache.clear()
             absent = list(set().union(*cut))
-        for a in range(0, len(absent), 10_000):
-            part = absent[a : a + 10_000]
-            for word, ids in zip(part, library_ids(tokenizer, part), strict=True):
-                cache[word] = b"".join([i.to_bytes(4, "little") for i in ids])
+        cache.update(_encode_words(absent, tokenizer))
         get = cache.__getitem__
         out += [b"".join(map(get, own)) + end for own in cut]
     return out
