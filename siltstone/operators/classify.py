@@ -1,0 +1,171 @@
+"""Rule classification of files: junk families with tiers, secret paths, display categories.
+
+Decision lists are CASE chains. A rule that settles "nothing" stops later rules, so chains carry the
+value NOTHING, which becomes null at the end. Sibling facts come as columns, from windows or joins
+per folder (see `sibling_facts`).
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from siltstone.functions.text import extension, extension_multi, plausible_year
+
+NOTHING = "__none"
+DAY = 86400
+
+# Names, extensions, patterns and limits of the junk rules.
+OS_DROPPINGS = [".ds_store", "thumbs.db", "ehthumbs.db", "ehthumbs_vista.db", ".localized", ".apdisk", ".com.apple.timemachine.donotpresent"]
+OS_DROPPINGS_B = ["desktop.ini", "icon\r"]
+PARTIAL_EXTENSIONS = [".crdownload", ".part", ".partial", ".opdownload", ".wkdownload", ".aria2", ".filepart", ".!ut", ".bc!", ".!qb", ".!bt"]
+MULTI_VOLUME = r"(?i)\.(part\d+\.rar|z\d\d|r\d\d)$"
+OFFICE_LOCK = r"(?i)^~\$.*\.(docx?|docm|dotx?|dotm|xls[xmb]?|xlt[xm]?|ppt[xm]?|pot[xm]?|pps[xm]?)$"
+SWAP = r"(\.sw[pon]$)|(~$)|(^#.+#$)|(^\.#)"
+BACKUP_EXTENSIONS = [".asd", ".wbk", ".xlk"]
+TEMP_EXTENSIONS = [".tmp", ".temp"]
+CRASH_EXTENSIONS = [".crash", ".spin", ".hang", ".diag", ".dpsub", ".stackdump"]
+CRASH = r"(?i)(^minidump[-_.]?\d)|(^minidump.*\.(dmp|mdmp)$)|(^hs_err_pid\d+\.log$)|(^core(\.\d+)?$)"
+REPORT_CRASH = r"(?i)^.+-\d{4}-\d{2}-\d{2}-\d{6}.*\.ips$"
+INSTALLER_EXTENSIONS = [".dmg", ".pkg", ".mpkg", ".msi", ".msix", ".appx", ".deb", ".rpm", ".appimage"]
+INSTALLER_EXE = r"(?i)(setup|install|installer|_x64|_x86|win(32|64)|v?\d+\.\d+)"
+ARCHIVES = [".zip", ".rar", ".7z", ".tgz", ".sit", ".sitx", ".tar.gz", ".tar.bz2", ".tar.xz"]
+DUPLICATE_NAMES = [
+    r"^(.+) \((\d{1,3})\)(\.[^.]*)?$",
+    r"(?i)^(.+?) copy( \d+)?(\.[^.]*)?$",
+    r"(?i)^(.+?) - Copy( \(\d+\))?(\.[^.]*)?$",
+    r"(?i)^Copy of (.+)$",
+]
+ZERO_ALLOWED = ["__init__.py", ".gitkeep", ".keep", ".nomedia", ".placeholder", ".hushlogin", ".metadata_never_index", ".gitignore", "lock"]
+LOGS = r"(?i)\.log(\.\d+)?(\.gz)?$|\.out$"
+PARTIAL_AGE, LOCK_AGE, CORE_BYTES = 14 * DAY, 7 * DAY, 1 << 20
+INSTALLER_YEAR, LOG_YEAR, RESOURCE_YEAR, VINTAGE_YEAR = 2015, 2010, 2002, 2005
+
+
+def stem(name: Column) -> Column:
+    e = extension_multi(name)
+    return F.substring(name, F.lit(1), F.length(name) - F.length(e))
+
+
+def _ends(name: Column, endings: list[str]) -> Column:
+    return F.coalesce(extension(name).isin(*[e for e in endings if e.count(".") == 1]), F.lit(False)) | extension_multi(name).isin(*[e for e in endings if e.count(".") > 1] or [NOTHING])
+
+
+def junk_rule(name: Column, size: Column, mtime: Column, now: Column, same_stem: Column, sibling_named: Column, twin_dir: Column, base_hash: Column, own_hash: Column, base_size: Column, base_there: Column, app_installed: Column, link: Column) -> Column:
+    """tier and family as one code like 'A:J2', NOTHING where a rule rules junk out, null where none speaks."""
+    low, ext, age, year = F.lower(name), extension(name), F.coalesce(now - mtime, F.lit(0)), plausible_year(mtime, now)
+    code = lambda c, yes, no: F.when(c, F.lit(yes)).otherwise(F.lit(no))
+    duplicate = F.lit(False)
+    for p in DUPLICATE_NAMES:
+        duplicate = duplicate | name.rlike(p)
+    return (
+        F.when(low.isin(*OS_DROPPINGS), "A:J1")
+        .when(low.isin(*OS_DROPPINGS_B), "B:J1")
+        .when(name.startswith("._"), code(sibling_named & (year.isNull() | (year >= RESOURCE_YEAR)), "A:J1", "C:J1"))
+        .when(low.rlike(MULTI_VOLUME), NOTHING)
+        .when(_ends(name, PARTIAL_EXTENSIONS), code(age > PARTIAL_AGE, "A:J2", NOTHING))
+        .when(ext == ".torrent", "B:J2")
+        .when(name.rlike(OFFICE_LOCK) | name.rlike(SWAP), code(age > LOCK_AGE, "A:J3", NOTHING))
+        .when(ext.isin(*BACKUP_EXTENSIONS), code(same_stem, "B:J3", "C:J3"))
+        .when(ext.isin(*TEMP_EXTENSIONS), code((size > 0) & ~same_stem, "A:J3", "B:J3"))
+        .when(ext.isin(*CRASH_EXTENSIONS) | name.rlike(CRASH), code(low.startswith("core") & (F.coalesce(size, F.lit(0)) <= CORE_BYTES), "C:J5", "A:J5"))
+        .when(ext == ".ips", code(name.rlike(REPORT_CRASH), "A:J5", "C:J5"))
+        .when(ext == ".dmp", "B:J5")
+        .when(_ends(name, INSTALLER_EXTENSIONS) | ((ext == ".exe") & stem(name).rlike(INSTALLER_EXE)), F.when(year < INSTALLER_YEAR, "C:J6").when(app_installed, "A:J6").otherwise("B:J6"))
+        .when(_ends(name, ARCHIVES), code(twin_dir, "C:J7", NOTHING))
+        .when(duplicate, F.when(~base_there, "C:J8").when(own_hash == base_hash, "A:J8").when(size == base_size, "B:J8").otherwise("C:J8"))
+        .when((size == 0) & ~low.isin(*ZERO_ALLOWED) & ~low.endswith(".lock") & link.isNull(), "A:J9")
+        .when(low.rlike(LOGS), F.when(year < LOG_YEAR, "C:J13").otherwise("B:J13"))
+        .when(ext.isin(".orig", ".rej"), "B:J13")
+        .when(ext.isin(".pyc", ".pyo"), "A:J13")
+    )
+
+
+def demote(tier: Column, year: Column) -> Column:
+    """Files from before VINTAGE_YEAR drop one tier."""
+    return F.when(year < VINTAGE_YEAR, F.when(tier == "A", "B").otherwise("C")).otherwise(tier)
+
+
+def duplicate_base(name: Column) -> Column:
+    """The name that a duplicate-looking name is a copy of: its stem and its extension."""
+    out = F.lit(None).cast("string")
+    for p in reversed(DUPLICATE_NAMES):
+        g = F.regexp_extract(name, p, 1)
+        out = F.when(name.rlike(p), F.when(F.lit(p).contains("Copy of"), g).otherwise(F.concat(g, extension(name)))).otherwise(out)
+    return out
+
+
+def classify_junk(files: DataFrame, now: Column) -> DataFrame:
+    """files (dir, name, size, mtime, hash) with `tier` and `family` (null: no junk).
+
+    Siblings are met by equi-joins on (dir, name) and a count per (dir, stem): a folder with many
+    files is spread by name, never gathered.
+    """
+    low_stem = F.lower(stem(F.col("name")))
+    stems = files.groupBy("dir", low_stem.alias("_stem")).agg(F.count("*").alias("_same"))
+    names = files.groupBy("dir", F.col("name").alias("_base")).agg(F.min("size").alias("_bsize"), F.min("hash").alias("_bhash"))
+    base = F.coalesce(F.when(F.col("name").startswith("._"), F.substring("name", 3, 2**31 - 1)), duplicate_base(F.col("name")))
+    rows = files.withColumns({"_stem": low_stem, "_base": base}).join(stems, ["dir", "_stem"], "left").join(names.withColumn("_there", F.lit(True)), ["dir", "_base"], "left")
+    there, no = F.coalesce("_there", F.lit(False)), F.lit(False)
+    code = junk_rule(F.col("name"), F.col("size"), F.col("mtime"), now, F.col("_same") > 1, there, no, F.col("_bhash"), F.col("hash"), F.col("_bsize"), there, no, F.lit(None).cast("string"))
+    rows = rows.withColumn("_code", F.nullif(code, F.lit(NOTHING)))
+    return rows.withColumns({"tier": demote(F.split("_code", ":")[0], plausible_year(F.col("mtime"), now)), "family": F.split("_code", ":")[1]}).drop("_stem", "_base", "_same", "_bsize", "_bhash", "_there", "_code")
+
+
+# Folders, names, extensions and words of the secret-path rules.
+CREDENTIAL_DIRS = [".ssh", ".gnupg", ".aws", ".kube", ".azure", ".gcloud"]
+SECRET_DIRS = ["secret", "secrets", "credential", "credentials"]
+SECRET_NAMES = [".env", ".envrc", ".npmrc", ".pypirc", ".netrc", ".pgpass", ".git-credentials", "id_rsa", "id_dsa", "id_ecdsa", "id_ed25519"]
+ENV_ALLOWED = [".env.example", ".env.sample", ".env.template", ".env.dist"]
+SECRET_EXTENSIONS = ["pem", "key", "p8", "p12", "pfx", "ppk", "gpg", "pgp", "asc", "jks", "keystore", "kdbx", "tfstate", "tfvars", "sqlite", "sqlite3", "db", "dump"]
+DATA_EXTENSIONS = ["", "json", "yaml", "yml", "txt", "env", "ini", "cfg", "conf", "toml", "properties", "xml", "plist"]
+SECRET_WORD = r"secret|credential|token|passw(or)?d|api[-_]?key|service[-_]?account|private[-_]?key|adminsdk"
+SOURCE_EXTENSIONS = ["py", "js", "ts", "tsx", "jsx", "c", "h", "cpp", "go", "rs", "java", "rb", "md", "rst", "html", "css"]
+PRIVATE_KEY = r"-----BEGIN [A-Z ]*PRIVATE KEY-----|-----BEGIN PGP PRIVATE KEY BLOCK-----"
+KEY_SHAPES = ["AKIA", "sk-", "sk_live", "ghp_", "xoxb-", "BEGIN PRIVATE KEY", "password=", "api_key=", "token="]
+
+
+def secret_path_reason(path: Column) -> Column:
+    """Why a path must not be published, by the first rule that fits; null if none does."""
+    low = F.lower(path)
+    parts = F.split(low, "/")
+    base, dirs = F.element_at(parts, -1), F.slice(parts, F.lit(1), F.greatest(F.size(parts) - 1, F.lit(0)))
+    ext = F.regexp_extract(base, r"^.+\.([^.]*)$", 1)
+    root = F.when(ext != "", F.regexp_extract(base, r"^(.+)\.[^.]*$", 1)).otherwise(base)
+    lit = lambda xs: F.array(*[F.lit(x) for x in xs])
+    return (
+        F.when(F.arrays_overlap(dirs, lit(CREDENTIAL_DIRS)), "credentials folder")
+        .when(F.arrays_overlap(dirs, lit(SECRET_DIRS)) & ~ext.isin(*SOURCE_EXTENSIONS), "secrets folder")
+        .when(base.isin(*SECRET_NAMES) | (base.startswith(".env.") & ~base.isin(*ENV_ALLOWED)) | (ext == "env"), "secret-shaped name")
+        .when(ext.isin(*SECRET_EXTENSIONS) | base.contains(".tfstate."), "secret file type")
+        .when(base.endswith(".sql.gz") | ((ext == "sql") & root.rlike("dump|backup")), "database dump")
+        .when(ext.isin(*DATA_EXTENSIONS) & root.rlike(SECRET_WORD), "secret word in a data file")
+    )
+
+
+def key_shapes(text: Column) -> Column:
+    """Key shapes that a text holds, in the table's order, and none of its content."""
+    return F.filter(F.array(*[F.lit(k) for k in KEY_SHAPES]), lambda k: F.contains(text, k))
+
+
+# Display categories by extension.
+CATEGORY_EXTENSIONS = {
+    "images": [".jpg", ".jpeg", ".png", ".gif", ".webp", ".svg"],
+    "videos": [".mov", ".mp4", ".mkv", ".webm"],
+    "music": [".mp3", ".m4a", ".flac", ".wav", ".ogg"],
+    "documents": [".pdf", ".doc", ".docx", ".txt", ".md", ".csv", ".html", ".htm"],
+    "code": [".py", ".js", ".ts", ".c", ".h", ".cpp", ".java", ".go", ".rs", ".json", ".sql"],
+    "archives": [".zip", ".rar", ".7z", ".tar", ".gz", ".tgz"],
+    "installers": [".dmg", ".pkg", ".msi", ".exe", ".deb", ".rpm"],
+}
+
+
+def display_category(name: Column) -> Column:
+    out = F.lit("other")
+    for category, endings in reversed(CATEGORY_EXTENSIONS.items()):
+        out = F.when(extension(name).isin(*endings), category).otherwise(out)
+    return out
+
+
+def sibling_count(by: list[str]) -> Column:
+    return F.count("*").over(Window.partitionBy(*by))
