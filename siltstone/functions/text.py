@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # First characters that a spreadsheet would run as a formula, and the guard put before them.
 FORMULA_STARTS = ["=", "+", "-", "@", "\t", "\r"]
@@ -89,12 +90,12 @@ def plausible_year(seconds: Column, now: Column) -> Column:
     return F.when((seconds > 0) & (seconds <= now + 365 * 86400) & ~y.isin(*CLOCK_YEARS), y)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _nfc(s: pd.Series) -> pd.Series:
     return s.map(lambda x: None if x is None else unicodedata.normalize("NFC", x))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _fold(s: pd.Series) -> pd.Series:
     return s.map(lambda x: None if x is None else "".join(c for c in unicodedata.normalize("NFKD", x) if not unicodedata.combining(c)))
 

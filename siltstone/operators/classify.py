@@ -83,7 +83,7 @@ def junk_rule(name: Column, size: Column, mtime: Column, now: Column, same_stem:
 
 def demote(tier: Column, year: Column) -> Column:
     """Files from before VINTAGE_YEAR drop one tier."""
-    return F.when(year < VINTAGE_YEAR, F.when(tier == "A", "B").otherwise("C")).otherwise(tier)
+    return F.when(tier.isNotNull() & (year < VINTAGE_YEAR), F.when(tier == "A", "B").otherwise("C")).otherwise(tier)
 
 
 def duplicate_base(name: Column) -> Column:

@@ -1,0 +1,549 @@
+"""Registered queries of the library's own operators over the shared tables, with their DuckDB SQL."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from siltstone.functions import text as X
+from siltstone.operators import classify, findings, identity, reconcile, records, report, rules, tree, versions
+from siltstone.plans import actions
+from siltstone.sources import tables as S
+
+#: "Now" of every age: a parameter, so that results do not change with the clock.
+NOW = 1_735_689_600
+RUN_DATE = "2024-01-20"
+DELIVERY_TOTAL = 400
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def register(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+def _entries(spark, sf):
+    return S.content_entries(S.table(spark, sf, "documents"))
+
+
+def _parts(spark, sf):
+    return S.named_entries(S.table(spark, sf, "part"))
+
+
+def _pages(spark, sf):
+    return S.page_files(S.table(spark, sf, "pages"))
+
+
+ENTRIES = """
+SELECT doc_id AS id, source || '/doc_' || doc_id || '.txt' AS rel, source AS dir_rel, 'doc_' || doc_id || '.txt' AS name,
+  octet_length(encode(text))::BIGINT AS size, sha256(text) AS hash FROM documents"""
+PARTS = """
+SELECT p_partkey AS id, p_brand || '/' || nm AS rel, p_brand AS dir_rel, nm AS name, p_size::BIGINT AS size, sha256(p_type || p_brand) AS hash, base FROM (
+  SELECT *, 'part_' || (p_partkey % 97) || CASE WHEN p_partkey % 3 = 0 THEN '.tar.gz' ELSE '.pdf' END AS base,
+    'part_' || (p_partkey % 97) || CASE p_partkey % 5 WHEN 1 THEN ' (' || (p_partkey % 7) || ')' WHEN 2 THEN ' copy' ELSE '' END || CASE WHEN p_partkey % 3 = 0 THEN '.tar.gz' ELSE '.pdf' END AS nm
+  FROM part)"""
+FILES = """
+SELECT page_id AS id, path, regexp_extract(path, '([^/]*)$', 1) AS name, octet_length(encode(html))::BIGINT AS size FROM (
+  SELECT *, regexp_replace(regexp_replace(regexp_replace(url, '[?#].*$', ''), '^[a-z]+://', ''), '/+$', '') AS path FROM pages)"""
+ANCESTORS = """
+SELECT id, path, size, array_to_string(parts[1:i], '/') AS dir FROM (SELECT *, string_split(path, '/') AS parts, unnest(range(1, len(string_split(path, '/')))) AS i FROM f)"""
+
+
+def _plan_sql(key: str) -> str:
+    return f"""
+WITH e AS ({ENTRIES}), poison AS (SELECT hash FROM e GROUP BY hash HAVING count(DISTINCT size) > 1),
+r AS (SELECT *, row_number() OVER w AS nth, first_value(rel) OVER w AS keeper FROM e WHERE hash NOT IN (SELECT hash FROM poison)
+  WINDOW w AS (PARTITION BY {key} ORDER BY length(rel) - length(replace(rel, '/', '')), length(name), rel, id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING))
+SELECT id, rel, dir_rel, hash, size, keeper FROM r WHERE nth > 1"""
+
+
+@query(_plan_sql("hash"))
+def exact_dup_plan(spark, sf):
+    return identity.duplicate_plan(_entries(spark, sf))
+
+
+@query(_plan_sql("dir_rel, hash"))
+def exact_dup_plan_per_folder(spark, sf):
+    return identity.duplicate_plan(_entries(spark, sf), per_folder=True)
+
+
+def _short_digests(spark, sf):
+    return _entries(spark, sf).withColumn("hash", F.left("hash", F.lit(3)))
+
+
+@query(f"WITH e AS ({ENTRIES}) SELECT left(hash, 3) AS hash FROM e GROUP BY 1 HAVING count(DISTINCT size) > 1")
+def poisoned_hashes(spark, sf):
+    return identity.poisoned_hashes(_short_digests(spark, sf))
+
+
+@query(f"""
+WITH g AS (SELECT hash, count(*) AS n, sum(size) AS b, min(size) AS lo, max(size) AS hi FROM ({ENTRIES}) GROUP BY hash)
+SELECT sum(n)::BIGINT AS entries, sum(b)::BIGINT AS bytes, count(*) AS unique_contents, count(*) FILTER (n > 1 AND lo = hi) AS dup_groups,
+  coalesce(sum(n - 1) FILTER (n > 1 AND lo = hi), 0)::BIGINT AS redundant, coalesce(sum((n - 1) * lo) FILTER (n > 1 AND lo = hi), 0)::BIGINT AS redundant_bytes,
+  count(*) FILTER (lo <> hi) AS poisoned FROM g""")
+def dup_summary(spark, sf):
+    return identity.duplicate_summary(_entries(spark, sf))
+
+
+@query(f"SELECT dir_rel, base, count(*) AS files, count(DISTINCT hash) AS contents FROM ({PARTS}) GROUP BY 1, 2 HAVING count(DISTINCT hash) > 1")
+def same_name_families(spark, sf):
+    return identity.same_name_families(_parts(spark, sf))
+
+
+@query(f"""
+WITH p AS (SELECT *, row_number() OVER (PARTITION BY lower(name) ORDER BY rel) AS n FROM ({PARTS}))
+SELECT rel, CASE WHEN n = 1 THEN name ELSE regexp_extract(name, '^(.+?)(\\.[^.]*)?$', 1) || ' [dup' || n || ']' || regexp_extract(name, '^(.+?)(\\.[^.]*)?$', 2) END AS stored_as FROM p""")
+def quarantine_names(spark, sf):
+    moves = _parts(spark, sf).select(F.lit("_Duplicates").alias("dup_dir"), "name", "rel")
+    return identity.free_names(moves, moves.select("dup_dir", "name").limit(0)).select("rel", "stored_as")
+
+
+QUARANTINE = f"""e AS (SELECT * REPLACE (CASE WHEN id % 11 = 0 THEN left(hash, 2) ELSE hash END AS hash) FROM ({ENTRIES})),
+q AS (SELECT * FROM e WHERE id % 7 = 0), o AS (SELECT * FROM e WHERE id % 7 <> 0),
+poison AS (SELECT hash FROM e GROUP BY hash HAVING count(DISTINCT size) > 1),
+k AS (SELECT q.*, CASE WHEN hash IN (SELECT hash FROM poison) THEN 'poisoned' WHEN hash IN (SELECT hash FROM o) THEN 'ok'
+  WHEN size IN (SELECT size FROM o WHERE hash IN (SELECT hash FROM poison)) THEN 'inconclusive' ELSE 'orphan' END AS klass FROM q)"""
+
+
+def _quarantine(spark, sf):
+    """Every seventh document is taken as quarantined, all others as outside; every eleventh has a
+    digest that is too short to identify it."""
+    e = _entries(spark, sf).withColumn("hash", F.when(F.col("id") % 11 == 0, F.left("hash", F.lit(2))).otherwise(F.col("hash")))
+    return e.filter("id % 7 = 0"), e.filter("id % 7 <> 0")
+
+
+@query(f"WITH {QUARANTINE} SELECT id, rel, klass FROM k")
+def quarantine_classes(spark, sf):
+    return reconcile.quarantine_classes(*_quarantine(spark, sf)).select("id", "rel", "klass")
+
+
+@query(f"WITH {QUARANTINE} SELECT hash, count(*) AS files, min(size) <> max(size) AS poisoned FROM o GROUP BY hash HAVING count(*) > 1")
+def residual_groups(spark, sf):
+    return reconcile.residual_groups(_quarantine(spark, sf)[1])
+
+
+@query(f"""WITH {QUARANTINE} SELECT id, row_number() OVER (PARTITION BY dir_rel, hash ORDER BY length(name), name, id) = 1 AS restore, name AS restore_name FROM k WHERE klass = 'orphan'""")
+def heal_plan(spark, sf):
+    return reconcile.heal_plan(reconcile.quarantine_classes(*_quarantine(spark, sf))).select("id", "restore", "restore_name")
+
+
+@query(f"""WITH {QUARANTINE}, t AS (SELECT hash, count(*) AS total, array_to_string(list_sort((list(rel ORDER BY rel))[1:5]), '|') AS copies FROM o GROUP BY hash)
+SELECT q.id, q.rel, q.hash, coalesce(total, 0) AS total, coalesce(copies, '') AS copies FROM q LEFT JOIN t USING (hash)""")
+def where_twins(spark, sf):
+    return reconcile.twins(*_quarantine(spark, sf))
+
+
+@query(f"""
+SELECT id, CASE WHEN id % 13 = 0 THEN 'refused' WHEN id % 5 = 0 THEN 'unaccounted' WHEN id % 3 = 0 THEN 'skipped' ELSE 'restored' END AS outcome FROM ({ENTRIES})""")
+def undo_accounting(spark, sf):
+    e = _entries(spark, sf)
+    manifest = e.select("id", F.concat(F.lit("q/"), "name").alias("stored_as"), F.when(F.col("id") % 13 == 0, F.concat(F.lit("../"), "rel")).otherwise(F.col("rel")).alias("original_relpath"))
+    stored = e.filter("id % 5 <> 0").select(F.concat(F.lit("q/"), "name").alias("stored_as"))
+    return reconcile.undo_accounting(manifest, stored, e.filter("id % 3 = 0"), F.lit("/root")).select("id", "outcome")
+
+
+@query(f"WITH f AS ({FILES}) SELECT dir, count(*) AS files, sum(size)::BIGINT AS bytes FROM ({ANCESTORS}) GROUP BY dir")
+def subtree_rollup(spark, sf):
+    return tree.rollup(_pages(spark, sf))
+
+
+@query(f"""WITH f AS ({FILES}) SELECT dir, CASE WHEN path LIKE '%.html' THEN 'documents' ELSE 'other' END AS category, count(*) AS files, sum(size)::BIGINT AS bytes FROM ({ANCESTORS}) GROUP BY ALL""")
+def subtree_category_rollup(spark, sf):
+    return tree.rollup(_pages(spark, sf).withColumn("category", classify.display_category(F.col("name"))), "category")
+
+
+@query(f"WITH f AS ({FILES}) SELECT DISTINCT dir, len(string_split(dir, '/')) - 1 AS depth FROM ({ANCESTORS})")
+def tree_paths(spark, sf):
+    return tree.folders(_pages(spark, sf)).select("dir", tree.depth(F.col("dir")).cast("long").alias("depth"))
+
+
+@query(f"""
+WITH f AS ({FILES}), d AS (SELECT DISTINCT dir FROM ({ANCESTORS})),
+k AS (SELECT dir, CASE WHEN dir LIKE 'm.%' AND dir NOT LIKE '%/%' THEN 'bundle' WHEN dir LIKE '%/de' THEN 'project' WHEN dir LIKE '%/fr' THEN 'git' END AS kind FROM d),
+m AS (SELECT k.dir, k.kind, a.dir AS root, a.kind AS zone, row_number() OVER (PARTITION BY k.dir ORDER BY length(a.dir)) AS n
+  FROM k LEFT JOIN k a ON a.kind IS NOT NULL AND (k.dir = a.dir OR starts_with(k.dir, a.dir || '/')))
+SELECT dir, kind, root AS zone_root, zone FROM m WHERE n = 1""")
+def zone_inheritance(spark, sf):
+    d = F.col("dir")
+    kind = F.when(d.startswith("m.") & ~d.contains("/"), "bundle").when(d.endswith("/de"), "project").when(d.endswith("/fr"), "git")
+    return tree.zones(tree.folders(_pages(spark, sf)), kind)
+
+
+@query(f"""
+WITH f0 AS ({FILES}), f AS (SELECT * FROM f0), d AS (SELECT DISTINCT dir FROM ({ANCESTORS}))
+SELECT dir FROM d WHERE dir NOT IN (SELECT dir FROM ({ANCESTORS.replace("FROM f)", "FROM f0 WHERE size >= 3000)")}))""")
+def empty_folders(spark, sf):
+    files = _pages(spark, sf)
+    return tree.empty_folders(tree.folders(files), files.filter("size >= 3000"))
+
+
+@query(f"""
+WITH f AS ({FILES}), c AS (SELECT *, regexp_replace(path, '/[^/]*$', '') AS dir, row_number() OVER (PARTITION BY regexp_replace(path, '/[^/]*$', '') ORDER BY size DESC, path) AS nth FROM f WHERE path LIKE '%/%')
+SELECT dir, path, size, 1::BIGINT AS files FROM c WHERE nth <= 2
+UNION ALL SELECT dir, NULL, sum(size)::BIGINT, count(*) FROM c WHERE nth > 2 GROUP BY dir""")
+def top_children(spark, sf):
+    return tree.top_children(_pages(spark, sf), 2)
+
+
+@query(f"""
+WITH f AS ({FILES}) SELECT dir, max(size) AS largest, round(sum(size * (2000 + id % 20)) / sum(size), 6) AS mean_year, bool_or(size < 1000) AS has_small FROM ({ANCESTORS}) GROUP BY dir""")
+def subtree_values(spark, sf):
+    year = F.lit(2000) + F.col("id") % 20
+    return tree.subtree_values(_pages(spark, sf), F.max("size").alias("largest"), F.round(F.sum(F.col("size") * year) / F.sum("size"), 6).alias("mean_year"), F.bool_or(F.col("size") < 1000).alias("has_small"))
+
+
+@query(f"SELECT count(*) AS files, count(DISTINCT dir_rel) AS dirs, sum(size)::BIGINT AS bytes, count(*) FILTER (size = 0) AS empty, count(*) FILTER (size IS NULL) AS errors FROM ({ENTRIES})")
+def totals(spark, sf):
+    return report.totals(_entries(spark, sf).withColumnRenamed("dir_rel", "dir"))
+
+
+@query(f"SELECT CASE WHEN name LIKE '%.html' THEN 'documents' ELSE 'other' END AS category, count(*) AS files, sum(size)::BIGINT AS bytes, round(sum(size) / (SELECT sum(size) FROM ({FILES})), 6) AS share FROM ({FILES}) GROUP BY 1")
+def by_category(spark, sf):
+    return report.shares(report.by_group(_pages(spark, sf), classify.display_category(F.col("name")), "category"))
+
+
+@query(f"SELECT CASE WHEN instr(substr(name, 2), '.') > 0 THEN lower(regexp_extract(name, '(\\.[^.]*)$', 1)) ELSE '' END AS extension, count(*) AS files, sum(size)::BIGINT AS bytes FROM ({PARTS}) GROUP BY 1 ORDER BY bytes DESC, 1 LIMIT 40")
+def by_extension(spark, sf):
+    return report.top_groups(report.by_group(_parts(spark, sf), X.extension(F.col("name")), "extension"), "extension", 40)
+
+
+@query("""
+WITH y AS (SELECT year(o_orderdate)::INTEGER AS year, count(*) AS files, sum(round(o_totalprice)::BIGINT)::BIGINT AS bytes FROM orders GROUP BY 1)
+SELECT r.year::INTEGER AS year, coalesce(files, 0) AS files, coalesce(bytes, 0) AS bytes FROM (SELECT unnest(range((SELECT min(year) FROM y), (SELECT max(year) FROM y) + 1)) AS year) r LEFT JOIN y USING (year)""")
+def by_year(spark, sf):
+    orders = S.table(spark, sf, "orders")
+    years = orders.groupBy(F.year("o_orderdate").alias("year")).agg(F.count("*").alias("files"), F.sum(F.round("o_totalprice").cast("long")).alias("bytes"))
+    return report.year_series(years)
+
+
+@query(f"SELECT path, size, id FROM ({FILES}) ORDER BY size DESC, path LIMIT 100")
+def top_files(spark, sf):
+    return report.largest(_pages(spark, sf)).select("path", "size", "id")
+
+
+@query(f"WITH g AS (SELECT hash, count(*) AS n, max(size) AS s FROM ({ENTRIES}) GROUP BY hash HAVING count(*) > 1) SELECT count(*) AS groups, coalesce(sum((n - 1) * s), 0)::BIGINT AS wasted FROM g")
+def dupe_overlap(spark, sf):
+    return report.overlap(_entries(spark, sf))
+
+
+@query(f"""
+WITH n AS (SELECT dir_rel, name, row_number() OVER (PARTITION BY dir_rel ORDER BY name) AS k FROM (SELECT DISTINCT dir_rel, name FROM ({PARTS}))),
+g AS (SELECT dir_rel, count(*) AS files, sum(size)::BIGINT AS bytes FROM ({PARTS}) GROUP BY 1)
+SELECT g.*, (SELECT array_to_string(list(name ORDER BY name), '|') FROM n WHERE n.dir_rel = g.dir_rel AND k <= 3) AS samples FROM g""")
+def group_samples(spark, sf):
+    return report.samples(_parts(spark, sf), ["dir_rel"])
+
+
+#: Endings that give the inventory of events something for every junk rule.
+ENDINGS = [".log", ".tmp", ".crdownload", ".dmg", ".zip", " (1).pdf", ".pdf", "~", ".pyc", ".dmp", ".txt", ".part1.rar", ".bak.orig"]
+
+
+def _event_files(spark, sf):
+    n = F.size(F.array(*[F.lit(e) for e in ENDINGS]))
+    name = F.concat(F.lit("f"), (F.col("event_id") % 500).cast("string"), F.get(F.array(*[F.lit(e) for e in ENDINGS]), (F.col("event_id") % n).cast("int")))
+    return S.table(spark, sf, "events").select(
+        F.col("event_id").alias("id"),
+        F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("dir"),
+        name.alias("name"),
+        F.floor("value").cast("long").alias("size"),
+        (F.lit(NOW) - F.col("event_id") % 9000 * F.lit(86400)).alias("mtime"),
+        F.lit(None).cast("string").alias("hash"),
+    )
+
+
+_EVENT_FILES = f"""
+SELECT event_id AS id, 'u' || user_id AS dir, 'f' || (event_id % 500) || ([{", ".join(repr(e) for e in ENDINGS)}])[1 + event_id % {len(ENDINGS)}] AS name,
+  floor(value)::BIGINT AS size, {NOW} - event_id % 9000 * 86400 AS mtime FROM events"""
+
+
+@query(f"""
+WITH f AS ({_EVENT_FILES}), s AS (SELECT *, regexp_replace(name, '(\\.tar\\.gz|\\.tar\\.bz2|\\.tar\\.xz|\\.[^.]*)$', '') AS stem, year(make_timestamp(mtime * 1000000)) AS y0 FROM f),
+t AS (SELECT *, count(*) OVER (PARTITION BY dir, stem) > 1 AS same, CASE WHEN y0 NOT IN (1904, 1970, 1980) THEN y0 END AS y,
+  regexp_replace(name, '^(.+) \\([0-9]+\\)(\\.[^.]*)$', '\\1\\2') AS base FROM s),
+b AS (SELECT dir, name AS base, min(size) AS bsize FROM f GROUP BY ALL),
+c AS (SELECT t.id, t.y, CASE
+  WHEN name LIKE '%.part1.rar' THEN NULL WHEN name LIKE '%.crdownload' THEN CASE WHEN {NOW} - mtime > 14 * 86400 THEN 'A:J2' END
+  WHEN name LIKE '%~' THEN CASE WHEN {NOW} - mtime > 7 * 86400 THEN 'A:J3' END
+  WHEN name LIKE '%.tmp' THEN CASE WHEN size > 0 AND NOT same THEN 'A:J3' ELSE 'B:J3' END WHEN name LIKE '%.dmp' THEN 'B:J5'
+  WHEN name LIKE '%.dmg' THEN CASE WHEN y < 2015 THEN 'C:J6' ELSE 'B:J6' END WHEN name LIKE '%.zip' THEN NULL
+  WHEN name LIKE '% (1).pdf' THEN CASE WHEN bsize IS NULL THEN 'C:J8' WHEN bsize = size THEN 'B:J8' ELSE 'C:J8' END
+  WHEN size = 0 THEN 'A:J9' WHEN name LIKE '%.log' THEN CASE WHEN y < 2010 THEN 'C:J13' ELSE 'B:J13' END
+  WHEN name LIKE '%.orig' THEN 'B:J13' WHEN name LIKE '%.pyc' THEN 'A:J13' END AS code FROM t LEFT JOIN b ON b.dir = t.dir AND b.base = t.base AND t.base <> t.name)
+SELECT id, CASE WHEN y < 2005 AND code IS NOT NULL THEN CASE WHEN code[1] = 'A' THEN 'B' ELSE 'C' END ELSE code[1] END AS tier, split_part(code, ':', 2) AS family FROM c""")
+def junk_classes(spark, sf):
+    return classify.classify_junk(_event_files(spark, sf), F.lit(NOW)).select("id", "tier", "family")
+
+
+@query(f"""WITH j AS ({ORACLE_SQL["junk_classes"]}) SELECT tier, family, count(*) AS files, sum(size)::BIGINT AS bytes FROM j JOIN ({_EVENT_FILES}) f USING (id) WHERE tier IS NOT NULL GROUP BY ALL""")
+def junk_rollup(spark, sf):
+    found = classify.classify_junk(_event_files(spark, sf), F.lit(NOW)).filter("tier is not null")
+    return found.groupBy("tier", "family").agg(F.count("*").alias("files"), F.sum("size").alias("bytes"))
+
+
+@query(f"""
+WITH j AS ({ORACLE_SQL["junk_classes"]}), o AS (SELECT 'junk-' || lower(tier) AS plan_id, size FROM j JOIN ({_EVENT_FILES}) f USING (id) WHERE tier IN ('A', 'B'))
+SELECT plan_id, count(*) AS op_count, sum(size)::BIGINT AS total_bytes, CASE WHEN count(*) > 10000 OR sum(size) > 53687091200 THEN 'typed' WHEN count(*) >= 1000 OR sum(size) >= 5368709120 THEN 'explicit' ELSE 'simple' END AS consent, count(*) > 2000 AS churn
+FROM o GROUP BY 1""")
+def junk_plans(spark, sf):
+    found = classify.classify_junk(_event_files(spark, sf), F.lit(NOW)).withColumn("path", F.concat_ws("/", "dir", "name"))
+    return actions.finalise(actions.junk_plan(found))
+
+
+@query("""
+SELECT doc_id, array_to_string(list_filter(['AKIA', 'sk-', 'sk_live', 'ghp_', 'xoxb-', 'BEGIN PRIVATE KEY', 'password=', 'api_key=', 'token='], lambda k: contains(text, k)), '|') AS shapes
+FROM documents WHERE shapes <> ''""")
+def secret_scan(spark, sf):
+    shapes = F.concat_ws("|", classify.key_shapes(F.col("text")))
+    return S.table(spark, sf, "documents").select("doc_id", shapes.alias("shapes")).filter("shapes <> ''")
+
+
+@query("""
+SELECT p_partkey AS id, CASE p_partkey % 6 WHEN 0 THEN 'credentials folder' WHEN 1 THEN 'secret-shaped name' WHEN 2 THEN 'secret file type' WHEN 3 THEN 'database dump' WHEN 4 THEN 'secret word in a data file' END AS reason FROM part""")
+def secret_paths(spark, sf):
+    k = F.col("p_partkey")
+    path = F.when(k % 6 == 0, F.concat(F.lit("home/.ssh/"), k.cast("string"))).when(k % 6 == 1, F.lit("a/.env.local")).when(k % 6 == 2, F.concat(k.cast("string"), F.lit(".PEM"))).when(k % 6 == 3, F.lit("db/full-backup.sql")).when(k % 6 == 4, F.lit("x/api_key.json")).otherwise(F.lit("src/token.py"))
+    return S.table(spark, sf, "part").select(k.alias("id"), classify.secret_path_reason(path).alias("reason"))
+
+
+@query(f"""
+SELECT event_id AS id, CASE WHEN event_id % 3 = 0 THEN year(ts)::INTEGER WHEN event_id % 3 = 1 THEN 2025 - event_id % 9000 // 365 * 0 - (2025 - year(make_timestamp(({NOW} - event_id % 9000 * 86400) * 1000000)))::INTEGER ELSE 0 END AS year,
+  CASE event_id % 3 WHEN 0 THEN 'filename' WHEN 1 THEN 'mtime' ELSE 'unknown' END AS origin FROM events""")
+def capture_dates(spark, sf):
+    i = F.col("event_id")
+    name = F.when(i % 3 == 0, F.concat(F.lit("IMG_"), F.date_format("ts", "yyyyMMdd"), F.lit("_120000.jpg"))).otherwise(F.lit("holiday.jpg"))
+    mtime = F.when(i % 3 == 1, F.lit(NOW) - i % 9000 * F.lit(86400)).otherwise(F.lit(0))
+    got = actions.capture_month(name, mtime, 2025)
+    return S.table(spark, sf, "events").select(i.alias("id"), got.alias("c")).select("id", F.col("c.year").alias("year"), F.col("c.origin").alias("origin"))
+
+
+JOURNAL = "SELECT event_id AS id, 'src/' || (event_id % 700) AS src, 'dst/' || (event_id % 900) AS dst, event_id % 50 AS size, CASE WHEN event_type = 'error' OR event_id % 17 = 0 THEN 'failed' ELSE 'moved' END AS status, user_id, event_id AS ts FROM events"
+
+
+def _journal(spark, sf):
+    i = F.col("event_id")
+    return S.table(spark, sf, "events").select(i.alias("id"), F.concat(F.lit("src/"), (i % 700).cast("string")).alias("src"), F.concat(F.lit("dst/"), (i % 900).cast("string")).alias("dst"), (i % 50).alias("size"), F.when((F.col("event_type") == "error") | (i % 17 == 0), "failed").otherwise("moved").alias("status"), "user_id", i.alias("ts"))
+
+
+@query(f"WITH j AS ({JOURNAL}) SELECT user_id, count(*) AS moved FROM j WHERE status = 'moved' AND NOT EXISTS (SELECT 1 FROM j k WHERE k.dst = j.dst AND k.status = 'failed' AND k.ts > j.ts) GROUP BY 1")
+def journal_reconcile(spark, sf):
+    return reconcile.reconcile_journal(_journal(spark, sf)).groupBy("user_id").agg(F.count("*").alias("moved"))
+
+
+@query(f"""
+WITH j AS ({JOURNAL}), inv AS (SELECT 'dst/' || p_partkey AS path, p_partkey % 50 AS size FROM part WHERE p_partkey % 2 = 0 UNION ALL SELECT 'src/' || p_partkey, 0 FROM part WHERE p_partkey % 5 = 0)
+SELECT j.id, CASE WHEN d.size = j.size THEN 'moved_ok' WHEN d.size IS NOT NULL THEN 'corrupt' WHEN s.path IS NOT NULL THEN 'already_undone' ELSE 'dst_missing' END AS state
+FROM j LEFT JOIN inv d ON d.path = j.dst LEFT JOIN inv s ON s.path = j.src WHERE j.status = 'moved'""")
+def journal_verify(spark, sf):
+    k = F.col("p_partkey")
+    part = S.table(spark, sf, "part")
+    inventory = part.filter(k % 2 == 0).select(F.concat(F.lit("dst/"), k.cast("string")).alias("path"), (k % 50).alias("size")).unionByName(part.filter(k % 5 == 0).select(F.concat(F.lit("src/"), k.cast("string")).alias("path"), F.lit(0).cast("long").alias("size")))
+    return reconcile.verify_journal(_journal(spark, sf).filter("status = 'moved'"), inventory).select("id", "state")
+
+
+@query(f"""
+WITH o AS ({JOURNAL}) SELECT o.id, CASE WHEN s.p_partkey IS NULL THEN 'missing' WHEN s.p_partkey % 50 <> o.size THEN 'changed' WHEN d.p_partkey IS NOT NULL THEN 'collision' ELSE 'ready' END AS outcome
+FROM o LEFT JOIN part s ON o.src = 'src/' || s.p_partkey LEFT JOIN part d ON o.dst = 'src/' || d.p_partkey""")
+def apply_dry_run(spark, sf):
+    k = F.col("p_partkey")
+    inventory = S.table(spark, sf, "part").select(F.concat(F.lit("src/"), k.cast("string")).alias("path"), (k % 50).alias("size"))
+    return actions.dry_run(_journal(spark, sf), inventory).select("id", "outcome")
+
+
+_FINDING = "CASE WHEN event_type = 'error' THEN 'ERR' ELSE 'QUA' END"
+
+
+@query(f"SELECT event_id AS id, {_FINDING} AS cat, left(sha1({_FINDING} || '|' || 'src/' || user_id || '.py' || '|' || trim(regexp_replace('  call( ' || props || ' )', '[ \t\r\n]+', ' ', 'g'))), 8) AS hash8 FROM events")
+def finding_ids(spark, sf):
+    cat = F.when(F.col("event_type") == "error", "ERR").otherwise("QUA")
+    line = F.concat(F.lit("  call( "), F.col("props"), F.lit(" )"))
+    rows = S.table(spark, sf, "events").select(F.col("event_id").alias("id"), cat.alias("cat"), F.concat(F.lit("src/"), F.col("user_id").cast("string"), F.lit(".py")).alias("path"), line.alias("line"))
+    return findings.finding_ids(rows).select("id", "cat", "hash8")
+
+
+@query(f"""
+WITH n AS (SELECT doc_id AS key FROM documents WHERE doc_id % 4 <> 0), l AS (SELECT doc_id AS key FROM labels WHERE doc_id % 3 <> 0),
+a AS (SELECT doc_id AS key, CASE WHEN toxic = 1 THEN NULL WHEN quality = 1 THEN DATE '2024-02-01' ELSE DATE '2024-01-01' END AS expires FROM labels WHERE doc_id % 5 = 0)
+SELECT coalesce(n.key, l.key) AS key, CASE WHEN n.key IS NULL THEN 'FIXED' WHEN coalesce(a.expires, DATE '9999-12-31') >= DATE '{RUN_DATE}' AND a.key IS NOT NULL THEN 'ACCEPTED' WHEN a.key IS NOT NULL THEN 'REGRESSION' WHEN l.key IS NOT NULL THEN 'STILL-OPEN' ELSE 'NEW' END AS state
+FROM n FULL JOIN l ON n.key = l.key LEFT JOIN a ON a.key = coalesce(n.key, l.key)""")
+def finding_diff(spark, sf):
+    key = F.col("doc_id").alias("key")
+    labels = S.table(spark, sf, "labels")
+    expires = F.when(F.col("toxic") == 1, F.lit(None)).when(F.col("quality") == 1, F.lit("2024-02-01")).otherwise(F.lit("2024-01-01")).cast("date")
+    return findings.compare_runs(S.table(spark, sf, "documents").filter("doc_id % 4 <> 0").select(key), labels.filter("doc_id % 3 <> 0").select(key), labels.filter("doc_id % 5 = 0").select(key, expires.alias("expires")), F.lit(RUN_DATE).cast("date"))
+
+
+@query("""
+SELECT 'doc/' || user_id AS path, event_type AS line, CASE min(CASE WHEN value > 80 THEN 0 WHEN value > 50 THEN 1 WHEN value > 20 THEN 2 ELSE 3 END) WHEN 0 THEN 'Critical' WHEN 1 THEN 'High' WHEN 2 THEN 'Medium' ELSE 'Low' END AS severity, count(*) AS merged FROM events GROUP BY 1, 2""")
+def merged_sinks(spark, sf):
+    severity = F.when(F.col("value") > 80, "Critical").when(F.col("value") > 50, "High").when(F.col("value") > 20, "Medium").otherwise("Low")
+    return findings.merge_sinks(S.table(spark, sf, "events").select(F.concat(F.lit("doc/"), F.col("user_id").cast("string")).alias("path"), F.col("event_type").alias("line"), severity.alias("severity")))
+
+
+@query("""
+SELECT p_partkey AS id, CASE WHEN p_partkey % 10 = 9 THEN false WHEN p_size <> 20 THEN p_size > 20 ELSE p_partkey % 10 <> 8 AND false END AS newer FROM part""")
+def version_compare(spark, sf):
+    k = F.col("p_partkey")
+    tag = F.when(k % 10 == 9, F.lit("latest")).otherwise(F.concat(F.lit("v1."), F.col("p_size").cast("string"), F.when(k % 10 == 8, ".0-rc.1").otherwise("")))
+    return S.table(spark, sf, "part").select(k.alias("id"), versions.is_newer(tag, F.lit("1.20.0")).alias("newer"))
+
+
+@query("""
+SELECT o_orderkey AS id, CASE WHEN o_orderkey % 4 = 0 THEN 'limited' WHEN o_orderkey % 4 = 1 THEN 'fresh' WHEN o_orderkey % 4 = 2 THEN 'none' ELSE 'cached' END AS kind, CASE WHEN o_orderkey % 4 = 0 THEN CASE WHEN o_orderkey % 8 = 0 THEN o_orderkey % 60 ELSE greatest(0, o_orderkey % 100 - 50) END END AS retry_seconds FROM orders""")
+def fetch_outcomes(spark, sf):
+    k = F.col("o_orderkey")
+    status = F.when(k % 4 == 0, 429).when(k % 4 == 1, 200).when(k % 4 == 2, 404).otherwise(304)
+    got = versions.fetch_outcome(status, F.lit(True), F.when(k % 8 == 0, k % 60), k % 100, F.lit(50))
+    return S.table(spark, sf, "orders").select(k.alias("id"), got.alias("o")).select("id", F.col("o.kind").alias("kind"), F.col("o.retry_seconds").alias("retry_seconds"))
+
+
+#: The command rules' prefixes and branch forms.
+RULE_PREFIXES = ["git push", "git -C * push", "git -c * push"]
+RULE_FORMS = [" {}", ":{}", ":refs/heads/{}", " refs/heads/{}"]
+
+
+@query(f"""
+WITH c AS (SELECT DISTINCT 'git push origin ' || CASE event_id % 4 WHEN 0 THEN 'main' WHEN 1 THEN 'HEAD:develop' WHEN 2 THEN 'fix-main' ELSE 'refs/heads/main extra' END || CASE WHEN user_id % 2 = 0 THEN ' --dry-run' ELSE '' END AS command FROM events),
+r AS (SELECT DISTINCT p || ' .*' || replace(f, '{{}}', b) || t AS re FROM (VALUES ('git push'), ('git -C .* push'), ('git -c .* push')) a(p), (VALUES (' {{}}'), (':{{}}'), (':refs/heads/{{}}'), (' refs/heads/{{}}')) g(f), (VALUES ('main'), ('master'), ('develop')) h(b), (VALUES (''), (' .*')) i(t))
+SELECT command, count(re) AS rules FROM c LEFT JOIN r ON regexp_full_match(command, re) GROUP BY 1""")
+def deny_match(spark, sf):
+    i = F.col("event_id")
+    ref = F.when(i % 4 == 0, "main").when(i % 4 == 1, "HEAD:develop").when(i % 4 == 2, "fix-main").otherwise("refs/heads/main extra")
+    commands = S.table(spark, sf, "events").select(F.concat(F.lit("git push origin "), ref, F.when(F.col("user_id") % 2 == 0, " --dry-run").otherwise("")).alias("command"))
+    return rules.match(commands, rules.generate(spark, RULE_PREFIXES, RULE_FORMS, ["main", "master", "develop"]))
+
+
+RECORDS = "SELECT conv_id * 1000 + turn AS id, CASE WHEN (conv_id + turn) % 9 = 0 THEN NULL ELSE (conv_id + turn) % 300 END::INTEGER AS rank, text, CASE WHEN turn % 5 = 0 THEN ' ' ELSE left(text, 40) END AS translation FROM conversations"
+
+
+def _records(spark, sf):
+    c, t = F.col("conv_id"), F.col("turn")
+    return S.table(spark, sf, "conversations").select((c * 1000 + t).alias("id"), F.when((c + t) % 9 != 0, (c + t) % 300).cast("int").alias("rank"), "text", F.when(t % 5 == 0, " ").otherwise(F.left("text", F.lit(40))).alias("translation"))
+
+
+_WORDS = "len(regexp_extract_all({}, '[^ \t\n]+'))"
+
+
+@query(f"""
+WITH r AS ({RECORDS}) SELECT id, 'missing_rank' AS rule FROM r WHERE rank IS NULL
+UNION ALL SELECT id, 'empty_field' FROM r WHERE NOT coalesce(regexp_matches(text, '\\S'), false)
+UNION ALL SELECT id, 'raw_html' FROM r WHERE regexp_matches(text, '<[a-zA-Z/]|&[a-z]+;')
+UNION ALL SELECT id, 'non_ascii' FROM r WHERE regexp_matches(text, '[^\\x00-\\x7F]')
+UNION ALL SELECT id, 'sentence_pair' FROM r WHERE coalesce(regexp_matches(text, '\\S'), false) <> coalesce(regexp_matches(translation, '\\S'), false)
+UNION ALL SELECT id, 'length_mismatch' FROM r WHERE regexp_matches(text, '\\S') AND regexp_matches(translation, '\\S') AND abs({_WORDS.format("text")} - {_WORDS.format("translation")}) > greatest(2.0, 0.4::DOUBLE * {_WORDS.format("translation")})""")
+def record_lint(spark, sf):
+    return records.lint(_records(spark, sf))
+
+
+@query(f"WITH r AS ({RECORDS}), n AS (SELECT *, row_number() OVER (PARTITION BY rank ORDER BY id) AS k FROM r WHERE rank IS NOT NULL) SELECT id, rank FROM n WHERE k > 1")
+def duplicate_ranks(spark, sf):
+    return records.duplicate_ranks(_records(spark, sf), "id").select("id", "rank")
+
+
+@query(f"WITH r AS ({RECORDS}) SELECT unnest(range(1, (SELECT max(rank) FROM r) + 1))::BIGINT AS rank EXCEPT SELECT rank::BIGINT FROM r WHERE rank IS NOT NULL")
+def missing_ranks(spark, sf):
+    return report.missing_ranks(_records(spark, sf))
+
+
+@query("""
+WITH w AS (SELECT text, row_number() OVER (PARTITION BY text ORDER BY doc_id) AS k, first_value(doc_id) OVER (PARTITION BY text ORDER BY doc_id) AS keeper, doc_id FROM documents WHERE regexp_matches(text, '\\S'))
+SELECT doc_id AS id, keeper FROM w WHERE k > 1""")
+def duplicate_sentences(spark, sf):
+    docs = S.table(spark, sf, "documents")
+    return records.shared_sentences(docs.select(F.col("doc_id").alias("id"), F.col("doc_id").alias("rank"), "text"))
+
+
+@query(f"""
+WITH d AS (SELECT doc_id FROM labels), s AS (SELECT count(DISTINCT doc_id) AS n FROM d), t AS (SELECT doc_id AS rank, row_number() OVER (ORDER BY doc_id) AS nth FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM d))
+SELECT rank, nth + n AS position, (nth - 1) // 100 AS chunk FROM t, s WHERE nth <= greatest(0, {DELIVERY_TOTAL} + n - n)""")
+def incremental_delivery(spark, sf):
+    docs, labels = S.table(spark, sf, "documents"), S.table(spark, sf, "labels")
+    there = labels.select(F.col("doc_id").alias("rank"))
+    return records.deliver(docs.select(F.col("doc_id").alias("rank")), there, DELIVERY_TOTAL + there.distinct().count())
+
+
+@query("""
+SELECT 'a_' || doc_id || '.mp3' AS file, left(sha1('voice' || chr(0) || text), 16) AS stamp FROM documents WHERE doc_id % 3 <> 0 OR doc_id % 2 = 0""")
+def stale_outputs(spark, sf):
+    docs = S.table(spark, sf, "documents").select(F.concat(F.lit("a_"), F.col("doc_id").cast("string"), F.lit(".mp3")).alias("file"), records.output_stamp(F.lit("voice"), F.col("text")).alias("stamp"), "doc_id")
+    stamps = docs.filter("doc_id % 3 = 0").select("file", F.when(F.col("doc_id") % 2 == 0, "old").otherwise(F.col("stamp")).alias("stamp"))
+    return records.stale_outputs(docs.select("file", "stamp"), stamps)
+
+
+@query("""
+WITH s AS (SELECT doc_id * 1000 + i AS id, list_filter(regexp_split_to_array(lower(line), '[^a-z]+'), lambda t: t <> '') AS tokens FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM documents)),
+c AS (SELECT * FROM s WHERE len(tokens) BETWEEN 3 AND 14), e AS (SELECT id, tokens, unnest(tokens) AS token FROM c), k AS (SELECT DISTINCT token FROM (SELECT unnest(list_filter(regexp_split_to_array(lower(text), '[^a-z]+'), lambda t: t <> '')) AS token FROM benchmark)),
+sc AS (SELECT id, len(any_value(tokens)) + 4 * count(*) FILTER (token NOT IN (SELECT token FROM k)) AS score FROM e GROUP BY id),
+r AS (SELECT DISTINCT token, id, score FROM e JOIN sc USING (id)), w AS (SELECT *, row_number() OVER (PARTITION BY token ORDER BY score, id::VARCHAR, id) AS n FROM r)
+SELECT token, id AS sentence_id, score FROM w WHERE n = 1""")
+def sentence_index(spark, sf):
+    lines = S.table(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "text")).select((F.col("doc_id") * 1000 + F.col("i")).alias("id"), "text")
+    known = S.table(spark, sf, "benchmark").select(F.explode(F.filter(F.split(F.lower("text"), "[^a-z]+"), lambda t: t != "")).alias("token"))
+    return records.sentence_index(lines, known)
+
+
+@query("""
+WITH t AS (SELECT item_id, list_distinct(string_split(lower(text), ' ')) AS w FROM benchmark), p AS (SELECT a.item_id AS a, b.item_id AS b, a.w AS x, b.w AS y FROM t a JOIN t b ON b.item_id = a.item_id + 1)
+SELECT a, b, round(len(list_intersect(x, y)) / len(list_distinct(list_concat(x, y))), 9) AS likeness FROM p""")
+def gloss_jaccard(spark, sf):
+    t = S.table(spark, sf, "benchmark").select(F.col("item_id").alias("a"), F.array_distinct(F.split(F.lower("text"), " ")).alias("x"))
+    met = t.join(t.select((F.col("a") - 1).alias("a"), F.col("a").alias("b"), F.col("x").alias("y")), "a")
+    return met.select("a", "b", F.round(X.jaccard(F.col("x"), F.col("y")), 9).alias("likeness"))
+
+
+@query("""SELECT doc_id, replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS html, CASE WHEN left(text, 1) IN ('=', '+', '-', '@', chr(9), chr(13), '''') THEN '''' || text ELSE text END AS cell FROM documents""")
+def safe_texts(spark, sf):
+    return S.table(spark, sf, "documents").select("doc_id", X.html_escape(F.col("text")).alias("html"), X.csv_safe(F.col("text")).alias("cell"))
+
+
+@query("""
+SELECT CASE WHEN event_id % 10 = 0 THEN 'corrupt-line' ELSE event_type END AS status, CASE WHEN event_id % 10 = 0 THEN NULL ELSE 'u' || user_id END AS plan_id, count(*) AS lines, sum(CASE WHEN event_id % 10 <> 0 THEN event_id END)::BIGINT AS total FROM events GROUP BY 1, 2""")
+def journal_lines(spark, sf):
+    i = F.col("event_id")
+    line = F.when(i % 10 == 0, F.lit('{"src": "cut')).otherwise(F.to_json(F.struct(F.lit("a").alias("src"), i.alias("size"), F.col("event_type").alias("status"), F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("plan_id"))))
+    parsed = S.parse_journal(S.table(spark, sf, "events").select(line.alias("value")))
+    return parsed.groupBy("status", "plan_id").agg(F.count("*").alias("lines"), F.sum("size").alias("total"))
+
+
+@query("""
+WITH s AS (SELECT c_custkey AS id, c_custkey % 40 AS dev, c_custkey % 90 AS ino, lpad(c_custkey::VARCHAR, 9, '0') AS path, 1 + c_custkey % 3 AS nlink FROM customer)
+SELECT id, CASE WHEN nlink <= 1 OR row_number() OVER (PARTITION BY dev, ino ORDER BY path) = 1 THEN 1 ELSE 0 END AS hl_first FROM s""")
+def hardlink_first(spark, sf):
+    k = F.col("c_custkey")
+    files = S.table(spark, sf, "customer").select(k.alias("id"), (k % 40).alias("dev"), (k % 90).alias("ino"), F.lpad(k.cast("string"), 9, "0").alias("path"), (k % 3 + 1).alias("nlink"))
+    return S.hardlink_first(files).select("id", "hl_first")
+
+
+@query("""
+SELECT o_orderkey AS id, CASE WHEN o_orderkey % 7 = 0 THEN 'empty' WHEN o_orderkey % 500 < 120 THEN 'recently-modified' WHEN o_orderkey % 5 = 0 THEN 'not-local' WHEN o_orderkey % 3 = 0 THEN 'read-error' END AS reason FROM orders""")
+def identity_reasons(spark, sf):
+    k = F.col("o_orderkey")
+    files = S.table(spark, sf, "orders").select(k.alias("id"), F.when(k % 7 == 0, 0).otherwise(5).alias("size"), (F.lit(NOW) - k % 500).alias("mtime"), (k % 5 != 0).alias("is_local"), F.when((k % 5 != 0) & (k % 3 != 0), "h").alias("hash"))
+    return S.identify(files, F.lit(NOW)).select("id", "reason")
+
+
+@query("""
+WITH s AS (SELECT c_custkey AS id, c_nationkey AS head, c_custkey AS rank, c_mktsegment || CASE WHEN c_custkey % 2 = 0 THEN ' even' ELSE ' odd' END AS gloss FROM customer)
+SELECT id, first_value(id) OVER (PARTITION BY head, gloss ORDER BY rank) AS leader FROM s""")
+def leader_clusters(spark, sf):
+    """Glosses share half of their tokens only if both are equal (1 of 3 otherwise), so each group's first is its leader."""
+    k = F.col("c_custkey")
+    items = S.table(spark, sf, "customer").select(k.alias("id"), F.col("c_nationkey").alias("head"), k.alias("rank"), F.concat("c_mktsegment", F.when(k % 2 == 0, " even").otherwise(" odd")).alias("gloss"))
+    return records.leader_clusters(items)
+
+
+@query("""
+SELECT c_custkey AS id, unnest(list_filter([CASE WHEN c_custkey % 2 = 0 THEN 'name' END, CASE WHEN c_custkey % 5 = 0 THEN 'segment' END], lambda x: x IS NOT NULL)) AS field FROM customer""")
+def changed_fields(spark, sf):
+    k = F.col("c_custkey")
+    live = S.table(spark, sf, "customer").select(k.alias("id"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("segment"))
+    want = live.select("id", F.when(F.col("id") % 2 == 0, F.concat("name", F.lit("!"))).otherwise(F.col("name")).alias("name"), F.when(F.col("id") % 5 != 0, F.col("segment")).alias("segment"))
+    return records.changed_fields(live, want, "id", ["name", "segment"])
