@@ -3,9 +3,10 @@
 Vectors are clustered into lists of about `list_rows`. The centroids, at most `max_centroids` of
 them, are fitted on a bounded sample with a charge on full clusters, so that lists come out even,
 and are held in every worker's memory with a neighbour graph that a beam search walks. A vector near
-a boundary is put into several lists (within `replica_ratio` of its nearest centroid, skipping
-centroids that lie closer to one already taken than to the vector). A query visits the lists within
-`probe_ratio` of its nearest centroid's distance. For inner products, vectors get one more
+a boundary is put into up to `replicas` lists (within `replica_ratio` of its nearest centroid's
+distance). A query visits the lists within
+`probe_ratio` of its nearest centroid's distance, `least_lists` at least (a query may lie on a
+centroid) and `most_lists` at most, which sets recall against work. For inner products, vectors get one more
 coordinate that makes all of one length, so nearness in space is largeness of the product.
 
 Every vector is indexed. A list that outgrows `block_rows`, or is asked by more than `block_queries`
@@ -94,8 +95,9 @@ class Centroids:
         return ids, far, done
 
 
-def fit_balanced(sample: np.ndarray, k: int, rounds: int = 10, charge: float = 0.5) -> np.ndarray:
-    """k-means in which a cluster over its fair share costs more, in proportion to its excess."""
+def fit_balanced(sample: np.ndarray, k: int, rounds: int = 16, charge: float = 0.02) -> np.ndarray:
+    """k-means in which a cluster over its fair share costs more, a little more each round that it
+    stays so; the charge is small against distances, so centroids stay in the midst of their points."""
     rng = np.random.default_rng(11)
     points = sample[rng.permutation(len(sample))[:k]].astype(np.float32)
     cost = np.zeros(len(points), np.float32)
@@ -106,7 +108,7 @@ def fit_balanced(sample: np.ndarray, k: int, rounds: int = 10, charge: float = 0
             part = sample[at : at + 4096]
             d = (points**2).sum(1)[None] - 2 * part @ points.T
             owner[at : at + 4096] = (d + cost[None]).argmin(1)
-            spread += float((d.min(1) + (part**2).sum(1)).sum())
+            spread += float((np.take_along_axis(d, owner[at : at + 4096, None], 1)[:, 0] + (part**2).sum(1)).sum())
         sizes = np.bincount(owner, minlength=len(points))
         sums = np.zeros_like(points)
         np.add.at(sums, owner, sample)
@@ -115,7 +117,8 @@ def fit_balanced(sample: np.ndarray, k: int, rounds: int = 10, charge: float = 0
         if (~full).any():
             points[~full] = sample[rng.integers(0, len(sample), int((~full).sum()))]
         fair = len(sample) / len(points)
-        cost = (charge * spread / len(sample) * np.maximum(sizes / fair - 1, 0)).astype(np.float32)
+        step = charge * max(spread, 0) / len(sample)
+        cost = (0.7 * cost + step * np.clip(sizes / fair - 1, 0, 4)).astype(np.float32)
     return points
 
 
@@ -147,9 +150,11 @@ def search(
     list_rows: int = 256,
     max_centroids: int = 16_384,
     sample_rows: int = 20_000,
-    replica_ratio: float = 1.1,
-    replicas: int = 4,
+    replica_ratio: float = 1.15,
+    replicas: int = 6,
     probe_ratio: float = 1.35,
+    least_lists: int = 16,
+    most_lists: int = 32,
     beam: int = 96,
     block_rows: int = 4_096,
     block_queries: int = 4_096,
@@ -177,16 +182,9 @@ def search(
             for at in range(0, len(batch), 1024):
                 part = batch.iloc[at : at + 1024]
                 ids, far = centroids.search(_lifted(_matrix(part["v"], dim), longest), 32)
-                take = np.zeros(ids.shape, bool)
+                ids, far = ids[:, :replicas], far[:, :replicas]
+                take = np.isfinite(far) & (far <= replica_ratio * far[:, :1])
                 take[:, 0] = True
-                for c in range(1, ids.shape[1]):
-                    ok = np.isfinite(far[:, c]) & (far[:, c] <= replica_ratio * far[:, 0]) & (take.sum(1) < replicas)
-                    for o in range(c):
-                        gap = np.linalg.norm(centroids.points[ids[:, c]] - centroids.points[ids[:, o]], axis=1)
-                        ok &= ~take[:, o] | (gap >= far[:, c])
-                    take[:, c] = ok
-                    if not (far[:, c] <= replica_ratio * far[:, 0]).any():
-                        break
                 r, c = np.nonzero(take)
                 yield pd.DataFrame({"list": ids[r, c], "vec_id": part["vec_id"].to_numpy()[r], "v": part["v"].to_numpy()[r]})
 
@@ -197,13 +195,11 @@ def search(
                 part = batch.iloc[at : at + 256]
                 q = _matrix(part["v"], dim)
                 unit = q / np.linalg.norm(q, axis=1, keepdims=True)
-                width = beam
-                while True:  # the beam widens until the ratio, not its width, ends every query's lists
-                    ids, far = centroids.search(np.concatenate([unit, np.zeros((len(q), 1))], axis=1), width)
-                    take = np.isfinite(far) & (far <= probe_ratio * far[:, :1])
-                    if width >= len(centroids.points) or not take[:, -1].any():
-                        break
-                    width *= 2
+                ids, far = centroids.search(np.concatenate([unit, np.zeros((len(q), 1))], axis=1), max(beam, most_lists))
+                ids, far = ids[:, :most_lists], far[:, :most_lists]
+                near = far <= probe_ratio * far[:, :1]
+                near[:, :least_lists] = True
+                take = np.isfinite(far) & near
                 r, c = np.nonzero(take)
                 yield pd.DataFrame({"list": ids[r, c], "query_id": part["vec_id"].to_numpy()[r], "q": part["v"].to_numpy()[r]})
 
@@ -226,20 +222,24 @@ def search(
             return pd.DataFrame({"query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0)})
         vs = vs.sort_values("vec_id", ignore_index=True)
         v, q, ids = _matrix(vs["v"], dim), _matrix(qs["q"], dim), vs["vec_id"].to_numpy()
-        out = []
+        asked_ids, picked, scores, sizes = qs["query_id"].to_numpy(), [], [], []
+        repeated = len(np.unique(ids)) < len(ids)
         for at in range(0, len(q), 512):
             rough = q[at : at + 512] @ v.T
+            rough[asked_ids[at : at + 512, None] == ids[None]] = -np.inf
             for i, row in enumerate(rough):
-                row[ids == qs["query_id"].iloc[at + i]] = -np.inf
-                keep = np.flatnonzero(row > -np.inf)
-                if len(keep) > k:
-                    kth = np.partition(row[keep], len(keep) - k)[len(keep) - k]
-                    keep = keep[row[keep] >= kth - 1e-9 * max(1.0, abs(kth))]
+                if len(row) > k and not repeated:
+                    kth = np.partition(row, len(row) - k)[len(row) - k]
+                    keep = np.flatnonzero(row >= kth - 1e-9 * max(1.0, abs(kth))) if np.isfinite(kth) else np.flatnonzero(row > -np.inf)
+                else:
+                    keep = np.flatnonzero(row > -np.inf)
                 score = (v[keep] * q[at + i]).sum(axis=1)
                 order = np.lexsort((ids[keep], -score))
-                order = order[:k] if len(set(ids[keep[order[:k]]])) == len(order[:k]) else order
-                out.append(pd.DataFrame({"query_id": qs["query_id"].iloc[at + i], "vec_id": ids[keep[order]], "score": score[order]}))
-        return pd.concat(out, ignore_index=True)
+                order = order if repeated else order[:k]
+                picked.append(ids[keep[order]])
+                scores.append(score[order])
+                sizes.append(len(order))
+        return pd.DataFrame({"query_id": np.repeat(asked_ids, sizes), "vec_id": np.concatenate(picked), "score": np.concatenate(scores)})
 
     found = left.groupBy("list", "vb", "qb").cogroup(right.groupBy("list", "vb", "qb")).applyInPandas(best, "query_id long, vec_id long, score double")
     once = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
