@@ -145,36 +145,6 @@ def fit(labelled: DataFrame, text: str = "text", label: str = "lang", id_col: st
     return Model(x, np.array([r["y"] for r in got], dtype=object))
 
 
-def predict(self, text: str) -> tuple[str, float]:
-        x = features(text)
-        votes = self.top.votes(x)
-        at = int(np.argmax(votes))
-        duels = self.inner[self.top.labels[at]]
-        own = duels.votes(x)
-        best = int(np.argmax(own))
-        return duels.labels[best], float(votes[at] * own[best])
-
-
-def fit(labelled: DataFrame, text: str = "text", label: str = "lang", id_col: str = "doc_id", max_train_rows: int = 1_024) -> Model | None:
-    """Fit on at most `max_train_rows` labelled rows; only their feature vectors reach the driver."""
-    rows = labelled.select(F.col(id_col).alias("id"), F.col(text).cast("string").alias("t"), F.col(label).cast("string").alias("y")).filter(r"y is not null and t rlike '\\p{L}'")
-    labels = rows.select("y").distinct().count()
-    if not labels:
-        return None
-    each = max(4, max_train_rows // labels)
-    h = F.xxhash64("id")
-    first = Window.partitionBy("y").orderBy("h", "id")
-    ids = rows.select("id", "y", h.alias("h")).withColumn("nth", F.row_number().over(first)).filter(F.col("nth") <= each).select("id", "y")
-    chosen = rows.join(F.broadcast(ids), ["id", "y"], "left_semi")  # at most max(4 x labels, max_train_rows) rows
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield pd.DataFrame({"id": batch["id"].astype(str), "y": batch["y"], "x": [features(t).tobytes() for t in batch["t"]]})
-
-    got = sorted(chosen.mapInPandas(run, "id string, y string, x binary").collect(), key=lambda r: (r.y, r.id, bytes(r.x)))
-    return Model(np.array([np.frombuffer(r.x, np.float32) for r in got]), np.array([r.y for r in got], dtype=object))
-
-
 def predict(docs: DataFrame, model: Model | None, text: str = "text", keep: list[str] | None = None, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
     """The columns `keep` of docs with the predicted label and its score."""
     spark = docs.sparkSession
