@@ -6,7 +6,7 @@ letters lower-cased, other ASCII taken as a space), as the square roots of their
 long text weighs no more than a short one.
 
 The machines are fitted on a bounded sample of labelled rows (`max_train_rows`, dealt evenly to the
-labels, those with the smallest hash of the id); predictions cover every row and see only its text.
+labels, those with the smallest hash of id and text); predictions cover every row and see only its text.
 
 Defined cases: a null text or one without a letter is `und` with score 0; with no labelled row at
 all every text is `und`; a label outside the family table is a family of its own; repeated rows and
@@ -120,25 +120,32 @@ class Model:
 
 
 def fit(labelled: DataFrame, text: str = "text", label: str = "lang", id_col: str = "doc_id", max_train_rows: int = 1_024) -> Model | None:
-    """Fit on at most `max_train_rows` labelled rows; only their feature vectors reach the driver."""
-    rows = labelled.select(F.col(id_col).alias("id"), F.col(text).cast("string").alias("t"), F.col(label).cast("string").alias("y")).filter(r"y is not null and t rlike '\\p{L}'")
-    labels = rows.select("y").distinct().count()
-    if not labels:
+    """Fit on at most `max_train_rows` labelled rows (4 a label at least); only their feature vectors
+    reach the driver.
+
+    Rows count as equal when id and text are. A label's rows below a hash that about twice its share
+    passes are ranked, so the rows that meet in one task do not grow with the label.
+    """
+    rows = labelled.select(F.col(text).cast("string").alias("t"), F.col(label).cast("string").alias("y"), F.xxhash64(F.col(id_col), F.col(text).cast("string")).alias("h")).filter(r"y is not null and t rlike '\\p{L}'")
+    sizes = rows.groupBy("y").count().collect()  # a row a label
+    if not sizes:
         return None
-    each = max(4, max_train_rows // labels)
-    h = F.xxhash64("id")
-    first = Window.partitionBy("y").orderBy("h", "id")
-    ids = rows.select("id", "y", h.alias("h")).withColumn("nth", F.row_number().over(first)).filter(F.col("nth") <= each).select("id", "y")
-    chosen = rows.join(F.broadcast(ids), ["id", "y"], "left_semi")  # at most max(4 x labels, max_train_rows) rows
+    each = max(4, max_train_rows // len(sizes))
+    room = 2 * each + 64
+    below = {r.y: int(-(2**63) + 2**64 * (room / r["count"])) if r["count"] > room else 2**63 - 1 for r in sizes}
+    limits = labelled.sparkSession.createDataFrame(sorted(below.items()), "y string, below long")
+    near = rows.join(F.broadcast(limits), "y").filter("h <= below").dropDuplicates(["y", "h"])
+    first = Window.partitionBy("y").orderBy("h")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             sparse = [features(t) for t in batch["t"]]
             at = [np.flatnonzero(x) for x in sparse]
-            yield pd.DataFrame({"id": batch["id"].astype(str), "y": batch["y"], "at": [a.astype("<u2").tobytes() for a in at], "x": [x[a].tobytes() for x, a in zip(sparse, at, strict=True)]})
+            yield pd.DataFrame({"h": batch["h"], "y": batch["y"], "at": [a.astype("<u2").tobytes() for a in at], "x": [x[a].tobytes() for x, a in zip(sparse, at, strict=True)]})
 
     # only the features that occur travel: a few kilobytes a row
-    got = sorted(chosen.mapInPandas(run, "id string, y string, at binary, x binary").collect(), key=lambda r: (r.y, r.id, bytes(r.at), bytes(r.x)))
+    chosen = near.withColumn("nth", F.row_number().over(first)).filter(F.col("nth") <= each).select("h", "y", "t")
+    got = sorted(chosen.mapInPandas(run, "h long, y string, at binary, x binary").collect(), key=lambda r: (r.y, r.h))
     x = np.zeros((len(got), DIMENSIONS), np.float32)
     for row, r in zip(x, got, strict=True):
         row[np.frombuffer(r["at"], "<u2")] = np.frombuffer(r["x"], np.float32)
