@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltstone.functions.text import extension, extension_multi, plausible_year
+from siltstone.operators.photos import RAWS
 
 NOTHING = "__none"
 DAY = 86400
@@ -148,16 +149,18 @@ def key_shapes(text: Column) -> Column:
     return F.filter(F.array(*[F.lit(k) for k in KEY_SHAPES]), lambda k: F.contains(text, k))
 
 
-# Display categories by extension.
+# Display categories by extension, and the zones that show as one category.
 CATEGORY_EXTENSIONS = {
-    "images": [".jpg", ".jpeg", ".png", ".gif", ".webp", ".svg"],
-    "videos": [".mov", ".mp4", ".mkv", ".webm"],
-    "music": [".mp3", ".m4a", ".flac", ".wav", ".ogg"],
-    "documents": [".pdf", ".doc", ".docx", ".txt", ".md", ".csv", ".html", ".htm"],
-    "code": [".py", ".js", ".ts", ".c", ".h", ".cpp", ".java", ".go", ".rs", ".json", ".sql"],
-    "archives": [".zip", ".rar", ".7z", ".tar", ".gz", ".tgz"],
-    "installers": [".dmg", ".pkg", ".msi", ".exe", ".deb", ".rpm"],
+    "photos": RAWS,
+    "images": [".jpg", ".jpeg", ".png", ".heic", ".heif", ".gif", ".tif", ".tiff", ".webp", ".bmp", ".ico", ".icns", ".svg", ".psd", ".avif", ".jxl", ".xcf"],
+    "videos": [".mov", ".mp4", ".m4v", ".avi", ".3gp", ".mts", ".m2ts", ".mkv", ".webm", ".wmv", ".mpg", ".mpeg", ".insv", ".360", ".flv", ".vob"],
+    "music": [".mp3", ".m4a", ".flac", ".wav", ".aiff", ".aif", ".ogg", ".aac", ".wma", ".alac", ".opus", ".mid", ".aup3", ".als"],
+    "documents": [".pdf", ".doc", ".docx", ".txt", ".pages", ".xls", ".xlsx", ".ppt", ".pptx", ".numbers", ".key", ".rtf", ".md", ".csv", ".epub", ".mobi", ".odt", ".ods", ".eml", ".html", ".htm"],
+    "code": [".py", ".js", ".ts", ".tsx", ".jsx", ".c", ".h", ".cpp", ".cc", ".hpp", ".m", ".swift", ".java", ".kt", ".go", ".rs", ".rb", ".php", ".cs", ".sh", ".pl", ".lua", ".json", ".yml", ".yaml", ".toml", ".xml", ".sql", ".ipynb"],
+    "archives": [".zip", ".rar", ".7z", ".tar", ".gz", ".tgz", ".bz2", ".xz", ".sit", ".sitx", ".iso"],
+    "installers": [".dmg", ".pkg", ".mpkg", ".msi", ".exe", ".deb", ".rpm", ".appimage", ".msix", ".appx"],
 }
+CACHE_ZONES, CODE_ZONES = ["cache", "rebuildable"], ["git", "project", "bundle"]
 
 
 def display_category(name: Column) -> Column:
@@ -167,5 +170,18 @@ def display_category(name: Column) -> Column:
     return out
 
 
+def shown_category(name: Column, code: Column, zone: Column) -> Column:
+    """By class, else by zone, else by extension; sensitive files show what they are otherwise."""
+    return (
+        F.when(code.rlike("^j[AB]:"), "junk")
+        .when(code == "ph:screen", "screenshots")
+        .when(code.isin("ph:cert", "ph:likely", "ph:poss", "ph:recv", "ph:side"), "photos")
+        .when(code.isin("ph:asset", "ph:unk"), "images")
+        .when(zone.isin(*CACHE_ZONES), "cache")
+        .when(zone.isin(*CODE_ZONES), "code")
+        .otherwise(display_category(F.coalesce(name, F.lit(""))))
+    )
+
+
 def sibling_count(by: list[str]) -> Column:
     return F.count("*").over(Window.partitionBy(*by))

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.functions.text import CLOCK_YEARS
+from siltstone.functions.text import CLOCK_YEARS, extension
+from siltstone.operators.photos import SIDECARS
 
 # File names that carry a date, and the limits of consent.
 DATED_NAMES = [
@@ -61,3 +62,56 @@ def dry_run(operations: DataFrame, inventory: DataFrame) -> DataFrame:
     there = inventory.select(F.col("path").alias("dst"), F.lit(True).alias("_taken"))
     met = operations.join(at, "src", "left").join(there, "dst", "left")
     return met.withColumn("outcome", F.when(F.col("_here").isNull(), "missing").when(~F.col("_now").eqNullSafe(F.col("size")), "changed").when(F.col("_taken"), "collision").otherwise("ready")).drop("_now", "_here", "_taken")
+
+
+# Idle time before an archive, and top folders that plans leave alone.
+ARCHIVE_IDLE = 3 * 365 * 86_400
+RESERVED = ["Archive", "Photos", "Screenshots", "_Quarantine"]
+
+
+def photo_plan(files: DataFrame, last_year: int) -> DataFrame:
+    """Sure and likely captures outside Photos to Photos/YYYY/MM, undated ones by their folder's name.
+
+    files (id, dir, name, size, mtime, photo), dir below the root. What shares a capture's folder and
+    stem (sidecars, pairs) travels with the one of least id; equal rows each have their operation.
+    """
+    name, folder = F.col("name"), F.coalesce("dir", F.lit(""))
+    ext, taken = extension(name), F.col("photo").isin("ph:cert", "ph:likely")
+    members = files.filter(F.col("photo").isNotNull() & (taken | (F.col("photo") == "ph:side") | ext.isin(*SIDECARS)))
+    members = members.select("id", folder.alias("dir"), "name", "size", "mtime", "photo", F.lower(F.substring(name, F.lit(1), F.length(name) - F.length(ext))).alias("stem"))
+    date = capture_month(name, F.col("mtime"), last_year)
+    undated = F.concat(F.lit("Photos/_Unknown-Date/"), F.coalesce(F.nullif(F.element_at(F.split("dir", "/"), -1), F.lit("")), F.lit("root")))
+    target = F.when(F.col("date.year") > 0, F.format_string("Photos/%04d/%02d", "date.year", "date.month")).otherwise(undated)
+    away = (F.col("dir") != "Photos") & ~F.col("dir").startswith("Photos/")
+    leads = members.filter(taken & away).withColumn("date", date).groupBy("dir", "stem").agg(F.min(F.struct("id", target.alias("target"), F.col("date.origin").alias("origin"))).alias("lead"))
+    source = F.concat(F.when(F.col("dir") != "", F.concat("dir", F.lit("/"))).otherwise(""), name)
+    why = F.when(F.col("id") == F.col("lead.id"), F.concat("photo", F.lit(" · date from "), "lead.origin")).otherwise("travels with its photo (sidecar/pair)")
+    return members.join(leads, ["dir", "stem"]).select("id", F.lit("photo-consolidation").alias("plan_id"), F.lit("move").alias("op"), source.alias("src"), F.concat_ws("/", "lead.target", name).alias("dst"), F.coalesce("size", F.lit(0)).cast("long").alias("size"), why.alias("evidence"))
+
+
+def screenshot_plan(files: DataFrame, last_year: int) -> DataFrame:
+    """Screenshots to Screenshots/YYYY, or _Undated."""
+    folder, year = F.coalesce("dir", F.lit("")), capture_month(F.col("name"), F.col("mtime"), last_year)["year"]
+    target = F.when(year > 0, F.format_string("%04d", year)).otherwise("_Undated")
+    source = F.concat(F.when(folder != "", F.concat(folder, F.lit("/"))).otherwise(""), "name")
+    return files.filter("photo = 'ph:screen'").select("id", F.lit("screenshots").alias("plan_id"), F.lit("move").alias("op"), source.alias("src"), F.concat_ws("/", F.lit("Screenshots"), target, "name").alias("dst"), F.coalesce("size", F.lit(0)).cast("long").alias("size"), F.lit("screenshot pattern").alias("evidence"))
+
+
+def archive_plan(files: DataFrame, now: int, protected: DataFrame | None = None, manifests: str = "_Manifests") -> DataFrame:
+    """Top-level items idle for three years to Archive/<year>, whole; none that holds a sensitive file.
+
+    files (dir, name, size, mtime, sensitive), dir below the root; `protected` (top) lists top folders
+    to leave, `manifests` names the engine's own. One pass with partial sums per top-level item, however large a folder is.
+    """
+    folder = F.coalesce("dir", F.lit(""))
+    is_file = folder == ""
+    items = files.groupBy(F.when(is_file, F.col("name")).otherwise(F.split(folder, "/")[0]).alias("src"), is_file.alias("is_file")).agg(
+        F.max("mtime").alias("newest"), F.sum(F.coalesce("size", F.lit(0))).cast("long").alias("size"), F.coalesce(F.bool_or(F.col("sensitive").isNotNull()), F.lit(False)).alias("secret")
+    )
+    if protected is not None:
+        items = items.join(protected.select(F.col("top").alias("src"), F.lit(False).alias("is_file")).distinct(), ["src", "is_file"], "left_anti")
+    year = F.year(F.timestamp_seconds("newest"))
+    idle = ~F.col("secret") & (F.lit(now) - F.col("newest") >= ARCHIVE_IDLE) & year.between(FIRST_YEAR, F.year(F.timestamp_seconds(F.lit(now))))
+    kept = items.filter(idle & (F.col("is_file") | ~F.col("src").isin(*RESERVED, manifests)))
+    why = F.concat(F.when(F.col("is_file"), "idle since ").otherwise("whole folder idle since "), year.cast("string"))
+    return kept.select(F.lit("cold-archive").alias("plan_id"), F.lit("move").alias("op"), "src", F.concat_ws("/", F.lit("Archive"), F.format_string("%04d", year), "src").alias("dst"), "size", why.alias("evidence"))

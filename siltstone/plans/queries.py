@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from siltstone.functions import text as X
 from siltstone.operators import classify, findings, identity, reconcile, records, report, rules, tree, versions
-from siltstone.plans import actions
+from siltstone.plans import actions, media
 from siltstone.sources import tables as S
 
 #: "Now" of every age: a parameter, so that results do not change with the clock.
@@ -547,3 +547,7 @@ def changed_fields(spark, sf):
     live = S.table(spark, sf, "customer").select(k.alias("id"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("segment"))
     want = live.select("id", F.when(F.col("id") % 2 == 0, F.concat("name", F.lit("!"))).otherwise(F.col("name")).alias("name"), F.when(F.col("id") % 5 != 0, F.col("segment")).alias("segment"))
     return records.changed_fields(live, want, "id", ["name", "segment"])
+
+
+QUERIES |= media.QUERIES
+ORACLE_SQL |= media.ORACLE_SQL
