@@ -75,8 +75,8 @@ def screenshot_plan(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def archive_plan(spark: SparkSession, sf: str) -> DataFrame:
-    """The files dealt to 997 top folders, so that some hold no secret and lie idle."""
-    files = event_files(spark, sf).withColumn("dir", F.concat(F.lit("t"), (F.col("id") * 31 % 997).cast("string")))
+    """The files dealt to top folders in threes, so that some hold no secret and lie idle."""
+    files = event_files(spark, sf).withColumn("dir", F.concat(F.lit("t"), F.expr("id div 3").cast("string")))
     return actions.archive_plan(sensitive.classify_sensitive(files), NOW)
 
 
@@ -93,6 +93,6 @@ t AS (SELECT *, CASE WHEN named THEN 'Photos/2019/06' WHEN mtime > 0 AND y BETWE
 SELECT id, 'photo-consolidation' AS plan_id, 'move' AS op, dir || '/' || name AS src, target || '/' || name AS dst, size, photo || ' · date from ' || origin AS evidence FROM t WHERE photo IN ('ph:cert', 'ph:likely')
 UNION ALL SELECT s.id, 'photo-consolidation', 'move', s.dir || '/' || s.name, t.target || '/' || s.name, s.size, 'travels with its photo (sidecar/pair)' FROM t s JOIN t ON s.dir = t.dir AND s.photo = 'ph:side' AND t.name = 'IMG_2041.JPG'"""
 ORACLE_SQL["screenshot_plan"] = f"SELECT id, 'screenshots' AS plan_id, 'move' AS op, dir || '/' || name AS src, 'Screenshots/2023/' || name AS dst, size, 'screenshot pattern' AS evidence FROM ({FILES}) WHERE photo = 'ph:screen'"
-ORACLE_SQL["archive_plan"] = f"""WITH t AS (SELECT 't' || (id * 31 % 997) AS src, max(mtime) AS newest, sum(size)::BIGINT AS size, count(sensitive) AS secrets FROM ({FILES}) GROUP BY 1),
+ORACLE_SQL["archive_plan"] = f"""WITH t AS (SELECT 't' || (id // 3) AS src, max(mtime) AS newest, sum(size)::BIGINT AS size, count(sensitive) AS secrets FROM ({FILES}) GROUP BY 1),
 y AS (SELECT *, year(make_timestamp(newest * 1000000)) AS y FROM t WHERE secrets = 0 AND {NOW} - newest >= 3 * 365 * 86400)
 SELECT 'cold-archive' AS plan_id, 'move' AS op, src, 'Archive/' || y || '/' || src AS dst, size, 'whole folder idle since ' || y AS evidence FROM y WHERE y BETWEEN 1990 AND 2025"""
