@@ -36,7 +36,11 @@ DUPLICATE_NAMES = [
     r"(?i)^(.+?) copy( \d+)?(\.[^.]*)?$",
     r"(?i)^(.+?) - Copy( \(\d+\))?(\.[^.]*)?$",
     r"(?i)^Copy of (.+)$",
+    r"^(.+) \(.+'s conflicted copy \d{4}-\d{2}-\d{2}( \(\d+\))?\)(\.[^.]*)?$",
+    r"^(.+) \(Case Conflict( \d+)?\)(\.[^.]*)?$",
+    r"^(.+) \(Unicode Encoding Conflict\)(\.[^.]*)?$",
 ]
+VERSION_TOKEN = r"(?i)[\s._-]*(v?\d[\d.]*|x64|x86|arm64|aarch64|universal|mac(os)?|win(32|64)?|setup|installer|install)"
 ZERO_ALLOWED = ["__init__.py", ".gitkeep", ".keep", ".nomedia", ".placeholder", ".hushlogin", ".metadata_never_index", ".gitignore", "lock"]
 LOGS = r"(?i)\.log(\.\d+)?(\.gz)?$|\.out$"
 PARTIAL_AGE, LOCK_AGE, CORE_BYTES = 14 * DAY, 7 * DAY, 1 << 20
@@ -87,30 +91,65 @@ def demote(tier: Column, year: Column) -> Column:
     return F.when(tier.isNotNull() & (year < VINTAGE_YEAR), F.when(tier == "A", "B").otherwise("C")).otherwise(tier)
 
 
-def duplicate_base(name: Column) -> Column:
-    """The name that a duplicate-looking name is a copy of: its stem and its extension."""
-    out = F.lit(None).cast("string")
+def duplicate_bases(name: Column) -> tuple[Column, Column]:
+    """The names that a duplicate-looking name may be a copy of, in order: its stem with its extension,
+    its stem alone. The first pattern that fits decides."""
+    g = F.lit(None).cast("string")
     for p in reversed(DUPLICATE_NAMES):
-        g = F.regexp_extract(name, p, 1)
-        out = F.when(name.rlike(p), F.when(F.lit(p).contains("Copy of"), g).otherwise(F.concat(g, extension(name)))).otherwise(out)
-    return out
+        g = F.when(name.rlike(p), F.regexp_extract(name, p, 1)).otherwise(g)
+    full = F.concat(g, F.coalesce(extension(name), F.lit("")))
+    return F.when(full != name, full), F.when(g != name, g)
+
+
+def app_guess(name: Column) -> Column:
+    """The app that an installer of this name installs."""
+    return F.lower(F.regexp_replace(F.regexp_replace(stem(name), VERSION_TOKEN, ""), r"^[ ._-]+|[ ._-]+$", ""))
+
+
+def app_base(name: Column) -> Column:
+    """An installed app's name without its ending and version."""
+    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(name), r"\.app$", ""), r"[\s_-]*v?\d[\d.]*$", ""))
+
+
+def child_folders(files: DataFrame) -> DataFrame:
+    """(dir, _twin): every folder on the way to a file, by its parent and its name in lower case."""
+    parts = files.select("dir").distinct().select(F.split("dir", "/").alias("p"))
+    each = parts.select("p", F.explode(F.sequence(F.lit(1), F.size("p"))).alias("i"))
+    return each.select(F.array_join(F.slice("p", F.lit(1), F.col("i") - 1), "/").alias("dir"), F.lower(F.get("p", F.col("i") - 1)).alias("_twin")).distinct()
 
 
-def classify_junk(files: DataFrame, now: Column) -> DataFrame:
+def classify_junk(files: DataFrame, now: Column, folders: DataFrame | None = None, apps: DataFrame | None = None) -> DataFrame:
     """files (dir, name, size, mtime, hash) with `tier` and `family` (null: no junk).
 
-    Siblings are met by equi-joins on (dir, name) and a count per (dir, stem): a folder with many
-    files is spread by name, never gathered.
+    folders (dir, name) are folders that hold no file; those on the way to a file are known. apps
+    (name) are the installed apps; a column link holds a link's target. Siblings are met by equi-joins on (dir, name) and a count per
+    (dir, stem): a folder with many files is spread by name, never gathered.
     """
-    low_stem = F.lower(stem(F.col("name")))
+    name, no = F.col("name"), F.lit(False)
+    low_stem, yes = F.lower(stem(name)), F.lit(True)
     stems = files.groupBy("dir", low_stem.alias("_stem")).agg(F.count("*").alias("_same"))
-    names = files.groupBy("dir", F.col("name").alias("_base")).agg(F.min("size").alias("_bsize"), F.min("hash").alias("_bhash"))
-    base = F.coalesce(F.when(F.col("name").startswith("._"), F.substring("name", 3, 2**31 - 1)), duplicate_base(F.col("name")))
-    rows = files.withColumns({"_stem": low_stem, "_base": base}).join(stems, ["dir", "_stem"], "left").join(names.withColumn("_there", F.lit(True)), ["dir", "_base"], "left")
-    there, no = F.coalesce("_there", F.lit(False)), F.lit(False)
-    code = junk_rule(F.col("name"), F.col("size"), F.col("mtime"), now, F.col("_same") > 1, there, no, F.col("_bhash"), F.col("hash"), F.col("_bsize"), there, no, F.lit(None).cast("string"))
+    names = files.groupBy("dir", name.alias("_base")).agg(F.min("size").alias("_bsize"), F.min("hash").alias("_bhash")).withColumn("_there", yes)
+    second = names.select("dir", F.col("_base").alias("_base2"), F.col("_bsize").alias("_bsize2"), F.col("_bhash").alias("_bhash2"), F.col("_there").alias("_there2"))
+    known = child_folders(files)
+    if folders is not None:
+        known = known.unionByName(folders.select("dir", F.lower("name").alias("_twin"))).distinct()
+    full, bare = duplicate_bases(name)
+    dotted = name.startswith("._")
+    rows = files.withColumns({"_stem": low_stem, "_base": F.when(dotted, F.substring("name", 3, 2**31 - 1)).otherwise(full), "_base2": F.when(~dotted, bare), "_twin": F.when(_ends(name, ARCHIVES), low_stem)})
+    rows = rows.join(stems, ["dir", "_stem"], "left").join(names, ["dir", "_base"], "left").join(second, ["dir", "_base2"], "left").join(known.withColumn("_folder", yes), ["dir", "_twin"], "left")
+    installed = no
+    if apps is not None:
+        # no app's name has a NUL: rows that are no installer are spread by name and meet none
+        guess = F.when(_ends(name, INSTALLER_EXTENSIONS) | (extension(name) == ".exe"), F.nullif(app_guess(name), F.lit("")))
+        there = apps.select(app_base(F.col("name")).alias("_app")).distinct().withColumn("_installed", yes)
+        rows = rows.withColumn("_app", F.coalesce(guess, F.concat(F.lit("\0"), name))).join(there, "_app", "left")
+        installed = F.coalesce("_installed", no)
+    first, there = F.coalesce("_there", no), F.coalesce("_there", "_there2", no)
+    base_hash, base_size = F.when(first, F.col("_bhash")).otherwise(F.col("_bhash2")), F.when(first, F.col("_bsize")).otherwise(F.col("_bsize2"))
+    code = junk_rule(name, F.col("size"), F.col("mtime"), now, F.col("_same") > 1, first, F.coalesce("_folder", no), base_hash, F.col("hash"), base_size, there, installed, F.col("link") if "link" in files.columns else F.lit(None).cast("string"))
     rows = rows.withColumn("_code", F.nullif(code, F.lit(NOTHING)))
-    return rows.withColumns({"tier": demote(F.split("_code", ":")[0], plausible_year(F.col("mtime"), now)), "family": F.split("_code", ":")[1]}).drop("_stem", "_base", "_same", "_bsize", "_bhash", "_there", "_code")
+    own = [c for c in rows.columns if c in ("_stem", "_base", "_base2", "_twin", "_app", "_same", "_bsize", "_bhash", "_there", "_bsize2", "_bhash2", "_there2", "_folder", "_installed", "_code")]
+    return rows.withColumns({"tier": demote(F.split("_code", ":")[0], plausible_year(F.col("mtime"), now)), "family": F.split("_code", ":")[1]}).drop(*own)
 
 
 # Folders, names, extensions and words of the secret-path rules.
