@@ -1,22 +1,29 @@
 """Approximate nearest neighbours by balanced posting lists.
 
-Vectors are clustered into lists of about `list_rows`. The centroids, at most `max_centroids` of
-them, are fitted on a bounded sample with a charge on full clusters, so that lists come out even,
+Vectors are clustered into lists of about `list_rows`. The centroids, about `max_centroids` at
+most, are fitted on a bounded sample with a charge on full clusters, so that lists come out even,
 and are held in every worker's memory with a neighbour graph that a beam search walks. A vector near
 a boundary is put into up to `replicas` lists (within `replica_ratio` of its nearest centroid's
-distance). A query visits the lists within
-`probe_ratio` of its nearest centroid's distance, `least_lists` at least (a query may lie on a
-centroid) and `most_lists` at most, which sets recall against work. For inner products, vectors get one more
-coordinate that makes all of one length, so nearness in space is largeness of the product.
+distance). A query visits the lists within `probe_ratio` of its nearest centroid's distance, but
+`least_lists` (or the root of the number of lists, if that is more) at least, as a query may lie on
+a centroid, and twice as many at most, which sets recall against work.
+
+Vectors are told apart by length first: a band holds lengths within a factor of two, and each band
+has lists of its own. Within a band a vector is scaled by the band's upper end and gets one more
+coordinate that makes all of one length, so nearness in space is largeness of the product; a single
+very long vector is a band of its own and changes nothing for the others. Lengths are measured in
+logarithms and only directions are clustered, so no component is too large or too small.
 
 Every vector is indexed. A list that outgrows `block_rows`, or is asked by more than `block_queries`
 queries, is split into blocks that are searched apart, so no group grows with a hot list. Scores are
-recomputed on the original vectors in double precision, pair by pair.
+recomputed on the original vectors in double precision, pair by pair. Queries that found fewer than
+`k` in their lists are compared with every row, in blocks.
 
 Defined cases: vectors that are null, zero, of another length than most (ties: the longer), or hold
 null or non-finite components take no part, nor do null ids; of rows with one id, each result lists
-the id once with its best score, and a query never finds its own id; ties go to the smaller id; an
-empty table gives no rows; other columns are not read.
+the id once with its best score, and a query never finds its own id; ties go to the smaller id; a
+product beyond the doubles is infinite, and one that has no value (infinities of both signs) comes
+last; an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -123,14 +130,25 @@ def fit_balanced(sample: np.ndarray, k: int, rounds: int = 16, charge: float = 0
 
 
 def valid_vectors(df: DataFrame, vector: str, id_col: str) -> DataFrame:
+    """(vec_id, v, size): size is the binary logarithm of the length."""
     v = F.col(vector).cast("array<double>")
     ok = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
-    return df.filter(F.col(id_col).isNotNull() & F.col(vector).isNotNull() & F.coalesce(ok, F.lit(False))).select(F.col(id_col).cast("long").alias("vec_id"), v.alias("v"))
+    rows = df.filter(F.col(id_col).isNotNull() & F.col(vector).isNotNull() & F.coalesce(ok, F.lit(False))).select(F.col(id_col).cast("long").alias("vec_id"), v.alias("v"))
+    square = F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)
+    largest = F.array_max(F.transform("v", F.abs))
+    scaled = F.aggregate(F.transform("v", lambda x: x / largest), F.lit(0.0), lambda s, x: s + x * x)
+    return rows.withColumn("size", F.when(square.between(1e-250, 1e250), F.log2(square) / 2).otherwise(F.log2(largest) + F.log2(scaled) / 2))
+
+
+def _unit(v: np.ndarray) -> np.ndarray:
+    u = v / np.abs(v).max(axis=1, keepdims=True)
+    return u / np.linalg.norm(u, axis=1, keepdims=True)
 
 
-def _lifted(v: np.ndarray, longest: float) -> np.ndarray:
-    norms = np.einsum("ij,ij->i", v, v)
-    return np.concatenate([v / longest, np.sqrt(np.maximum(1 - norms / longest**2, 0))[:, None]], axis=1).astype(np.float32)
+def _lifted(v: np.ndarray, below_top: np.ndarray) -> np.ndarray:
+    """Directions at 2 ** below_top of the unit sphere's radius, raised onto the sphere."""
+    r = np.exp2(np.minimum(below_top, 0.0))
+    return np.concatenate([_unit(v) * r[:, None], np.sqrt(1 - r * r)[:, None]], axis=1).astype(np.float32)
 
 
 def _matrix(column: pd.Series, dim: int) -> np.ndarray:
@@ -141,6 +159,74 @@ def _blocks(rows: DataFrame, name: str, most: int) -> DataFrame:
     return rows.groupBy("list").agg(F.ceil(F.count("*") / most).cast("long").alias(name))
 
 
+def _best(vs: pd.DataFrame, qs: pd.DataFrame, dim: int, k: int) -> pd.DataFrame:
+    """The k best ids of vs for each query of qs; values without an order count as the least."""
+    if not len(vs) or not len(qs):
+        return pd.DataFrame({"query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0)})
+    vs = vs.sort_values("vec_id", ignore_index=True)
+    v, q, ids = _matrix(vs["v"], dim), _matrix(qs["q"], dim), vs["vec_id"].to_numpy()
+    different, starts, of = np.unique(ids, return_index=True, return_inverse=True)
+    single = len(different) == len(ids)
+    longest = np.abs(v).max() * dim
+    asked, picked, scores, sizes = qs["query_id"].to_numpy(), [], [], []
+    with np.errstate(over="ignore", invalid="ignore"):
+        for at in range(0, len(q), 256):
+            part = q[at : at + 256]
+            rough = part @ v.T
+            slack = 1e-13 * longest * np.abs(part).max(axis=1)  # what the order of additions may change
+            sure = np.isfinite(rough).all(axis=1) & np.isfinite(slack)
+            for i, row in enumerate(rough):
+                others = different != asked[at + i]
+                if sure[i] and others.sum() > k:
+                    best = row if single else np.maximum.reduceat(row, starts)  # the best row of each id
+                    kth = np.partition(best[others], others.sum() - k)[others.sum() - k]
+                    others &= best >= kth - slack[i]
+                keep = np.flatnonzero(others if single else others[of])
+                score = (v[keep] * part[i]).sum(axis=1)
+                order = np.lexsort((ids[keep], -score, np.isnan(score)))
+                if not single:
+                    order = order[np.sort(np.unique(ids[keep][order], return_index=True)[1])]
+                order = order[:k]
+                picked.append(ids[keep[order]])
+                scores.append(score[order])
+                sizes.append(len(order))
+    return pd.DataFrame({"query_id": np.repeat(asked, sizes), "vec_id": np.concatenate(picked), "score": np.concatenate(scores)})
+
+
+class Band:
+    """The lists of one band of lengths: `first` is the number of its first list, `top` its upper end."""
+
+    def __init__(self, points: np.ndarray, first: int, top: float):
+        self.centroids, self.first, self.top = Centroids(points), first, top
+        self.lists = len(points)
+
+    def least(self, least_lists: int) -> int:
+        return min(self.lists, max(least_lists, int(self.lists**0.5)))
+
+
+def fit_bands(good: DataFrame, dim: int, list_rows: int, max_centroids: int, sample_rows: int) -> tuple[dict[int, Band], float]:
+    """(bands by number, the upper end of band 0 as a binary logarithm)."""
+    top = good.agg(F.percentile_approx("size", 0.99, 10_000)).first()[0] + 0.001
+    band = F.ceil(F.col("size") - F.lit(top)).cast("int")
+    sizes = {r.band: r["count"] for r in good.groupBy(band.alias("band")).count().collect()}  # a double has about 2,100 at most
+    rows = sum(sizes.values())
+    limit = max(1, min(sample_rows, 4_000_000 // dim))
+    drawn = F.xxhash64("vec_id", "v")
+    bands, first = {}, 0
+    for b, n in sorted(sizes.items()):
+        own = max(1, limit * n // rows, min(1_024, limit // len(sizes)))
+        lists = max(1, min(max(1, max_centroids * n // rows), -(-n // list_rows), own))
+        if lists == 1:
+            points = np.zeros((1, dim + 1), np.float32)
+        else:
+            near = good.filter(band == b).withColumn("h", drawn).filter(F.col("h") <= int(-(2**63) + 2**64 * min(1.0, 2 * own / n)) - 1)
+            sample = near.orderBy("h", "vec_id").limit(own).select("v", "size").toPandas()
+            points = fit_balanced(_lifted(_matrix(sample["v"], dim), sample["size"].to_numpy() - top - b), min(lists, len(sample)))
+        bands[b] = Band(points, first, top + b)
+        first += bands[b].lists
+    return bands, top
+
+
 def search(
     vectors: DataFrame,
     queries: DataFrame,
@@ -154,7 +240,6 @@ def search(
     replicas: int = 6,
     probe_ratio: float = 1.35,
     least_lists: int = 16,
-    most_lists: int = 32,
     beam: int = 96,
     block_rows: int = 4_096,
     block_queries: int = 4_096,
@@ -168,80 +253,70 @@ def search(
         return spark.createDataFrame([], schema)
     dim = shape["dim"]
     good, asked = good.filter(F.size("v") == dim), asked.filter(F.size("v") == dim)
-    square = F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)
-    rows, longest = good.agg(F.count("*"), F.sqrt(F.max(square))).first()
-    lists = max(1, min(max_centroids, -(-rows // list_rows)))
-    limit = max(1, min(sample_rows, 4_000_000 // dim))
-    sample = good.orderBy(F.xxhash64("vec_id"), "vec_id").limit(limit).toPandas()
-    points = fit_balanced(_lifted(_matrix(sample["v"], dim), longest), lists)
-    shared = spark.sparkContext.broadcast(Centroids(points))
+    bands, top = fit_bands(good, dim, list_rows, max_centroids, sample_rows)
+    shared = spark.sparkContext.broadcast(bands)
 
     def post(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        centroids = shared.value
+        dealt = 0
         for batch in batches:
-            for at in range(0, len(batch), 1024):
-                part = batch.iloc[at : at + 1024]
-                ids, far = centroids.search(_lifted(_matrix(part["v"], dim), longest), 32)
-                ids, far = ids[:, :replicas], far[:, :replicas]
-                take = np.isfinite(far) & (far <= replica_ratio * far[:, :1])
-                take[:, 0] = True
-                r, c = np.nonzero(take)
-                yield pd.DataFrame({"list": ids[r, c], "vec_id": part["vec_id"].to_numpy()[r], "v": part["v"].to_numpy()[r]})
+            number = np.ceil(batch["size"].to_numpy() - top).astype(np.int64)
+            for b in np.unique(number).tolist():
+                band, rows = shared.value[b], batch[number == b]
+                for at in range(0, len(rows), 1024):
+                    part = rows.iloc[at : at + 1024]
+                    ids, far = band.centroids.search(_lifted(_matrix(part["v"], dim), part["size"].to_numpy() - band.top), 32)
+                    ids, far = ids[:, :replicas], far[:, :replicas]
+                    take = np.isfinite(far) & (far <= replica_ratio * far[:, :1])
+                    take[:, 0] = True
+                    r, c = np.nonzero(take)
+                    yield pd.DataFrame({"list": band.first + ids[r, c], "vec_id": part["vec_id"].to_numpy()[r], "v": part["v"].to_numpy()[r], "deal": dealt + r})
+                    dealt += len(part)
 
     def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        centroids = shared.value
+        dealt = 0
         for batch in batches:
             for at in range(0, len(batch), 256):
                 part = batch.iloc[at : at + 256]
-                q = _matrix(part["v"], dim)
-                unit = q / np.linalg.norm(q, axis=1, keepdims=True)
-                ids, far = centroids.search(np.concatenate([unit, np.zeros((len(q), 1))], axis=1), max(beam, most_lists))
-                ids, far = ids[:, :most_lists], far[:, :most_lists]
-                near = far <= probe_ratio * far[:, :1]
-                near[:, :least_lists] = True
-                take = np.isfinite(far) & near
-                r, c = np.nonzero(take)
-                yield pd.DataFrame({"list": ids[r, c], "query_id": part["vec_id"].to_numpy()[r], "q": part["v"].to_numpy()[r]})
-
-    # written, because each is read twice: for its blocks and for the join
-    postings = written(good.mapInPandas(post, "list int, vec_id long, v array<double>"), "postings")
-    routed = written(asked.mapInPandas(route, "list int, query_id long, q array<double>"), "routed")
-
-    def dealt(rows: DataFrame, key: str, own: str, most: int, other: DataFrame, across: str) -> DataFrame:
-        """rows in blocks of their own list, repeated for each block of the other side."""
-        mine = F.broadcast(_blocks(rows, "_own", most))  # max_centroids rows at most, as is the other
+                flat = np.concatenate([_unit(_matrix(part["v"], dim)), np.zeros((len(part), 1))], axis=1)
+                for band in shared.value.values():
+                    least = band.least(least_lists)
+                    ids, far = band.centroids.search(flat, max(beam, 3 * least))
+                    ids, far = ids[:, : 2 * least], far[:, : 2 * least]
+                    near = far <= probe_ratio * far[:, :1]
+                    near[:, :least] = True
+                    r, c = np.nonzero(np.isfinite(far) & near)
+                    yield pd.DataFrame({"list": band.first + ids[r, c], "query_id": part["vec_id"].to_numpy()[r], "q": part["v"].to_numpy()[r], "deal": dealt + r})
+                dealt += len(part)
+
+    def in_blocks(rows: DataFrame, own: str, most: int, other: DataFrame, across: str) -> DataFrame:
+        """rows in blocks of their own list, repeated for each block of the other side. They are dealt
+        by a number from the task that wrote them, so rows of one id do not meet."""
+        mine = F.broadcast(_blocks(rows, "_own", most))  # a row a list, as is the other
         both = rows.join(mine, "list").join(F.broadcast(other.withColumnRenamed("blocks", "_other")), "list")
-        both = both.withColumn(own, F.pmod(F.xxhash64(key), F.col("_own"))).withColumn(across, F.explode(F.sequence(F.lit(0).cast("long"), F.col("_other") - 1)))
-        return both.drop("_own", "_other")
-
-    left = dealt(postings, "vec_id", "vb", block_rows, _blocks(routed, "blocks", block_queries), "qb")
-    right = dealt(routed, "query_id", "qb", block_queries, _blocks(postings, "blocks", block_rows), "vb")
-
-    def best(vs: pd.DataFrame, qs: pd.DataFrame) -> pd.DataFrame:
-        if not len(vs) or not len(qs):
-            return pd.DataFrame({"query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0)})
-        vs = vs.sort_values("vec_id", ignore_index=True)
-        v, q, ids = _matrix(vs["v"], dim), _matrix(qs["q"], dim), vs["vec_id"].to_numpy()
-        asked_ids, picked, scores, sizes = qs["query_id"].to_numpy(), [], [], []
-        repeated = len(np.unique(ids)) < len(ids)
-        for at in range(0, len(q), 512):
-            rough = q[at : at + 512] @ v.T
-            rough[asked_ids[at : at + 512, None] == ids[None]] = -np.inf
-            for i, row in enumerate(rough):
-                if len(row) > k and not repeated:
-                    kth = np.partition(row, len(row) - k)[len(row) - k]
-                    keep = np.flatnonzero(row >= kth - 1e-9 * max(1.0, abs(kth))) if np.isfinite(kth) else np.flatnonzero(row > -np.inf)
-                else:
-                    keep = np.flatnonzero(row > -np.inf)
-                score = (v[keep] * q[at + i]).sum(axis=1)
-                order = np.lexsort((ids[keep], -score))
-                order = order if repeated else order[:k]
-                picked.append(ids[keep[order]])
-                scores.append(score[order])
-                sizes.append(len(order))
-        return pd.DataFrame({"query_id": np.repeat(asked_ids, sizes), "vec_id": np.concatenate(picked), "score": np.concatenate(scores)})
+        both = both.withColumn(own, F.pmod(F.xxhash64("deal"), F.col("_own"))).withColumn(across, F.explode(F.sequence(F.lit(0).cast("long"), F.col("_other") - 1)))
+        return both.drop("_own", "_other", "deal")
+
+    def meet(postings: DataFrame, routed: DataFrame) -> DataFrame:
+        """The k best of every query over its lists."""
+        left = in_blocks(postings, "vb", block_rows, _blocks(routed, "blocks", block_queries), "qb")
+        right = in_blocks(routed, "qb", block_queries, _blocks(postings, "blocks", block_rows), "vb")
+        found = left.groupBy("list", "vb", "qb").cogroup(right.groupBy("list", "vb", "qb")).applyInPandas(lambda v, q: _best(v, q, dim, k), "query_id long, vec_id long, score double")
+        once = found.groupBy("query_id", "vec_id").agg(F.max_by("score", F.struct(~F.isnan("score"), "score")).alias("score"))
+        order = Window.partitionBy("query_id").orderBy(F.isnan("score"), F.desc("score"), "vec_id")
+        return once.withColumn("rank", F.row_number().over(order).cast("int")).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
-    found = left.groupBy("list", "vb", "qb").cogroup(right.groupBy("list", "vb", "qb")).applyInPandas(best, "query_id long, vec_id long, score double")
-    once = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    ranked = once.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
-    return ranked.filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int"), "vec_id", "score")
+    # written, because each is read twice: for its blocks and for the join
+    postings = written(good.mapInPandas(post, "list int, vec_id long, v array<double>, deal long"), "postings")
+    routed = written(asked.mapInPandas(route, "list int, query_id long, q array<double>, deal long"), "routed")
+    found = meet(postings, routed)
+    if all(b.lists <= b.least(least_lists) for b in bands.values()):
+        return found  # every list was visited
+    found = written(found, "found")
+    full = found.filter(F.col("rank") == k).select("query_id")
+    short = asked.select(F.lit(0).alias("list"), F.col("vec_id").alias("query_id"), F.col("v").alias("q"), F.monotonically_increasing_id().alias("deal")).join(full, "query_id", "left_anti")
+    short = written(short, "short")
+    if short.isEmpty():
+        return found
+    every = written(good.select(F.lit(0).alias("list"), "vec_id", "v", F.monotonically_increasing_id().alias("deal")), "every")
+    rest = meet(every, short)
+    return found.join(full, "query_id", "left_semi").unionByName(rest)

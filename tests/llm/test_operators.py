@@ -411,6 +411,58 @@ def test_ann_recall_and_exact_scores(spark):
     assert ann.search(df.limit(0), df.limit(0)).count() == 0
 
 
+def _true_neighbours(v, queries, k=20):
+    with np.errstate(over="ignore", invalid="ignore"):
+        for q in queries:
+            s = np.array([float((v[i] * v[q]).sum()) for i in range(len(v))])
+            order = [i for i in np.lexsort((np.arange(len(v)), -s, np.isnan(s))) if i != q][:k]
+            yield q, order, s
+
+
+def test_ann_with_one_very_long_vector(spark):
+    """A vector 10^5 times as long as all others neither lowers recall nor leaves a query short."""
+    rng = np.random.default_rng(8)
+    centers = rng.normal(size=(30, 16))
+    v = centers[rng.integers(0, 30, 8_000)] + 0.5 * rng.normal(size=(8_000, 16))
+    v[77] *= 1e5
+    v[78] *= 1e-5
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>").repartition(4)
+    found = {}
+    for r in ann.search(df, df.filter("vec_id % 200 = 0"), list_rows=64).collect():
+        found.setdefault(r.query_id, set()).add(r.vec_id)
+    hits = 0
+    for q, order, _ in _true_neighbours(v, range(0, 8_000, 200)):
+        assert len(found[q]) == 20
+        hits += len(found[q] & set(order))
+    assert hits / (20 * len(found)) >= 0.95
+
+
+def test_ann_at_the_ends_of_the_doubles(spark):
+    rng = np.random.default_rng(9)
+    v = rng.normal(size=(31, 8)) * np.array([1e200, 1.0, 1e-200, 1e-310])[np.arange(31) % 4, None]
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    found = {}
+    for r in ann.search(df, df.filter("vec_id % 5 = 0")).orderBy("query_id", "rank").collect():
+        found.setdefault(r.query_id, []).append(r)
+    for q, order, s in _true_neighbours(v, range(0, 31, 5)):
+        assert [r.vec_id for r in found[q]] == order
+        assert all(r.score == s[r.vec_id] or (np.isnan(r.score) and np.isnan(s[r.vec_id])) for r in found[q])
+
+
+def test_ann_compares_short_queries_with_every_row(spark):
+    """Most rows share three ids, so a query's lists hold too few different ones."""
+    rng = np.random.default_rng(10)
+    v = rng.normal(size=(4_000, 8))
+    ids = [i if i < 21 else 1_000 + i % 3 for i in range(4_000)]
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in zip(ids, v, strict=True)], "vec_id long, embedding array<double>")
+    got = ann.search(df, df.filter("vec_id = 20"), list_rows=32, block_rows=500).orderBy("rank").collect()
+    best = {}
+    for i, s in zip(ids, v @ v[20], strict=True):
+        if i != 20:
+            best[i] = max(s, best.get(i, -np.inf))
+    assert [r.vec_id for r in got] == sorted(best, key=lambda i: (-best[i], i))[:20]
+
+
 PAGES = "page_id long, url string, html string, type string"
 
 
