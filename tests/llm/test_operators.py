@@ -198,6 +198,8 @@ def test_url_rules_and_scores(spark):
         host, path, rule, verdict = brute((URLS * 3)[r.page_id])
         assert (r.host, r.path, r.rule) == (host, path, rule)
         assert r.verdict == verdict if verdict else r.verdict in ("allow", "block")
+    clash = pages.withColumns({"score": F.lit("s"), "verdict": F.lit("v"), "by_rule": F.lit("b"), "key": F.lit("k"), "uses": F.lit("u")})
+    assert sorted(map(tuple, urls.judge(clash, rules).collect()), key=str) == sorted(map(tuple, got), key=str)
     assert urls.judge(pages.limit(0), rules).count() == 0
     assert {r.verdict for r in urls.judge(pages.filter("url is null"), rules).collect()} == {"allow"}
 
@@ -206,22 +208,58 @@ def test_url_model_tells_apart_what_rules_did_not(spark):
     rng = random.Random(2)
     word = lambda pool: "".join(rng.choice(pool) for _ in range(6))
     known = [(f"http://{word('abcde')}.com/x/{i}", False) for i in range(300)] + [(f"http://{word('vwxyz')}.com/x/{i}", True) for i in range(300)]
-    model = urls.fit(spark.createDataFrame(known, "url string, rejected boolean"))
-    right = sum((model.score(f"http://{word('abcde')}.com/q") >= model.threshold) + (model.score(f"http://{word('vwxyz')}.com/q") < model.threshold) for _ in range(100))
-    assert right >= 195
-
-
-def test_url_model_counts_as_a_plain_count(spark):
-    df = spark.createDataFrame([("abab", False, 0), ("", True, 1), ("ab", True, 0)], "url string, rejected boolean, fold int")
-    got = {r.cell: r.n for r in urls.count_grams(df, 2, 1 << 20).collect()}
-    grams, contexts = urls.gram_slots(b"abab", 2, 1 << 20)
-    for k in range(3):
-        counts = {}
-        for s in [*grams[k], *contexts[k]]:
-            counts[s] = counts.get(s, 0) + 1
-        for s, n in counts.items():
-            assert got[s] == n
-    assert grams[0][0] == grams[0][2] and grams[1][0] != grams[1][2] and contexts[1][1] == contexts[1][3]
+    asked = {f"http://{word(pool)}.com/q": pool == "abcde" for pool in ("abcde", "vwxyz") for _ in range(100)}
+    scores, threshold = urls.score_urls(spark.createDataFrame(known + [(u, None) for u in asked], "url string, rejected boolean"))
+    got = {r.key: r.score for r in scores.collect()}
+    right = sum((got[hashlib.md5(u.encode()).hexdigest()] >= threshold) == good for u, good in asked.items())
+    assert right >= 0.975 * len(asked)
+
+
+@pytest.mark.parametrize("tier_size", [1, 20, 100_000])
+def test_url_scores_follow_the_brute_force(spark, tier_size):
+    """Counts, smoothing, folds and threshold again from plain dictionaries."""
+    rng = random.Random(4)
+    words = ["news", "shop", "müller", "x", "a" * 30, "日本", "id=12345", "", "page", "index.html"]
+    known = [("/".join(rng.choice(words) for _ in range(rng.randint(1, 5))), rng.random() < 0.4) for _ in range(120)]
+    known = list(dict(known).items())
+    known += known[:15] * 3 + [(None, None), ("", None), ("unseen/☃/zz", None), ("long/" * 3_000, None), ("z", None)]
+    found, threshold = urls.score_urls(spark.createDataFrame(known, "url string, rejected boolean"), order=3, tier_size=tier_size)
+    got = {r.key: r for r in found.collect()}
+    fold = lambda u: xxhash.xxh64_intdigest(u.encode(), 42) % 2
+    counts = {}
+    for u, rejected in known:
+        if rejected is not None:
+            b = b"\2\2\2" + u.encode()
+            for at in range(3, len(b)):
+                for k in range(4):
+                    cell = counts.setdefault((rejected, fold(u), b[at - k : at]), {})
+                    cell[b[at]] = cell.get(b[at], 0) + 1
+
+    def chance(rejected, folds, context, byte):
+        p = 1 / 256
+        for k in range(len(context) + 1):
+            cells = [counts.get((rejected, f, context[len(context) - k :]), {}) for f in folds]
+            p = (sum(c.get(byte, 0) for c in cells) + 2 * p) / (sum(sum(c.values()) for c in cells) + 2)
+        return p
+
+    for rejected in (False, True):
+        for context in (b"\2\2\2", b"ew\xc3", b"/ne", b"qqq"):
+            assert abs(sum(chance(rejected, (0, 1), context, v) for v in range(256)) - 1) < 1e-9
+
+    def score(u, folds):
+        b = b"\2\2\2" + u.encode()
+        each = [np.log(chance(False, folds, b[at - 3 : at], b[at]) / chance(True, folds, b[at - 3 : at], b[at])) for at in range(3, len(b))]
+        return sum(each) / len(each) if each else 0.0
+
+    calibration = []
+    for u, rejected in set((u or "", r) for u, r in known):
+        r = got[hashlib.md5(u.encode()).hexdigest()]
+        assert r.uses == sum((v or "") == u for v, _ in known)
+        assert abs(r.score - score(u, (0, 1))) < 1e-6
+        assert abs(r.other_score - score(u, (1 - fold(u),))) < 1e-6
+        calibration += [(r.other_score, rejected)] * r.uses if rejected is not None else []
+    accuracy = lambda t: np.mean([s >= t for s, rej in calibration if not rej]) + np.mean([s < t for s, rej in calibration if rej])
+    assert accuracy(threshold) >= max(accuracy(s) for s, _ in calibration) - 0.05
 
 
 def brute_words(t):
