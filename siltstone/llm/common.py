@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _OWN_SCRATCH: dict[str, str] = {}
@@ -18,11 +18,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def scratch_root(spark: SparkSession) -> str:
     """The shared folder that the cluster names in spark.checkpoint.dir.
 
-    Only where the session names none (tests on one machine) a local folder is made.
+    Only on one machine, where the session names none, a local folder is made; on a cluster that is
+    an error, since executors do not share their disks.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     app = spark.sparkContext.applicationId
     if app not in _OWN_SCRATCH:
         _OWN_SCRATCH[app] = "file://" + tempfile.mkdtemp(prefix="siltstone-")
@@ -62,10 +65,6 @@ def hot_split_join(left: DataFrame, right: DataFrame, key: str, rows_col: str, t
     return hot_rows.unionByName(cold_rows)
 
 
-def text_or_empty(name: str = "text") -> Column:
-    return F.coalesce(F.col(name).cast("string"), F.lit(""))
-
-
 def fresh(df: DataFrame, base: str) -> str:
     """A column name like `base` that df does not have."""
     taken = {c.lower() for c in df.columns}

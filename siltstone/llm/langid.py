@@ -6,7 +6,8 @@ letters lower-cased, other ASCII taken as a space), as the square roots of their
 long text weighs no more than a short one.
 
 The machines are fitted on a bounded sample of labelled rows (`max_train_rows`, dealt evenly to the
-labels, those with the smallest hash of id and text); predictions cover every row and see only its text.
+`max_labels` most frequent labels, those with the smallest hash of id and text); rarer labels are not
+learned. Both parameters bound the driver's work; predictions cover every row and see only its text.
 
 Defined cases: a null text or one without a letter is `und` with score 0; with no labelled row at
 all every text is `und`; a label outside the family table is a family of its own; repeated rows and
@@ -59,37 +60,41 @@ def features(text: str) -> np.ndarray:
     return np.sqrt(counts / max(1, counts.sum())).astype(np.float32)
 
 
-def fit_svm(x: np.ndarray, positive: np.ndarray, epochs: int = 12, c: float = 10.0) -> tuple[np.ndarray, float]:
-    """Dual coordinate descent for the L2-loss linear machine; classes weigh the same in all."""
+def fit_svm(x: np.ndarray, positive: np.ndarray, epochs: int = 12, c: float = 10.0, rows: np.ndarray | None = None) -> tuple[np.ndarray, float]:
+    """Dual coordinate descent for the L2-loss linear machine; classes weigh the same in all. `rows`
+    are the rows of x that `positive` speaks of, so that no part of x is copied."""
+    rows = np.arange(len(x)) if rows is None else rows
     y = np.where(positive, 1.0, -1.0)
     share = np.where(positive, len(y) / max(1, 2 * positive.sum()), len(y) / max(1, 2 * (~positive).sum()))
     damp = 1 / (2 * c * share)
-    square = np.einsum("ij,ij->i", x, x) + 1.0 + damp
+    square = np.array([x[i] @ x[i] for i in rows]) + 1.0 + damp
     w, bias, alpha = np.zeros(x.shape[1]), 0.0, np.zeros(len(y))
     rng = np.random.default_rng(7)
     for _ in range(epochs):
         for i in rng.permutation(len(y)):
-            gradient = y[i] * (x[i] @ w + bias) - 1 + damp[i] * alpha[i]
+            own = x[rows[i]]
+            gradient = y[i] * (own @ w + bias) - 1 + damp[i] * alpha[i]
             new = max(0.0, alpha[i] - gradient / square[i])
             if new != alpha[i]:
-                w += (new - alpha[i]) * y[i] * x[i]
+                w += (new - alpha[i]) * y[i] * own
                 bias += (new - alpha[i]) * y[i]
                 alpha[i] = new
     return w, bias
 
 
 class Duels:
-    """One-versus-one machines among `labels`; `votes` are mean win chances, 0 to 1."""
+    """One-versus-one machines among `labels`; `votes` are mean win chances, 0 to 1.
 
-    def __init__(self, labels: list[str], x: np.ndarray, y: np.ndarray):
+    x holds the features `active` alone, of all training rows; rows with another label are left out.
+    """
+
+    def __init__(self, labels: list[str], x: np.ndarray, y: np.ndarray, active: np.ndarray):
         self.labels = labels
         self.pairs = list(itertools.combinations(range(len(labels)), 2))
-        fitted = []
-        for a, b in self.pairs:
-            own = (y == labels[a]) | (y == labels[b])
-            fitted.append(fit_svm(x[own], y[own] == labels[a]))
-        self.w = np.array([w for w, _ in fitted], np.float32).reshape(len(fitted), x.shape[1])
-        self.bias = np.array([b for _, b in fitted])
+        self.w, self.bias = np.zeros((len(self.pairs), DIMENSIONS), np.float32), np.zeros(len(self.pairs))
+        for n, (a, b) in enumerate(self.pairs):
+            own = np.flatnonzero((y == labels[a]) | (y == labels[b]))
+            self.w[n, active], self.bias[n] = fit_svm(x, y[own] == labels[a], rows=own)
 
     def votes(self, x: np.ndarray) -> np.ndarray:
         if len(self.labels) == 1:
@@ -103,11 +108,11 @@ class Duels:
 
 
 class Model:
-    def __init__(self, x: np.ndarray, y: np.ndarray):
+    def __init__(self, x: np.ndarray, y: np.ndarray, active: np.ndarray):
         family = np.array([_FAMILY.get(v, v) for v in y], dtype=object)
         names = sorted(set(family))
-        self.top = Duels(names, x, family)
-        self.inner = {f: Duels(sorted(set(y[family == f])), x[family == f], y[family == f]) for f in names}
+        self.top = Duels(names, x, family, active)
+        self.inner = {f: Duels(sorted(set(y[family == f])), x, y, active) for f in names}
 
     def predict(self, text: str) -> tuple[str, float]:
         x = features(text)
@@ -119,18 +124,18 @@ class Model:
         return duels.labels[best], float(votes[at] * own[best])
 
 
-def fit(labelled: DataFrame, text: str = "text", label: str = "lang", id_col: str = "doc_id", max_train_rows: int = 1_024) -> Model | None:
-    """Fit on at most `max_train_rows` labelled rows (4 a label at least); only their feature vectors
-    reach the driver.
+def fit(labelled: DataFrame, text: str = "text", label: str = "lang", id_col: str = "doc_id", max_train_rows: int = 1_024, max_labels: int = 32) -> Model | None:
+    """Fit on at most `max_train_rows` labelled rows of the `max_labels` most frequent labels (ties: the
+    label that sorts first); only the features that occur in them reach the driver.
 
     Rows count as equal when id and text are. A label's rows below a hash that about twice its share
     passes are ranked, so the rows that meet in one task do not grow with the label.
     """
     rows = labelled.select(F.col(text).cast("string").alias("t"), F.col(label).cast("string").alias("y"), F.xxhash64(F.col(id_col), F.col(text).cast("string")).alias("h")).filter(r"y is not null and t rlike '\\p{L}'")
-    sizes = rows.groupBy("y").count().collect()  # a row a label
+    sizes = rows.groupBy("y").count().orderBy(F.desc("count"), "y").limit(max_labels).collect()
     if not sizes:
         return None
-    each = max(4, max_train_rows // len(sizes))
+    each = max(1, max_train_rows // len(sizes))
     room = 2 * each + 64
     below = {r.y: int(-(2**63) + 2**64 * (room / r["count"])) if r["count"] > room else 2**63 - 1 for r in sizes}
     limits = labelled.sparkSession.createDataFrame(sorted(below.items()), "y string, below long")
@@ -146,10 +151,12 @@ def fit(labelled: DataFrame, text: str = "text", label: str = "lang", id_col: st
     # only the features that occur travel: a few kilobytes a row
     chosen = near.withColumn("nth", F.row_number().over(first)).filter(F.col("nth") <= each).select("h", "y", "t")
     got = sorted(chosen.mapInPandas(run, "h long, y string, at binary, x binary").collect(), key=lambda r: (r.y, r.h))
-    x = np.zeros((len(got), DIMENSIONS), np.float32)
-    for row, r in zip(x, got, strict=True):
-        row[np.frombuffer(r["at"], "<u2")] = np.frombuffer(r["x"], np.float32)
-    return Model(x, np.array([r["y"] for r in got], dtype=object))
+    at = [np.frombuffer(r["at"], "<u2") for r in got]
+    active = np.unique(np.concatenate(at))
+    x = np.zeros((len(got), len(active)), np.float32)
+    for row, own, r in zip(x, at, got, strict=True):
+        row[np.searchsorted(active, own)] = np.frombuffer(r["x"], np.float32)
+    return Model(x, np.array([r["y"] for r in got], dtype=object), active)
 
 
 def predict(docs: DataFrame, model: Model | None, text: str = "text", keep: list[str] | None = None, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:

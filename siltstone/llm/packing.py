@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import written
-from .tokens import _WORKER, library_ids, load_tokenizer
+from .tokens import _WORKER, LONGEST, library_ids, load_tokenizer
 
 _END_BYTES = 4
 
@@ -140,7 +140,7 @@ def encode_texts(texts: list[str], tokenizer_path: str, end_id: int, cache_size:
     """Each text's ids and the end id as little-endian 32-bit numbers.
 
     For a tokenizer that lower-cases, drops white space and sets letters apart from marks. Words'
-    ids are cached by the worker.
+    ids are cached by the worker, those of up to LONGEST characters.
     """
     tokenizer = load_tokenizer(tokenizer_path)
     cache = _WORKER.setdefault(("ids", tokenizer_path), {})
@@ -155,6 +155,9 @@ def encode_texts(texts: list[str], tokenizer_path: str, end_id: int, cache_size:
         cache.update(_encode_words(absent, tokenizer))
         get = cache.__getitem__
         out += [b"".join(map(get, own)) + end for own in cut]
+        for w in absent:
+            if len(w) > LONGEST:
+                del cache[w]
     return out
 
 

@@ -15,6 +15,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import fresh
+
 MULTIPLIER = 2862933555777941757
 _CH, _CL = MULTIPLIER >> 32, MULTIPLIER & 0xFFFFFFFF
 _M32 = 0xFFFFFFFF
@@ -74,19 +76,21 @@ def assign_shards(df: DataFrame, key: str, shards: int, order: list[str] | None
     Slots are dealt in two levels so that no shard is numbered by one task: rows fall into
     `blocks` hash blocks within each shard, block sizes (shards x blocks numbers, a bound set by
     the parameters alone) give each block's first slot, and rows are numbered inside blocks.
-    Rows are ordered by block, then by `order` (the key first).
+    Rows are ordered by block, then by `order` (the key first). Input columns named shard and slot are
+    replaced, all others stay.
     """
+    own_block, rows, before_block, nth = (fresh(df, c) for c in ("_block", "_rows", "_first", "_nth"))
     block = F.pmod(F.conv(F.substring(F.md5(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")), 17, 8), 16, 10).cast("bigint"), F.lit(blocks)).cast("int")
-    placed = df.drop("shard", "slot", "_block").withColumns({"shard": jump_shard(F.col(key), shards), "_block": block})
-    sizes = placed.groupBy("shard", "_block").agg(F.count("*").alias("_rows"))
-    before = Window.partitionBy("shard").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    firsts = sizes.select("shard", "_block", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_first"))
-    inside = Window.partitionBy("shard", "_block").orderBy(key, *(order or []))
-    numbered = placed.withColumn("_nth", F.row_number().over(inside))
+    placed = df.drop("shard", "slot").withColumns({"shard": jump_shard(F.col(key), shards), own_block: block})
+    sizes = placed.groupBy("shard", own_block).agg(F.count("*").alias(rows))
+    before = Window.partitionBy("shard").orderBy(own_block).rowsBetween(Window.unboundedPreceding, -1)
+    firsts = sizes.select("shard", own_block, F.coalesce(F.sum(rows).over(before), F.lit(0)).alias(before_block))
+    inside = Window.partitionBy("shard", own_block).orderBy(key, *(order or []))
+    numbered = placed.withColumn(nth, F.row_number().over(inside))
     return (
-        numbered.join(F.broadcast(firsts), ["shard", "_block"])
-        .withColumn("slot", (F.col("_first") + F.col("_nth") - 1).cast("bigint"))
-        .drop("_block", "_first", "_nth")
+        numbered.join(F.broadcast(firsts), ["shard", own_block])
+        .withColumn("slot", (F.col(before_block) + F.col(nth) - 1).cast("bigint"))
+        .drop(own_block, before_block, nth)
     )
 
 

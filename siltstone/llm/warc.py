@@ -23,10 +23,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .common import hot_split_join, written
+
 VERSION = "WARC/1.1"
 _GAP = "\r\n\r\n"
 _SPLIT = f"{_GAP}{VERSION}\r\n"
-_SALTS = 16
 
 
 def _lines(*parts: Column) -> Column:
@@ -54,14 +55,14 @@ def _safe_url(url: Column) -> Column:
 def choose_responses(pages: DataFrame, payload: Column, id_col: str, revisit_from: int) -> DataFrame:
     """(id, digest, first): rows whose payload has more than one holder, with the smallest id.
 
-    Thin rows only. Digest groups are counted map-side; the join back to their rows is salted, so a
-    payload that a third of all pages share is spread over tasks.
+    Thin rows only. Digest groups are counted map-side; a payload that a large share of all pages has
+    meets its rows by broadcast.
     """
     thin = pages.select(F.col(id_col).alias("id"), F.sha2(payload, 256).alias("digest"), F.octet_length(payload).alias("n")).filter(F.col("n") >= revisit_from)
-    groups = thin.groupBy("digest").agg(F.min("id").alias("first"), F.count("*").alias("rows")).filter("rows > 1")
-    salted = groups.select("digest", "first", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))).alias("salt"))
-    rows = thin.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(_SALTS)).cast("int"))
-    return rows.join(salted, ["digest", "salt"]).select("id", "digest", "first").distinct()
+    groups = written(thin.groupBy("digest").agg(F.min("id").alias("first"), F.count("*").alias("rows")), "payload-groups")
+    total = groups.agg(F.sum("rows")).first()[0] or 0
+    shared = groups.filter("rows > 1").withColumn("shared", F.lit(True))
+    return hot_split_join(thin, shared, "digest", "rows", total).filter("shared").select("id", "digest", "first").distinct()
 
 
 def page_records(pages: DataFrame, url: str = "url", payload: str = "html", id_col: str = "page_id", revisit_from: int = 100, date: str = "2024-01-01T00:00:00Z") -> DataFrame:
@@ -69,8 +70,8 @@ def page_records(pages: DataFrame, url: str = "url", payload: str = "html", id_c
     body = F.coalesce(F.col(payload).cast("string"), F.lit("")).cast("binary")
     rows = pages.select(F.col(id_col).alias("id"), _safe_url(F.col(url)).alias("url"), body.alias("body"), F.sha2(body, 256).alias("digest"))
     known = choose_responses(pages, body, id_col, revisit_from)
-    # one shuffle moves the payloads: by a hash of id and digest, so null ids do not meet
-    k = F.xxhash64("id", "digest")
+    # one shuffle moves the payloads: by id and digest, so null ids meet only with one body
+    k = F.concat_ws(":", F.when(F.col("id").isNull(), "none").otherwise("id"), F.col("id").cast("string"), F.col("digest"))
     met = rows.withColumn("k", k).join(known.withColumn("k", k).select("k", "first", F.lit(True).alias("shared")), "k", "left")
     met = met.withColumn("nth", F.row_number().over(Window.partitionBy("k").orderBy("k")))
     key = F.coalesce(F.col("id").cast("string"), F.lit(""))
@@ -203,14 +204,16 @@ def source_key(metadata_payload: Column) -> Column:
 def resolve_revisits(captures: DataFrame) -> DataFrame:
     """captures with the `origin` of each revisit: the response's bytes, digest and source key.
 
-    Only responses that some revisit names are joined, thin, and the revisits of a hot response are
-    spread by salt.
+    Only responses that some revisit names are joined, thin; those that many revisits name meet them
+    by broadcast.
     """
-    rows = captures.withColumns({"_to": F.col("response.refers_to"), "_salt": F.pmod(F.xxhash64("capture_id"), F.lit(_SALTS)).cast("int")})
-    named = captures.select(F.col("response.refers_to").alias("_to")).filter("_to is not null").distinct()
+    rows = captures.withColumn("_to", F.col("response.refers_to"))
+    named = written(rows.filter("_to is not null").groupBy("_to").agg(F.count("*").alias("_revisits")), "named")
+    total = captures.count()
     origin = captures.filter("response.type = 'response'").select(
         F.col("capture_id").alias("_to"),
         F.struct(F.col("response.payload_bytes").alias("payload_bytes"), F.col("response.payload_sha256").alias("payload_sha256"), source_key(F.col("metadata.payload")).alias("key")).alias("origin"),
     )
-    salted = origin.join(named, "_to").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
-    return rows.join(salted, ["_to", "_salt"], "left").drop("_to", "_salt")
+    met = hot_split_join(rows.filter("_to is not null"), named.join(origin, "_to", "left"), "_to", "_revisits", total)
+    plain = rows.filter("_to is null").withColumn("origin", F.lit(None).cast(met.schema["origin"].dataType))
+    return met.unionByName(plain).drop("_to")

@@ -67,6 +67,23 @@ def test_shards_and_slots(spark, docs, none):
         sharding.jump_shard(F.col("doc_id"), 0)
 
 
+def test_shards_keep_clashing_columns_and_are_written(spark, docs, tmp_path):
+    odd = docs.select("doc_id", F.lit("b").alias("_block"), F.lit("f").alias("_first"), F.lit("n").alias("_nth"), F.lit("r").alias("_rows"))
+    got = sharding.assign_shards(odd, "doc_id", 4)
+    assert {(r["_block"], r["_first"], r["_nth"], r["_rows"]) for r in got.collect()} == {("b", "f", "n", "r")}
+    sharding.write_shards(docs, str(tmp_path / "shards"), "doc_id", 4)
+    back = spark.read.parquet(str(tmp_path / "shards"))
+    assert sorted((str(r.doc_id), r["shard"]) for r in back.collect()) == sorted((str(r.doc_id), r["shard"]) for r in got.collect())
+
+
+def test_pieces_and_words_beyond_the_longest_are_not_kept():
+    """A text without spaces is one piece: counted by the library, held by no cache."""
+    assert tokens.LONGEST < len("日本語" * 100)
+    packing.encode_texts(["日本語" * 100 + " word"], public_tokenizers.path("word_bpe_49k.json"), 1)
+    kept = [w for key, cache in tokens._WORKER.items() if key[0] in ("ids", "lengths") for w in cache]
+    assert kept and max(map(len, kept)) <= tokens.LONGEST
+
+
 def test_token_counts_equal_the_library(docs, none):
     path = public_tokenizers.path("byte_bpe_50k.json")
     t = Tokenizer.from_file(path)
@@ -356,6 +373,30 @@ def test_language_of_odd_texts(docs, none):
     assert langid.predict(none, model).count() == 0
 
 
+def test_many_labels_are_bounded(spark):
+    """Of 500 labels only the most frequent are learned; all rows are still judged."""
+    rng = random.Random(6)
+    rows = [(i, "".join(rng.choice("abc") for _ in range(30)), "x1") for i in range(40)] + [(100 + i, "".join(rng.choice("uvw") for _ in range(30)), "x2") for i in range(30)]
+    rows += [(1_000 + i, "".join(rng.choice("klm") for _ in range(30)), f"y{i:03d}") for i in range(500)]
+    df = spark.createDataFrame([(*r, "clash", 1.5) for r in rows], "doc_id long, text string, lang string, label string, score double")
+    model = langid.fit(df, max_labels=3)
+    learned = {label for duels in model.inner.values() for label in duels.labels}
+    assert learned == {"x1", "x2", "y000"}
+    got = langid.predict(df, model, keep=["doc_id", "label"]).collect()
+    assert len(got) == len(rows) and {r.lang_pred for r in got} <= learned and {r.label for r in got} == {"clash"}
+    assert all(r.lang_pred == {0: "x1"}.get(r.doc_id // 100, "x2") for r in got if r.doc_id < 200)
+
+
+def test_no_local_scratch_on_a_cluster(spark):
+    from types import SimpleNamespace
+
+    from siltstone.llm import common
+
+    cluster = SimpleNamespace(conf=SimpleNamespace(get=lambda k, d: None), sparkContext=SimpleNamespace(master="spark://host:7077", applicationId="a"))
+    with pytest.raises(ValueError):
+        common.scratch_root(cluster)
+
+
 def test_svm_separates():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(200, 5)).astype(np.float32)
