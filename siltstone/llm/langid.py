@@ -42,7 +42,7 @@ FAMILIES = {
 }
 _FAMILY = {code: family for family, codes in FAMILIES.items() for code in codes}
 DIMENSIONS = 1 << 14
-_PIECE = 1 << 20
+_PIECE = 1 << 18
 _CLEAN = bytes((c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32) for c in range(256))
 
 
