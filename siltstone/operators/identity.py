@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from siltstone.functions.joins import hot_split_join
 from siltstone.functions.text import copy_number, strip_copy
 
 
@@ -14,26 +15,30 @@ def poisoned_hashes(entries: DataFrame) -> DataFrame:
     return entries.filter(F.col("hash").isNotNull()).groupBy("hash").agg(F.min(sized).alias("a"), F.max(sized).alias("b")).filter("a <> b").select("hash")
 
 
-def keeper_order() -> list[Column]:
-    """Originals before copies, low copy numbers, shallow, short, then by path."""
+def keeper_key() -> list[Column]:
+    """Originals before copies, low copy numbers, shallow, short, then by path and id."""
     n = copy_number(F.col("name"))
     depth = F.length("rel") - F.length(F.replace(F.col("rel"), F.lit("/"), F.lit("")))
-    return [(n > 0).asc(), n.asc(), depth.asc(), F.length("name").asc(), F.col("rel").asc(), F.col("id").asc()]
+    return [n > 0, n, depth, F.length("name"), F.col("rel"), F.col("id")]
 
 
 def duplicate_plan(entries: DataFrame, per_folder: bool = False) -> DataFrame:
-    """(id, rel, hash, size, keeper): every redundant entry with the entry that stays.
+    """(id, rel, dir_rel, hash, size, keeper): every redundant entry with the entry that stays.
 
-    Digest groups are windows over the digest: the shuffle that finds the keeper is the only one
-    but for the poison set. Entries whose digest is alone are gone before the window, by a
-    map-side-combined count, so only redundant rows are sorted.
+    A digest's keeper is a least struct, combined on the map side, so no task sorts or gathers the
+    copies of one digest; digests that hold a large share of all rows meet them by broadcast. Rows
+    without a digest take no part; of rows equal in id and path one may stay.
     """
     key = ["dir_rel", "hash"] if per_folder else ["hash"]
-    good = entries.filter(F.col("hash").isNotNull()).join(poisoned_hashes(entries), "hash", "left_anti")
-    shared = good.groupBy(*key).agg(F.count("*").alias("_n")).filter("_n > 1").drop("_n")
-    group = Window.partitionBy(*key).orderBy(*keeper_order())
-    ranked = good.join(shared, key, "left_semi").withColumns({"_nth": F.row_number().over(group), "keeper": F.first("rel").over(group)})
-    return ranked.filter("_nth > 1").select("id", "rel", "dir_rel", "hash", "size", "keeper")
+    order = F.struct(*[c.alias(f"o{n}") for n, c in enumerate(keeper_key())])
+    good = entries.filter(F.col("hash").isNotNull())
+    sized = F.struct(F.col("size").isNull(), F.coalesce("size", F.lit(-1)))
+    groups = good.groupBy(*key).agg(F.min(order).alias("_best"), F.count("*").alias("_rows"))
+    pure = good.groupBy("hash").agg(F.min(sized).alias("_a"), F.max(sized).alias("_b")).filter("_a = _b").select("hash")
+    shared = groups.filter("_rows > 1").join(pure, "hash", "left_semi").withColumn("_key", F.concat_ws("\0", *key)).select("_key", "_best", "_rows")
+    keyed = good.withColumns({"_key": F.concat_ws("\0", *key), "_own": order})
+    met = hot_split_join(keyed, shared, "_key", "_rows", good.count())
+    return met.filter(F.col("_best").isNotNull() & (F.col("_own") != F.col("_best"))).select("id", "rel", "dir_rel", "hash", "size", F.col("_best.o4").alias("keeper"))
 
 
 def duplicate_summary(entries: DataFrame) -> DataFrame:
@@ -56,15 +61,34 @@ def same_name_families(entries: DataFrame) -> DataFrame:
     return entries.groupBy("dir_rel", strip_copy(F.col("name")).alias("base")).agg(F.count("*").alias("files"), F.countDistinct("hash").alias("contents")).filter("contents > 1")
 
 
+NAME_PARTS = r"(?s)^(.+?)(\.[^.]*)?$"
+NUMBERED = r"(?s)^(.+) \[dup(\d{1,9})\](\.[^.]*)?$"
+
+
 def free_names(moves: DataFrame, taken: DataFrame) -> DataFrame:
-    """moves (dup_dir, name, rel) with `stored_as`: the name, or with " [dupN]" from 2 on where it is
-    taken, in upper or lower case. A given name that itself looks numbered is reserved first."""
+    """moves (dup_dir, name, rel) with `stored_as`: the name, or with " [dupN]", N from 2 on, where it
+    is taken. Upper and lower case are one name. Names given or taken are reserved first, so a number
+    that such a name already has is passed over; rows are served in order of rel.
+
+    The j-th free number is j + 1 and one more for each reserved number that has fewer than j free
+    ones below it: a running count over a group's needs and reserved numbers, without a loop.
+    """
+    stem, ext = F.regexp_extract("name", NAME_PARTS, 1), F.regexp_extract("name", NAME_PARTS, 2)
     low = F.lower("name")
-    fixed = taken.select("dup_dir", F.lower("name").alias("_low")).distinct()
-    nth = F.row_number().over(Window.partitionBy("dup_dir", "_low").orderBy("rel"))
-    rows = moves.withColumn("_low", low).join(fixed.withColumn("_taken", F.lit(1)), ["dup_dir", "_low"], "left").withColumn("_n", nth + F.coalesce("_taken", F.lit(0)))
-    stem, ext = F.regexp_extract("name", r"^(.+?)(\.[^.]*)?$", 1), F.regexp_extract("name", r"^(.+?)(\.[^.]*)?$", 2)
-    return rows.withColumn("stored_as", F.when(F.col("_n") == 1, F.col("name")).otherwise(F.concat(stem, F.lit(" [dup"), F.col("_n").cast("string"), F.lit("]"), ext))).drop("_low", "_taken", "_n")
+    fixed = taken.select("dup_dir", F.lower("name").alias("_low")).distinct().withColumn("_taken", F.lit(1))
+    served = Window.partitionBy("dup_dir", "_low").orderBy("rel")
+    rows = moves.withColumn("_low", low).join(fixed, ["dup_dir", "_low"], "left").withColumn("_j", F.row_number().over(served) - 1 + F.coalesce("_taken", F.lit(0)))
+    known = moves.select("dup_dir", low.alias("_n")).unionByName(taken.select("dup_dir", low.alias("_n"))).distinct()
+    n = F.regexp_extract("_n", NUMBERED, 2).cast("int")
+    held = known.filter(F.col("_n").rlike(NUMBERED)).select("dup_dir", F.concat(F.regexp_extract("_n", NUMBERED, 1), F.regexp_extract("_n", NUMBERED, 3)).alias("_low"), n.alias("_held"), F.col("_n").endswith(F.concat(F.lit(" [dup"), n.cast("string"), F.lit("]"), F.regexp_extract("_n", NUMBERED, 3))).alias("_plain")).filter("_plain and _held >= 2").drop("_plain")
+    below = F.col("_held") - 1 - F.row_number().over(Window.partitionBy("dup_dir", "_low").orderBy("_held"))
+    marks = held.select("dup_dir", "_low", below.alias("_at"), F.lit(1).alias("_mark"))
+    needs = rows.withColumns({"_at": F.col("_j"), "_mark": F.lit(0)})
+    seen = Window.partitionBy("dup_dir", "_low").orderBy("_at", "_mark").rowsBetween(Window.unboundedPreceding, 0)
+    counted = needs.unionByName(marks, allowMissingColumns=True).withColumn("_over", F.sum("_mark").over(seen)).filter("_mark = 0")
+    number = F.col("_j") + 1 + F.col("_over")
+    stored = F.when(F.col("_j") == 0, F.col("name")).otherwise(F.concat(stem, F.lit(" [dup"), number.cast("string"), F.lit("]"), ext))
+    return counted.withColumn("stored_as", stored).drop("_low", "_taken", "_j", "_at", "_mark", "_over")
 
 
 def drain(entries: DataFrame, per_folder: bool = False, max_passes: int = 10) -> tuple[DataFrame, int, bool]:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from siltstone.functions.text import csv_unsafe
+
 from .identity import poisoned_hashes
 
 
@@ -37,14 +39,17 @@ def heal_plan(classified: DataFrame) -> DataFrame:
     return rows.withColumns({"restore": F.col("_n") == 1, "restore_name": F.regexp_replace("name", r" \[dup\d+\](?=(\.[^.]*)?$)", "")}).drop("_n")
 
 
-def twins(quarantined: DataFrame, outside: DataFrame, most: int = 5) -> DataFrame:
+def twins(quarantined: DataFrame, outside: DataFrame, most: int = 5, salts: int = 64) -> DataFrame:
     """Each quarantined row with the number of outside twins and the first `most` of their paths.
 
-    Twins are reduced to a count and `most` paths per digest before the join, so a digest with many
-    copies is never collected.
+    Twins are reduced to a count and `most` paths, first within `salts` parts of a digest's rows and
+    then per digest, before the join: a digest with many copies is never sorted or collected whole.
     """
+    part = F.pmod(F.xxhash64("rel"), F.lit(salts))
+    inner = F.row_number().over(Window.partitionBy("hash", "_part").orderBy("rel"))
+    few = outside.filter("hash is not null").select("hash", "rel", part.alias("_part")).withColumn("_n", inner).filter(F.col("_n") <= most)
     nth = F.row_number().over(Window.partitionBy("hash").orderBy("rel"))
-    first = outside.withColumn("_n", nth).filter(F.col("_n") <= most).groupBy("hash").agg(F.array_sort(F.collect_list("rel")).alias("copies"))
+    first = few.drop("_n").withColumn("_n", nth).filter(F.col("_n") <= most).groupBy("hash").agg(F.array_sort(F.collect_list("rel")).alias("copies"))
     count = outside.groupBy("hash").agg(F.count("*").alias("total"))
     met = quarantined.join(first.join(count, "hash"), "hash", "left")
     return met.select("id", "rel", "hash", F.coalesce("total", F.lit(0)).alias("total"), F.concat_ws("|", "copies").alias("copies"))
@@ -68,15 +73,75 @@ def retire(accounted: DataFrame, manifest_col: str) -> DataFrame:
 
 
 def reconcile_journal(journal: DataFrame) -> DataFrame:
-    """Moved rows that no later failed row for the same target voids."""
-    failed = journal.filter("status = 'failed'").groupBy("dst").agg(F.max("ts").alias("_failed_at"))
-    return journal.filter("status = 'moved'").join(failed, "dst", "left").filter("_failed_at is null or _failed_at < ts").drop("_failed_at")
-
-
-def verify_journal(moved: DataFrame, inventory: DataFrame) -> DataFrame:
-    """moved with `state`: moved_ok, corrupt (another size), already_undone (back at its source), dst_missing."""
-    at = inventory.select(F.col("path").alias("dst"), F.col("size").alias("_size"))
-    back = inventory.select(F.col("path").alias("src"), F.lit(True).alias("_back"))
-    rows = moved.join(at, "dst", "left").join(back, "src", "left")
-    state = F.when(F.col("_size") == F.col("size"), "moved_ok").when(F.col("_size").isNotNull(), "corrupt").when(F.col("_back"), "already_undone").otherwise("dst_missing")
-    return rows.withColumn("state", state).drop("_size", "_back")
+    """Moved rows (plan_id, dst, ..) whose target no failed row of the plan names: a failed row says
+    that the file never came, whichever of the two was written first."""
+    failed = journal.filter("status = 'failed'").select("plan_id", "dst").distinct()
+    return journal.filter("status = 'moved'").join(failed, ["plan_id", "dst"], "left_anti")
+
+
+def verify_journal(journal: DataFrame, inventory: DataFrame) -> DataFrame:
+    """journal rows with `state`: corrupt (an unreadable line), moved_ok (its target is there),
+    already_undone (back at its source) or dst_missing; failed rows and those they void are left out."""
+    there = inventory.select("path").distinct().withColumn("_there", F.lit(True))
+    failed = journal.filter("status = 'failed'").select("plan_id", "dst").distinct().withColumn("_void", F.lit(True))
+    rows = journal.filter("status <> 'failed'").join(failed, ["plan_id", "dst"], "left").filter("_void is null or status = 'corrupt-line'").drop("_void")
+    rows = rows.join(there.withColumnsRenamed({"path": "dst", "_there": "_at"}), "dst", "left").join(there.withColumnsRenamed({"path": "src", "_there": "_back"}), "src", "left")
+    state = F.when(F.col("status") == "corrupt-line", "corrupt").when(F.col("_at"), "moved_ok").when(F.col("_back"), "already_undone").otherwise("dst_missing")
+    return rows.withColumn("state", state).drop("_at", "_back")
+
+
+def verify_plans(journal: DataFrame, inventory: DataFrame, quarantine: Column) -> DataFrame:
+    """Per plan: rows, the states' counts, quarantined files that no row names, and whether all is well.
+
+    `quarantine` gives the plan in whose quarantine a path of the inventory lies (null: none).
+    """
+    states = verify_journal(journal, inventory)
+    counted = states.groupBy("plan_id").agg(*[F.count_if(F.col("state") == s).alias(s) for s in ("moved_ok", "already_undone", "dst_missing", "corrupt")])
+    live = states.filter("state <> 'corrupt'").select("plan_id", F.col("dst").alias("path")).distinct()
+    strays = inventory.select(quarantine.alias("plan_id"), "path").filter("plan_id is not null").distinct().join(live, ["plan_id", "path"], "left_anti").groupBy("plan_id").agg(F.count("*").alias("unmanifested"))
+    rows = journal.groupBy("plan_id").agg(F.count("*").alias("rows"))
+    out = rows.join(counted, "plan_id", "left").join(strays, "plan_id", "left").na.fill(0)
+    return out.withColumn("ok", F.col("dst_missing") + F.col("corrupt") + F.col("unmanifested") == 0)
+
+
+def undo_journal(journal: DataFrame, inventory: DataFrame, root: str) -> DataFrame:
+    """journal rows with `outcome` of taking them back: corrupt, escaping (a path outside root),
+    already_home, missing, as_restored (something new lies at the source) or restored."""
+    states = verify_journal(journal.filter("status in ('moved', 'corrupt-line')").unionByName(journal.filter("status = 'failed'")), inventory)
+    taken = inventory.select(F.col("path").alias("src"), F.lit(True).alias("_back")).distinct()
+    inside = contained(F.col("src"), F.lit(root)) & contained(F.col("dst"), F.lit(root))
+    outcome = F.when(F.col("state") == "corrupt", "corrupt").when(~inside, "escaping").when(F.col("state") == "already_undone", "already_home").when(F.col("state") == "dst_missing", "missing").when(F.col("_back"), "as_restored").otherwise("restored")
+    return states.join(taken, "src", "left").withColumn("outcome", outcome).drop("_back", "state")
+
+
+def undo_plans(undone: DataFrame) -> DataFrame:
+    """Per plan the outcomes' counts, and whether its journal may go: nothing missing, corrupt or escaping.
+    A file that comes back beside a new one counts as restored too."""
+    count = lambda *names: F.count_if(F.col("outcome").isin(*names))
+    out = undone.groupBy("plan_id").agg(count("restored", "as_restored").alias("restored"), *[count(n).alias(n) for n in ("already_home", "missing", "as_restored", "corrupt", "escaping")])
+    return out.withColumn("retire", F.col("missing") + F.col("corrupt") + F.col("escaping") == 0)
+
+
+def verdict(classified: DataFrame, residual: DataFrame) -> DataFrame:
+    """One row over quarantine_classes and residual_groups: counts, whether all is well, whether it
+    must be looked at again."""
+    counts = classified.agg(F.count("*").alias("checked"), *[F.count_if(F.col("klass") == k).alias(k) for k in ("orphan", "poisoned", "unreadable", "inconclusive", "ok")])
+    groups = residual.agg(F.count_if(~F.col("poisoned")).alias("residual"), F.count_if("poisoned").alias("residual_poisoned"))
+    both = counts.crossJoin(F.broadcast(groups))  # a row each
+    return both.withColumns({"passed": (F.col("orphan") + F.col("poisoned") + F.col("unreadable") + F.col("residual")) == 0, "needs_reverify": F.col("inconclusive") > 0})
+
+
+def stored_names(manifest: DataFrame, stored: DataFrame) -> DataFrame:
+    """manifest (dup_dir, stored_as) with `found`, the file that a row points at: its name without the
+    guard of formulas first, the name as written only where that is not there; null if neither is."""
+    plain = csv_unsafe(F.col("stored_as"))
+    at = stored.select("dup_dir", F.col("name").alias("_name")).distinct()
+    first = manifest.withColumn("_name", plain).join(at.withColumn("_a", F.lit(True)), ["dup_dir", "_name"], "left").withColumnRenamed("_name", "_plain")
+    both = first.withColumn("_name", F.col("stored_as")).join(at.withColumn("_b", F.lit(True)), ["dup_dir", "_name"], "left").drop("_name")
+    return both.withColumn("found", F.when(F.col("_a"), F.col("_plain")).when(F.col("_b"), F.col("stored_as"))).drop("_plain", "_a", "_b")
+
+
+def managed_folders(folders: DataFrame, manifests: DataFrame) -> DataFrame:
+    """folders (dir) named like a quarantine with `managed`: whether a manifest of ours lies in them."""
+    ours = manifests.select("dir").distinct().withColumn("_ours", F.lit(True))
+    return folders.filter(F.lower(F.element_at(F.split("dir", "/"), -1)) == "duplicates").join(ours, "dir", "left").select("dir", F.coalesce("_ours", F.lit(False)).alias("managed"))

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from siltstone.functions.joins import hot_split_join
+from siltstone.operators import spelling
+
 # Sizes of the delivery and of its batches.
 DELIVERY_CHUNK, BATCH_SIZE = 100, 184
 
@@ -44,11 +44,11 @@ def lint(items: DataFrame) -> DataFrame:
 
 
 def shared_sentences(items: DataFrame) -> DataFrame:
-    """Rows whose sentence a lower rank keeps: (id, keeper)."""
-    order = Window.partitionBy("text").orderBy("rank", "id")
-    rows = items.filter(F.col("text").rlike(r"\S"))
-    repeated = rows.groupBy("text").agg(F.count("*").alias("_n")).filter("_n > 1").select("text")
-    return rows.join(repeated, "text", "left_semi").withColumns({"_nth": F.row_number().over(order), "keeper": F.first("id").over(order)}).filter("_nth > 1").select("id", "keeper")
+    """Rows whose sentence a lower rank keeps: (id, keeper). Sentences travel as digests."""
+    rows = items.filter(F.col("text").rlike(r"\S")).select("id", "rank", F.sha2(F.col("text").cast("binary"), 256).alias("_text"))
+    keepers = rows.groupBy("_text").agg(F.min(F.struct(F.col("rank").isNull().alias("none"), "rank", "id")).alias("_best"), F.count("*").alias("_rows")).filter("_rows > 1")
+    met = hot_split_join(rows, keepers, "_text", "_rows", rows.count())
+    return met.filter(F.col("_best").isNotNull() & ~F.col("id").eqNullSafe(F.col("_best.id"))).select("id", F.col("_best.id").alias("keeper"))
 
 
 def deliver(items: DataFrame, delivered: DataFrame, total: int) -> DataFrame:
@@ -64,9 +64,11 @@ def deliver(items: DataFrame, delivered: DataFrame, total: int) -> DataFrame:
 
 
 def number_globally(rows: DataFrame, key: str, blocks: int = 256) -> DataFrame:
-    """rows (key unique, integer) with `nth` from 1 in key order, numbered in ranges of equal width."""
-    span = rows.agg(F.min(key).alias("_a"), F.max(key).alias("_b"))
-    cut = rows.crossJoin(F.broadcast(span)).withColumn("_block", F.floor((F.col(key) - F.col("_a")) * F.lit(blocks) / (F.col("_b") - F.col("_a") + 1)).cast("int")).drop("_a", "_b")
+    """rows (key unique, integer) with `nth` from 1 in key order, numbered in ranges of about equal
+    numbers of rows, cut at approximate quantiles of the key."""
+    cuts = rows.agg(F.percentile_approx(key, [n / blocks for n in range(1, blocks)], 10_000)).first()[0] or []
+    edges = F.array(*[F.lit(c) for c in sorted(set(cuts))]).cast("array<long>")
+    cut = rows.withColumn("_block", F.size(F.filter(edges, lambda e: e < F.col(key))))
     before = Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)  # over at most `blocks` rows
     firsts = cut.groupBy("_block").agg(F.count("*").alias("_n")).select("_block", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))
     inside = F.row_number().over(Window.partitionBy("_block").orderBy(key))
@@ -98,29 +100,47 @@ def batch_of(position: Column, size: int = BATCH_SIZE) -> Column:
     return F.floor((position - 1) / size).cast("long")
 
 
-def leader_clusters(items: DataFrame, least: float = 0.5) -> DataFrame:
-    """(id, leader): in rank order within a headword group an item joins the first earlier kept item
-    whose gloss tokens overlap by `least`; else it is kept. Order decides, so a group is walked, one
-    Arrow batch at a time, with only the kept items' token sets in memory.
+def word_links(items: DataFrame) -> DataFrame:
+    """(head, a, b): pairs of different (word, gloss) within a head that are one word, a before b.
+
+    items (head, word, gloss, first), a row each, `first` the place of its earliest record. Only
+    words with an equal key or an equal skeleton can be one, so pairs are met by these keys.
+    """
+    keyed = items.select("head", "word", "gloss", "first", F.explode(F.array_distinct(F.array(F.concat(F.lit("k"), spelling.spelling_key(F.col("word"))), F.concat(F.lit("s"), spelling.skeleton(F.col("word")))))).alias("block"))
+    l, r = keyed.alias("l"), keyed.alias("r")
+    met = l.join(r, (F.col("l.head") == F.col("r.head")) & (F.col("l.block") == F.col("r.block")) & (F.col("l.first") < F.col("r.first")))
+    same = spelling.same_word(F.col("l.word"), F.col("l.gloss"), F.col("r.word"), F.col("r.gloss"))
+    return met.filter(same).select(F.col("l.head").alias("head"), F.col("l.first").alias("a"), F.col("r.first").alias("b")).distinct()
+
+
+def leader_clusters(items: DataFrame, max_rounds: int = 60) -> DataFrame:
+    """(id, leader): in rank order within a head, an item joins the first earlier kept item that is the
+    same word; else it is kept. Being one word is not transitive, so order decides.
+
+    items (id, head, rank, word, gloss). Records equal in word and gloss always follow the first of
+    them, so only different ones are linked. An item is kept once every earlier item that it is linked
+    to has joined another, and joins once one of these is kept: each round settles all such items at
+    once, until none is left. Null words and heads stand alone.
     """
-    cut = items.select("head", "rank", "id", F.array_distinct(F.filter(F.split(F.lower("gloss"), r"[^a-z]+"), lambda t: t != "")).alias("tokens"))
-
-    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        head, kept = None, []
-        for batch in batches:
-            out = []
-            for h, i, t in zip(batch["head"], batch["id"], batch["tokens"], strict=True):
-                if h != head:
-                    head, kept = h, []
-                own = set(t)
-                leader = next((k for k, o in kept if (own or o) and len(own & o) >= least * len(own | o)), None)
-                if leader is None:
-                    kept.append((i, own))
-                out.append((i, i if leader is None else leader))
-            if out:
-                yield pd.DataFrame(out, columns=["id", "leader"])
-
-    return cut.repartition("head").sortWithinPartitions("head", "rank", "id").mapInPandas(walk, "id long, leader long")
+    place = F.struct("rank", "id")
+    once = items.filter("head is not null and word is not null").groupBy("head", "word", F.coalesce("gloss", F.lit("")).alias("gloss")).agg(F.min(place).alias("first")).checkpoint()
+    links = word_links(once).checkpoint()
+    state = once.select("head", F.col("first").alias("at"), F.lit(None).cast("boolean").alias("kept")).checkpoint()
+    for _ in range(max_rounds):
+        if state.filter("kept is null").isEmpty():
+            break
+        before = state.withColumnsRenamed({"at": "a", "kept": "was"})
+        seen = links.join(before, ["head", "a"]).groupBy("head", F.col("b").alias("at")).agg(F.bool_or(F.coalesce("was", F.lit(False))).alias("one_kept"), F.bool_or(F.col("was").isNull()).alias("open"))
+        met = state.join(seen, ["head", "at"], "left")
+        now = F.when(F.col("one_kept"), False).when(~F.coalesce("open", F.lit(False)), True)
+        state = met.select("head", "at", F.coalesce("kept", now).alias("kept")).checkpoint()
+    else:
+        raise RuntimeError(f"clusters did not settle in {max_rounds} rounds")
+    kept = state.filter("kept").select("head", F.col("at").alias("a"))
+    joined = links.join(kept, ["head", "a"]).groupBy("head", F.col("b").alias("first")).agg(F.min("a").alias("leader"))
+    leaders = once.join(joined, ["head", "first"], "left").select("head", "word", "gloss", F.coalesce("leader", "first")["id"].alias("leader"))
+    rows = items.select("id", "head", "word", F.coalesce("gloss", F.lit("")).alias("gloss"))
+    return rows.join(leaders, ["head", "word", "gloss"], "left").select("id", F.coalesce("leader", "id").alias("leader"))
 
 
 def homographs(items: DataFrame) -> DataFrame:

@@ -48,6 +48,11 @@ def shares(groups: DataFrame, total: str = "bytes") -> DataFrame:
     return groups.crossJoin(F.broadcast(whole)).withColumn("share", F.round(F.col(total) / F.col("_all"), 6)).drop("_all")
 
 
-def missing_ranks(items: DataFrame, rank: str = "rank") -> DataFrame:
-    top = items.agg(F.max(rank).cast("long").alias("m")).filter("m >= 1").select(F.explode(F.sequence(F.lit(1).cast("long"), F.col("m"))).alias(rank))
-    return top.join(items.select(F.col(rank).cast("long").alias(rank)).distinct(), rank, "left_anti")
+def missing_ranks(items: DataFrame, rank: str = "rank", width: int = 1 << 16) -> DataFrame:
+    """The ranks from 1 to the largest that no item has. Ranks are compared within ranges of `width`
+    numbers, so no row holds them all; ranges without an item are made from their numbers alone."""
+    have = items.select(F.col(rank).cast("long").alias(rank)).filter(F.col(rank) >= 1).distinct()
+    top = have.agg(F.max(rank)).first()[0] or 0
+    ranges = items.sparkSession.range(0, -(-top // width)).withColumnRenamed("id", "_range")
+    every = ranges.select(F.explode(F.sequence(F.col("_range") * width + 1, F.least((F.col("_range") + 1) * width, F.lit(top)))).alias(rank))
+    return every.join(have, rank, "left_anti")

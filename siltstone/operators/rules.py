@@ -6,15 +6,30 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+# Forms of push that take or rewrite more than a branch, and other commands to deny.
+PUSH_FORMS = [" *--force*", " -f*", " * -f", " * -f *", " * +*", " *--mirror*", " *--all", " *--all *", " *--prune*", " *--delete*", " * -d *", " * :*"]
+OTHER_RULES = ["git reset --hard*", "git -C * reset --hard*", "git branch -D*", "git branch * -D*", "git -C * branch -D*", "git branch *--delete --force*", "git branch *--force --delete*", "git clean *", "git -C * clean -*", "gh pr merge*"]
+BRANCH_FORMS = [" {}", ":{}", ":refs/heads/{}", " refs/heads/{}", " '{}'", ' "{}"', ":{}'", ':{}"']
+PREFIXES = ["git push", "git -C * push", "git -c * push"]
+
+
+def deny_rules(spark: SparkSession, base: str, work: str) -> DataFrame:
+    """(n, rule): every rule of a run on branch `work` that started from `base`, in order, each once:
+    forms of push, other commands, then pushes to main, master and base, but never to work."""
+    protected = [b for b in dict.fromkeys(["main", "master", base]) if b and b != work]
+    first = [p + f for p in PREFIXES for f in PUSH_FORMS] + OTHER_RULES
+    fixed = spark.createDataFrame([(n, r) for n, r in enumerate(dict.fromkeys(first))], "n int, rule string")
+    if not protected:
+        return fixed.withColumn("n", F.col("n") + 1)
+    branches = generate(spark, PREFIXES, BRANCH_FORMS, protected).join(fixed.select("rule"), "rule", "left_anti")
+    both = fixed.withColumn("part", F.lit(0)).unionByName(branches.withColumn("part", F.lit(1)))
+    return both.select(F.row_number().over(Window.orderBy("part", "n")).alias("n"), "rule")  # a few hundred rules
+
+
 def generate(spark: SparkSession, prefixes: list[str], forms: list[str], branches: list[str]) -> DataFrame:
     """(n, rule): prefixes x branches x forms in that order, with and without arguments after, each once."""
-    p = spark.createDataFrame(list(enumerate(prefixes)), "p int, prefix string")
-    f = spark.createDataFrame(list(enumerate(forms)), "f int, form string")
-    b = spark.createDataFrame(list(enumerate(dict.fromkeys(x for x in branches if x))), "b int, branch string")
-    rows = p.crossJoin(b).crossJoin(f).select("p", "b", "f", F.concat("prefix", F.lit(" *"), F.replace(F.col("form"), F.lit("{}"), F.col("branch"))).alias("rule"))  # literal tables
-    both = rows.withColumn("t", F.lit(0)).unionByName(rows.withColumns({"rule": F.concat("rule", F.lit(" *")), "t": F.lit(1)}))
-    once = both.groupBy("rule").agg(F.min(F.struct("p", "b", "f", "t")).alias("at"))
-    return once.withColumn("n", F.row_number().over(Window.orderBy("at"))).select("n", "rule")  # a few hundred rules
+    made = [f"{p} *{f.format(b)}{end}" for p in prefixes for b in dict.fromkeys(x for x in branches if x) for f in forms for end in ("", " *")]
+    return spark.createDataFrame(list(enumerate(dict.fromkeys(made), 1)), "n int, rule string")
 
 
 def pattern(rule: Column) -> Column:
@@ -26,11 +41,22 @@ def pattern(rule: Column) -> Column:
     return F.concat(F.lit("(?s)^"), F.when(rule.endswith(" *") & (stars == 1), open_end).otherwise(body), F.lit("$"))
 
 
+#: More rules than this are no list that a run generates.
+MOST_RULES = 1_000
+
+
 def match(commands: DataFrame, rules: DataFrame) -> DataFrame:
-    """(command, rules): each distinct command with the number of rules that block it. Rules are a
-    short list that the engine itself generates; they are broadcast and met by each command."""
-    met = commands.select("command").distinct().join(F.broadcast(rules.select(pattern(F.col("rule")).alias("_p"))), F.expr("command rlike _p"), "left")
-    return met.groupBy("command").agg(F.count("_p").alias("rules"))
+    """(command, rules): each distinct command with the number of rules that block it.
+
+    The rules are read once (MOST_RULES at most, else an error) and become constant patterns of one
+    projection, so commands are neither joined nor multiplied.
+    """
+    found = [r["p"] for r in rules.select(pattern(F.col("rule")).alias("p")).limit(MOST_RULES + 1).collect()]
+    if len(found) > MOST_RULES:
+        raise ValueError(f"more than {MOST_RULES} rules")
+    patterns = F.array(*[F.lit(p) for p in found]) if found else F.array().cast("array<string>")
+    hits = F.filter(patterns, lambda p: F.rlike(F.col("command"), p))
+    return commands.select("command").distinct().withColumn("rules", F.size(hits).cast("long"))
 
 
 def reconcile(have: DataFrame, want: DataFrame, ours: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Fixed value: a version tag, its numbers and its prerelease.
-TAG = r"^[vV]?(\d+(?:\.\d+)*)(?:-([0-9A-Za-z.-]+))?$"
+TAG = r"^\s*[vV]?(\d+(?:\.\d+)*)(?:-(.*\S))?\s*$"
 
 
 def version_numbers(tag: Column) -> Column:
