@@ -42,6 +42,7 @@ DUPLICATE_NAMES = [
 ]
 VERSION_TOKEN = r"(?i)[\s._-]*(v?\d[\d.]*|x64|x86|arm64|aarch64|universal|mac(os)?|win(32|64)?|setup|installer|install)"
 ZERO_ALLOWED = ["__init__.py", ".gitkeep", ".keep", ".nomedia", ".placeholder", ".hushlogin", ".metadata_never_index", ".gitignore", "lock"]
+AWAY_LINK = r"^([A-Za-z]:\\\\|/Volumes/)"
 LOGS = r"(?i)\.log(\.\d+)?(\.gz)?$|\.out$"
 PARTIAL_AGE, LOCK_AGE, CORE_BYTES = 14 * DAY, 7 * DAY, 1 << 20
 INSTALLER_YEAR, LOG_YEAR, RESOURCE_YEAR, VINTAGE_YEAR = 2015, 2010, 2002, 2005
@@ -56,7 +57,7 @@ def _ends(name: Column, endings: list[str]) -> Column:
     return F.coalesce(extension(name).isin(*[e for e in endings if e.count(".") == 1]), F.lit(False)) | extension_multi(name).isin(*[e for e in endings if e.count(".") > 1] or [NOTHING])
 
 
-def junk_rule(name: Column, size: Column, mtime: Column, now: Column, same_stem: Column, sibling_named: Column, twin_dir: Column, base_hash: Column, own_hash: Column, base_size: Column, base_there: Column, app_installed: Column, link: Column) -> Column:
+def junk_rule(name: Column, size: Column, mtime: Column, now: Column, same_stem: Column, sibling_named: Column, twin_dir: Column, base_hash: Column, own_hash: Column, base_size: Column, base_there: Column, app_installed: Column, link: Column, link_there: Column) -> Column:
     """tier and family as one code like 'A:J2', NOTHING where a rule rules junk out, null where none speaks."""
     low, ext, age, year = F.lower(name), extension(name), F.coalesce(now - mtime, F.lit(0)), plausible_year(mtime, now)
     code = lambda c, yes, no: F.when(c, F.lit(yes)).otherwise(F.lit(no))
@@ -80,6 +81,7 @@ def junk_rule(name: Column, size: Column, mtime: Column, now: Column, same_stem:
         .when(_ends(name, ARCHIVES), code(twin_dir, "C:J7", NOTHING))
         .when(duplicate, F.when(~base_there, "C:J8").when(own_hash == base_hash, "A:J8").when(size == base_size, "B:J8").otherwise("C:J8"))
         .when((size == 0) & ~low.isin(*ZERO_ALLOWED) & ~low.endswith(".lock") & link.isNull(), "A:J9")
+        .when(link != "", F.when(link.rlike(AWAY_LINK), "C:J10").when(link_there, NOTHING).otherwise("B:J10"))
         .when(low.rlike(LOGS), F.when(year < LOG_YEAR, "C:J13").otherwise("B:J13"))
         .when(ext.isin(".orig", ".rej"), "B:J13")
         .when(ext.isin(".pyc", ".pyo"), "A:J13")
@@ -118,11 +120,19 @@ def child_folders(files: DataFrame) -> DataFrame:
     return each.select(F.array_join(F.slice("p", F.lit(1), F.col("i") - 1), "/").alias("dir"), F.lower(F.get("p", F.col("i") - 1)).alias("_twin")).distinct()
 
 
-def classify_junk(files: DataFrame, now: Column, folders: DataFrame | None = None, apps: DataFrame | None = None) -> DataFrame:
+def resolved(folder: Column, link: Column) -> Column:
+    """The path that a link in a folder points at, `.` and `..` taken away; absolute links as they are."""
+    parts = F.split(F.when(link.startswith("/"), link).otherwise(F.concat_ws("/", folder, link)), "/")
+    step = lambda done, p: F.when(p.isin("", "."), done).when(p == "..", F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0)))).otherwise(F.concat(done, F.array(p)))
+    return F.concat(F.when(link.startswith("/"), "/").otherwise(""), F.array_join(F.aggregate(parts, F.array().cast("array<string>"), step), "/"))
+
+
+def classify_junk(files: DataFrame, now: Column, folders: DataFrame | None = None, apps: DataFrame | None = None, raw: str | None = None) -> DataFrame:
     """files (dir, name, size, mtime, hash) with `tier` and `family` (null: no junk).
 
     folders (dir, name) are folders that hold no file; those on the way to a file are known. apps
-    (name) are the installed apps; a column link holds a link's target. Siblings are met by equi-joins on (dir, name) and a count per
+    (name) are the installed apps; a column link holds a link's target, which is broken where no file or
+    folder has its path. `raw` names a column for the code before old files drop a tier. Siblings are met by equi-joins on (dir, name) and a count per
     (dir, stem): a folder with many files is spread by name, never gathered.
     """
     name, no = F.col("name"), F.lit(False)
@@ -135,20 +145,32 @@ def classify_junk(files: DataFrame, now: Column, folders: DataFrame | None = Non
         known = known.unionByName(folders.select("dir", F.lower("name").alias("_twin"))).distinct()
     full, bare = duplicate_bases(name)
     dotted = name.startswith("._")
-    rows = files.withColumns({"_stem": low_stem, "_base": F.when(dotted, F.substring("name", 3, 2**31 - 1)).otherwise(full), "_base2": F.when(~dotted, bare), "_twin": F.when(_ends(name, ARCHIVES), low_stem)})
+    # no name has a NUL: rows that ask for no sibling are spread by name and meet none
+    other = F.concat(F.lit("\0"), F.coalesce(name, F.lit("")))
+    rows = files.withColumns({"_stem": low_stem, "_base": F.coalesce(F.when(dotted, F.substring("name", 3, 2**31 - 1)).otherwise(full), other), "_base2": F.coalesce(F.when(~dotted, bare), other), "_twin": F.coalesce(F.when(_ends(name, ARCHIVES), low_stem), other)})
     rows = rows.join(stems, ["dir", "_stem"], "left").join(names, ["dir", "_base"], "left").join(second, ["dir", "_base2"], "left").join(known.withColumn("_folder", yes), ["dir", "_twin"], "left")
     installed = no
     if apps is not None:
-        # no app's name has a NUL: rows that are no installer are spread by name and meet none
         guess = F.when(_ends(name, INSTALLER_EXTENSIONS) | (extension(name) == ".exe"), F.nullif(app_guess(name), F.lit("")))
         there = apps.select(app_base(F.col("name")).alias("_app")).distinct().withColumn("_installed", yes)
-        rows = rows.withColumn("_app", F.coalesce(guess, F.concat(F.lit("\0"), name))).join(there, "_app", "left")
+        rows = rows.withColumn("_app", F.coalesce(guess, other)).join(there, "_app", "left")
         installed = F.coalesce("_installed", no)
+    link = F.lit(None).cast("string")
+    if "link" in files.columns:
+        link = F.col("link")
+        paths = files.select(F.concat_ws("/", "dir", "name").alias("_target")).unionByName(known.select(F.concat_ws("/", F.nullif("dir", F.lit("")), "_twin").alias("_target"))).distinct()
+        asks = F.coalesce(link != "", no)
+        met = rows.filter(asks).withColumn("_target", resolved(F.col("dir"), link)).join(paths.withColumn("_link", yes), "_target", "left").drop("_target")
+        rows = met.unionByName(rows.filter(~asks).withColumn("_link", no))
+    else:
+        rows = rows.withColumn("_link", no)
     first, there = F.coalesce("_there", no), F.coalesce("_there", "_there2", no)
     base_hash, base_size = F.when(first, F.col("_bhash")).otherwise(F.col("_bhash2")), F.when(first, F.col("_bsize")).otherwise(F.col("_bsize2"))
-    code = junk_rule(name, F.col("size"), F.col("mtime"), now, F.col("_same") > 1, first, F.coalesce("_folder", no), base_hash, F.col("hash"), base_size, there, installed, F.col("link") if "link" in files.columns else F.lit(None).cast("string"))
+    code = junk_rule(name, F.col("size"), F.col("mtime"), now, F.col("_same") > 1, first, F.coalesce("_folder", no), base_hash, F.col("hash"), base_size, there, installed, link, F.coalesce("_link", no))
     rows = rows.withColumn("_code", F.nullif(code, F.lit(NOTHING)))
-    own = [c for c in rows.columns if c in ("_stem", "_base", "_base2", "_twin", "_app", "_same", "_bsize", "_bhash", "_there", "_bsize2", "_bhash2", "_there2", "_folder", "_installed", "_code")]
+    own = [c for c in rows.columns if c in ("_stem", "_base", "_base2", "_twin", "_app", "_same", "_bsize", "_bhash", "_there", "_bsize2", "_bhash2", "_there2", "_folder", "_installed", "_code", "_link")]
+    if raw:
+        rows = rows.withColumn(raw, F.col("_code"))
     return rows.withColumns({"tier": demote(F.split("_code", ":")[0], plausible_year(F.col("mtime"), now)), "family": F.split("_code", ":")[1]}).drop(*own)
 
 

@@ -45,6 +45,25 @@ def compare_runs(now: DataFrame, last: DataFrame, accepted: DataFrame, run_date:
     return both.select("key", state.alias("state"))
 
 
+# Categories by the kind of sink, first match first.
+CATEGORIES = [("command", "CMD"), ("filesystem", "FS"), ("network", "NET"), ("dependency", "DEP"), ("lifecycle", "LIF"), ("error-handling", "ERR"), ("data-safety", "DAT"), ("security", "SEC"), ("quality", "QUA"), ("hardening", "QOL")]
+
+
+def category(sinks: Column) -> Column:
+    """The category of a finding with several kinds of sink: the first in the table."""
+    out = F.lit(None).cast("string")
+    for kind, code in reversed(CATEGORIES):
+        out = F.when(F.array_contains(sinks, kind), code).otherwise(out)
+    return out
+
+
+def gate(severity: Column, answer: Column) -> Column:
+    """Where a finding goes after its check: only Critical and High ones are checked; a refuted one is
+    dropped, one that could not be settled needs investigation, an unchecked one waits."""
+    checked = severity.isin("Critical", "High")
+    return F.when(~checked, "report").when(answer == "yes", "report").when(answer == "no", "drop").when(answer == "unsettled", "investigate").otherwise("check")
+
+
 def coverage(inventory: DataFrame, read: DataFrame, skipped: DataFrame) -> DataFrame:
     """One row: files known, read, skipped, and unaccounted."""
     flag = lambda df, name: df.select("path").distinct().withColumn(name, F.lit(True))

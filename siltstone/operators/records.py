@@ -143,6 +143,121 @@ def leader_clusters(items: DataFrame, max_rounds: int = 60) -> DataFrame:
     return rows.join(leaders, ["head", "word", "gloss"], "left").select("id", F.coalesce("leader", "id").alias("leader"))
 
 
+# Letters, spellings and limits of the lint rules for a romanised script.
+DEVANAGARI = r"[ऀ-ॿ]"
+RETROFLEX_LETTERS = "टठडढणड़ढ़"
+FINAL_ALLOWED = ["koii", "gaii", "naii", "bhaii", "huii", "laii", "aaii", "kaii", "daii", "maii"]
+CANONICAL = {
+    "yah": "yeh", "vah": "voh", "hei": "hai", "hain'": "hain", "kya": "kyaa", "kyun": "kyon", "kyu": "kyon", "nahi": "nahin", "nahiin": "nahin", "nahee": "nahin", "acchaa": "achchhaa", "achha": "achchhaa", "acha": "achchhaa",
+    "hun": "hoon", "hoo": "hoon", "chahiye": "chaahie", "chaahiye": "chaahie", "kuch": "kuchh", "bohot": "bahut", "bahot": "bahut", "tha": "thaa", "hua": "huaa", "kaha": "kahaan", "yaha": "yahaan", "vaha": "vahaan",
+}
+ADVISORY = ["length_mismatch", "target_not_marked", "unaligned_sentence"]
+
+
+def roman_words(text: Column) -> Column:
+    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit("([A-Za-z]+)"))
+
+
+def native_words(text: Column) -> Column:
+    """Words at spaces and hyphens that hold a letter of the script."""
+    return F.filter(F.split(F.coalesce(text, F.lit("")), r"[\s\u2010-\u2015\-]+"), lambda w: F.rlike(w, F.lit(DEVANAGARI)))
+
+
+def bad_final_vowel(word: Column) -> Column:
+    """A doubled i or u at the end, but after a vowel or in a word known to have it."""
+    low = F.lower(word)
+    return low.rlike("(ii|uu)$") & ~low.isin(*FINAL_ALLOWED) & ~low.rlike("[aeiou](ii|uu)$")
+
+
+def native_present(native: Column, sentence: Column) -> Column:
+    """Whether a sentence holds a word, or all parts of a pattern in their order with gaps."""
+    gapped = F.concat(F.lit(r"(?s)\Q"), F.regexp_replace(F.trim(native), r"\s+", r"\\E.*\\Q"), F.lit(r"\E"))
+    return F.contains(sentence, native) | (F.regexp_count(F.trim(native), F.lit(r"\s+")) > 0) & F.rlike(sentence, gapped)
+
+
+def mark_retroflex(html: Column) -> Column:
+    """Capitals that stand for retroflex consonants in a span, in text that is escaped already."""
+    return F.regexp_replace(html, "([TDR]h?)", '<span class="rx">$1</span>')
+
+
+def fixed_text(text: Column) -> Column:
+    """Canonical spellings, single final vowels and full stops, in this order."""
+    out = text
+    for wrong, right in CANONICAL.items():
+        out = F.regexp_replace(F.regexp_replace(out, rf"\b{wrong}\b", right), rf"\b{wrong.capitalize()}\b", right)
+    allowed = "|".join(FINAL_ALLOWED)
+    out = F.regexp_replace(out, rf"(?i)\b(?!(?:{allowed})\b)([a-z]*[b-df-hj-np-tv-z])(i|u)\2\b", "$1$2")
+    return F.replace(F.regexp_replace(out, r"(?i)(?<![a-z])(i|u)\1\b", "$1"), F.lit("।"), F.lit("."))
+
+
+def deck_lint(items: DataFrame) -> DataFrame:
+    """(id, rule) of rules over (id, keep, headword, term, gloss, sent_display, sent_native, sent_en).
+
+    Null fields count as empty; a rule gives at most one row a record; rules of sentences speak of kept
+    records alone.
+    """
+    c = lambda n: F.coalesce(F.col(n).cast("string"), F.lit(""))
+    head, native, shown, said = c("headword"), c("term"), c("sent_display"), c("sent_native")
+    shown_fields = [c(n) for n in ("headword", "sent_display", "gloss", "sent_en")]
+    any_field = lambda test: F.greatest(*[test(f) for f in shown_fields])
+    words = F.concat(roman_words(head), roman_words(shown))
+    known = F.create_map(*[F.lit(x) for pair in CANONICAL.items() for x in pair])
+    kept = F.coalesce(F.col("keep"), F.lit(False))
+    a, b = F.size(roman_words(shown)), F.size(native_words(said))
+    rules = {
+        "native_leak": any_field(lambda f: f.rlike(DEVANAGARI)),
+        "spelling_form": F.exists(words, lambda w: F.map_contains_key(known, F.lower(w))),
+        "final_vowel": F.exists(words, bad_final_vowel),
+        "stray_capital": F.exists(roman_words(shown), lambda w: F.rlike(w, F.lit("^[A-Z]")) & ~F.rlike(w, F.lit("^[TDR]"))),
+        "unaligned_sentence": (shown != "") & (said != "") & (a != b),
+        "missing_sent_en": kept & (shown != "") & (F.trim(c("sent_en")) == ""),
+        "word_not_in_sentence": kept & (said != "") & (native != "") & ~native_present(native, said),
+    }
+    found = F.array_compact(F.array(*[F.when(test, F.lit(rule)) for rule, test in rules.items()]))
+    return items.select("id", F.explode(found).alias("rule"))
+
+
+def kept_items(items: DataFrame) -> DataFrame:
+    """Kept records (keep, rank) that have a rank, as they are delivered; order them by rank."""
+    return items.filter(F.coalesce(F.col("keep"), F.lit(False))).withColumn("rank", rank_of(F.col("rank"))).filter("rank is not null")
+
+
+def live_manifest(notes: DataFrame) -> DataFrame:
+    """(note_id, n, rank, term) of live notes (note_id, rank_text, audio, term): the position from
+    "N of M", the rank from the clip's name; null where they cannot be read."""
+    n = F.regexp_extract("rank_text", r"^\s*(\d+)\s*( of |$)", 1).try_cast("int")
+    rank = F.regexp_extract("audio", r"_w_r(\d+)(?:\.[^_]*)?$", 1).try_cast("int")
+    return notes.select("note_id", n.alias("n"), rank.alias("rank"), "term")
+
+
+def identity_drift(recorded: DataFrame, current: DataFrame) -> DataFrame:
+    """(key, state) of stores known by name: changed or vanished against the recorded id, else ok."""
+    met = recorded.select("key", F.col("id").alias("_was")).join(current.select("key", F.col("id").alias("_now")), "key", "left")
+    return met.select("key", F.when(F.col("_was").isNotNull() & F.col("_now").isNull(), "vanished").when(F.col("_was") != F.col("_now"), "changed").otherwise("ok").alias("state"))
+
+
+def manifest_notes(text: Column) -> Column:
+    """The notes of a manifest, whether it is an object with notes or a bare list of them."""
+    note = "array<struct<n: int, rank: int, note_id: bigint, term: string>>"
+    return F.when(F.ltrim(text).startswith("["), F.from_json(text, note)).otherwise(F.from_json(text, f"struct<notes: {note}>")["notes"])
+
+
+def missing_columns(wanted: Column, there: Column) -> Column:
+    """Fields that a template names and a model lacks, in the template's order."""
+    return F.array_except(wanted, there)
+
+
+def call_outcome(transport_failed: Column, error: Column, result: Column) -> Column:
+    """How a call to the store ended: transport, error, refused (a bare false) or ok."""
+    return F.when(transport_failed, "transport").when(error.isNotNull(), "error").when(F.lower(result) == "false", "refused").otherwise("ok")
+
+
+def next_batch(names: DataFrame, pattern: str) -> DataFrame:
+    """One row: the number after the largest of the batches' names (name)."""
+    n = F.regexp_extract("name", pattern, 1).try_cast("int")
+    return names.agg((F.coalesce(F.max(n), F.lit(-1)) + 1).alias("next"))
+
+
 def homographs(items: DataFrame) -> DataFrame:
     """(head, items, hints): heads of several items and how many different hints tell them apart."""
     return items.groupBy("head").agg(F.count("*").alias("items"), F.countDistinct("hint").alias("hints")).filter("items > 1")

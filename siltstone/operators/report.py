@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from siltstone.operators.tree import ancestors
+
 
 def totals(files: DataFrame) -> DataFrame:
     return files.agg(F.count("*").alias("files"), F.countDistinct("dir").alias("dirs"), F.sum("size").alias("bytes"), F.count_if(F.col("size") == 0).alias("empty"), F.count_if(F.col("size").isNull()).alias("errors"))
@@ -36,6 +38,74 @@ def largest(files: DataFrame, most: int = 100) -> DataFrame:
     return files.orderBy(F.desc("size"), "path").limit(most)
 
 
+def by_severity(files: DataFrame, most_dirs: int = 8) -> DataFrame:
+    """(severity, category, files, bytes, dirs) of sensitive files (dir, size, cls), with the first
+    `most_dirs` folders in order."""
+    parts = F.split("cls", ":")
+    rows = files.filter(F.col("cls").startswith("sn:")).select(parts[1].alias("severity"), parts[2].alias("category"), "size", "dir")
+    nth = F.row_number().over(Window.partitionBy("severity", "category").orderBy("dir"))
+    first = rows.select("severity", "category", "dir").distinct().withColumn("_n", nth).filter(F.col("_n") <= most_dirs)
+    dirs = first.groupBy("severity", "category").agg(F.concat_ws("|", F.array_sort(F.collect_list("dir"))).alias("dirs"))
+    return rows.groupBy("severity", "category").agg(F.count("*").alias("files"), F.sum("size").alias("bytes")).join(dirs, ["severity", "category"])
+
+
+def photo_tiers(files: DataFrame) -> DataFrame:
+    rows = files.filter(F.col("cls").startswith("ph:"))
+    return rows.groupBy(F.split("cls", ":")[1].alias("tier")).agg(F.count("*").alias("files"), F.sum("size").alias("bytes"))
+
+
+def junk_and_secrets(files: DataFrame) -> DataFrame:
+    """One row: bytes of junk that plans may move (tiers A and B) and of files by severity."""
+    at = lambda test: F.coalesce(F.sum(F.when(test, F.col("size"))), F.lit(0))
+    return files.agg(at(F.col("cls").rlike("^j[AB]:")).alias("junk_ab"), at(F.col("cls").rlike("^jC:")).alias("junk_c"), at(F.col("cls").startswith("sn:S1:")).alias("sure"), at(F.col("cls").startswith("sn:S2:")).alias("likely"))
+
+
+def reclaim(files: DataFrame, most: int = 20) -> DataFrame:
+    """(dir, junk_bytes): the folders with the most bytes of junk in their subtrees. A folder's bytes
+    count for every folder above it too."""
+    direct = files.filter(F.col("cls").rlike("^j[AB]:")).groupBy("dir").agg(F.sum("size").alias("b"))
+    up = direct.select("b", F.explode(F.concat(ancestors(F.col("dir")), F.array("dir"))).alias("dir"))
+    return up.groupBy("dir").agg(F.sum("b").alias("junk_bytes")).filter("junk_bytes > 0").orderBy(F.desc("junk_bytes"), "dir").limit(most)
+
+
+def age_lens(years: DataFrame) -> DataFrame:
+    """years (.., year) with `age`: 1 for the oldest, 0 for the newest, 0 where there is one year."""
+    span = years.agg(F.min("year").alias("_a"), F.max("year").alias("_b"))
+    age = F.when(F.col("_b") > F.col("_a"), 1 - (F.col("year") - F.col("_a")) / (F.col("_b") - F.col("_a"))).when(F.col("year").isNotNull(), 0.0)
+    return years.crossJoin(F.broadcast(span)).withColumn("age", F.round(age, 6)).drop("_a", "_b")  # one row
+
+
+def resorted(rows: DataFrame, column: str, descending: bool) -> DataFrame:
+    """The rows of a bounded list in the order of one of its columns; ties by path."""
+    return rows.orderBy(F.desc(column) if descending else F.asc(column), "path")
+
+
+def histogram(issues: DataFrame, advisory: list[str]) -> DataFrame:
+    """(rule, issues, hard) per rule; advisory rules are not hard."""
+    return issues.groupBy("rule").agg(F.count("*").alias("issues")).withColumn("hard", ~F.col("rule").isin(*advisory))
+
+
+def fields_touched(changes: DataFrame) -> DataFrame:
+    return changes.groupBy("field").agg(F.count("*").alias("records"))
+
+
+def preflight(checks: DataFrame) -> DataFrame:
+    """One row over checks (state: PASS, FAIL, WARN, INFO): passed of all that decide (a warning counts as not passed), and whether none failed."""
+    decided = F.col("state").isin("PASS", "WARN", "FAIL")
+    return checks.agg(F.count_if(F.col("state") == "PASS").alias("passed"), F.count_if(decided).alias("total"), (F.count_if(F.col("state") == "FAIL") == 0).alias("ready"))
+
+
+def severity_counts(findings: DataFrame) -> DataFrame:
+    """One row a run: findings by severity, and how many are accepted or fixed."""
+    is_open = ~F.col("state").isin("ACCEPTED", "FIXED")
+    return findings.groupBy("run").agg(*[F.count_if((F.col("severity") == s) & is_open).alias(s.lower()) for s in ("Critical", "High", "Medium", "Low")], F.count_if(F.col("state") == "ACCEPTED").alias("accepted"), F.count_if(F.col("state") == "FIXED").alias("fixed"))
+
+
+def mean_score(*scores: Column) -> Column:
+    """The mean of scores from 1 to 10, to one decimal."""
+    return F.round(sum(scores[1:], scores[0]) / len(scores), 1)
+
+
 def year_series(by_year: DataFrame) -> DataFrame:
     """by_year (year, files, bytes) with the years between the first and the last filled with 0."""
     span = by_year.agg(F.min("year").alias("a"), F.max("year").alias("b")).select(F.explode(F.sequence("a", "b")).alias("year"))

@@ -59,6 +59,40 @@ def match(commands: DataFrame, rules: DataFrame) -> DataFrame:
     return commands.select("command").distinct().withColumn("rules", F.size(hits).cast("long"))
 
 
+# Fixed value: a run counts as live for this many seconds after its last sign.
+LIVE_SECONDS = 1_800
+
+
+def switch_state(managed: Column, user: Column, project: Column, local: Column, parse_failed: Column) -> Column:
+    """Whether a setting is on, and by what: policy first, then the user's own value; without either it
+    is off where any project file names it or a file does not parse, else on."""
+    named = project.isNotNull() | local.isNotNull()
+    return (
+        F.when(managed.isNotNull(), F.when(managed, "on: policy").otherwise("off: policy"))
+        .when(user.isNotNull(), F.when(user, "on: user").otherwise("off: user"))
+        .when(named, "off: named in a project")
+        .when(parse_failed, "off: a file does not parse")
+        .otherwise("on: default")
+    )
+
+
+def kept_hooks(hooks: Column, marker: str) -> Column:
+    """Hooks (array of structs with `command`) without those whose command holds the marker; hooks
+    without a command are kept."""
+    return F.filter(hooks, lambda h: ~F.coalesce(F.contains(h["command"], F.lit(marker)), F.lit(False)))
+
+
+def legacy_state(commands: Column, marker: str, heartbeat_age: Column) -> Column:
+    """none, installed or live: an old install is live while its heartbeat is recent."""
+    hit = F.exists(commands, lambda c: F.contains(c, F.lit(marker)))
+    return F.when(~F.coalesce(hit, F.lit(False)), "none").when(heartbeat_age <= LIVE_SECONDS, "live").otherwise("installed")
+
+
+def may_uninstall(state: Column, forced: Column) -> Column:
+    """A live run is not taken away unless told to."""
+    return (state != "live") | forced
+
+
 def reconcile(have: DataFrame, want: DataFrame, ours: DataFrame) -> DataFrame:
     """(rule, action): add what is wanted and missing, adopt what is there but not recorded as ours,
     remove what is ours and no longer wanted, keep the rest that is ours."""

@@ -42,6 +42,34 @@ def fetch_outcome(status: Column, etag_hit: Column, retry_after: Column, reset_a
     return F.struct(kind.alias("kind"), F.when(kind == "limited", wait).alias("retry_seconds"))
 
 
+# Hosts that an update may come from, and the age of a leftover.
+DOWNLOAD_HOSTS = ["api.github.com", "github.com", "objects.githubusercontent.com"]
+DOWNLOAD_DOMAIN = ".githubusercontent.com"
+STALE_SECONDS = 86_400
+
+
+def update_status(kind: Column, remote: Column, current: Column, asset: Column) -> Column:
+    """struct(status, reason) of an update check from how the request ended (fetch_outcome's kinds):
+    offline, no-releases, rate-limited and error as they are, else by versions; an update without a
+    build for this machine says so."""
+    newer = is_newer(remote, current)
+    status = F.when(kind == "none", "no-releases").when(kind == "limited", "rate-limited").when(kind == "offline", "offline").when(kind == "error", "error").when(newer, "available").otherwise("up-to-date")
+    return F.struct(status.alias("status"), F.when((status == "available") & asset.isNull(), "no-asset-for-arch").alias("reason"))
+
+
+def allowed_download(url: Column, override_host: str | None = None) -> Column:
+    """Whether a url may be fetched: https from a known host, or the override's very host and port."""
+    host, authority = F.lower(F.try_parse_url(url, F.lit("HOST"))), F.lower(F.try_parse_url(url, F.lit("AUTHORITY")))
+    known = (F.lower(F.try_parse_url(url, F.lit("PROTOCOL"))) == "https") & (host.isin(*DOWNLOAD_HOSTS) | host.endswith(DOWNLOAD_DOMAIN))
+    return F.coalesce(known | (F.lit(False) if override_host is None else authority == override_host), F.lit(False))
+
+
+def stale_leftover(name: Column, age_seconds: Column, prefix: str, live: Column | None = None) -> Column:
+    """Whether a temporary file is left over: ours by prefix, not the one in use, and cut short or a day old."""
+    in_use = F.lit(False) if live is None else F.coalesce(live.startswith(name), F.lit(False))
+    return name.startswith(prefix + "-") & ~in_use & (name.endswith(".part") | (age_seconds > STALE_SECONDS))
+
+
 def digest_of(line: Column) -> Column:
     """The first word of a checksum line if it is a SHA-256, lower case."""
     first = F.lower(F.split(F.trim(line), r"\s+")[0])

@@ -56,6 +56,25 @@ def reject_reason(op: Column, src: Column, dst: Column) -> Column:
     return F.when(op != "move", "not a move").when(bad(src), "source path").when(bad(dst), "target path").when(src == dst, "same path")
 
 
+def operations_checksum(operations: DataFrame) -> DataFrame:
+    """(plan_id, checksum): SHA-256 over each plan's operations in a canonical form of our own.
+
+    Each operation's fields become one JSON text; plans add up their operations' digests as numbers, so
+    a plan of any size is combined on the map side and its order does not matter.
+    """
+    line = F.to_json(F.struct("dst", "op", "size", "src"))
+    digest = F.sha2(line.cast("binary"), 256)
+    part = lambda at: F.sum(F.conv(F.substring(digest, at, 8), 16, 10).cast("decimal(38,0)"))
+    sums = operations.groupBy("plan_id").agg(F.count("*").alias("_n"), *[part(1 + 8 * i).alias(f"_s{i}") for i in range(8)])
+    return sums.select("plan_id", F.sha2(F.concat_ws("|", "_n", *[F.col(f"_s{i}").cast("string") for i in range(8)]).cast("binary"), 256).alias("checksum"))
+
+
+def linked_sources(operations: DataFrame, links: DataFrame) -> DataFrame:
+    """Operations that move what some link (path, target) points at, with the number of such links."""
+    to = links.groupBy(F.col("target").alias("src")).agg(F.count("*").alias("links"))
+    return operations.join(to, "src")
+
+
 def dry_run(operations: DataFrame, inventory: DataFrame) -> DataFrame:
     """What each operation would meet now: missing, changed, collision or ready."""
     at = inventory.select(F.col("path").alias("src"), F.col("size").alias("_now"), F.lit(True).alias("_here"))
