@@ -127,12 +127,12 @@ def resolved(folder: Column, link: Column) -> Column:
     return F.concat(F.when(link.startswith("/"), "/").otherwise(""), F.array_join(F.aggregate(parts, F.array().cast("array<string>"), step), "/"))
 
 
-def classify_junk(files: DataFrame, now: Column, folders: DataFrame | None = None, apps: DataFrame | None = None, raw: str | None = None) -> DataFrame:
+def classify_junk(files: DataFrame, now: Column, folders: DataFrame | None = None, apps: DataFrame | None = None, raw: str | None = None, paths: DataFrame | None = None) -> DataFrame:
     """files (dir, name, size, mtime, hash) with `tier` and `family` (null: no junk).
 
     folders (dir, name) are folders that hold no file; those on the way to a file are known. apps
-    (name) are the installed apps; a column link holds a link's target, which is broken where no file or
-    folder has its path. `raw` names a column for the code before old files drop a tier. Siblings are met by equi-joins on (dir, name) and a count per
+    (name) are the installed apps; a column link holds a link's target. Where `paths` (path)
+    tells what else exists, a link is broken if no file, folder or path is its target. `raw` names a column for the code before old files drop a tier. Siblings are met by equi-joins on (dir, name) and a count per
     (dir, stem): a folder with many files is spread by name, never gathered.
     """
     name, no = F.col("name"), F.lit(False)
@@ -158,10 +158,11 @@ def classify_junk(files: DataFrame, now: Column, folders: DataFrame | None = Non
     link = F.lit(None).cast("string")
     if "link" in files.columns:
         link = F.col("link")
-        paths = files.select(F.concat_ws("/", "dir", "name").alias("_target")).unionByName(known.select(F.concat_ws("/", F.nullif("dir", F.lit("")), "_twin").alias("_target"))).distinct()
-        asks = F.coalesce(link != "", no)
-        met = rows.filter(asks).withColumn("_target", resolved(F.col("dir"), link)).join(paths.withColumn("_link", yes), "_target", "left").drop("_target")
-        rows = met.unionByName(rows.filter(~asks).withColumn("_link", no))
+        there_is = paths.select(F.col("path").alias("_target")) if paths is not None else files.limit(0).select(F.lit("").alias("_target"))
+        targets = there_is.unionByName(files.select(F.concat_ws("/", "dir", "name").alias("_target"))).unionByName(known.select(F.concat_ws("/", F.nullif("dir", F.lit("")), "_twin").alias("_target"))).distinct()
+        asks = F.coalesce(link != "", no) & F.lit(paths is not None)
+        met = rows.filter(asks).withColumn("_target", resolved(F.col("dir"), link)).join(targets.withColumn("_link", yes), "_target", "left").drop("_target")
+        rows = met.unionByName(rows.filter(~asks).withColumn("_link", F.lit(paths is None)))
     else:
         rows = rows.withColumn("_link", no)
     first, there = F.coalesce("_there", no), F.coalesce("_there", "_there2", no)

@@ -144,8 +144,8 @@ def leader_clusters(items: DataFrame, max_rounds: int = 60) -> DataFrame:
 
 
 # Letters, spellings and limits of the lint rules for a romanised script.
-DEVANAGARI = r"[ऀ-ॿ]"
-RETROFLEX_LETTERS = "टठडढणड़ढ़"
+DEVANAGARI = r"[ऀ-ॣ॰-ॿ]"
+RETROFLEX_LETTERS = "टठडढ"
 FINAL_ALLOWED = ["koii", "gaii", "naii", "bhaii", "huii", "laii", "aaii", "kaii", "daii", "maii"]
 CANONICAL = {
     "yah": "yeh", "vah": "voh", "hei": "hai", "hain'": "hain", "kya": "kyaa", "kyun": "kyon", "kyu": "kyon", "nahi": "nahin", "nahiin": "nahin", "nahee": "nahin", "acchaa": "achchhaa", "achha": "achchhaa", "acha": "achchhaa",
@@ -177,7 +177,7 @@ def native_present(native: Column, sentence: Column) -> Column:
 
 def mark_retroflex(html: Column) -> Column:
     """Capitals that stand for retroflex consonants in a span, in text that is escaped already."""
-    return F.regexp_replace(html, "([TDR]h?)", '<span class="rx">$1</span>')
+    return F.regexp_replace(html, "([TDR]h?)", '<span class=rx>$1</span>')
 
 
 def fixed_text(text: Column) -> Column:

@@ -69,7 +69,7 @@ def test_deck_lint(spark):
     assert got == {2: {"spelling_form", "stray_capital", "unaligned_sentence", "missing_sent_en", "word_not_in_sentence"}, 3: {"final_vowel"}, 4: {"native_leak"}}
     text = rows(spark, [("Kya nahi koii paanii",), ("yah davaaii।",)], "t string")
     assert values(text, records.fixed_text(F.col("t"))) == ["kyaa nahin koii paani", "yeh davaaii."]
-    assert values(rows(spark, [("Thiik laRkaa",)], "t string"), records.mark_retroflex(F.col("t"))) == ['<span class="rx">Th</span>iik la<span class="rx">R</span>kaa']
+    assert values(rows(spark, [("Thiik laRkaa",)], "t string"), records.mark_retroflex(F.col("t"))) == ['<span class=rx>Th</span>iik la<span class=rx>R</span>kaa']
 
 
 def test_rules_and_versions(spark):
@@ -143,7 +143,7 @@ def test_plans(spark):
 
 def test_links_and_keys(spark):
     files = rows(spark, [("d/e", "l1", 3, 0, None, "../x.txt"), ("d/e", "l2", 3, 0, None, "../gone"), ("d/e", "l3", 3, 0, None, "/Volumes/u/a"), ("d", "x.txt", 3, 0, None, None), ("d/e", "l4.log", 3, 0, None, "../e")], "dir string, name string, size long, mtime long, hash string, link string")
-    got = {r.name: (r.tier, r.family) for r in classify.classify_junk(files, F.lit(0)).collect()}
+    got = {r.name: (r.tier, r.family) for r in classify.classify_junk(files, F.lit(0), paths=rows(spark, [("elsewhere",)], "path string")).collect()}
     assert got == {"l1": (None, None), "l2": ("B", "J10"), "l3": ("C", "J10"), "x.txt": (None, None), "l4.log": (None, None)}
     content = rows(spark, [("a/x.md", "-----BEGIN RSA PRIVATE KEY-----"), ("a/x.py", "-----BEGIN RSA PRIVATE KEY-----"), ("secrets/a.swift", ""), ("x/.docker/config.json", "{}")], "p string, c string")
     assert values(content, classify.secret_path_reason(F.col("p"), F.col("c"))) == ["private key inside", None, None, "container credentials"]
