@@ -5,10 +5,20 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _OWN_SCRATCH: dict[str, str] = {}
+#: What a Python worker keeps from one task to the next: loaded tokenizers and their caches.
+WORKER: dict = {}
+
+
+def clean_worker() -> None:
+    """Drop what other operators' tasks kept in this Python worker, which Spark uses for many stages."""
+    if WORKER:
+        WORKER.clear()
+        pa.default_memory_pool().release_unused()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fresh
+from .common import clean_worker, fresh
 
 UNKNOWN = "und"
 #: Genealogical families of common language codes.
@@ -143,6 +143,7 @@ def fit(labelled: DataFrame, text: str = "text", label: str = "lang", id_col: st
     first = Window.partitionBy("y").orderBy("h")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        clean_worker()
         for batch in batches:
             sparse = [features(t) for t in batch["t"]]
             at = [np.flatnonzero(x) for x in sparse]
@@ -167,6 +168,7 @@ def predict(docs: DataFrame, model: Model | None, text: str = "text", keep: list
 
     @F.pandas_udf("label string, score double")
     def judge(texts: pd.Series, ok: pd.Series) -> pd.DataFrame:
+        clean_worker()
         model = shared.value
         out = [model.predict(t) if known and model else (UNKNOWN, 0.0) for t, known in zip(texts, ok, strict=True)]
         return pd.DataFrame(out, columns=["label", "score"])

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import likeness
-from .common import hot_split_join, keep_first, written
+from .common import clean_worker, hot_split_join, keep_first, written
 from .components import components
 
 _HASH = xxhash.xxh64_intdigest
@@ -58,6 +58,7 @@ def fingerprints(docs: DataFrame, text: str = "text", id_col: str = "doc_id", wo
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        clean_worker()
         for batch in batches:
             fps = np.fromiter((simhash(t, words_per_shingle, seed) for t in batch["t"]), np.uint64, len(batch))
             yield pd.DataFrame({"id": batch["id"], "fp": fps.view(np.int64)})
