@@ -76,3 +76,64 @@ def top_children(files: DataFrame, keep: int) -> DataFrame:
     kept = first.groupBy("dir").agg(F.count("*").alias("kn"), F.sum("size").alias("kb"))
     rest = total.join(kept, "dir").filter("n > kn").select("dir", F.lit(None).cast("string").alias("path"), (F.col("b") - F.col("kb")).alias("size"), (F.col("n") - F.col("kn")).alias("files"))
     return first.select("dir", "path", "size", F.lit(1).cast("long").alias("files")).unionByName(rest)
+
+
+# Limits of the pruned tree map.
+MAP_LEAST, MAP_MOST, MAP_FILES, MAP_DEPTH, MAP_SHARE, MAP_FLOOR = 8, 50, 50, 12, 0.005, 4096
+
+
+def treemap(files: DataFrame, root: str, budget: int) -> DataFrame:
+    """(dir, depth, kind, path, size, files, categories): what a tree map of `root` shows, a row a box.
+
+    files (path, size, category). Of each shown folder its largest entries stay (at most 50, fewer as
+    the budget of its level shrinks, always those of half a percent of the folder or more), if they
+    reach the floor and are less than 12 deep; kinds are `dir` and `file`. All else of a folder is one
+    `rest` row, with the bytes of each category, so that rows of a folder add up to it exactly. Ties go
+    to folders first, then to the smaller path.
+
+    The budget of a folder follows from its parent's, so levels are settled one after another, at most
+    12 times. The floor is a millionth of all bytes, and folders of one level share no file: a level
+    holds at most 10^6 folders, however many files there are. A folder's files are ranked by partial
+    top lists, not sorted whole. Null sizes count as 0; a root that holds no file gives no rows.
+    """
+    inside = files.filter(F.col("path").startswith(root + "/")).select("path", F.coalesce("size", F.lit(0)).cast("long").alias("size"), "category")
+    by_category = rollup(inside, "category").select("dir", "category", "files", "bytes").checkpoint()
+    whole = by_category.groupBy("dir").agg(F.sum("files").alias("files"), F.sum("bytes").alias("size"))
+    total = whole.filter(F.col("dir") == root).first()
+    empty = files.sparkSession.createDataFrame([], "dir string, depth int, kind string, path string, size long, files long, categories map<string,bigint>")
+    if total is None:
+        return empty
+    floor = max(MAP_FLOOR, total["size"] // 1_000_000)
+    order = [F.desc("size"), "kind", "path"]
+    own = inside.withColumn("dir", parent(F.col("path"))).withColumn("kind", F.lit("file"))
+    largest = own.withColumn("_n", F.row_number().over(Window.partitionBy("dir").orderBy(*order))).filter(F.col("_n") <= MAP_FILES).select("dir", "kind", "path", "size", F.lit(1).cast("long").alias("files"), "category")
+    folders_ = whole.filter(F.col("dir") != root).select(parent(F.col("dir")).alias("dir"), F.lit("dir").alias("kind"), F.col("dir").alias("path"), "size", "files", F.lit(None).cast("string").alias("category"))
+    entries = folders_.unionByName(largest)
+    # An entry of half a percent is among the first 200, so no more need to be ranked.
+    first = entries.withColumn("_n", F.row_number().over(Window.partitionBy("dir").orderBy(*order))).filter(F.col("_n") <= int(1 / MAP_SHARE) + MAP_MOST).checkpoint()
+    counts = entries.groupBy("dir").agg(F.count("*").alias("_entries"))
+    frontier = files.sparkSession.createDataFrame([(root, budget)], "dir string, budget long")
+    shown = empty.drop("categories").withColumn("category", F.lit(None).cast("string"))
+    for depth in range(MAP_DEPTH + 1):
+        level = frontier.join(whole.withColumnsRenamed({"size": "_total", "files": "_files"}), "dir").join(counts, "dir", "left")
+        keep = F.least(F.coalesce("_entries", F.lit(0)), F.greatest(F.lit(MAP_LEAST), F.floor(F.col("budget") / 4)), F.lit(MAP_MOST))
+        met = level.withColumn("_keep", keep).join(first, "dir")
+        kept_bytes = F.greatest(F.sum(F.when(F.col("_n") <= F.col("_keep"), F.col("size"))).over(Window.partitionBy("dir")), F.lit(1))
+        large = (F.col("_n") <= F.col("_keep")) | (F.col("size") >= MAP_SHARE * F.greatest(F.col("_total"), F.lit(1)))
+        pool = F.greatest(F.col("budget") - F.col("_keep"), F.lit(0))
+        chosen = met.withColumn("_kept", kept_bytes).filter(large & (F.col("size") >= floor) & F.lit(depth < MAP_DEPTH)).withColumn("_budget", F.floor(pool * (F.col("size") / F.col("_kept"))).cast("long")).checkpoint()
+        shown = shown.unionByName(frontier.select("dir", F.lit(depth).alias("depth"), F.lit("folder").alias("kind"), F.col("dir").alias("path"), F.lit(0).cast("long").alias("size"), F.lit(0).cast("long").alias("files"), F.lit(None).cast("string").alias("category")))
+        shown = shown.unionByName(chosen.select("dir", F.lit(depth).alias("depth"), "kind", "path", "size", "files", "category"))
+        frontier = chosen.filter("kind = 'dir'").select(F.col("path").alias("dir"), F.col("_budget").alias("budget"))
+        if frontier.isEmpty():
+            break
+    shown = shown.checkpoint()
+    boxes = shown.filter("kind <> 'folder'")
+    # What a folder's boxes hold of each category: a shown file its own, a shown folder its whole subtree.
+    held = boxes.filter("kind = 'file'").select("dir", "category", "size", "files").unionByName(boxes.filter("kind = 'dir'").select("dir", "path").join(by_category.select(F.col("dir").alias("path"), "category", F.col("bytes").alias("size"), "files"), "path").select("dir", "category", "size", "files"))
+    level_of = shown.filter("kind = 'folder'").select("dir", "depth")
+    all_ = level_of.join(by_category, "dir").select("dir", "depth", "category", F.col("bytes").alias("size"), "files")
+    left = all_.unionByName(held.join(level_of, "dir").select("dir", "depth", "category", (-F.col("size")).alias("size"), (-F.col("files")).alias("files")))
+    rest = left.groupBy("dir", "depth", "category").agg(F.sum("size").alias("size"), F.sum("files").alias("files")).groupBy("dir", "depth").agg(F.sum("size").alias("size"), F.sum("files").alias("files"), F.map_from_entries(F.array_sort(F.collect_list(F.when(F.col("size") > 0, F.struct(F.coalesce("category", F.lit("other")), "size"))))).alias("categories")).filter("files > 0")
+    none = F.lit(None).cast("map<string,bigint>")
+    return boxes.select("dir", "depth", "kind", "path", "size", "files", none.alias("categories")).unionByName(rest.select("dir", "depth", F.lit("rest").alias("kind"), F.lit(None).cast("string").alias("path"), "size", "files", "categories"))
