@@ -69,3 +69,13 @@ def coverage(inventory: DataFrame, read: DataFrame, skipped: DataFrame) -> DataF
     flag = lambda df, name: df.select("path").distinct().withColumn(name, F.lit(True))
     met = inventory.select("path").distinct().join(flag(read, "r"), "path", "left").join(flag(skipped, "s"), "path", "left")
     return met.agg(F.count("*").alias("known"), F.count_if(F.col("r")).alias("read"), F.count_if(F.col("r").isNull() & F.col("s")).alias("skipped"), F.count_if(F.col("r").isNull() & F.col("s").isNull()).alias("unaccounted"))
+
+
+def slug(title: Column) -> Column:
+    """The first three words of a title in lower case, joined by hyphens; for readers, not for matching."""
+    words = F.filter(F.split(F.lower(title), "[^a-z0-9]+"), lambda w: w != "")
+    return F.array_join(F.slice(words, 1, 3), "-")
+
+
+def finding_key(cat: Column, title: Column, hash8: Column) -> Column:
+    return F.concat_ws("-", cat, F.nullif(slug(title), F.lit("")), hash8)

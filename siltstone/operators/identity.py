@@ -65,29 +65,29 @@ NAME_PARTS = r"(?s)^(.+?)(\.[^.]*)?$"
 NUMBERED = r"(?s)^(.+) \[dup(\d{1,9})\](\.[^.]*)?$"
 
 
-def free_names(moves: DataFrame, taken: DataFrame) -> DataFrame:
-    """moves (dup_dir, name, rel) with `stored_as`: the name, or with " [dupN]", N from 2 on, where it
+def free_names(moves: DataFrame, taken: DataFrame, mark: str = "dup", lowest: int = 2) -> DataFrame:
+    """moves (dup_dir, name, rel) with `stored_as`: the name, or with " [<mark>N]", N from `lowest` on, where it
     is taken. Upper and lower case are one name. Names given or taken are reserved first, so a number
     that such a name already has is passed over; rows are served in order of rel.
 
-    The j-th free number is j + 1 and one more for each reserved number that has fewer than j free
+    The j-th free number is j + `lowest` - 1 and one more for each reserved number that has fewer than j free
     ones below it: a running count over a group's needs and reserved numbers, without a loop.
     """
     stem, ext = F.regexp_extract("name", NAME_PARTS, 1), F.regexp_extract("name", NAME_PARTS, 2)
-    low = F.lower("name")
+    low, numbered = F.lower("name"), NUMBERED.replace("dup", mark)
     fixed = taken.select("dup_dir", F.lower("name").alias("_low")).distinct().withColumn("_taken", F.lit(1))
     served = Window.partitionBy("dup_dir", "_low").orderBy("rel")
     rows = moves.withColumn("_low", low).join(fixed, ["dup_dir", "_low"], "left").withColumn("_j", F.row_number().over(served) - 1 + F.coalesce("_taken", F.lit(0)))
     known = moves.select("dup_dir", low.alias("_n")).unionByName(taken.select("dup_dir", low.alias("_n"))).distinct()
-    n = F.regexp_extract("_n", NUMBERED, 2).cast("int")
-    held = known.filter(F.col("_n").rlike(NUMBERED)).select("dup_dir", F.concat(F.regexp_extract("_n", NUMBERED, 1), F.regexp_extract("_n", NUMBERED, 3)).alias("_low"), n.alias("_held"), F.col("_n").endswith(F.concat(F.lit(" [dup"), n.cast("string"), F.lit("]"), F.regexp_extract("_n", NUMBERED, 3))).alias("_plain")).filter("_plain and _held >= 2").drop("_plain")
-    below = F.col("_held") - 1 - F.row_number().over(Window.partitionBy("dup_dir", "_low").orderBy("_held"))
+    n = F.regexp_extract("_n", numbered, 2).cast("int")
+    held = known.filter(F.col("_n").rlike(numbered)).select("dup_dir", F.concat(F.regexp_extract("_n", numbered, 1), F.regexp_extract("_n", numbered, 3)).alias("_low"), n.alias("_held"), F.col("_n").endswith(F.concat(F.lit(f" [{mark}"), n.cast("string"), F.lit("]"), F.regexp_extract("_n", numbered, 3))).alias("_plain")).filter(f"_plain and _held >= {lowest}").drop("_plain")
+    below = F.col("_held") - (lowest - 1) - F.row_number().over(Window.partitionBy("dup_dir", "_low").orderBy("_held"))
     marks = held.select("dup_dir", "_low", below.alias("_at"), F.lit(1).alias("_mark"))
     needs = rows.withColumns({"_at": F.col("_j"), "_mark": F.lit(0)})
     seen = Window.partitionBy("dup_dir", "_low").orderBy("_at", "_mark").rowsBetween(Window.unboundedPreceding, 0)
     counted = needs.unionByName(marks, allowMissingColumns=True).withColumn("_over", F.sum("_mark").over(seen)).filter("_mark = 0")
-    number = F.col("_j") + 1 + F.col("_over")
-    stored = F.when(F.col("_j") == 0, F.col("name")).otherwise(F.concat(stem, F.lit(" [dup"), number.cast("string"), F.lit("]"), ext))
+    number = F.col("_j") + (lowest - 1) + F.col("_over")
+    stored = F.when(F.col("_j") == 0, F.col("name")).otherwise(F.concat(stem, F.lit(f" [{mark}"), number.cast("string"), F.lit("]"), ext))
     return counted.withColumn("stored_as", stored).drop("_low", "_taken", "_j", "_at", "_mark", "_over")
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from siltstone.functions.text import csv_unsafe
 
-from .identity import poisoned_hashes
+from .identity import free_names, poisoned_hashes
 
 
 def quarantine_classes(quarantined: DataFrame, outside: DataFrame) -> DataFrame:
@@ -39,6 +39,14 @@ def heal_plan(classified: DataFrame) -> DataFrame:
     return rows.withColumns({"restore": F.col("_n") == 1, "restore_name": F.regexp_replace("name", r" \[dup\d+\](?=(\.[^.]*)?$)", "")}).drop("_n")
 
 
+def restored_names(healed: DataFrame, there: DataFrame) -> DataFrame:
+    """Rows of heal_plan that go back, with `final`: the clean name, or with " [recoveredN]", N from 2
+    on, where the folder has it (`there`: dir_rel, name) or another row takes it."""
+    back = healed.filter("restore").withColumns({"dup_dir": F.col("dir_rel"), "_was": F.col("name"), "name": F.col("restore_name")})
+    given = free_names(back, there.select(F.col("dir_rel").alias("dup_dir"), "name"), "recovered", 2)
+    return given.withColumns({"final": F.col("stored_as"), "name": F.col("_was")}).drop("dup_dir", "_was", "stored_as")
+
+
 def twins(quarantined: DataFrame, outside: DataFrame, most: int = 5, salts: int = 64) -> DataFrame:
     """Each quarantined row with the number of outside twins and the first `most` of their paths.
 

@@ -80,3 +80,79 @@ def version_lines(text: Column, version: str) -> Column:
     """Lines that hold the version and not a longer one."""
     bound = r"(^|[^0-9.])" + version.replace(".", r"\.") + r"([^0-9]|$)"
     return F.filter(F.split(text, "\n"), lambda s: F.rlike(s, F.lit(bound)))
+
+
+# Files whose versions are history or made by tools.
+HISTORY = r"(?i)(^|/)(changelog|release[_-]?notes)[^/]*$"
+LOCKS = r"(^|/)(package-lock\.json|npm-shrinkwrap\.json|pnpm-lock\.yaml|yarn\.lock|Cargo\.lock|poetry\.lock|uv\.lock|Pipfile\.lock|Gemfile\.lock|composer\.lock|go\.sum)$"
+COMMENTED = r"^\s*(#|//|/\*|\*|<!--|;|--)"
+
+
+def version_hits(files: DataFrame, version: str) -> DataFrame:
+    """(path, line) of files (path, text) that a release of `version` has to change: lines that hold it,
+    but for changelogs, lock files and comments."""
+    kept = files.filter(~F.col("path").rlike(HISTORY) & ~F.col("path").rlike(LOCKS))
+    return kept.select("path", F.explode(version_lines(F.col("text"), version)).alias("line")).filter(~F.col("line").rlike(COMMENTED))
+
+
+# Types of projects in the order in which they are tried, each with its signals as a
+# condition over what a repository's files show (see project_types).
+PROJECT_TYPES = [
+    ("electron app", "electron and (builder_file or builder_key)"),
+    ("npm library", "named and not electron and not private"),
+    ("swift app", "xcodegen"),
+    ("xcode app", "xcodeproj and not xcodegen"),
+    (".net app", "csproj"),
+    ("c++ cmake", "cmake"),
+    ("c++ qt", "qmake"),
+    ("python library", "project_table"),
+    ("python app", "requirements and entry_point and not project_table"),
+    ("rust", "crate"),
+    ("go", "go_module"),
+    ("docker server", "dockerfile and compose and not manifest"),
+    ("browser extension", "extension"),
+    ("monorepo", "below > 1"),
+    ("subdir app", "below = 1"),
+]
+_MANIFESTS = r"(package\.json|pyproject\.toml|Cargo\.toml|go\.mod|CMakeLists\.txt|project\.yml)"
+
+
+def project_types(files: DataFrame) -> DataFrame:
+    """(repo, type, flavour) of files (repo, path, text): the first type whose signals a repository shows,
+    else source-only; flavour is the lock file's tool of a JavaScript project.
+
+    Signals are flags that add up on the map side, so a repository of any size is one row early.
+    Whether a repository pushes without releases is not in its files and not judged.
+    """
+    at = lambda pattern: F.col("path").rlike(pattern)
+    holds = lambda path, pattern: (F.col("path") == path) & F.coalesce(F.col("text").rlike(pattern), F.lit(False))
+    flags = {
+        "electron": holds("package.json", r'"electron"\s*:'),
+        "builder_file": at(r"^electron-builder\.ya?ml$"),
+        "builder_key": holds("package.json", r'"build"\s*:\s*\{'),
+        "named": holds("package.json", r'(?s)(?=.*"name"\s*:)(?=.*"version"\s*:)'),
+        "private": holds("package.json", r'"private"\s*:\s*true'),
+        "xcodegen": at(r"^project\.yml$"),
+        "xcodeproj": at(r"^[^/]+\.xcodeproj(/|$)"),
+        "csproj": at(r"\.csproj$"),
+        "cmake": at(r"^CMakeLists\.txt$"),
+        "qmake": at(r"^[^/]+\.pro$"),
+        "project_table": holds("pyproject.toml", r"(?m)^\[project\]"),
+        "requirements": at(r"^requirements\.txt$"),
+        "entry_point": at(r"^(app|main|server|run|manage|wsgi|__main__)\.py$"),
+        "crate": holds("Cargo.toml", r"(?m)^\[package\]"),
+        "go_module": at(r"^go\.mod$"),
+        "dockerfile": at(r"^Dockerfile$"),
+        "compose": at(r"^docker-compose\.ya?ml$"),
+        "manifest": at(rf"^{_MANIFESTS}$"),
+        "extension": holds("manifest.json", r'"manifest_version"\s*:'),
+        "pnpm": at(r"^pnpm-lock\.yaml$"),
+        "yarn": at(r"^yarn\.lock$"),
+    }
+    inner = F.when(at(rf"^[^/]+/(.+/)?{_MANIFESTS}$"), F.regexp_extract("path", "^(.*)/[^/]*$", 1))
+    facts = files.groupBy("repo").agg(*[F.coalesce(F.bool_or(test), F.lit(False)).alias(name) for name, test in flags.items()], F.count_distinct(inner).alias("below"))
+    kind = F.lit("source-only")
+    for name, test in reversed(PROJECT_TYPES):
+        kind = F.when(F.expr(test), name).otherwise(kind)
+    flavour = F.when(F.col("named") | F.col("electron"), F.when(F.col("pnpm"), "pnpm").when(F.col("yarn"), "yarn").otherwise("npm"))
+    return facts.select("repo", kind.alias("type"), flavour.alias("flavour"))

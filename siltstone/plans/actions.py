@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.functions.text import CLOCK_YEARS, extension
+from siltstone.operators.identity import free_names
 from siltstone.operators.photos import SIDECARS
 
 # File names that carry a date, and the limits of consent.
@@ -83,6 +84,28 @@ def dry_run(operations: DataFrame, inventory: DataFrame) -> DataFrame:
     return met.withColumn("outcome", F.when(F.col("_here").isNull(), "missing").when(~F.col("_now").eqNullSafe(F.col("size")), "changed").when(F.col("_taken"), "collision").otherwise("ready")).drop("_now", "_here", "_taken")
 
 
+def final_targets(operations: DataFrame, inventory: DataFrame) -> DataFrame:
+    """operations (src, dst) that can run, with `final`: dst, or dst with " [tN]", N from 1 on, before the
+    extension where dst exists or an operation with a smaller src takes it. No file is overwritten."""
+    folder, name = (F.regexp_extract(F.col(c), r"(?s)^(.*?)([^/]*)$", n) for c, n in (("dst", 1), ("dst", 2)))
+    moves = operations.withColumns({"dup_dir": folder, "name": name, "rel": F.col("src")})
+    taken = inventory.select(F.regexp_extract("path", r"(?s)^(.*?)([^/]*)$", 1).alias("dup_dir"), F.regexp_extract("path", r"(?s)^(.*?)([^/]*)$", 2).alias("name"))
+    given = free_names(moves, taken, "t", 1)
+    return given.withColumn("final", F.concat("dup_dir", "stored_as")).drop("dup_dir", "name", "rel", "stored_as")
+
+
+def plan_refusal(plans: DataFrame, operations: DataFrame, root: str, token: str) -> DataFrame:
+    """(plan_id, reason): why a plan (plan_id, root, checksum) may not run, null if it may: another token,
+    another root, changed operations, or an operation that reject_reason or the root refuses."""
+    sums = operations_checksum(operations).withColumnRenamed("checksum", "_now")
+    inside = lambda c: F.col(c).startswith(root + "/")
+    below = lambda c: F.substr(F.col(c), F.lit(len(root) + 2))
+    bad = F.when(~(inside("src") & inside("dst")), "outside the folder").otherwise(reject_reason(F.col("op"), below("src"), below("dst")))
+    worst = operations.groupBy("plan_id").agg(F.min(bad).alias("_bad"))
+    met = plans.join(sums, "plan_id", "left").join(worst, "plan_id", "left")
+    return met.select("plan_id", F.when(F.col("plan_id") != token, "approval token").when(F.col("root") != root, "another folder").when(~F.col("_now").eqNullSafe(F.col("checksum")), "changed since").otherwise(F.col("_bad")).alias("reason"))
+
+
 # Idle time before an archive, and top folders that plans leave alone.
 ARCHIVE_IDLE = 3 * 365 * 86_400
 RESERVED = ["Archive", "Photos", "Screenshots", "_Quarantine"]

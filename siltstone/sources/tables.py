@@ -92,8 +92,10 @@ def hardlink_first(files: DataFrame) -> DataFrame:
 
 
 def local_state(flags: Column, blocks: Column, size: Column) -> Column:
-    """Placeholder where the dataless flag is set, whatever the blocks; local where anything is stored."""
-    return F.when(flags.bitwiseAND(F.lit(0x40000000)) != 0, "placeholder").when((size > 0) & (blocks == 0), "placeholder").otherwise("local")
+    """Placeholder where the dataless flag is set, whatever else is; local where anything is stored, where
+    nothing need be, or where the file is compressed into its attributes."""
+    has = lambda flag: F.coalesce(flags, F.lit(0)).bitwiseAND(F.lit(flag)) != 0
+    return F.when(has(0x40000000), "placeholder").when((size > 0) & (blocks == 0) & ~has(0x20), "placeholder").otherwise("local")
 
 
 def identify(files: DataFrame, now: Column, guard_seconds: int = 120) -> DataFrame:
