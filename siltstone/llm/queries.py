@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, iblt, langid, mixing, packing, sharding, simhash, tokens, urls, warc
+from . import ann, dialogue, iblt, langid, mixing, packing, sharding, simhash, tokens, urls, warc
 from .common import scratch_path, table, written
 
 SHARDS = 8
@@ -227,6 +227,76 @@ def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(vectors, vectors.filter(F.col("vec_id") % 20 == 0))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_warc, op2_sharding, op3_fingerprints, op4_urls, op5_tokens, op6_packing, op7_mixing, op8_langid, op9_simhash, op10_ann)}
+def op12_dialogue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations")
+    every = rows.select(F.col("conv_id").alias("id")).distinct()
+    fixed = dialogue.repair(dialogue.damage(rows))
+    zero, empty = F.lit(0).cast("long"), F.lit("")
+    met = every.join(fixed, F.col("id").eqNullSafe(F.col("conv_id")), "left")
+    sums = [F.coalesce(c, zero).alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return met.select(F.col("id").alias("conv_id"), *sums, F.coalesce("audit", empty).alias("audit"), F.coalesce("repaired_sha256", F.sha2(empty, 256)).alias("repaired_sha256"))
 
-ORACLE_SQL: dict[str, str] = {"op1_warc": OP1_SQL, "op2_sharding": OP2_SQL, "op7_mixing": OP7_SQL}
+
+def _edit(state: str, cost: str, letter: str, line: str = "") -> str:
+    """A state after one more edit; null where the state was not reached."""
+    lines = f"list_append({state}.t, {line})" if line else f"{state}.t"
+    return f"CASE WHEN {state} IS NOT NULL THEN {{'c': {state}.c + {cost}, 'a': {state}.a || '{letter}', 't': {lines}}} END"
+
+
+def _op12_sql() -> str:
+    """Dynamic programming over a conversation's rows, one state struct (cost, audit, lines) for each place in the pattern."""
+    none = "NULL::STRUCT(c BIGINT, a VARCHAR, t VARCHAR[])"
+    user = "list_min([" + ", ".join(["s2", *(_edit(s, "2", "I", "'user:'") for s in ("s0", "s1", "s3"))]) + "])"
+    go = {s: f"CASE WHEN fault NOT IN ('blank', 'duplicate') THEN {_edit(s, '2 + cut', 'R', chr(39) + 'user:' + chr(39) + ' || text')} END" for s in ("x0", "x1", "x3")}
+    say = {s: f"CASE WHEN fault NOT IN ('blank', 'duplicate') AND initial = '{i}' THEN {_edit(s, 'cut', 'K', 'role || ' + chr(39) + ':' + chr(39) + ' || text')} END" for s, i in (("x0", "u"), ("x1", "u"), ("x3", "u"), ("x2", "a"))}
+    system = f"CASE WHEN fault NOT IN ('blank', 'duplicate') AND initial = 's' THEN {_edit('x0', 'cut', 'K', 'role || ' + chr(39) + ':' + chr(39) + ' || text')} END"
+    answer = f"CASE WHEN fault NOT IN ('blank', 'duplicate') THEN {_edit('x2', '2 + cut', 'R', chr(39) + 'assistant:' + chr(39) + ' || text')} END"
+    cut = {i: _edit(f"x{i}", "3", "D") for i in range(4)}
+    return f"""
+WITH RECURSIVE crc_start AS (
+  SELECT list_transform(range(0, 256), lambda v: list_reduce(list_prepend(v::UINTEGER, [i::UINTEGER for i in range(0, 8)]),
+    lambda c, i: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384::UINTEGER) ELSE c // 2 END)) AS t
+), keyed AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    hex(encode(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '))) AS h FROM conversations
+), crc AS (
+  SELECT conv_id, turn, role, text, xor(list_reduce(list_prepend(4294967295::UINTEGER, list_transform(regexp_extract_all(h, '..'), lambda x: ('0x' || x)::UINTEGER)),
+    lambda c, b: xor(c // 256, t[xor(c % 256, b) + 1])), 4294967295::UINTEGER) % 20 AS k FROM keyed, crc_start
+), damaged AS (
+  SELECT conv_id, turn, CASE WHEN k = 4 THEN 'user' ELSE role END AS role,
+    CASE k WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM crc, (SELECT unnest([0, 1]) AS copy) WHERE k <> 0 AND (copy = 0 OR k = 3)
+), ordered AS (
+  SELECT *, left(role, 1) AS initial, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS n,
+    regexp_extract(text, '([^\x20\x09-\x0D])[\x20\x09-\x0D]*$', 1, 's') AS final FROM damaged
+), judged AS (
+  SELECT *, CASE WHEN final = '' THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY n) > 1 THEN 'duplicate' WHEN final NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault,
+    lag(initial) OVER (PARTITION BY conv_id ORDER BY n) || initial AS pair FROM ordered
+), turns AS (SELECT *, CASE WHEN fault = 'truncated' THEN 1 ELSE 0 END AS cut FROM judged),
+dp AS (
+  SELECT conv_id, 0::BIGINT AS n, {{'c': 0::BIGINT, 'a': '', 't': []::VARCHAR[]}} AS s0, {none} AS s1, {none} AS s2, {none} AS s3 FROM (SELECT DISTINCT conv_id FROM conversations)
+  UNION ALL
+  SELECT conv_id, n, {cut[0]} AS s0, list_min([{cut[1]}, {system}]) AS s1,
+    list_min([{cut[2]}, {", ".join(say[s] for s in ("x0", "x1", "x3"))}, {", ".join(go.values())}]) AS s2,
+    list_min([{cut[3]}, {say["x2"]}, {answer}]) AS s3
+  FROM (SELECT *, list_min([s3, {_edit("x2", "2", "I", "'assistant:'")}]) AS x3 FROM (
+    SELECT o.*, s0 AS x0, s1 AS x1, {user} AS x2, s3 FROM dp d JOIN turns o ON o.conv_id IS NOT DISTINCT FROM d.conv_id AND o.n = d.n + 1))
+), ended AS (
+  SELECT conv_id, list_min([s0, s3, {_edit("x2", "2", "I", "'assistant:'")}]) AS e
+  FROM (SELECT *, {user} AS x2 FROM dp QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY n DESC) = 1)
+), sums AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank,
+    count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM turns GROUP BY conv_id
+)
+SELECT e.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated,
+  coalesce(illegal, 0)::BIGINT AS illegal, e.e.c AS cost, e.e.a AS audit, sha256(array_to_string(e.e.t, chr(10))) AS repaired_sha256
+FROM ended e LEFT JOIN sums s ON s.conv_id IS NOT DISTINCT FROM e.conv_id
+"""
+
+
+OP12_SQL = _op12_sql()
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_warc, op2_sharding, op3_fingerprints, op4_urls, op5_tokens, op6_packing, op7_mixing, op8_langid, op9_simhash, op10_ann, op12_dialogue)}
+
+ORACLE_SQL: dict[str, str] = {"op1_warc": OP1_SQL, "op2_sharding": OP2_SQL, "op7_mixing": OP7_SQL, "op12_dialogue": OP12_SQL}
