@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, dialogue, iblt, langid, mixing, packing, sharding, simhash, tokens, urls, warc
+from . import ann, dialogue, divergence, iblt, langid, mixing, packing, sharding, simhash, tokens, urls, warc
 from .common import scratch_path, table, written
 
 SHARDS = 8
@@ -297,6 +297,43 @@ FROM ended e LEFT JOIN sums s ON s.conv_id IS NOT DISTINCT FROM e.conv_id
 
 OP12_SQL = _op12_sql()
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_warc, op2_sharding, op3_fingerprints, op4_urls, op5_tokens, op6_packing, op7_mixing, op8_langid, op9_simhash, op10_ann, op12_dialogue)}
 
-ORACLE_SQL: dict[str, str] = {"op1_warc": OP1_SQL, "op2_sharding": OP2_SQL, "op7_mixing": OP7_SQL, "op12_dialogue": OP12_SQL}
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+def _share_of(n: str, total: str) -> str:
+    return f"1 + 1000000000::HUGEINT * ({n} + 1) // ({total} + v)"
+
+
+OP13_SQL = f"""
+WITH docs AS (
+  SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS terms
+  FROM documents
+), groups AS (SELECT DISTINCT lang, source FROM docs),
+said AS (SELECT lang, source, unnest(terms) AS term FROM docs),
+kept AS (SELECT lang, term FROM (SELECT lang, unnest(list_distinct(terms)) AS term FROM docs) GROUP BY ALL HAVING count(*) >= 3),
+counts AS (SELECT lang, source, term, count(*) AS n FROM said SEMI JOIN kept USING (lang, term) GROUP BY ALL),
+vs AS (SELECT lang, count(*) AS v FROM kept GROUP BY lang),
+of_group AS (SELECT lang, source, sum(n) AS total FROM counts GROUP BY ALL),
+of_lang AS (SELECT lang, term, sum(n) AS n, sum(sum(n)) OVER (PARTITION BY lang) AS total FROM counts GROUP BY lang, term),
+shares AS (
+  SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, {_share_of("coalesce(c.n, 0)", "coalesce(t.total, 0)")} AS p, {_share_of("l.n", "l.total")} AS q
+  FROM groups g JOIN kept k USING (lang) JOIN vs USING (lang) JOIN of_lang l ON l.lang = g.lang AND l.term = k.term
+  LEFT JOIN of_group t ON t.lang = g.lang AND t.source = g.source LEFT JOIN counts c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term
+), pairs AS (
+  SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value
+  FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL
+), parts AS (
+  SELECT g.lang, g.source, 'pair' AS part, o.source AS item, coalesce(value, 0) AS value
+  FROM groups g JOIN groups o ON o.lang = g.lang AND o.source <> g.source LEFT JOIN pairs p ON p.lang = g.lang AND p.source = g.source AND p.item = o.source
+  UNION ALL SELECT lang, source, 'term', term, (p - q) * (p - q) // q FROM shares WHERE n > 0 AND p > q
+)
+SELECT lang, source, part, item, value::BIGINT AS value, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INTEGER AS rank
+FROM parts QUALIFY part = 'pair' OR rank <= 200
+"""
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_warc, op2_sharding, op3_fingerprints, op4_urls, op5_tokens, op6_packing, op7_mixing, op8_langid, op9_simhash, op10_ann, op12_dialogue, op13_divergence)}
+
+ORACLE_SQL: dict[str, str] = {"op1_warc": OP1_SQL, "op2_sharding": OP2_SQL, "op7_mixing": OP7_SQL, "op12_dialogue": OP12_SQL, "op13_divergence": OP13_SQL}
