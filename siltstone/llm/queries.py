@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, dialogue, divergence, iblt, langid, mixing, packing, sharding, simhash, tokens, urls, warc
+from . import ann, dialogue, divergence, iblt, langid, mixing, mtree, packing, sharding, simhash, tokens, urls, warc
 from .common import scratch_path, table, written
 
 SHARDS = 8
@@ -227,6 +227,26 @@ def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(vectors, vectors.filter(F.col("vec_id") % 20 == 0))
 
 
+def op11_mtree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return mtree.search(vectors, vectors.filter(F.col("vec_id") % 20 == 0))
+
+
+OP11_SQL = """
+WITH usual AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x::DOUBLE))) = 0
+), vectors AS (
+  SELECT * FROM usual WHERE len(v) = (SELECT len(v) FROM usual GROUP BY len(v) ORDER BY count(*) DESC, len(v) DESC LIMIT 1)
+), scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, max(list_inner_product(q.v, c.v))::BIGINT AS score
+  FROM vectors q JOIN vectors c ON c.vec_id <> q.vec_id WHERE q.vec_id % 20 = 0 GROUP BY ALL
+)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score
+FROM scored QUALIFY rank <= 20
+"""
+
+
 def op12_dialogue(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations")
     every = rows.select(F.col("conv_id").alias("id")).distinct()
@@ -334,6 +354,6 @@ SELECT lang, source, part, item, value::BIGINT AS value, row_number() OVER (PART
 FROM parts QUALIFY part = 'pair' OR rank <= 200
 """
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_warc, op2_sharding, op3_fingerprints, op4_urls, op5_tokens, op6_packing, op7_mixing, op8_langid, op9_simhash, op10_ann, op12_dialogue, op13_divergence)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_warc, op2_sharding, op3_fingerprints, op4_urls, op5_tokens, op6_packing, op7_mixing, op8_langid, op9_simhash, op10_ann, op11_mtree, op12_dialogue, op13_divergence)}
 
-ORACLE_SQL: dict[str, str] = {"op1_warc": OP1_SQL, "op2_sharding": OP2_SQL, "op7_mixing": OP7_SQL, "op12_dialogue": OP12_SQL, "op13_divergence": OP13_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_warc": OP1_SQL, "op2_sharding": OP2_SQL, "op7_mixing": OP7_SQL, "op11_mtree": OP11_SQL, "op12_dialogue": OP12_SQL, "op13_divergence": OP13_SQL}
