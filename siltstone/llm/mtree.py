@@ -249,7 +249,7 @@ def search_pages(pages: pd.DataFrame, packs: pd.DataFrame, dim: int, most: int)
     met = angles(u, pivots)
     bound = np.where(may, promise(reach[:, None], np.maximum(met - outer[None, :], inner[None, :] - met)), -np.inf)
     order = np.argsort(-bound, axis=1, kind="stable")
-    held = [(np.asarray(p.vectors, np.float64).reshape(-1, dim), np.asarray(p.ids, np.int64), np.asarray(p.of), np.asarray(p.far, np.float64)) for p in pages.itertuples()]
+    held = [(np.asarray(p.vectors, np.float64).reshape(len(p.far), dim), np.asarray(p.ids, np.int64), np.asarray(p.of), np.asarray(p.far, np.float64)) for p in pages.itertuples()]
     live = np.arange(len(qid))
     for step in range(len(pages)):
         page = order[live, step]
