@@ -18,6 +18,10 @@ def hot_split_join(left: DataFrame, right: DataFrame, key: str, rows_col: str, t
     least = max(1.0, total * HOT_SHARE)
     hot = F.broadcast(right.filter(F.col(rows_col) > least).drop(rows_col))
     rest = right.filter(F.col(rows_col) <= least).drop(rows_col)
-    marks = F.broadcast(right.filter(F.col(rows_col) > least).select(key, F.lit(True).alias("_hot")))
+    taken = {c.lower() for c in (*left.columns, *right.columns)}
+    mark = "_hot"
+    while mark in taken:
+        mark = "_" + mark
+    marks = F.broadcast(right.filter(F.col(rows_col) > least).select(key, F.lit(True).alias(mark)))
     marked = left.join(marks, key, "left")
-    return marked.filter("_hot").drop("_hot").join(hot, key, "left").unionByName(marked.filter("_hot is null").drop("_hot").join(rest, key, "left"))
+    return marked.filter(F.col(mark)).drop(mark).join(hot, key, "left").unionByName(marked.filter(F.col(mark).isNull()).drop(mark).join(rest, key, "left"))
