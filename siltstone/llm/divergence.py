@@ -42,7 +42,7 @@ from .common import clean_worker, written
 
 _TERM = re.compile(rb"[^\x00-\x40\x5B-\x60\x7B-\x7F]+")
 #: A task hands its counts on when it holds so many, or terms of so many bytes together.
-HELD, HELD_BYTES = 200_000, 1 << 25
+HELD, HELD_BYTES = 400_000, 1 << 25
 #: Sources in a block, terms in a dense tile, postings in a sparse one.
 BLOCK, TILE, POSTINGS = 256, 2_048, 65_536
 
@@ -198,7 +198,7 @@ def audit(docs: DataFrame, text: str = "text", lang: str = "lang", source: str =
         F.count_if(heavy).alias("v_heavy"),
         F.coalesce(F.sum(F.when(~heavy, F.col("holders"))), F.lit(0)).alias("postings"),
     )
-    held = counts.filter("term is not null").drop("docs").join(kept, ["lang", "term"])
+    held = written(counts.filter("term is not null").drop("docs").join(kept, ["lang", "term"]), "held-terms")  # read four times
     of_group = held.groupBy("lang", "source").agg(F.sum("n").alias("n_group"), F.count("*").alias("rows"))
     number = (F.row_number().over(Window.partitionBy("lang").orderBy("source")) - 1).cast("long")
     zero = F.lit(0).cast("long")
