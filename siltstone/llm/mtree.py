@@ -299,7 +299,8 @@ def search(
     """(query_id, rank, vec_id, score) of each query's k largest whole inner products."""
     spark, most = vectors.sparkSession, k + 1
     schema = "query_id long, rank int, vec_id long, score long"
-    good, asked = integer_vectors(vectors, vector, id_col, scale), integer_vectors(queries, vector, id_col, scale)
+    # read several times; whole numbers are made once
+    good, asked = (written(integer_vectors(df, vector, id_col, scale), "mtree-whole") for df in (vectors, queries))
     shape = good.groupBy(F.size("v").alias("dim")).count().orderBy(F.desc("count"), F.desc("dim")).limit(1).first()
     if shape is None:
         return spark.createDataFrame([], schema)
