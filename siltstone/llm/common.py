@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_OWN_SCRATCH: dict[str, str] = {}
+from siltstone.functions.joins import HOT_SHARE, hot_split_join  # noqa: F401  operators take them from here
+from siltstone.sources import scratch
+
 #: What a Python worker keeps from one task to the next: loaded tokenizers and their caches.
 WORKER: dict = {}
 
@@ -25,54 +26,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch_root(spark: SparkSession) -> str:
-    """The shared folder that the cluster names in spark.checkpoint.dir.
-
-    Only on one machine, where the session names none, a local folder is made; on a cluster that is
-    an error, since executors do not share their disks.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        return root.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-    app = spark.sparkContext.applicationId
-    if app not in _OWN_SCRATCH:
-        _OWN_SCRATCH[app] = "file://" + tempfile.mkdtemp(prefix="siltstone-")
-    return _OWN_SCRATCH[app]
-
-
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{scratch_root(spark)}/siltstone/{name}-{uuid.uuid4().hex}"
-
+    return f"{scratch.root(spark)}/siltstone/{name}-{uuid.uuid4().hex}"
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared scratch folder and read it back: lineage ends there, and a lost
-    executor costs no recomputation of what came before."""
-    spark = df.sparkSession
-    path = scratch_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
 
-
-#: A key counts as hot when it holds more than this share of the rows, so at most 1 / HOT_SHARE
-#: keys are hot whatever the data: that is the proven bound of every broadcast made here.
-HOT_SHARE = 1 / 1000
-
-
-def hot_split_join(left: DataFrame, right: DataFrame, key: str, rows_col: str, total: int) -> DataFrame:
-    """Left join of `left` with `right` (one row per key, `rows_col` = rows of `left` with it).
-
-    Rows of hot keys meet a broadcast of the hot part of `right` (at most 1 / HOT_SHARE rows);
-    all others are shuffled by key. No task holds a hot key's rows together.
-    """
-    least = max(1.0, total * HOT_SHARE)
-    hot = right.filter(F.col(rows_col) > least).drop(rows_col)
-    rest = right.filter(F.col(rows_col) <= least).drop(rows_col)
-    marked = left.join(F.broadcast(hot.select(key).withColumn("_hot", F.lit(True))), key, "left")
-    hot_rows = marked.filter("_hot").drop("_hot").join(F.broadcast(hot), key, "left")
-    cold_rows = marked.filter("_hot is null").drop("_hot").join(rest, key, "left")
-    return hot_rows.unionByName(cold_rows)
+#: Write a table to the shared scratch folder and read it back.
+written = scratch.kept
 
 
 def fresh(df: DataFrame, base: str) -> str:
