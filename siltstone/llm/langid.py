@@ -5,12 +5,16 @@ tell that family's languages apart. Features are hashed byte 1- to 3-grams of th
 letters lower-cased, other ASCII taken as a space), as the square roots of their shares, so that a
 long text weighs no more than a short one.
 
-The machines are fitted on a bounded sample of labelled rows (`max_train_rows`, dealt evenly to the
-`max_labels` most frequent labels, those with the smallest hash of id and text); rarer labels are not
-learned. Both parameters bound the driver's work; predictions cover every row and see only its text.
+The machines are fitted on a bounded sample of labelled rows: `max_train_rows` dealt evenly to the labels,
+those with the smallest hash of id and text, and at least LEAST_ROWS a label where it has them. Labels
+outside the family table are families of their own; where they are many, those that look most alike are
+put into one family, about as many families as there are labels in each, so the number of machines grows
+with the power 1.5 of the number of labels. `max_labels` bounds the driver's memory: beyond it, far more
+than there are written languages in the table above, the most frequent labels are learned.
+Predictions cover every row and see only its text.
 
 Defined cases: a null text or one without a letter is `und` with score 0; with no labelled row at
-all every text is `und`; a label outside the family table is a family of its own; repeated rows and
+all every text is `und`; repeated rows and
 ties give repeated results (equal votes: the label that sorts first); an empty table gives no rows;
 other columns are not read.
 """
@@ -42,6 +46,8 @@ FAMILIES = {
 }
 _FAMILY = {code: family for family, codes in FAMILIES.items() for code in codes}
 DIMENSIONS = 1 << 14
+#: Rows of a label that are learned at least; labels outside the table that are families of their own at most; rows judged at once.
+LEAST_ROWS, OWN_FAMILIES, ROWS_AT_ONCE = 8, 16, 128
 _PIECE = 1 << 18
 _CLEAN = bytes((c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32) for c in range(256))
 
@@ -97,36 +103,61 @@ class Duels:
             self.w[n, active], self.bias[n] = fit_svm(x, y[own] == labels[a], rows=own)
 
     def votes(self, x: np.ndarray) -> np.ndarray:
+        """Of each row of x, a column a label."""
         if len(self.labels) == 1:
-            return np.ones(1)
-        win = 1 / (1 + np.exp(-np.clip(4 * (self.w @ x + self.bias), -50, 50)))
-        got = np.zeros(len(self.labels))
-        for (a, b), p in zip(self.pairs, win, strict=True):
-            got[a] += p
-            got[b] += 1 - p
+            return np.ones((len(x), 1))
+        # row by row in the same order of additions, whatever rows are judged together
+        margins = np.stack([self.w @ row for row in x]) + self.bias
+        win = 1 / (1 + np.exp(-np.clip(4 * margins, -50, 50)))
+        got = np.zeros((len(x), len(self.labels)))
+        for n, (a, b) in enumerate(self.pairs):
+            got[:, a] += win[:, n]
+            got[:, b] += 1 - win[:, n]
         return got / (len(self.labels) - 1)
 
 
+def families(x: np.ndarray, y: np.ndarray) -> dict[str, str]:
+    """The family of each label of y: that of the table, or its own, or, where more than OWN_FAMILIES
+    labels are outside the table, one shared with the labels whose mean features are nearest to its own."""
+    labels = sorted(set(y))
+    out = {v: _FAMILY.get(v, v) for v in labels}
+    rest = [v for v in labels if v not in _FAMILY]
+    if len(rest) <= OWN_FAMILIES:
+        return out
+    size = int(np.ceil(len(rest) ** 0.5))
+    means = {v: x[y == v].mean(axis=0) for v in rest}
+    while rest:
+        near = sorted(rest, key=lambda v: (-float(means[v] @ means[rest[0]]) / float(np.linalg.norm(means[v]) + 1e-9), v))[:size]
+        near = near if rest[0] in near else [rest[0], *near[:-1]]
+        out |= dict.fromkeys(near, rest[0])
+        rest = [v for v in rest if v not in near]
+    return out
+
+
 class Model:
     def __init__(self, x: np.ndarray, y: np.ndarray, active: np.ndarray):
-        family = np.array([_FAMILY.get(v, v) for v in y], dtype=object)
+        of = families(x, y)
+        family = np.array([of[v] for v in y], dtype=object)
         names = sorted(set(family))
         self.top = Duels(names, x, family, active)
         self.inner = {f: Duels(sorted(set(y[family == f])), x, y, active) for f in names}
 
-    def predict(self, text: str) -> tuple[str, float]:
-        x = features(text)
+    def predict(self, texts: list[str]) -> list[tuple[str, float]]:
+        """(label, score) of each text; of equal votes the label that sorts first."""
+        x = np.stack([features(t) for t in texts])
         votes = self.top.votes(x)
-        at = int(np.argmax(votes))
-        duels = self.inner[self.top.labels[at]]
-        own = duels.votes(x)
-        best = int(np.argmax(own))
-        return duels.labels[best], float(votes[at] * own[best])
+        at, out = votes.argmax(axis=1), [("", 0.0)] * len(texts)
+        for f in np.unique(at):
+            rows, duels = np.flatnonzero(at == f), self.inner[self.top.labels[f]]
+            own = duels.votes(x[rows])
+            for r, best, p in zip(rows, own.argmax(axis=1), own.max(axis=1), strict=True):
+                out[r] = (duels.labels[best], float(votes[r, f] * p))
+        return out
 
 
-def fit(labelled: DataFrame, text: str = "text", label: str = "lang", id_col: str = "doc_id", max_train_rows: int = 1_024, max_labels: int = 32) -> Model | None:
-    """Fit on at most `max_train_rows` labelled rows of the `max_labels` most frequent labels (ties: the
-    label that sorts first); only the features that occur in them reach the driver.
+def fit(labelled: DataFrame, text: str = "text", label: str = "lang", id_col: str = "doc_id", max_train_rows: int = 1_024, max_labels: int = 512) -> Model | None:
+    """Fit on `max_train_rows` labelled rows, or LEAST_ROWS a label if that is more, of at most `max_labels`
+    labels (the most frequent, ties: the label that sorts first); only the features that occur in them reach the driver.
 
     Rows count as equal when id and text are. A label's rows below a hash that about twice its share
     passes are ranked, so the rows that meet in one task do not grow with the label.
@@ -135,7 +166,7 @@ def fit(labelled: DataFrame, text: str = "text", label: str = "lang", id_col: st
     sizes = rows.groupBy("y").count().orderBy(F.desc("count"), "y").limit(max_labels).collect()
     if not sizes:
         return None
-    each = max(1, max_train_rows // len(sizes))
+    each = max(LEAST_ROWS, max_train_rows // len(sizes))
     room = 2 * each + 64
     below = {r.y: int(-(2**63) + 2**64 * (room / r["count"])) if r["count"] > room else 2**63 - 1 for r in sizes}
     limits = labelled.sparkSession.createDataFrame(sorted(below.items()), "y string, below long")
@@ -170,7 +201,12 @@ def predict(docs: DataFrame, model: Model | None, text: str = "text", keep: list
     def judge(texts: pd.Series, ok: pd.Series) -> pd.DataFrame:
         clean_worker()
         model = shared.value
-        out = [model.predict(t) if known and model else (UNKNOWN, 0.0) for t, known in zip(texts, ok, strict=True)]
+        out = [(UNKNOWN, 0.0)] * len(texts)
+        legible = np.flatnonzero(ok.to_numpy(bool)) if model else []
+        for at in range(0, len(legible), ROWS_AT_ONCE):
+            part = legible[at : at + ROWS_AT_ONCE]
+            for i, found in zip(part, model.predict([texts.iloc[i] for i in part]), strict=True):
+                out[i] = found
         return pd.DataFrame(out, columns=["label", "score"])
 
     own = fresh(docs, "_judged")
