@@ -10,13 +10,15 @@ every level is one window over a table with a row per node.
 A leaf with budget b and t tokens repeats all its documents floor(b / t) times and takes the rest
 from the next epoch: the documents in that epoch's seeded order whose tokens start before the rest
 is used up. The order is by MD5 of seed, epoch and document id. To find where a leaf's prefix ends
-without ordering a hot leaf in one task, tokens are first summed over `blocks` ranges of the digest;
-only the one range in which the prefix ends is ordered.
+without ordering a hot leaf in one task, tokens are first summed over `blocks` ranges of the digest, then
+over as many ranges of the one in which the prefix ends; only the last of these is ordered. Documents
+meet their leaf's row by shuffle, those of hot leaves by a broadcast of a bounded number of rows.
 
 Defined cases: null domain, language or source are the value ''; a null or empty text has one
 token, as every document has at least one; nodes without a weight get `default_weight`; nodes of
 zero weight get what their siblings cannot take; repeated ids stand at one place and are chosen
-together; an empty table gives no rows; no input column besides those named is read.
+together; an empty table gives no rows; other columns of docs pass through as they are, and only the
+names of the three new ones may not be taken.
 """
 
 from __future__ import annotations
@@ -24,11 +26,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from siltstone.functions.joins import hot_split_join
+
+from .common import fresh, written
 
 LEVELS = ["domain", "lang", "source"]
-#: Leaves of the tree that are broadcast at most; beyond, the same rows are joined by shuffle.
-BROADCAST_LEAVES = 100_000
 
 
 def token_count(text: Column) -> Column:
@@ -84,6 +86,10 @@ def budgets(leaves: DataFrame, weights: dict[str, dict[str, float]], budget: Col
     return out.select(*LEVELS, "tokens", F.floor(F.col("share") + F.lit(1e-6)).cast("long").alias("budget"))
 
 
+def _leaf(domain: Column, lang: Column, source: Column) -> Column:
+    return F.struct(*[F.coalesce(c.cast("string"), F.lit("")).alias(n) for c, n in zip((domain, lang, source), LEVELS, strict=True)])
+
+
 def plan_mix(
     docs: DataFrame,
     domain: Column,
@@ -97,55 +103,51 @@ def plan_mix(
     source: str = "source",
     id_col: str = "doc_id",
     blocks: int = 256,
-) -> tuple[DataFrame, bool]:
-    """One row per leaf: tokens, budget, full epochs, and the order key below which the next
-    epoch's documents are taken (null: none). The flag says whether it may be broadcast."""
-    empty = F.lit("")
-    thin = written(
-        docs.select(
-            F.col(id_col).alias("id"),
-            F.coalesce(domain.cast("string"), empty).alias("domain"),
-            F.coalesce(F.col(lang).cast("string"), empty).alias("lang"),
-            F.coalesce(F.col(source).cast("string"), empty).alias("source"),
-            token_count(F.col(text)).alias("tokens"),
-        ),
-        "mix-documents",
-    )
-    leaves = thin.groupBy(*LEVELS).agg(F.sum("tokens").alias("tokens"))
-    leaf = written(
-        budgets(leaves, weights, F.floor(F.col("_tokens") * F.lit(budget_share)), max_epochs, default_weight)
-        .withColumn("epochs", F.floor(F.col("budget") / F.col("tokens")).cast("int"))
-        .withColumn("rest", F.col("budget") - F.col("epochs") * F.col("tokens")),
-        "mix-leaves",
-    )
-    small = leaf.count() <= BROADCAST_LEAVES
-    side = F.broadcast if small else (lambda x: x)
-    keyed = thin.join(side(leaf.select(*LEVELS, "epochs", "rest")), LEVELS).withColumn("key", _order_key(seed, F.col("epochs"), F.col("id")))
-    keyed = keyed.withColumn("block", F.pmod(F.conv(F.substring("key", 1, 4), 16, 10).cast("int") * F.lit(blocks) / F.lit(65536), F.lit(blocks)).cast("int"))
-    sums = keyed.filter("rest > 0").groupBy(*LEVELS, "rest", "block").agg(F.sum("tokens").alias("n"))
-    by = Window.partitionBy(*LEVELS).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    last = sums.withColumn("start", F.coalesce(F.sum("n").over(by), F.lit(0))).filter("start < rest and start + n >= rest")
-    last = last.select(*LEVELS, "block", "start")
-    places = keyed.join(side(last), [*LEVELS, "block"]).groupBy(*LEVELS, "rest", "start", "key").agg(F.sum("tokens").alias("n"))
-    within = Window.partitionBy(*LEVELS).orderBy("key").rowsBetween(Window.unboundedPreceding, -1)
-    ends = places.withColumn("at", F.col("start") + F.coalesce(F.sum("n").over(within), F.lit(0))).filter("at < rest").groupBy(*LEVELS).agg(F.max("key").alias("last_key"))
-    return written(leaf.join(ends, LEVELS, "left"), "mix-plan"), small
-
-
-def mix(docs: DataFrame, domain: Column, weights: dict[str, dict[str, float]], seed: int, **options) -> DataFrame:
-    """docs, each row as often as its leaf's budget takes it, with `mix_domain`, `mix_epoch` and
-    `mix_budget` (replacing columns of these names)."""
-    plan, small = plan_mix(docs, domain, weights, seed, **options)
+) -> tuple[DataFrame, int]:
+    """(a row per leaf: tokens, budget, full epochs, `rows` of docs, and the order key up to which the
+    next epoch's documents are taken (null: none); the number of rows of docs)."""
+    leaf_of = _leaf(domain, F.col(lang), F.col(source))
+    thin = written(docs.select(F.col(id_col).alias("id"), leaf_of.alias("leaf"), token_count(F.col(text)).alias("tokens")), "mix-documents")
+    total = thin.count()
+    counted = thin.groupBy("leaf").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("rows")).select("leaf.*", "tokens", "rows")
+    planned = budgets(counted, weights, F.floor(F.col("_tokens") * F.lit(budget_share)), max_epochs, default_weight)
+    planned = planned.join(counted.select(*LEVELS, "rows"), LEVELS).withColumn("epochs", F.floor(F.col("budget") / F.col("tokens")).cast("int"))
+    leaf = written(planned.withColumn("rest", F.col("budget") - F.col("epochs") * F.col("tokens")).select(F.struct(*LEVELS).alias("leaf"), "tokens", "budget", "epochs", "rest", "rows"), "mix-leaves")
+    keyed = hot_split_join(thin, leaf.select("leaf", "epochs", "rest", "rows"), "leaf", "rows", total).filter("rest > 0")
+    keyed = keyed.select("leaf", "rest", "tokens", _order_key(seed, F.col("epochs"), F.col("id")).alias("key"))
+
+    def range_of(step: int) -> Column:
+        """Which of `blocks` to the power `step` equal ranges the key's first 32 bits lie in."""
+        return F.floor(F.conv(F.substring("key", 1, 8), 16, 10).cast("long") * blocks**step / 2**32)
+
+    # The range in which a leaf's prefix ends, then the range within it: what is left to be ordered is
+    # a blocks-squared part of the leaf.
+    at = keyed.withColumn("start", F.lit(0).cast("long"))
+    for step in (1, 2):
+        at = at.withColumn("block", range_of(step))
+        sums = at.groupBy("leaf", "rest", "start", "block").agg(F.sum("tokens").alias("n"), F.count("*").alias("_rows"))
+        before = F.coalesce(F.sum("n").over(Window.partitionBy("leaf").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + F.col("start")
+        last = sums.withColumn("_start", before).withColumn("_all", F.sum("_rows").over(Window.partitionBy("leaf"))).filter("_start < rest and _start + n >= rest")
+        met = hot_split_join(at.drop("start"), last.select("leaf", F.col("block").alias("_block"), F.col("_start").alias("start"), F.col("_all").alias("_rows")), "leaf", "_rows", total)
+        at = written(met.filter("block = _block").select("leaf", "rest", "start", "tokens", "key"), "mix-range")
+    places = at.groupBy("leaf", "rest", "start", "key").agg(F.sum("tokens").alias("n"))
+    within = Window.partitionBy("leaf").orderBy("key").rowsBetween(Window.unboundedPreceding, -1)
+    ends = places.withColumn("at", F.col("start") + F.coalesce(F.sum("n").over(within), F.lit(0))).filter("at < rest").groupBy("leaf").agg(F.max("key").alias("last_key"))
+    return written(leaf.join(ends, "leaf", "left"), "mix-plan"), total
+
+
+def mix(docs: DataFrame, domain: Column, weights: dict[str, dict[str, float]], seed: int, names: tuple[str, str, str] = ("mix_domain", "mix_epoch", "mix_budget"), **options) -> DataFrame:
+    """docs, each row as often as its leaf's budget takes it, with its domain, epoch and leaf's budget in
+    new columns `names`; a name that docs has already is an error."""
+    clash = [n for n in names if fresh(docs, n) != n]
+    if clash:
+        raise ValueError(f"docs has columns {clash}: pass other names")
+    plan, total = plan_mix(docs, domain, weights, seed, **options)
     lang, source, id_col = (options.get(k, d) for k, d in (("lang", "lang"), ("source", "source"), ("id_col", "doc_id")))
-    plan = plan.select(*(F.col(c).alias(f"_mix_{c}") for c in plan.columns))
-    rows = docs.drop("mix_domain", "mix_epoch", "mix_budget").withColumn("mix_domain", F.coalesce(domain.cast("string"), F.lit("")))
-    on = (
-        (F.col("mix_domain") == F.col("_mix_domain"))
-        & (F.coalesce(F.col(lang).cast("string"), F.lit("")) == F.col("_mix_lang"))
-        & (F.coalesce(F.col(source).cast("string"), F.lit("")) == F.col("_mix_source"))
-    )
-    met = rows.join(F.broadcast(plan) if small else plan, on)
-    taken = F.coalesce(_order_key(seed, F.col("_mix_epochs"), F.col(id_col)) <= F.col("_mix_last_key"), F.lit(False))
-    times = F.col("_mix_epochs") + taken.cast("int")
-    met = met.withColumn("mix_epoch", F.explode(F.when(times > 0, F.sequence(F.lit(0), times - 1)).otherwise(F.array().cast("array<int>"))))
-    return met.withColumn("mix_budget", F.col("_mix_budget")).drop(*plan.columns)
+    leaf, of, rows = (fresh(docs, n) for n in ("_mix_leaf", "_mix_plan", "_mix_rows"))
+    plan = plan.select(F.col("leaf").alias(leaf), F.struct("leaf.domain", "budget", "epochs", "last_key").alias(of), F.col("rows").alias(rows))
+    met = hot_split_join(docs.withColumn(leaf, _leaf(domain, F.col(lang), F.col(source))), plan, leaf, rows, total)
+    taken = F.coalesce(_order_key(seed, F.col(f"{of}.epochs"), F.col(id_col)) <= F.col(f"{of}.last_key"), F.lit(False))
+    times = F.col(f"{of}.epochs") + taken.cast("int")
+    met = met.withColumn(names[1], F.explode(F.when(times > 0, F.sequence(F.lit(0), times - 1)).otherwise(F.array().cast("array<int>"))))
+    return met.select(*docs.columns, F.col(f"{of}.domain").alias(names[0]), names[1], F.col(f"{of}.budget").alias(names[2]))

@@ -11,7 +11,7 @@ import pytest
 import xxhash
 from tokenizers import Tokenizer
 
-from siltstone.llm import ann, iblt, langid, mixing, packing, sharding, simhash, tokens, urls, warc
+from siltstone.llm import ann, iblt, langid, mixing, packing, queries, sharding, simhash, tokens, urls, warc
 from siltstone.llm.common import scratch_path
 from siltstone.llm.queries import MIX_WEIGHTS, source_domain
 from pyspark.sql import functions as F
@@ -373,8 +373,14 @@ def test_language_of_odd_texts(docs, none):
     assert langid.predict(none, model).count() == 0
 
 
-def test_many_labels_are_bounded(spark):
-    """Of 500 labels only the most frequent are learned; all rows are still judged."""
+def test_many_labels_are_learned_and_bounded(spark):
+    """All of 90 labels are learned, those outside the table in shared families; a bound keeps the most frequent."""
+    letters = "abcdefghijklmnopqrst"
+    many = [(n * 10 + i, (letters[n // 10] + letters[10 + n % 10]) * (9 + i), f"z{n:02d}") for n in range(90) for i in range(10)]
+    few = spark.createDataFrame(many, "doc_id long, text string, lang string")
+    model = langid.fit(few)
+    assert {label for duels in model.inner.values() for label in duels.labels} == {r[2] for r in many} and len(model.top.labels) <= 12
+    assert sum(r.lang_pred == r.lang for r in langid.predict(few, model).collect()) >= 0.9 * len(many)
     rng = random.Random(6)
     rows = [(i, "".join(rng.choice("abc") for _ in range(30)), "x1") for i in range(40)] + [(100 + i, "".join(rng.choice("uvw") for _ in range(30)), "x2") for i in range(30)]
     rows += [(1_000 + i, "".join(rng.choice("klm") for _ in range(30)), f"y{i:03d}") for i in range(500)]
@@ -390,11 +396,11 @@ def test_many_labels_are_bounded(spark):
 def test_no_local_scratch_on_a_cluster(spark):
     from types import SimpleNamespace
 
-    from siltstone.llm import common
+    from siltstone.sources import scratch
 
     cluster = SimpleNamespace(conf=SimpleNamespace(get=lambda k, d: None), sparkContext=SimpleNamespace(master="spark://host:7077", applicationId="a"))
     with pytest.raises(ValueError):
-        common.scratch_root(cluster)
+        scratch.root(cluster)
 
 
 def test_svm_separates():
@@ -460,6 +466,52 @@ def test_mixing_follows_the_brute_force(spark, none):
         assert counted == {k: n for k, n in times.items() if n}
         assert {(r.mix_domain, r.lang or "", r.source or ""): r.mix_budget for r in got}.items() <= budgets.items()
     assert mixing.mix(none, source_domain(F.col("source")), MIX_WEIGHTS, 20).count() == 0
+    clash = df.select("*", *[F.lit("mine").alias(c) for c in ("_mix_domain", "_mix_leaf", "_mix_plan", "_mix_rows", "leaf", "rows", "mix_domain", "key", "_hot", "epochs")])
+    with pytest.raises(ValueError):
+        mixing.mix(clash, source_domain(F.col("source")), MIX_WEIGHTS, 20)
+    got = mixing.mix(clash, source_domain(F.col("source")), MIX_WEIGHTS, 20, names=("d", "e", "b"), budget_share=0.3).collect()
+    assert got and all(r[c] == "mine" for r in got for c in ("_mix_domain", "_mix_leaf", "mix_domain", "leaf", "_hot"))
+
+
+def test_language_query_splits_and_votes_by_hand(spark, tmp_path):
+    """held_out, the training rows, features and votes against plain loops; held-out labels change nothing."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    docs.write.parquet(str(tmp_path / "a" / "documents.parquet"))
+    crc = {r.doc_id: zlib.crc32(str(r.doc_id).encode()) % 4 for r in docs.collect()}
+    held = [i for i, c in crc.items() if c == 2]
+    docs.withColumn("lang", F.when(F.col("doc_id").isin(held), "xx").otherwise(F.col("lang"))).write.parquet(str(tmp_path / "b" / "documents.parquet"))
+    first, second = ({r.doc_id: tuple(r) for r in queries.op8_langid(spark, str(tmp_path / x)).collect()} for x in "ab")
+    assert first == second and set(first) == set(crc) and {r[2] for r in first.values()} <= {"en", "de", "fr", "es", "und"}
+    model = langid.fit(docs.filter(~F.col("doc_id").isin(held)))
+
+    def shares(text):
+        data = (" " + text + " ").encode()
+        data = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in data)
+        counts = [0] * langid.DIMENSIONS
+        for size in (1, 2, 3):
+            for i in range(len(data) - size + 1):
+                gram = int.from_bytes(data[i : i + size], "big")
+                counts[((gram + (size << 24)) * 2654435761 % 2**32) >> 18] += 1
+        return np.sqrt(np.array(counts) / sum(counts))
+
+    def vote(duels, x):
+        got = [0.0] * len(duels.labels)
+        for n, (a, b) in enumerate((a, b) for a in range(len(got)) for b in range(a + 1, len(got))):
+            p = 1 / (1 + np.exp(-4 * (duels.w[n].astype(float) @ x + duels.bias[n])))
+            got[a], got[b] = got[a] + p, got[b] + 1 - p
+        return [g / (len(got) - 1) for g in got] if len(got) > 1 else [1.0]
+
+    for r in docs.collect():
+        _, out, label, score = first[r.doc_id]
+        assert out == (crc[r.doc_id] == 2)
+        if not any(c.isalpha() for c in r.text or ""):
+            assert (label, score) == ("und", 0.0)
+            continue
+        x = shares(r.text)
+        top = vote(model.top, x)
+        inner = model.inner[model.top.labels[top.index(max(top))]]
+        own = vote(inner, x)
+        assert label == inner.labels[own.index(max(own))] and abs(score - max(top) * max(own)) < 1e-3
 
 
 def test_ann_recall_and_exact_scores(spark):
