@@ -4,6 +4,9 @@ Paths come by doubling: each round a node's known piece of path takes on its upp
 tree of depth d needs about log2(d) joins. Only folders go through the rounds; files meet their
 folder's path in one join.
 
+Whether a folder is in another's subtree is a matter of ids (see `intervals`); a wanted path is followed
+down from the roots (see `resolve`).
+
 Defined cases: a null or missing parent is a root; an empty name adds nothing to a path; a node on a
 cycle, or below one, has no path and is left out; ids are unique; equal paths go to the smallest id;
 empty tables give no rows; other columns are not read.
@@ -17,7 +20,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, LongType, StringType, StructField, StructType
 
 from siltstone.functions.text import nfc
+from siltstone.operators import intervals
 from siltstone.operators.tree import ancestors, parent
+from siltstone.sources.scratch import kept
 
 # The deepest folder that is walked, the error of a folder that would have to be downloaded,
 # and the flag of a folder that only links to another volume.
@@ -27,34 +32,63 @@ CLOSED = ["excluded", "too-deep", "foreign", "dataless", "error"]
 RECORD = StructType([StructField("is_file", BooleanType()), StructField("size", LongType()), StructField("hash", StringType()), StructField("mtime", LongType())])
 
 
-def folder_paths(folders: DataFrame, max_rounds: int = 8) -> DataFrame:
-    """(id, path, depth) of folders (id, parent, name); roots have the path of their name, `max_rounds`
-    doublings reach a depth of 2 ** max_rounds."""
+def folder_paths(folders: DataFrame) -> DataFrame:
+    """(id, path, depth) of folders (id, parent, name) that are in a tree; roots have the path of their
+    name. Each round doubles the known piece of a path; rounds go on while the number of open folders
+    falls, whatever the depth: what then remains is on a cycle or below one."""
     rows = folders.select("id", F.col("parent").alias("up"), F.coalesce("name", F.lit("")).alias("path"))
     known = rows.select(F.col("id").alias("up"), F.lit(True).alias("_there"))
     joined = rows.join(known, "up", "left").select("id", F.when(F.col("_there"), F.col("up")).alias("up"), "path", F.when(F.col("_there"), 1).otherwise(0).alias("depth"))
-    state = joined.checkpoint()
-    for _ in range(max_rounds):
-        if state.filter("up is not null").isEmpty():
-            break
+    state = kept(joined, "paths")
+    open_folders = state.filter("up is not null").count()
+    while open_folders:
         done, todo = state.filter("up is null"), state.filter("up is not null")
         upper = state.select(F.col("id").alias("up"), F.col("up").alias("_up"), F.col("path").alias("_path"), F.col("depth").alias("_depth"))
         longer = todo.join(upper, "up").select("id", F.col("_up").alias("up"), F.concat_ws("/", F.nullif("_path", F.lit("")), F.nullif("path", F.lit(""))).alias("path"), (F.col("depth") + F.col("_depth")).alias("depth"))
-        state = done.unionByName(longer).checkpoint()
+        state = kept(done.unionByName(longer), "paths")
+        left = state.filter("up is not null").count()
+        if left == open_folders:
+            break
+        open_folders = left
     return state.filter("up is null").select("id", "path", "depth")
 
 
-def members(paths: DataFrame) -> DataFrame:
-    """(ancestor, id, depth): every folder of every folder's subtree, itself included, and how far down.
-    A root without a name is the ancestor of itself alone."""
-    up = paths.select("id", F.explode(F.concat(ancestors(F.col("path")), F.array("path"))).alias("path"), F.col("depth").alias("_depth"))
-    return up.join(paths.select(F.col("id").alias("ancestor"), "path", "depth"), "path").select("ancestor", "id", (F.col("_depth") - F.col("depth")).alias("depth"))
+def members(folders: DataFrame) -> DataFrame:
+    """(ancestor, id, depth): every folder (id, parent) of every folder's subtree, itself included, and how
+    far down, by the intervals of their ids."""
+    return intervals.members(intervals.intervals(folders))
 
 
-def resolve(wanted: DataFrame, paths: DataFrame) -> DataFrame:
-    """(path, id): the node at each wanted path; null where there is none."""
-    at = paths.groupBy(nfc(F.col("path")).alias("_path")).agg(F.min("id").alias("id"))
-    return wanted.select("path").distinct().withColumn("_path", nfc(F.col("path"))).join(at, "_path", "left").select("path", "id")
+def resolve(wanted: DataFrame, folders: DataFrame) -> DataFrame:
+    """(path, id): the folder (id, parent, name) at each wanted path; null where there is none.
+
+    Folders with a name that no wanted path has are dropped first. From the roots down, a folder is then
+    followed only if its path so far begins a wanted path, so the paths of all folders are never made:
+    the work is that of the wanted paths' own prefixes. A folder without a name adds nothing to a path;
+    equal paths go to the smallest id; empty and null paths have no folder.
+    """
+    parts = F.filter(F.split(nfc(F.col("path")), "/"), lambda p: p != "")
+    asked = kept(wanted.select("path", parts.alias("_parts")).distinct(), "wanted")
+    begun = asked.select(F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.size("_parts"), F.lit(1))), lambda i: F.slice("_parts", 1, i))).alias("_parts")).filter("size(_parts) > 0")
+    prefixes = kept(begun.select(F.array_join("_parts", "/").alias("at"), F.element_at("_parts", -1).alias("_name")).distinct(), "prefixes")
+    known = folders.select(F.col("id").alias("parent"), F.lit(True).alias("_there"))
+    named = folders.select("id", "parent", nfc(F.coalesce("name", F.lit(""))).alias("_name"))
+    some = named.join(prefixes.select("_name").distinct().unionByName(folders.sparkSession.createDataFrame([("",)], "_name string")), "_name", "left_semi")
+    some = kept(some.join(known, "parent", "left").select("id", F.when(F.col("_there"), F.col("parent")).alias("parent"), "_name"), "candidates")
+
+    def follow(front: DataFrame) -> DataFrame:
+        """front (id, _at, _name): what still begins a wanted path, with its own path."""
+        own = front.withColumn("at", F.concat_ws("/", F.nullif("_at", F.lit("")), F.nullif("_name", F.lit(""))))
+        empty = own.filter("at = ''")
+        return kept(empty.unionByName(own.filter("at <> ''").join(prefixes.select("at"), "at", "left_semi").select(*own.columns)).select("id", "at"), "front")
+
+    front = follow(some.filter("parent is null").select("id", F.lit("").alias("_at"), "_name"))
+    found = front
+    while not front.isEmpty():
+        front = follow(some.join(front.select(F.col("id").alias("parent"), F.col("at").alias("_at")), "parent").select("id", "_at", "_name"))
+        found = found.unionByName(front)
+    at = found.filter("at <> ''").groupBy("at").agg(F.min("id").alias("id"))
+    return asked.withColumn("at", F.array_join("_parts", "/")).join(at, "at", "left").select("path", "id")
 
 
 def _numbers(data: bytes) -> dict[int, list]:

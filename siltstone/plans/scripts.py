@@ -70,8 +70,8 @@ def node_paths(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def node_subtrees(spark: SparkSession, sf: str) -> DataFrame:
-    reach = nodes.members(nodes.folder_paths(_tree(spark, sf)))
-    return reach.groupBy("ancestor").agg(F.count("*").alias("nodes"), F.max("depth").cast("long").alias("deepest"))
+    reach = nodes.members(_tree(spark, sf))
+    return reach.groupBy("ancestor").agg(F.count("*").alias("nodes"), F.max("depth").alias("deepest"))
 
 
 def _varint(n: Column, size: int = 5) -> Column:
