@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from siltstone.functions.joins import asof_join
+
 # Severities from worst to least.
 SEVERITIES = ["Critical", "High", "Medium", "Low"]
 
@@ -45,6 +47,27 @@ def compare_runs(now: DataFrame, last: DataFrame, accepted: DataFrame, run_date:
     return both.select("key", state.alias("state"))
 
 
+def states_of_runs(found: DataFrame, accepted: DataFrame) -> DataFrame:
+    """(run, key, state) over all runs: compare_runs of each run with the one before it, under the acceptances
+    of its own date.
+
+    found (run, key), run a date; accepted (key, run, expires): an acceptance holds from the date `run` until
+    a later one of its key takes its place, and lapses after `expires` (null: never). A key of one run that
+    the next lacks is FIXED there. Repeated rows count once; null runs and keys take no part.
+    """
+    rows = found.select("run", "key").filter("run is not null and key is not null").distinct()
+    runs = rows.select("run").distinct()  # a row a run
+    near = runs.select("run", F.lag("run").over(Window.orderBy("run")).alias("_last"), F.lead("run").over(Window.orderBy("run")).alias("_next"))
+    dated = rows.join(F.broadcast(near), "run")
+    seen = rows.select(F.col("run").alias("_last"), "key", F.lit(True).alias("_seen"))
+    valid = accepted.filter("key is not null").select("key", "run", F.struct("expires").alias("accepted"))
+    met = asof_join(dated.join(seen, ["_last", "key"], "left").select("run", "key", "_seen"), valid, "key", "run", ["accepted"])
+    holds = F.col("accepted.expires").isNull() | (F.col("accepted.expires") >= F.col("run"))
+    state = F.when(F.col("accepted").isNotNull(), F.when(holds, "ACCEPTED").otherwise("REGRESSION")).when(F.col("_seen"), "STILL-OPEN").otherwise("NEW")
+    gone = dated.filter("_next is not null").select(F.col("_next").alias("run"), "key").join(rows, ["run", "key"], "left_anti")
+    return met.select("run", "key", state.alias("state")).unionByName(gone.select("run", "key", F.lit("FIXED").alias("state")))
+
+
 # Categories by the kind of sink, first match first.
 CATEGORIES = [("command", "CMD"), ("filesystem", "FS"), ("network", "NET"), ("dependency", "DEP"), ("lifecycle", "LIF"), ("error-handling", "ERR"), ("data-safety", "DAT"), ("security", "SEC"), ("quality", "QUA"), ("hardening", "QOL")]
 

@@ -82,6 +82,43 @@ def kept_hooks(hooks: Column, marker: str) -> Column:
     return F.filter(hooks, lambda h: ~F.coalesce(F.contains(h["command"], F.lit(marker)), F.lit(False)))
 
 
+def kept_settings(settings: Column, marker: str) -> Column:
+    """Settings (JSON text) without the hooks whose command holds the marker.
+
+    Hooks lie by event in groups, each with a list of hooks. A value of any other shape, at any level,
+    stays exactly as it is, as does all else in the settings; a group, an event and the hooks themselves go
+    where the removal leaves them empty. Text that is no JSON object stays as it is. Keys come out in the
+    order of their names, as a variant holds them.
+    """
+    whole = F.try_parse_json(settings)
+    get = lambda v, path, kind: F.try_variant_get(v, path, kind)
+    command = lambda h: get(h, "$.command", "string")
+    ours = lambda h: F.coalesce((F.schema_of_variant(h).startswith("OBJECT")) & F.contains(command(h), F.lit(marker)), F.lit(False))
+    stays = lambda h: ~ours(h)
+
+    def of_group(group: Column) -> Column:
+        """The group as it stays, null where it goes."""
+        hooks = get(group, "$.hooks", "array<variant>")
+        left = F.filter(hooks, stays)
+        others = F.map_filter(get(group, "$", "map<string,variant>"), lambda k, _: k != "hooks")
+        changed = F.to_variant_object(F.map_concat(others, F.map_from_arrays(F.array(F.lit("hooks")), F.array(F.to_variant_object(left)))))
+        return F.when(hooks.isNull() | (F.size(left) == F.size(hooks)), group).when(F.size(left) > 0, changed)
+
+    def of_event(groups: Column) -> Column:
+        """The event as it stays, null where it goes."""
+        rows = get(groups, "$", "array<variant>")
+        hit = F.exists(rows, lambda g: F.coalesce(F.exists(get(g, "$.hooks", "array<variant>"), ours), F.lit(False)))
+        left = F.filter(F.transform(rows, of_group), lambda g: g.isNotNull())
+        return F.when(rows.isNull() | ~hit, groups).when(F.size(left) > 0, F.to_variant_object(left))
+
+    hooks = get(whole, "$.hooks", "map<string,variant>")
+    after = F.map_filter(F.transform_values(hooks, lambda _, v: of_event(v)), lambda _, v: v.isNotNull())
+    others = F.map_filter(get(whole, "$", "map<string,variant>"), lambda k, _: k != "hooks")
+    rebuilt = F.when(F.size(after) > 0, F.map_concat(others, F.map_from_arrays(F.array(F.lit("hooks")), F.array(F.to_variant_object(after))))).otherwise(others)
+    touched = F.coalesce(F.to_json(F.to_variant_object(after)) != F.to_json(F.to_variant_object(hooks)), F.lit(False))
+    return F.when(touched, F.to_json(F.to_variant_object(rebuilt))).otherwise(settings)
+
+
 def legacy_state(commands: Column, marker: str, heartbeat_age: Column) -> Column:
     """none, installed or live: an old install is live while its heartbeat is recent."""
     hit = F.exists(commands, lambda c: F.contains(c, F.lit(marker)))

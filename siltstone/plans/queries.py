@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from siltstone.functions import text as X
 from siltstone.operators import classify, findings, identity, reconcile, records, report, rules, tree, versions
-from siltstone.plans import actions, inventory, media, scripts, structure
+from siltstone.plans import actions, history, inventory, media, scripts, structure
 from siltstone.sources import tables as S
 
 #: "Now" of every age: a parameter, so that results do not change with the clock.
@@ -656,5 +656,5 @@ def changed_fields(spark, sf):
     return records.changed_fields(live, want, "id", ["name", "segment"])
 
 
-QUERIES |= media.QUERIES | inventory.QUERIES | scripts.QUERIES | structure.QUERIES
-ORACLE_SQL |= media.ORACLE_SQL | inventory.ORACLE_SQL | scripts.ORACLE_SQL | structure.ORACLE_SQL
+QUERIES |= media.QUERIES | inventory.QUERIES | scripts.QUERIES | structure.QUERIES | history.QUERIES
+ORACLE_SQL |= media.ORACLE_SQL | inventory.ORACLE_SQL | scripts.ORACLE_SQL | structure.ORACLE_SQL | history.ORACLE_SQL
