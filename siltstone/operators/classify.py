@@ -57,7 +57,7 @@ def _ends(name: Column, endings: list[str]) -> Column:
     return F.coalesce(extension(name).isin(*[e for e in endings if e.count(".") == 1]), F.lit(False)) | extension_multi(name).isin(*[e for e in endings if e.count(".") > 1] or [NOTHING])
 
 
-def junk_rule(name: Column, size: Column, mtime: Column, now: Column, same_stem: Column, sibling_named: Column, twin_dir: Column, base_hash: Column, own_hash: Column, base_size: Column, base_there: Column, app_installed: Column, link: Column, link_there: Column) -> Column:
+def junk_rule(name: Column, size: Column, mtime: Column, now: Column, same_stem: Column, sibling_named: Column, twin_dir: Column, base_hash: Column, own_hash: Column, base_size: Column, base_there: Column, app_installed: Column, link: Column, link_there: Column, dataless: Column) -> Column:
     """tier and family as one code like 'A:J2', NOTHING where a rule rules junk out, null where none speaks."""
     low, ext, age, year = F.lower(name), extension(name), F.coalesce(now - mtime, F.lit(0)), plausible_year(mtime, now)
     code = lambda c, yes, no: F.when(c, F.lit(yes)).otherwise(F.lit(no))
@@ -80,7 +80,7 @@ def junk_rule(name: Column, size: Column, mtime: Column, now: Column, same_stem:
         .when(_ends(name, INSTALLER_EXTENSIONS) | ((ext == ".exe") & stem(name).rlike(INSTALLER_EXE)), F.when(year < INSTALLER_YEAR, "C:J6").when(app_installed, "A:J6").otherwise("B:J6"))
         .when(_ends(name, ARCHIVES), code(twin_dir, "C:J7", NOTHING))
         .when(duplicate, F.when(~base_there, "C:J8").when(own_hash == base_hash, "A:J8").when(size == base_size, "B:J8").otherwise("C:J8"))
-        .when((size == 0) & ~low.isin(*ZERO_ALLOWED) & ~low.endswith(".lock") & link.isNull(), "A:J9")
+        .when((size == 0) & ~dataless & ~low.isin(*ZERO_ALLOWED) & ~low.endswith(".lock") & link.isNull(), "A:J9")
         .when(link != "", F.when(link.rlike(AWAY_LINK), "C:J10").when(link_there, NOTHING).otherwise("B:J10"))
         .when(low.rlike(LOGS), F.when(year < LOG_YEAR, "C:J13").otherwise("B:J13"))
         .when(ext.isin(".orig", ".rej"), "B:J13")
@@ -131,7 +131,8 @@ def classify_junk(files: DataFrame, now: Column, folders: DataFrame | None = Non
     """files (dir, name, size, mtime, hash) with `tier` and `family` (null: no junk).
 
     folders (dir, name) are folders that hold no file; those on the way to a file are known. apps
-    (name) are the installed apps; a column link holds a link's target. Where `paths` (path)
+    (name) are the installed apps; a column link holds a link's target, a column dataless is true where only
+    a placeholder is here, which is never an empty file. Where `paths` (path)
     tells what else exists, a link is broken if no file, folder or path is its target. `raw` names a column for the code before old files drop a tier. Siblings are met by equi-joins on (dir, name) and a count per
     (dir, stem): a folder with many files is spread by name, never gathered.
     """
@@ -167,7 +168,7 @@ def classify_junk(files: DataFrame, now: Column, folders: DataFrame | None = Non
         rows = rows.withColumn("_link", no)
     first, there = F.coalesce("_there", no), F.coalesce("_there", "_there2", no)
     base_hash, base_size = F.when(first, F.col("_bhash")).otherwise(F.col("_bhash2")), F.when(first, F.col("_bsize")).otherwise(F.col("_bsize2"))
-    code = junk_rule(name, F.col("size"), F.col("mtime"), now, F.col("_same") > 1, first, F.coalesce("_folder", no), base_hash, F.col("hash"), base_size, there, installed, link, F.coalesce("_link", no))
+    code = junk_rule(name, F.col("size"), F.col("mtime"), now, F.col("_same") > 1, first, F.coalesce("_folder", no), base_hash, F.col("hash"), base_size, there, installed, link, F.coalesce("_link", no), F.coalesce("dataless", no) if "dataless" in files.columns else no)
     rows = rows.withColumn("_code", F.nullif(code, F.lit(NOTHING)))
     own = [c for c in rows.columns if c in ("_stem", "_base", "_base2", "_twin", "_app", "_same", "_bsize", "_bhash", "_there", "_bsize2", "_bhash2", "_there2", "_folder", "_installed", "_code", "_link")]
     if raw:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from siltstone.functions.joins import hot_split_join
 from siltstone.functions.text import copy_number, strip_copy
+from siltstone.sources.scratch import kept
 
 
 def poisoned_hashes(entries: DataFrame) -> DataFrame:
@@ -15,6 +16,31 @@ def poisoned_hashes(entries: DataFrame) -> DataFrame:
     return entries.filter(F.col("hash").isNotNull()).groupBy("hash").agg(F.min(sized).alias("a"), F.max(sized).alias("b")).filter("a <> b").select("hash")
 
 
+#: A bitmap of positions has no more than 2 ** MOST_BITS bits (32 MB); with more digests than that it would tell nothing.
+MOST_BITS = 28
+
+
+def seen_again(entries: DataFrame, hash: str = "hash") -> DataFrame:
+    """entries without those whose digest is seen once: nearly all of them, and no other.
+
+    Only positions, digests hashed to a number of eight bytes, are counted; those counted more than once
+    are bits of a bitmap, in buckets that rows meet by broadcast, at eight bits a row. A row whose
+    position is another's too stays, so nothing that is repeated is lost. Null digests go. Beyond
+    2 ** (MOST_BITS - 3) rows every row with a digest stays.
+    """
+    rows = entries.filter(F.col(hash).isNotNull())
+    bits = max(16, (8 * rows.count()).bit_length())
+    if bits > MOST_BITS:
+        return rows
+    place = F.pmod(F.xxhash64(hash), F.lit(1 << bits))
+    often = rows.select(place.alias("_at")).groupBy("_at").agg(F.count("*").alias("_n")).filter("_n > 1")
+    maps = often.groupBy(F.bitmap_bucket_number("_at").alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("_at")).alias("_map"))
+    met = rows.withColumn("_at", place).withColumn("_bucket", F.bitmap_bucket_number("_at")).join(F.broadcast(maps), "_bucket")
+    spot = F.bitmap_bit_position("_at")
+    byte = F.conv(F.hex(F.expr("substring(_map, cast(bitmap_bit_position(_at) div 8 as int) + 1, 1)")), 16, 10).cast("int")
+    return met.filter(F.getbit(byte, (spot % 8).cast("int")) == 1).select(*entries.columns)
+
+
 def keeper_key() -> list[Column]:
     """Originals before copies, low copy numbers, shallow, short, then by path and id."""
     n = copy_number(F.col("name"))
@@ -25,17 +51,19 @@ def keeper_key() -> list[Column]:
 def duplicate_plan(entries: DataFrame, per_folder: bool = False) -> DataFrame:
     """(id, rel, dir_rel, hash, size, keeper): every redundant entry with the entry that stays.
 
-    A digest's keeper is a least struct, combined on the map side, so no task sorts or gathers the
+    Digests are made once, and only rows whose digest is seen again go on. A digest's keeper is a least struct, combined on the map side, so no task sorts or gathers the
     copies of one digest; digests that hold a large share of all rows meet them by broadcast. Rows
     without a digest take no part; of rows equal in id and path one may stay.
     """
     key = ["dir_rel", "hash"] if per_folder else ["hash"]
     order = F.struct(*[c.alias(f"o{n}") for n, c in enumerate(keeper_key())])
-    good = entries.filter(F.col("hash").isNotNull())
+    good = kept(seen_again(kept(entries.select("id", "rel", "dir_rel", "name", "size", "hash"), "entries")), "repeated")
     sized = F.struct(F.col("size").isNull(), F.coalesce("size", F.lit(-1)))
-    groups = good.groupBy(*key).agg(F.min(order).alias("_best"), F.count("*").alias("_rows"))
-    pure = good.groupBy("hash").agg(F.min(sized).alias("_a"), F.max(sized).alias("_b")).filter("_a = _b").select("hash")
-    shared = groups.filter("_rows > 1").join(pure, "hash", "left_semi").withColumn("_key", F.concat_ws("\0", *key)).select("_key", "_best", "_rows")
+    groups = good.groupBy(*key).agg(F.min(order).alias("_best"), F.count("*").alias("_rows"), F.min(sized).alias("_a"), F.max(sized).alias("_b"))
+    if per_folder:
+        pure = good.groupBy("hash").agg(F.min(sized).alias("_a"), F.max(sized).alias("_b")).filter("_a = _b").select("hash")
+        groups = groups.join(pure, "hash", "left_semi")
+    shared = groups.filter("_rows > 1 and _a = _b").withColumn("_key", F.concat_ws("\0", *key)).select("_key", "_best", "_rows")
     keyed = good.withColumns({"_key": F.concat_ws("\0", *key), "_own": order})
     met = hot_split_join(keyed, shared, "_key", "_rows", good.count())
     return met.filter(F.col("_best").isNotNull() & (F.col("_own") != F.col("_best"))).select("id", "rel", "dir_rel", "hash", "size", F.col("_best.o4").alias("keeper"))
@@ -101,5 +129,5 @@ def drain(entries: DataFrame, per_folder: bool = False, max_passes: int = 10) ->
         plan = duplicate_plan(left, per_folder)
         if plan.isEmpty():
             return left, n, True
-        left = left.join(plan.select("id"), "id", "left_anti").checkpoint()
+        left = kept(left.join(plan.select("id"), "id", "left_anti"), "left")
     return left, max_passes, False

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from siltstone.functions.text import csv_unsafe
+from siltstone.functions.text import csv_unsafe, nfc
 
 from .identity import free_names, poisoned_hashes
 
@@ -68,6 +68,43 @@ def contained(path: Column, root: Column) -> Column:
     return path.startswith(F.concat(root, F.lit("/"))) & ~path.rlike(r"(^|/)\.\.(/|$)")
 
 
+# Verdicts of set-aside files from worst to best.
+VERDICTS = ["orphan", "poisoned", "unreadable", "inconclusive", "syncing", "ok"]
+
+
+def where(quarantined: DataFrame, outside: DataFrame, manifest: DataFrame, existing: DataFrame, names: DataFrame | None = None, per_folder: bool = False, most: int = 5) -> DataFrame:
+    """(severity, file, verdict, size, total, copies, keeper, keeper_status): where the content of set-aside
+    files lives outside, and whether what the manifest names as kept is there.
+
+    quarantined (id, dup_dir, name, rel, size, hash, klass), manifest (dup_dir, stored_as, keeper), existing
+    (rel) all paths below the root, names (name) the files asked for; without it all are. A keeper lies
+    below the root, or with `per_folder` below its quarantine's folder: unsafe-path if it is absolute or
+    leads up, else present or missing, null without a row. A name asked for that no set-aside file has is
+    a row of its own, not-found. Rows are in order of severity, then file; of several manifest rows of one
+    file the greatest keeper counts; names are compared in composed form.
+    """
+    rows = quarantined.withColumn("_name", nfc(F.col("name")))
+    if names is not None:
+        asked = names.select(nfc(F.col("name")).alias("_name")).distinct()
+        rows = rows.join(asked, "_name", "left_semi")
+    claimed = manifest.filter("stored_as <> ''").groupBy("dup_dir", nfc(csv_unsafe(F.col("stored_as"))).alias("_name")).agg(F.max(csv_unsafe(F.col("keeper"))).alias("keeper"))
+    met = rows.join(claimed, ["dup_dir", "_name"], "left").withColumn("keeper", F.nullif("keeper", F.lit("")))
+    above = F.when(F.lit(per_folder) & (F.instr("dup_dir", "/") > 0), F.regexp_replace("dup_dir", "/[^/]*$", "")).otherwise("")
+    place = F.when(above == "", F.col("keeper")).otherwise(F.concat_ws("/", above, "keeper"))
+    unsafe = F.col("keeper").startswith("/") | F.col("keeper").rlike(r"(^|/)\.\.(/|$)")
+    there = existing.select(F.col("rel").alias("_place")).distinct().withColumn("_there", F.lit(True))
+    met = met.withColumn("_place", F.when(F.col("keeper").isNotNull() & ~unsafe, place)).join(there, "_place", "left")
+    status = F.when(F.col("keeper").isNull(), None).when(unsafe, "unsafe-path").when(F.col("_there"), "present").otherwise("missing")
+    copies = twins(quarantined, outside, most).select("id", "total", "copies")
+    out = met.withColumn("keeper_status", status).join(copies, "id")
+    order = F.coalesce(F.nullif(F.array_position(F.array(*[F.lit(v) for v in VERDICTS]), F.col("klass")) - 1, F.lit(-1)), F.lit(9)).cast("int")
+    out = out.select(order.alias("severity"), F.col("rel").alias("file"), F.col("klass").alias("verdict"), "size", "total", "copies", "keeper", "keeper_status")
+    if names is None:
+        return out
+    none = asked.join(quarantined.select(nfc(F.col("name")).alias("_name")), "_name", "left_anti")
+    return out.unionByName(none.select(F.lit(10).alias("severity"), F.col("_name").alias("file"), F.lit("not-found").alias("verdict")), allowMissingColumns=True)
+
+
 def undo_accounting(manifest: DataFrame, stored: DataFrame, existing: DataFrame, root: Column) -> DataFrame:
     """manifest with `outcome`: refused (outside root), unaccounted (not stored), skipped (target there), restored."""
     rows = manifest.join(stored.select("stored_as").distinct().withColumn("_stored", F.lit(True)), "stored_as", "left").join(existing.select(F.col("rel").alias("original_relpath")).distinct().withColumn("_there", F.lit(True)), "original_relpath", "left")

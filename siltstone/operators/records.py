@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltstone.functions.joins import hot_split_join
+from siltstone.functions.text import jaccard
 from siltstone.operators import spelling
+from siltstone.operators.components import components
+from siltstone.sources.scratch import kept
 
 # Sizes of the delivery and of its batches.
 DELIVERY_CHUNK, BATCH_SIZE = 100, 184
@@ -51,8 +55,9 @@ def shared_sentences(items: DataFrame) -> DataFrame:
     return met.filter(F.col("_best").isNotNull() & ~F.col("id").eqNullSafe(F.col("_best.id"))).select("id", F.col("_best.id").alias("keeper"))
 
 
-def deliver(items: DataFrame, delivered: DataFrame, total: int) -> DataFrame:
-    """What is still to be delivered: (rank, position, chunk), in rank order after what is there.
+def deliver(items: DataFrame, delivered: DataFrame, total: int, allow_unordered: bool = False) -> DataFrame:
+    """What is still to be delivered: (rank, position, chunk), in rank order after what is there; nothing
+    where order_guard refuses and `allow_unordered` does not overrule it.
 
     Positions need one total order; only ranks, not records, pass through it, and they are dealt by
     range so that no task numbers them all.
@@ -60,9 +65,44 @@ def deliver(items: DataFrame, delivered: DataFrame, total: int) -> DataFrame:
     there = delivered.select("rank").distinct()
     start = there.count()
     todo = items.select("rank").filter("rank is not null").distinct().join(there, "rank", "left_anti")
+    guard = order_guard(items, delivered).first()
+    if guard is not None and guard["refused"] and not allow_unordered:
+        todo = todo.limit(0)
     return number_globally(todo, "rank").filter(F.col("nth") <= max(0, total - start)).select("rank", (F.col("nth") + start).alias("position"), F.floor((F.col("nth") - 1) / DELIVERY_CHUNK).cast("long").alias("chunk"))
 
 
+def order_guard(items: DataFrame, delivered: DataFrame, *deck: str) -> DataFrame:
+    """(deck.., lowest, highest, refused): whether what is still to be delivered to a deck begins below a rank
+    that is there already; it would be studied after it for good, so the delivery is refused."""
+    there = delivered.select(*deck, "rank").distinct()
+    todo = items.select(*deck, "rank").filter("rank is not null").distinct().join(there, [*deck, "rank"], "left_anti")
+    low, high = todo.groupBy(*deck).agg(F.min("rank").alias("lowest")), there.groupBy(*deck).agg(F.max("rank").alias("highest"))
+    met = low.join(high, list(deck), "left") if deck else low.crossJoin(high)  # one row each
+    return met.withColumn("refused", F.coalesce(F.col("lowest") < F.col("highest"), F.lit(False)))
+
+
+# Fields that a record must have, those shown to a reader, those in the native script, what
+# counts as markup, and the characters beyond ASCII that shown fields may have.
+REQUIRED_FIELDS = ["rank", "term", "headword", "gloss", "pos"]
+SHOWN_FIELDS = ["headword", "sent_display", "gloss", "sent_en"]
+NATIVE_FIELDS = ["term", "sent_native"]
+MARKUP = r"[<>]|&[a-z]{2,8};|&#\d+;"
+STRAY = r"[^\x00-\x7F’–—]"
+
+
+def field_lint(items: DataFrame, accent: bool = True) -> DataFrame:
+    """(id, field, rule) over all fields of items (id and the fields named above, keep): a rank that is no
+    whole number is missing, other required fields must not be blank, no field holds markup, and with
+    `accent` shown fields hold neither the native script nor stray characters. Null fields are empty."""
+    c = lambda n: F.coalesce(F.col(n).cast("string"), F.lit(""))
+    row = lambda test, field, rule: F.when(test, F.struct(F.lit(field).alias("field"), F.lit(rule).alias("rule")))
+    found = [row(rank_of(F.col("rank")).isNull(), "rank", "empty_field")] + [row(F.trim(c(f)) == "", f, "empty_field") for f in REQUIRED_FIELDS[1:]]
+    found += [row(c(f).rlike(MARKUP), f, "raw_html") for f in SHOWN_FIELDS + NATIVE_FIELDS]
+    if accent:
+        found += [row(c(f).rlike(DEVANAGARI), f, "native_leak") for f in SHOWN_FIELDS] + [row(c(f).rlike(STRAY), f, "non_ascii") for f in SHOWN_FIELDS]
+    return items.select("id", F.inline(F.array_compact(F.array(*found))))
+
+
 def number_globally(rows: DataFrame, key: str, blocks: int = 256) -> DataFrame:
     """rows (key unique, integer) with `nth` from 1 in key order, numbered in ranges of about equal
     numbers of rows, cut at approximate quantiles of the key."""
@@ -90,7 +130,9 @@ def sentence_index(sentences: DataFrame, known: DataFrame, low: int = 3, high: i
     tokens = F.filter(F.split(F.lower("text"), r"[^a-z]+"), lambda t: t != "")
     cut = sentences.select("id", tokens.alias("tokens")).filter(F.size("tokens").between(low, high))
     each = cut.select("id", F.size("tokens").alias("n"), F.posexplode("tokens").alias("pos", "token"))
-    flagged = each.join(known.select("token").distinct().withColumn("_known", F.lit(1)), "token", "left")
+    # A row a token tells whether it is known and how often it occurs; frequent tokens meet it by broadcast.
+    own = each.groupBy("token").agg(F.count("*").alias("_rows")).join(known.select("token").distinct().withColumn("_known", F.lit(1)), "token", "left")
+    flagged = hot_split_join(each, own, "token", "_rows", each.count())
     score = flagged.groupBy("id").agg((F.first("n") + 4 * F.count_if(F.col("_known").isNull())).alias("score"))
     best = each.select("id", "token").distinct().join(score, "id").groupBy("token").agg(F.min(F.struct("score", F.col("id").cast("string").alias("sid"), "id")).alias("b"))
     return best.select("token", F.col("b.id").alias("sentence_id"), F.col("b.score").cast("long").alias("score"))
@@ -104,40 +146,75 @@ def word_links(items: DataFrame) -> DataFrame:
     """(head, a, b): pairs of different (word, gloss) within a head that are one word, a before b.
 
     items (head, word, gloss, first), a row each, `first` the place of its earliest record. Only
-    words with an equal key or an equal skeleton can be one, so pairs are met by these keys.
+    words with an equal key or an equal skeleton can be one, so pairs are met by these keys. Keys,
+    skeletons and glosses' words are made once a row, not once a pair.
     """
-    keyed = items.select("head", "word", "gloss", "first", F.explode(F.array_distinct(F.array(F.concat(F.lit("k"), spelling.spelling_key(F.col("word"))), F.concat(F.lit("s"), spelling.skeleton(F.col("word")))))).alias("block"))
+    own = F.struct("first", spelling.spelling_key(F.col("word"), True).alias("dotted"), spelling.gloss_words(F.col("gloss")).alias("words"), spelling.lead_word(F.col("gloss")).alias("lead"))
+    blocks = F.array_distinct(F.array(F.concat(F.lit("k"), spelling.spelling_key(F.col("word"))), F.concat(F.lit("s"), spelling.skeleton(F.col("word")))))
+    keyed = kept(items.select("head", own.alias("own"), blocks.alias("blocks")), "keyed-words").select("head", "own", F.explode("blocks").alias("block"))
     l, r = keyed.alias("l"), keyed.alias("r")
-    met = l.join(r, (F.col("l.head") == F.col("r.head")) & (F.col("l.block") == F.col("r.block")) & (F.col("l.first") < F.col("r.first")))
-    same = spelling.same_word(F.col("l.word"), F.col("l.gloss"), F.col("r.word"), F.col("r.gloss"))
-    return met.filter(same).select(F.col("l.head").alias("head"), F.col("l.first").alias("a"), F.col("r.first").alias("b")).distinct()
+    a, b = (lambda n: F.col(f"l.own.{n}")), (lambda n: F.col(f"r.own.{n}"))
+    agree = (jaccard(a("words"), b("words")) >= spelling.LEAST_OVERLAP) | ((a("lead") != "") & (a("lead") == b("lead")))
+    met = l.join(r, (F.col("l.head") == F.col("r.head")) & (F.col("l.block") == F.col("r.block")) & (a("first") < b("first")) & F.coalesce((a("dotted") == b("dotted")) | agree, F.lit(False)))
+    return met.select(F.col("l.head").alias("head"), a("first").alias("a"), b("first").alias("b")).distinct()
+
+
+#: A component with no more links is settled in one call; a larger one round by round.
+COMPONENT_LINKS = 100_000
+
+
+def _settle(links: pd.DataFrame) -> pd.DataFrame:
+    """(node, kept) of one component's links, whose ends are numbered in order of place: a node is kept
+    unless one before it that it is linked to is."""
+    before: dict[int, list[int]] = {}
+    for a, b in zip(links["a"].tolist(), links["b"].tolist(), strict=True):
+        before.setdefault(b, []).append(a)
+        before.setdefault(a, [])
+    state: dict[int, bool] = {}
+    for node in sorted(before):
+        state[node] = not any(state[x] for x in before[node])
+    return pd.DataFrame({"node": list(state), "kept": list(state.values())})
+
+
+def settle(links: DataFrame) -> DataFrame:
+    """(node, kept) over links (a, b), a before b, of nodes whose numbers are in order of place."""
+    root = components(links)
+    of = kept(links.join(root.withColumnRenamed("node", "a"), "a"), "links-of-components")
+    large = of.groupBy("root").count().filter(F.col("count") > COMPONENT_LINKS).select("root")
+    small = of.join(large, "root", "left_anti").groupBy("root").applyInPandas(_settle, "node long, kept boolean")
+    rest = kept(of.join(large, "root", "left_semi").select("a", "b"), "large-components")
+    if rest.isEmpty():
+        return small
+    # A node is settled once every one before it that it is linked to is; each round settles at least the first open one.
+    state = kept(rest.select(F.col("a").alias("node")).unionByName(rest.select(F.col("b").alias("node"))).distinct().withColumn("kept", F.lit(None).cast("boolean")), "settled")
+    while not state.filter("kept is null").isEmpty():
+        seen = rest.join(state.withColumnsRenamed({"node": "a", "kept": "was"}), "a").groupBy(F.col("b").alias("node")).agg(F.bool_or(F.coalesce("was", F.lit(False))).alias("one_kept"), F.bool_or(F.col("was").isNull()).alias("open"))
+        now = F.when(F.col("one_kept"), False).when(~F.coalesce("open", F.lit(False)), True)
+        state = kept(state.join(seen, "node", "left").select("node", F.coalesce("kept", now).alias("kept")), "settled")
+    return small.unionByName(state)
 
 
-def leader_clusters(items: DataFrame, max_rounds: int = 60) -> DataFrame:
+def leader_clusters(items: DataFrame) -> DataFrame:
     """(id, leader): in rank order within a head, an item joins the first earlier kept item that is the
     same word; else it is kept. Being one word is not transitive, so order decides.
 
     items (id, head, rank, word, gloss). Records equal in word and gloss always follow the first of
-    them, so only different ones are linked. An item is kept once every earlier item that it is linked
-    to has joined another, and joins once one of these is kept: each round settles all such items at
-    once, until none is left. Null words and heads stand alone.
+    them, so only different ones are linked. Whether an item is kept follows from earlier items of its
+    own component of links: components are settled each in one call, those of more than COMPONENT_LINKS
+    links in as many rounds as their longest chain has links. Null words and heads stand alone.
     """
     place = F.struct("rank", "id")
-    once = items.filter("head is not null and word is not null").groupBy("head", "word", F.coalesce("gloss", F.lit("")).alias("gloss")).agg(F.min(place).alias("first")).checkpoint()
-    links = word_links(once).checkpoint()
-    state = once.select("head", F.col("first").alias("at"), F.lit(None).cast("boolean").alias("kept")).checkpoint()
-    for _ in range(max_rounds):
-        if state.filter("kept is null").isEmpty():
-            break
-        before = state.withColumnsRenamed({"at": "a", "kept": "was"})
-        seen = links.join(before, ["head", "a"]).groupBy("head", F.col("b").alias("at")).agg(F.bool_or(F.coalesce("was", F.lit(False))).alias("one_kept"), F.bool_or(F.col("was").isNull()).alias("open"))
-        met = state.join(seen, ["head", "at"], "left")
-        now = F.when(F.col("one_kept"), False).when(~F.coalesce("open", F.lit(False)), True)
-        state = met.select("head", "at", F.coalesce("kept", now).alias("kept")).checkpoint()
-    else:
-        raise RuntimeError(f"clusters did not settle in {max_rounds} rounds")
-    kept = state.filter("kept").select("head", F.col("at").alias("a"))
-    joined = links.join(kept, ["head", "a"]).groupBy("head", F.col("b").alias("first")).agg(F.min("a").alias("leader"))
+    first = items.filter("head is not null and word is not null").groupBy("head", "word", F.coalesce("gloss", F.lit("")).alias("gloss")).agg(F.min(place).alias("first"))
+    once = kept(first, "words")
+    links = kept(word_links(once), "word-links")
+    # Ends of links by number, in order of head and place: numbered by range, so no task orders them all.
+    ends = links.select("head", F.col("a").alias("at")).unionByName(links.select("head", F.col("b").alias("at"))).distinct()
+    parts = kept(ends.repartitionByRange("head", "at").sortWithinPartitions("head", "at").select("*", F.monotonically_increasing_id().alias("node")), "ends")
+    by = lambda c: parts.select("head", F.col("at").alias(c), F.col("node").alias(f"n_{c}"))
+    numbered = kept(links.join(by("a"), ["head", "a"]).join(by("b"), ["head", "b"]), "numbered-links")
+    state = settle(numbered.select(F.col("n_a").alias("a"), F.col("n_b").alias("b")))
+    one = state.filter("kept").select(F.col("node").alias("n_a"))
+    joined = numbered.join(one, "n_a").groupBy("head", F.col("b").alias("first")).agg(F.min("a").alias("leader"))
     leaders = once.join(joined, ["head", "first"], "left").select("head", "word", "gloss", F.coalesce("leader", "first")["id"].alias("leader"))
     rows = items.select("id", "head", "word", F.coalesce("gloss", F.lit("")).alias("gloss"))
     return rows.join(leaders, ["head", "word", "gloss"], "left").select("id", F.coalesce("leader", "id").alias("leader"))

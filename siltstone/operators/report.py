@@ -5,13 +5,61 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from siltstone.operators.identity import seen_again
+from siltstone.operators.intervals import subtree_sums
 from siltstone.operators.tree import ancestors
+from siltstone.sources.scratch import kept
 
 
 def totals(files: DataFrame) -> DataFrame:
     return files.agg(F.count("*").alias("files"), F.countDistinct("dir").alias("dirs"), F.sum("size").alias("bytes"), F.count_if(F.col("size") == 0).alias("empty"), F.count_if(F.col("size").isNull()).alias("errors"))
 
 
+def counted(size: str = "size", first: str = "hl_first") -> Column:
+    """The bytes that a file adds: none where it is a further link to bytes counted already."""
+    return F.when(F.col(first) == 1, F.coalesce(F.col(size), F.lit(0))).otherwise(F.lit(0)).cast("long")
+
+
+def inventory_totals(files: DataFrame) -> DataFrame:
+    """One row over files (size, blocks, dataless, hl_first): files, bytes of first links, bytes on disk,
+    placeholders and their bytes, files without a size."""
+    at_rest = F.coalesce("dataless", F.lit(False))
+    none = F.lit(0).cast("long")
+    return files.agg(
+        F.count("*").alias("files"),
+        F.coalesce(F.sum(counted()), none).alias("bytes"),
+        F.coalesce(F.sum(F.coalesce("blocks", none) * 512), none).alias("physical"),
+        F.count_if(at_rest).alias("dataless_files"),
+        F.coalesce(F.sum(F.when(at_rest, counted())), none).alias("dataless_bytes"),
+        F.count_if(F.col("size").isNull()).alias("errors"),
+    )
+
+
+def junk_families(files: DataFrame) -> DataFrame:
+    """(tier, family, files, bytes, samples) of junk among files (name, size, hl_first, cls): bytes of first
+    links, and the first three names."""
+    code = F.split("cls", ":")
+    rows = files.filter(F.col("cls").rlike("^j[ABC]:")).select(F.substring(code[0], 2, 1).alias("tier"), code[1].alias("family"), "name", counted().alias("size"))
+    return samples(rows, ["tier", "family"])
+
+
+def folder_rollup(labels: DataFrame, files: DataFrame, categories: list[str]) -> DataFrame:
+    """(id, files, bytes, junk_bytes, year, categories): whole subtrees of folders by their interval labels.
+
+    files (folder, size, hl_first, cls, year, category), bytes are those of first links: junk_bytes of
+    tiers A and B, categories the bytes of each category (of the list) that has any, year the mean
+    weighted by bytes over files with a year, rounded half to even, null without such bytes.
+    """
+    b, dated = counted(), F.col("year").isNotNull()
+    sums = {"files": F.lit(1).cast("long"), "bytes": b, "junk_bytes": F.when(F.col("cls").rlike("^j[AB]:"), b), "_years": F.when(dated, b.cast("decimal(38,0)") * F.col("year")), "_dated": F.when(dated, b)}
+    sums |= {f"_c{n}": F.when(F.col("category") == c, b) for n, c in enumerate(categories)}
+    direct = files.groupBy(F.col("folder").alias("id")).agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(n) for n, c in sums.items()])
+    whole = subtree_sums(labels, direct, *sums)
+    each = F.array(*[F.struct(F.lit(c).alias("key"), F.col(f"_c{n}").alias("value")) for n, c in enumerate(categories)])
+    year = F.when(F.col("_dated") > 0, F.bround(F.col("_years").cast("double") / F.col("_dated"))).cast("int")
+    return whole.select("id", "files", "bytes", "junk_bytes", year.alias("year"), F.map_from_entries(F.filter(each, lambda e: e["value"] > 0)).alias("categories"))
+
+
 def by_group(files: DataFrame, key: Column, name: str) -> DataFrame:
     return files.groupBy(key.alias(name)).agg(F.count("*").alias("files"), F.sum("size").alias("bytes"))
 
@@ -29,8 +77,10 @@ def samples(files: DataFrame, keys: list[str], most: int = 3) -> DataFrame:
 
 
 def overlap(files: DataFrame) -> DataFrame:
-    """One row: digest groups with several files, and the bytes that copies take."""
-    groups = files.filter(F.col("hash").isNotNull()).groupBy("hash").agg(F.count("*").alias("n"), F.max("size").alias("size")).filter("n > 1")
+    """One row: digest groups with several files, and the bytes that copies take. Where files have a column
+    hl_first, further links are no copies. Digests seen once are dropped before they are grouped."""
+    rows = files.filter("hl_first = 1") if "hl_first" in files.columns else files
+    groups = seen_again(kept(rows.select("hash", "size"), "digests")).filter(F.col("hash").isNotNull()).groupBy("hash").agg(F.count("*").alias("n"), F.max("size").alias("size")).filter("n > 1")
     return groups.agg(F.count("*").alias("groups"), F.coalesce(F.sum((F.col("n") - 1) * F.col("size")), F.lit(0)).alias("wasted"))
 
 

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from siltstone.sources.scratch import kept
+
 
 def ancestors(path: Column) -> Column:
     """All proper ancestors of a path, shallowest first."""
@@ -30,7 +32,7 @@ def folders(files: DataFrame) -> DataFrame:
 
 
 def rollup(files: DataFrame, *extra: str) -> DataFrame:
-    """(dir, extra.., files, bytes, newest) of whole subtrees."""
+    """(dir, extra.., files, bytes) of whole subtrees by path; see report.folder_rollup for all sums of a report by id."""
     direct = files.groupBy(parent(F.col("path")).alias("_own"), *extra).agg(F.count("*").alias("_n"), F.sum("size").alias("_b")).filter("_own is not null")
     up = direct.select(*extra, "_n", "_b", F.explode(F.concat(ancestors(F.col("_own")), F.array("_own"))).alias("dir"))
     return up.groupBy("dir", *extra).agg(F.sum("_n").alias("files"), F.sum("_b").alias("bytes"))
@@ -97,7 +99,7 @@ def treemap(files: DataFrame, root: str, budget: int) -> DataFrame:
     top lists, not sorted whole. Null sizes count as 0; a root that holds no file gives no rows.
     """
     inside = files.filter(F.col("path").startswith(root + "/")).select("path", F.coalesce("size", F.lit(0)).cast("long").alias("size"), "category")
-    by_category = rollup(inside, "category").select("dir", "category", "files", "bytes").checkpoint()
+    by_category = kept(rollup(inside, "category").select("dir", "category", "files", "bytes"), "map-categories")
     whole = by_category.groupBy("dir").agg(F.sum("files").alias("files"), F.sum("bytes").alias("size"))
     total = whole.filter(F.col("dir") == root).first()
     empty = files.sparkSession.createDataFrame([], "dir string, depth int, kind string, path string, size long, files long, categories map<string,bigint>")
@@ -110,7 +112,7 @@ def treemap(files: DataFrame, root: str, budget: int) -> DataFrame:
     folders_ = whole.filter(F.col("dir") != root).select(parent(F.col("dir")).alias("dir"), F.lit("dir").alias("kind"), F.col("dir").alias("path"), "size", "files", F.lit(None).cast("string").alias("category"))
     entries = folders_.unionByName(largest)
     # An entry of half a percent is among the first 200, so no more need to be ranked.
-    first = entries.withColumn("_n", F.row_number().over(Window.partitionBy("dir").orderBy(*order))).filter(F.col("_n") <= int(1 / MAP_SHARE) + MAP_MOST).checkpoint()
+    first = kept(entries.withColumn("_n", F.row_number().over(Window.partitionBy("dir").orderBy(*order))).filter(F.col("_n") <= int(1 / MAP_SHARE) + MAP_MOST), "map-first")
     counts = entries.groupBy("dir").agg(F.count("*").alias("_entries"))
     frontier = files.sparkSession.createDataFrame([(root, budget)], "dir string, budget long")
     shown = empty.drop("categories").withColumn("category", F.lit(None).cast("string"))
@@ -121,13 +123,13 @@ def treemap(files: DataFrame, root: str, budget: int) -> DataFrame:
         kept_bytes = F.greatest(F.sum(F.when(F.col("_n") <= F.col("_keep"), F.col("size"))).over(Window.partitionBy("dir")), F.lit(1))
         large = (F.col("_n") <= F.col("_keep")) | (F.col("size") >= MAP_SHARE * F.greatest(F.col("_total"), F.lit(1)))
         pool = F.greatest(F.col("budget") - F.col("_keep"), F.lit(0))
-        chosen = met.withColumn("_kept", kept_bytes).filter(large & (F.col("size") >= floor) & F.lit(depth < MAP_DEPTH)).withColumn("_budget", F.floor(pool * (F.col("size") / F.col("_kept"))).cast("long")).checkpoint()
+        chosen = kept(met.withColumn("_kept", kept_bytes).filter(large & (F.col("size") >= floor) & F.lit(depth < MAP_DEPTH)).withColumn("_budget", F.floor(pool * (F.col("size") / F.col("_kept"))).cast("long")), "map-level")
         shown = shown.unionByName(frontier.select("dir", F.lit(depth).alias("depth"), F.lit("folder").alias("kind"), F.col("dir").alias("path"), F.lit(0).cast("long").alias("size"), F.lit(0).cast("long").alias("files"), F.lit(None).cast("string").alias("category")))
         shown = shown.unionByName(chosen.select("dir", F.lit(depth).alias("depth"), "kind", "path", "size", "files", "category"))
         frontier = chosen.filter("kind = 'dir'").select(F.col("path").alias("dir"), F.col("_budget").alias("budget"))
         if frontier.isEmpty():
             break
-    shown = shown.checkpoint()
+    shown = kept(shown, "map-shown")
     boxes = shown.filter("kind <> 'folder'")
     # What a folder's boxes hold of each category: a shown file its own, a shown folder its whole subtree.
     held = boxes.filter("kind = 'file'").select("dir", "category", "size", "files").unionByName(boxes.filter("kind = 'dir'").select("dir", "path").join(by_category.select(F.col("dir").alias("path"), "category", F.col("bytes").alias("size"), "files"), "path").select("dir", "category", "size", "files"))

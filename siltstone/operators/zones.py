@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from siltstone.functions.text import extension, extension_multi, plausible_year
 from siltstone.operators import classify, photos, sensitive, tree
+from siltstone.sources.scratch import kept
 
 # Names of files and folders by which projects, repositories and stores are known.
 VCS_DIRS = [".git", ".hg", ".svn", ".bzr", ".jj", "_darcs", ".fossil"]
@@ -114,8 +115,8 @@ def folder_zones(dirs: DataFrame, files: DataFrame) -> DataFrame:
     """(dir, zone, prot): zone is what the folder itself is, a protected kind or a cache that lies in or
     outside one; prot is the folder that protects it, the topmost that is a zone, itself for a cache
     that nothing else protects. Caches protect only the files directly in them."""
-    facts = folder_facts(dirs.select("dir").distinct(), files).checkpoint()
-    kinds = facts.select("dir", zone_kind(F.col("dir")).alias("kind"))
+    facts = kept(folder_facts(dirs.select("dir").distinct(), files), "facts")
+    kinds = kept(facts.select("dir", zone_kind(F.col("dir")).alias("kind")), "kinds")
     found = tree.zones(kinds, F.col("kind"))
     strong = facts.filter("strong").select(F.col("dir").alias("up"), F.lit(True).alias("in_project"))
     low = own_name(F.col("dir"))
@@ -134,32 +135,33 @@ def folder_zones(dirs: DataFrame, files: DataFrame) -> DataFrame:
 
 def empty_folders(dirs: DataFrame, files: DataFrame) -> DataFrame:
     """The folders of dirs (dir, status) whose whole subtree has no file, no zone and was walked to its end."""
-    kinds = folder_facts(dirs.select("dir").distinct(), files)
-    found = tree.zones(kinds.select("dir", zone_kind(F.col("dir")).alias("kind")), F.col("kind")).filter("zone_root is not null").select("dir")
+    # Written, as are all facts below: the optimizer would carry the long conditions on.
+    kinds = kept(folder_facts(dirs.select("dir").distinct(), files).select("dir", zone_kind(F.col("dir")).alias("kind")), "kinds")
+    found = tree.zones(kinds, F.col("kind")).filter("zone_root is not null").select("dir")
     full = files.select("dir").unionByName(found).unionByName(dirs.filter("status is null or status <> 'done'").select("dir")).distinct()
     held = full.select(F.explode(F.concat(tree.ancestors(F.col("dir")), F.array("dir"))).alias("dir")).distinct()
     return dirs.select("dir").distinct().join(held, "dir", "left_anti")
 
 
 def file_classes(files: DataFrame, dirs: DataFrame, now: int, folders: DataFrame | None = None, apps: DataFrame | None = None, root: str | None = None) -> DataFrame:
-    """files (id, dir, name, size, mtime, hash[, link]) with `cls`, `zone` and `prot`.
+    """files (id, dir, name, size, mtime, hash[, link, dataless]) with `cls`, `zone` and `prot`.
 
     A sensitive file is that whatever else it is; a protected one is nothing else; then junk, then
     photos. A duplicate-looking name without a proven twin is no junk where it is a photo.
     """
-    zones = folder_zones(dirs, files).checkpoint()
+    zones = kept(folder_zones(dirs, files), "zones")
     kinds = zones.select(F.col("dir").alias("prot"), F.col("zone").alias("kind"))
     of_dir = zones.select("dir", "prot").filter("prot is not null").join(kinds, "prot", "left")
     rows = files.join(of_dir, "dir", "left")
     judged = sensitive.classify_sensitive(rows, F.col("kind").isin(*CODE_ZONES))
-    judged = classify.classify_junk(judged, F.lit(now), folders, apps, raw="junk_code")
-    judged = photos.classify_photos(judged, F.lit(now), root)
+    judged = kept(classify.classify_junk(judged, F.lit(now), folders, apps, raw="junk_code"), "judged")
+    judged = photos.classify_photos(judged, F.lit(now), root, F.col("dataless") if "dataless" in files.columns else None)
     year = plausible_year(F.col("mtime"), F.lit(now))
     photo = F.when(F.col("photo").startswith("j"), F.concat(F.lit("j"), classify.demote(F.substring("photo", 2, 1), year), F.lit(":"), F.split("photo", ":")[1])).otherwise(F.col("photo"))
     is_photo = F.col("photo").startswith("ph:") & (F.col("photo") != "ph:asset")
     junk = F.when((F.col("junk_code") == "C:J8") & is_photo, None).otherwise(F.concat(F.lit("j"), "tier", F.lit(":"), "family"))
     cls = F.when(F.col("sensitive").isNotNull(), F.col("sensitive")).when(F.col("prot").isNotNull(), None).otherwise(F.coalesce(junk, photo))
-    return judged.select(*files.columns, cls.alias("cls"), F.col("kind").alias("zone"), "prot")
+    return kept(judged.select(*files.columns, cls.alias("cls"), F.col("kind").alias("zone"), "prot"), "classes")
 
 
 def newest_outside(caches: DataFrame, zones: DataFrame, files: DataFrame) -> DataFrame:

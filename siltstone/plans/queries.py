@@ -562,7 +562,7 @@ SELECT rank, nth + n AS position, (nth - 1) // 100 AS chunk FROM t, s WHERE nth
 def incremental_delivery(spark, sf):
     docs, labels = S.table(spark, sf, "documents"), S.table(spark, sf, "labels")
     there = labels.select(F.col("doc_id").alias("rank"))
-    return records.deliver(docs.select(F.col("doc_id").alias("rank")), there, round(docs.count() * DELIVERY_SHARE))
+    return records.deliver(docs.select(F.col("doc_id").alias("rank")), there, round(docs.count() * DELIVERY_SHARE), allow_unordered=True)
 
 
 @query("""

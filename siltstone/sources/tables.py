@@ -68,6 +68,15 @@ def newest_manifest(found: DataFrame) -> DataFrame:
     return found.withColumn("_n", F.row_number().over(order)).filter("_n = 1").drop("_n")
 
 
+def manifests_below(found: DataFrame, rows: DataFrame, root: str) -> DataFrame:
+    """found (plan_id, in_tree, mtime, path) without mirrors that are not of this root: a copy outside the
+    tree counts only if the first row (by `line`) of it (rows: path, line, src) that has a source lies
+    below the root."""
+    first = rows.filter("src <> ''").groupBy("path").agg(F.min_by("src", "line").alias("_src"))
+    met = found.join(first, "path", "left")
+    return met.filter(F.col("in_tree") | F.coalesce(F.col("_src").startswith(root.rstrip("/") + "/"), F.lit(False))).select(*found.columns)
+
+
 def overlay(*tiers: DataFrame, key: str) -> DataFrame:
     """Rows of the first tier that has their key."""
     both = None
@@ -86,9 +95,12 @@ def parallel_sentences(left: DataFrame, links: DataFrame, right: DataFrame) -> D
 
 
 def hardlink_first(files: DataFrame) -> DataFrame:
-    """hl_first = 1 for the first path of each (dev, ino) that has several links, and for plain files."""
+    """hl_first = 1 for the first path of each (dev, ino) that has several links, and for plain files and
+    those whose inode is not known."""
+    several = F.coalesce((F.col("nlink") > 1) & F.col("ino").isNotNull(), F.lit(False))  # only these meet by inode
     nth = F.row_number().over(Window.partitionBy("dev", "ino").orderBy("path"))
-    return files.withColumn("hl_first", F.when((F.col("nlink") <= 1) | (nth == 1), 1).otherwise(0))
+    linked = files.filter(several).withColumn("hl_first", F.when(nth == 1, 1).otherwise(0))
+    return linked.unionByName(files.filter(~several).withColumn("hl_first", F.lit(1)))
 
 
 def local_state(flags: Column, blocks: Column, size: Column) -> Column:
