@@ -1,41 +1,5 @@
-"""Connected components of links that a shuffle can hold, however large a component is."""
+"""Connected components, as the library has them."""
 
-from __future__ import annotations
+from siltstone.operators.components import components
 
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from .common import written
-
-
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """(node, root) for every node with a link; root is the component's least node.
-
-    Alternating large-star and small-star rounds: in each, a node's larger (then smaller) neighbours
-    are linked to its least neighbour, until no link changes. The rounds grow with the logarithm of
-    the longest chain.
-    """
-
-    def star(e: DataFrame, large: bool) -> DataFrame:
-        both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else e.select(F.col("b").alias("a"), F.col("a").alias("b"))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
-        met = both.join(least, "a")
-        pairs = met.filter("b > a").select("m", F.col("b").alias("x")) if large else met.select("m", F.col("b").alias("x")).unionByName(least.select("m", F.col("a").alias("x")))
-        return pairs.filter("m <> x").select(F.col("m").alias("a"), F.col("x").alias("b")).distinct()
-
-    def mark(e: DataFrame) -> tuple:
-        r = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        return r[0], r[1]
-
-    now = written(edges, "links")
-    state = mark(now)
-    for _ in range(max_rounds):
-        if not state[0]:
-            break
-        now = written(star(star(now, True), False), "stars")
-        then, state = state, mark(now)
-        if then == state:
-            break
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
-    return now.select(F.col("b").alias("node"), F.col("a").alias("root")).unionByName(now.select(F.col("a").alias("node"), F.col("a").alias("root"))).distinct()
+__all__ = ["components"]
