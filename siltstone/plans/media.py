@@ -28,8 +28,7 @@ def phrases() -> list[tuple[str, str]]:
     """Every word and pair of words of the tables, and what a document's name with it is."""
     words = {w: f"sn:S2:{c}" for w, c in sensitive.LIKELY_WORDS.items()}
     words |= {w: f"sn:S1:{c}" for w, c in sensitive.SURE_WORDS.items()}
-    words |= {w: f"sn:S1:{c}" for c, ws in sensitive.FOREIGN_WORDS.items() for w in ws}
-    return sorted((words | {p: f"sn:S1:{c}" for c, ps in sensitive.PAIRS.items() for p in ps}).items())
+    return sorted((words | {w: f"sn:S1:{c}" for w, c in (sensitive.FOREIGN_WORDS | sensitive.PAIRS).items()}).items())
 
 
 #: Names that hold no word of the tables, though some hold parts of them.

@@ -15,11 +15,14 @@ TREE = [(1, None, ""), (2, 1, "a"), (3, 2, "b"), (4, 3, "c"), (5, 1, "x"), (6, 7
 def test_paths_members_resolve(spark):
     paths = nodes.folder_paths(frame(spark, TREE, "id long, parent long, name string"))
     assert {r.id: (r.path, r.depth) for r in paths.collect()} == {1: ("", 0), 2: ("a", 1), 3: ("a/b", 2), 4: ("a/b/c", 3), 5: ("x", 1), 8: ("stray", 0)}
-    got = {(r.ancestor, r.id, r.depth) for r in nodes.members(paths).collect()}
-    assert got == {(i, i, 0) for i in (1, 2, 3, 4, 5, 8)} | {(2, 3, 1), (2, 4, 2), (3, 4, 1)}
-    found = nodes.resolve(frame(spark, [("a/b",), ("no",)], "path string"), paths)
-    assert {r.path: r.id for r in found.collect()} == {"a/b": 3, "no": None}
+    tree = frame(spark, TREE, "id long, parent long, name string")
+    got = {(r.ancestor, r.id, r.depth) for r in nodes.members(tree).collect()}
+    assert got == {(i, i, 0) for i in (1, 2, 3, 4, 5, 8)} | {(2, 3, 1), (2, 4, 2), (3, 4, 1)} | {(1, 2, 1), (1, 3, 2), (1, 4, 3), (1, 5, 1)}
+    found = nodes.resolve(frame(spark, [("a/b",), ("no",), ("/a//b/c",), ("",), (None,), ("loop",)], "path string"), tree)
+    assert {r.path: r.id for r in found.collect()} == {"a/b": 3, "no": None, "/a//b/c": 4, "": None, None: None, "loop": None}
     deep = [(i, i - 1 if i else None, f"d{i}") for i in range(100)]
+    long = nodes.folder_paths(frame(spark, [(i, i - 1 if i else None, "d") for i in range(600)], "id long, parent long, name string"))
+    assert long.count() == 600 and long.agg(F.max("depth")).first()[0] == 599
     last = nodes.folder_paths(frame(spark, deep, "id long, parent long, name string")).filter("id = 99").first()
     assert last.path == "/".join(f"d{i}" for i in range(100)) and last.depth == 99
 
