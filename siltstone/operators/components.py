@@ -21,7 +21,8 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     def star(e: DataFrame, large: bool, links: int) -> DataFrame:
         back = e.select(F.col("b").alias("a"), F.col("a").alias("b"))
         both = e.unionByName(back) if large else back
-        least = both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("links")).withColumn("m", F.least("a", "m"))
+        # Written, for the join reads it once for hot nodes and once for the others.
+        least = kept(both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("links")).withColumn("m", F.least("a", "m")), "least")
         met = hot_split_join(both, least, "a", "links", links * (2 if large else 1))
         pairs = met.filter("b > a").select("m", F.col("b").alias("x")) if large else met.select("m", F.col("b").alias("x")).unionByName(least.select("m", F.col("a").alias("x")))
         return pairs.filter("m <> x").select(F.col("m").alias("a"), F.col("x").alias("b")).distinct()
