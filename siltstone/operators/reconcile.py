@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from siltstone.functions.joins import hot_split_join
 from siltstone.functions.text import csv_unsafe, nfc
+from siltstone.sources.scratch import kept
 
 from .identity import free_names, poisoned_hashes
 
@@ -16,12 +18,18 @@ def quarantine_classes(quarantined: DataFrame, outside: DataFrame) -> DataFrame:
     The poison set spans both sides. A row is ok if its content is outside; one without is
     inconclusive if a poisoned outside row has its size, since that row's content is unknown.
     """
-    poison = poisoned_hashes(outside.select("hash", "size").unionByName(quarantined.select("hash", "size")))
-    there = outside.select("hash").distinct().withColumn("_there", F.lit(True))
-    unsure = outside.join(poison, "hash", "left_semi").select("size").distinct().withColumn("_unsure", F.lit(True))
-    rows = quarantined.join(poison.withColumn("_poison", F.lit(True)), "hash", "left").join(there, "hash", "left").join(unsure, "size", "left")
-    klass = F.when(F.col("hash").isNull(), "unreadable").when(F.col("_poison"), "poisoned").when(F.col("_there"), "ok").when(F.col("_unsure"), "inconclusive").otherwise("orphan")
-    return rows.withColumn("klass", klass).drop("_poison", "_there", "_unsure")
+    inside = kept(quarantined, "quarantined")
+    poison = poisoned_hashes(outside.select("hash", "size").unionByName(inside.select("hash", "size")))
+    there = outside.filter("hash is not null").select("hash").distinct().withColumn("_there", F.lit(True))
+    unsure = outside.join(poison, "hash", "left_semi").filter("size is not null").select("size").distinct().withColumn("_unsure", F.lit(True))
+    total = inside.count()
+    # A row a digest, and a row a size, with the number of rows that will meet it: hot ones meet them by broadcast.
+    of_hash = inside.filter("hash is not null").groupBy("hash").agg(F.count("*").alias("_rows")).join(poison.withColumn("_poison", F.lit(True)), "hash", "left").join(there, "hash", "left")
+    of_size = inside.filter("size is not null").groupBy("size").agg(F.count("*").alias("_rows")).join(unsure, "size")
+    met = hot_split_join(hot_split_join(inside.filter("hash is not null"), of_hash, "hash", "_rows", total), of_size, "size", "_rows", total)
+    klass = F.when(F.col("_poison"), "poisoned").when(F.col("_there"), "ok").when(F.col("_unsure"), "inconclusive").otherwise("orphan")
+    unread = inside.filter("hash is null").withColumn("klass", F.lit("unreadable"))
+    return met.withColumn("klass", klass).select(*quarantined.columns, "klass").unionByName(unread)
 
 
 def residual_groups(outside: DataFrame, per_folder: bool = False) -> DataFrame:
@@ -58,8 +66,10 @@ def twins(quarantined: DataFrame, outside: DataFrame, most: int = 5, salts: int
     few = outside.filter("hash is not null").select("hash", "rel", part.alias("_part")).withColumn("_n", inner).filter(F.col("_n") <= most)
     nth = F.row_number().over(Window.partitionBy("hash").orderBy("rel"))
     first = few.drop("_n").withColumn("_n", nth).filter(F.col("_n") <= most).groupBy("hash").agg(F.array_sort(F.collect_list("rel")).alias("copies"))
-    count = outside.groupBy("hash").agg(F.count("*").alias("total"))
-    met = quarantined.join(first.join(count, "hash"), "hash", "left")
+    count = outside.filter("hash is not null").groupBy("hash").agg(F.count("*").alias("total"))
+    asked = kept(quarantined, "asked")
+    of_hash = first.join(count, "hash").join(asked.groupBy("hash").agg(F.count("*").alias("_rows")), "hash")
+    met = hot_split_join(asked.filter("hash is not null"), of_hash, "hash", "_rows", asked.count()).unionByName(asked.filter("hash is null"), allowMissingColumns=True)
     return met.select("id", "rel", "hash", F.coalesce("total", F.lit(0)).alias("total"), F.concat_ws("|", "copies").alias("copies"))
 
 
