@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.functions.joins import hot_split_join
 from siltstone.sources.scratch import kept
 
 
@@ -14,16 +13,16 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
     Alternating large-star and small-star rounds: in each, a node's larger (then smaller) neighbours
     are linked to its least neighbour, until no link changes. The rounds grow with the logarithm of
-    the longest chain. A node with a large share of all links, as the root of a large component has,
-    meets them by broadcast, so no task holds them together.
+    the longest chain. A node with a large share of all links, as the root of a large component has, is
+    left to adaptive execution, which splits its partition of the join.
     """
 
-    def star(e: DataFrame, large: bool, links: int) -> DataFrame:
+    def star(e: DataFrame, large: bool) -> DataFrame:
         back = e.select(F.col("b").alias("a"), F.col("a").alias("b"))
         both = e.unionByName(back) if large else back
-        # Written, for the join reads it once for hot nodes and once for the others.
-        least = kept(both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("links")).withColumn("m", F.least("a", "m")), "least")
-        met = hot_split_join(both, least, "a", "links", links * (2 if large else 1))
+        # Written, so that the join shuffles both sides by need and Spark splits a hot node's links.
+        least = kept(both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m")), "least")
+        met = both.join(least, "a")
         pairs = met.filter("b > a").select("m", F.col("b").alias("x")) if large else met.select("m", F.col("b").alias("x")).unionByName(least.select("m", F.col("a").alias("x")))
         return pairs.filter("m <> x").select(F.col("m").alias("a"), F.col("x").alias("b")).distinct()
 
@@ -36,7 +35,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     for _ in range(max_rounds):
         if not state[0]:
             break
-        now = kept(star(kept(star(now, True, state[0]), "stars"), False, state[0]), "stars")
+        now = kept(star(kept(star(now, True), "stars"), False), "stars")
         then, state = state, mark(now)
         if then == state:
             break
