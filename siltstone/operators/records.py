@@ -335,6 +335,27 @@ def next_batch(names: DataFrame, pattern: str) -> DataFrame:
     return names.agg((F.coalesce(F.max(n), F.lit(-1)) + 1).alias("next"))
 
 
+def list_drift(saved: DataFrame, current: DataFrame) -> DataFrame:
+    """One row (words, moved): the words of the recorded list (word, position from 1), and how many of its
+    positions hold another word, or none, in the current one. An empty recorded list has not moved."""
+    met = saved.select("position", F.col("word").alias("_was")).join(current.select("position", F.col("word").alias("_now")), "position", "left")
+    return met.agg(F.count("*").alias("words"), F.count_if(~F.col("_was").eqNullSafe(F.col("_now"))).alias("moved"))
+
+
+def extended_list(saved: DataFrame, current: DataFrame, count: int, first_batch: int = 0, size: int = BATCH_SIZE) -> DataFrame:
+    """(word, rank, batch): what the current list (word, position; positions unique) adds to the recorded one.
+
+    Of the `count` positions behind the recorded list's length, words that are not recorded, in order;
+    ranks go on from that length without gaps, so recorded ranks stay as they are even where the list has
+    drifted. Batches of `size` are numbered from first_batch (see next_batch). Null words are left out; a
+    word that repeats in the current list is taken each time. The recorded list renewed is saved with these.
+    """
+    start = saved.count()
+    behind = current.filter(F.col("word").isNotNull() & F.col("position").between(start + 1, start + count))
+    new = number_globally(behind.join(saved.select("word"), "word", "left_anti"), "position")
+    return new.select("word", (F.col("nth") + start).alias("rank"), (F.floor((F.col("nth") - 1) / size) + first_batch).cast("long").alias("batch"))
+
+
 def homographs(items: DataFrame) -> DataFrame:
     """(head, items, hints): heads of several items and how many different hints tell them apart."""
     return items.groupBy("head").agg(F.count("*").alias("items"), F.countDistinct("hint").alias("hints")).filter("items > 1")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from siltstone.functions.text import CLOCK_YEARS, extension
 from siltstone.operators.identity import free_names
 from siltstone.operators.photos import SIDECARS
+from siltstone.sources.scratch import kept
 
 # File names that carry a date, and the limits of consent.
 DATED_NAMES = [
@@ -94,14 +95,51 @@ def final_targets(operations: DataFrame, inventory: DataFrame) -> DataFrame:
     return given.withColumn("final", F.concat("dup_dir", "stored_as")).drop("dup_dir", "name", "rel", "stored_as")
 
 
-def plan_refusal(plans: DataFrame, operations: DataFrame, root: str, token: str) -> DataFrame:
+LINK_ROUNDS = 40
+
+
+def leaking_folders(folders: DataFrame, links: DataFrame, root: str) -> DataFrame:
+    """(folder): those of folders below root that lead out of it through a link (path, target; both absolute
+    and normalised).
+
+    In each round a folder's first link on its path is replaced by its target, for folders that still have
+    one. A folder with more than LINK_ROUNDS links in turn, as in a circle, counts as leading out. Of
+    several targets of one path the least counts; links without a path or target are none.
+    """
+    of = kept(links.filter("path is not null and target is not null").groupBy("path").agg(F.min("target").alias("target")), "links")
+    now = folders.filter("folder is not null").select("folder", F.col("folder").alias("at")).distinct()
+    out = None
+    for _ in range(LINK_ROUNDS):
+        names = F.split("at", "/")
+        upper = now.select("folder", "at", F.explode(F.sequence(F.lit(2), F.greatest(F.size(names), F.lit(2)))).alias("n"), names.alias("names"))
+        met = upper.withColumn("path", F.array_join(F.slice("names", 1, F.col("n")), "/")).join(of, "path")
+        first = met.groupBy("folder", "at").agg(F.min(F.struct("n", "path", "target")).alias("link"))
+        led = first.select("folder", F.concat("link.target", F.substr("at", F.length("link.path") + 1)).alias("at"))
+        now = kept(led, "led")
+        inside = (F.col("at") == root) | F.startswith("at", F.lit(root + "/"))
+        gone = now.filter(~inside).select("folder")
+        out, now = gone if out is None else out.unionByName(gone), now.filter(inside)
+        if now.isEmpty():
+            return out
+    return out.unionByName(now.select("folder"))
+
+
+def plan_refusal(plans: DataFrame, operations: DataFrame, root: str, token: str, links: DataFrame | None = None) -> DataFrame:
     """(plan_id, reason): why a plan (plan_id, root, checksum) may not run, null if it may: another token,
-    another root, changed operations, or an operation that reject_reason or the root refuses."""
+    another root, changed operations, or an operation that reject_reason or the root refuses. With links
+    (path, target), operations whose source's or target's folder leads out of the root through one are
+    refused too; the moved name itself may be a link."""
     sums = operations_checksum(operations).withColumnRenamed("checksum", "_now")
     inside = lambda c: F.col(c).startswith(root + "/")
     below = lambda c: F.substr(F.col(c), F.lit(len(root) + 2))
     bad = F.when(~(inside("src") & inside("dst")), "outside the folder").otherwise(reject_reason(F.col("op"), below("src"), below("dst")))
-    worst = operations.groupBy("plan_id").agg(F.min(bad).alias("_bad"))
+    found = operations.select("plan_id", bad.alias("_bad"))
+    if links is not None:
+        sides = operations.select("plan_id", F.explode(F.array("src", "dst")).alias("_side"))
+        of = sides.select("plan_id", F.regexp_extract("_side", r"(?s)^(.*)/", 1).alias("folder")).filter(F.startswith("folder", F.lit(root))).distinct()
+        led = of.join(leaking_folders(of.select("folder"), links, root), "folder").select("plan_id", F.lit("through a link").alias("_bad"))
+        found = found.unionByName(led)
+    worst = found.groupBy("plan_id").agg(F.min("_bad").alias("_bad"))
     met = plans.join(sums, "plan_id", "left").join(worst, "plan_id", "left")
     return met.select("plan_id", F.when(F.col("plan_id") != token, "approval token").when(F.col("root") != root, "another folder").when(~F.col("_now").eqNullSafe(F.col("checksum")), "changed since").otherwise(F.col("_bad")).alias("reason"))
 

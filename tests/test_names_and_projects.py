@@ -40,6 +40,18 @@ def test_plan_refusal(spark):
     assert ask(one.withColumns({"root": F.lit("/r"), "checksum": F.lit("0")}), "p1") == "changed since"
 
 
+def test_links_out_of_the_folder(spark, monkeypatch):
+    monkeypatch.setattr(actions, "LINK_ROUNDS", 4)
+    links = frame(spark, [("/r/out", "/x"), ("/r/in", "/r/d"), ("/r/d/on", "/rest"), ("/r/c1", "/r/c2"), ("/r/c2", "/r/c1"), (None, "/x"), ("/r/n", None)], "path string, target string")
+    cases = {"/r": False, "/r/out": True, "/r/out/a/b": True, "/r/outer": False, "/r/in": False, "/r/in/on/z": True, "/r/d": False, "/r/c1/q": True, "/r/n": False}
+    folders = frame(spark, [(f,) for f in cases] + [(None,), ("/r/out",)], "folder string")
+    assert sorted(r.folder for r in actions.leaking_folders(folders, links, "/r").collect()) == sorted(f for f, leaks in cases.items() if leaks)
+    assert actions.leaking_folders(folders, links.limit(0), "/r").count() == 0
+    ops = frame(spark, [("p1", "move", "/r/out", "/r/q/out", 1), ("p2", "move", "/r/a", "/r/in/on/a", 1), ("p3", "move", "/r/in/a", "/r/a", 1)], "plan_id string, op string, src string, dst string, size long")
+    sums = actions.operations_checksum(ops).withColumn("root", F.lit("/r"))
+    assert {p: r.reason for p in ("p1", "p2", "p3") for r in actions.plan_refusal(sums, ops, "/r", p, links).collect() if r.plan_id == p} == {"p1": None, "p2": "through a link", "p3": None}
+
+
 def test_version_hits(spark):
     files = frame(spark, [("a.json", 'x\n"version": "0.1.5",\n# old 0.1.5\n10.1.5'), ("docs/CHANGELOG.md", "0.1.5"), ("app/package-lock.json", "0.1.5"), ("b", None)], "path string, text string")
     assert [(r.path, r.line) for r in versions.version_hits(files, "0.1.5").collect()] == [("a.json", '"version": "0.1.5",')]

@@ -166,3 +166,17 @@ def test_missing_ranks(spark, rank):
     got = report.missing_ranks(rows(spark, [(r,) for r in rank], "rank int"), width=2)
     have = [r for r in rank if r]
     assert sorted(r["rank"] for r in got.collect()) == [r for r in range(1, max(have, default=0) + 1) if r not in have]
+
+
+def test_extended_list(spark):
+    listed = lambda words: rows(spark, [(w, n) for n, w in enumerate(words, 1)], "word string, position int")
+    saved = listed(["a", "b", "c"])
+    same, moved = listed(["a", "b", "c", "d", "e", "f", "g"]), listed(["a", "x", "b", "c", None, "d", "e"])
+    assert tuple(records.list_drift(saved, same).first()) == (3, 0)
+    assert tuple(records.list_drift(saved, moved).first()) == (3, 2)
+    assert tuple(records.list_drift(saved.limit(0), moved).first()) == (0, 0)
+    got = lambda *a, **k: [tuple(r) for r in records.extended_list(*a, **k).orderBy("rank").collect()]
+    assert got(saved, same, 3, first_batch=7, size=2) == [("d", 4, 7), ("e", 5, 7), ("f", 6, 8)]
+    assert got(saved, moved, 3) == [("d", 4, 0)]
+    assert got(saved, listed(["a", "b", "c"]), 5) == []
+    assert got(saved.limit(0), same, 2) == [("a", 1, 0), ("b", 2, 0)]
