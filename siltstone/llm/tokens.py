@@ -1,4 +1,4 @@
-"""Token counts by a two-tier lookup on the map side; no pre-token of a counted text is shuffled.
+"""Token counts by a two-tier lookup on the map side.
 
 A text falls into pieces at each lone space or newline between two other characters. A byte-level
 tokenizer's own pre-token pattern always starts a new pre-token there, so the pieces' counts add up
@@ -6,8 +6,8 @@ to the whole text's count, whatever a piece holds (special strings hold no space
 comes in runs, the text is cut only at its lone spaces. Piece lengths come from
 
 1. a broadcast table of frequent pieces (`tier_size` strings and one small integer each: the bound
-   is the parameter). It is counted on a random sample of about `sample_rows` rows, so what its count
-   reads in Python and shuffles does not grow with the corpus, and all texts are cut and counted once;
+   is the parameter). All pieces of all texts are counted for it, by an aggregation that shuffles a
+   piece and a number for each different piece of a task;
 2. a worker's own cache, filled by the tokenizer library for what the table lacks, emptied when it
    reaches `cache_size` entries.
 
@@ -23,17 +23,19 @@ table gives no rows; other columns of the input are not read.
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import WORKER as _WORKER
+from .common import written
 
 _RUN = re.compile(r"\s\s")
 _LONE = re.compile(r"(?<=\S) (?=\S)")
+#: What Python's \s matches, as a class of Java's patterns.
+_SPACES = r"\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
 #: A piece or word with more characters is never kept.
 LONGEST = 128
@@ -75,27 +77,29 @@ def library_ids(tokenizer, texts: list[str]) -> list[list[int]]:
     return [list(x) for x in tokenizer.encode(texts)]
 
 
-def frequent_pieces(docs: DataFrame, text: str, tier_size: int = 65_536, sample_rows: int = 50_000, task_memory: int = 400_000) -> list[str]:
-    """The most frequent pieces of a random sample of about `sample_rows` rows, which steer only speed.
-
-    A task hands its counts on when it holds more than `task_memory` different pieces.
-    """
-    share = min(1.0, sample_rows / max(1, docs.count()))
-
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen: Counter = Counter()
-        for batch in batches:
-            for t in batch["t"]:
-                seen.update(p for p in pieces(t) if len(p) <= LONGEST)
-            if len(seen) > task_memory:
-                yield pd.DataFrame(seen.items(), columns=["piece", "n"])
-                seen = Counter()
-        if seen:
-            yield pd.DataFrame(seen.items(), columns=["piece", "n"])
-
-    rows = docs.select(F.col(text).cast("string").alias("t")).filter("t is not null")
-    sums = (rows.sample(share, 17) if share < 1 else rows).mapInPandas(count, "piece string, n long").groupBy("piece").agg(F.sum("n").alias("n"))
-    return [r.piece for r in sums.orderBy(F.desc("n"), "piece").limit(tier_size).select("piece").collect()]
+def piece_rows(docs: DataFrame, text: str) -> DataFrame:
+    """(piece): a row for each of `pieces` of each text."""
+    t: Column = F.col(text).cast("string")
+    runs = F.split(t, f"(?<=[^{_SPACES}]) (?=[^{_SPACES}])")
+    cut = F.when(t.rlike(f"[{_SPACES}][{_SPACES}]"), runs).otherwise(F.split(F.replace(t, F.lit("\n"), F.lit(" \n")), " "))
+    piece = F.when((F.col("at") == 0) | F.col("x").startswith("\n"), F.col("x")).otherwise(F.concat(F.lit(" "), F.col("x")))
+    return docs.select(F.posexplode(cut).alias("at", "x")).select(piece.alias("piece")).filter("piece <> ''")
+
+
+def frequent_pieces(docs: DataFrame, text: str, tier_size: int = 65_536) -> list[str]:
+    """The most frequent pieces of all texts, `tier_size` at most: all that occur at least so many times,
+    twice or more. They steer only speed, and a table does not help a piece that occurs once."""
+    rows = piece_rows(docs, text).filter(F.length("piece") <= LONGEST)
+    sums = written(rows.groupBy("piece").agg(F.count("*").alias("n")).filter("n > 1"), "piece-counts")
+    held, least = 0, None
+    for r in sums.groupBy("n").agg(F.count("*").alias("pieces")).orderBy(F.desc("n")).limit(tier_size).collect():
+        held += r.pieces
+        if held > tier_size:
+            break
+        least = r.n
+    if least is None:
+        return []
+    return [r.piece for r in sums.filter(F.col("n") >= least).select("piece").collect()]
 
 
 def count_tokens(docs: DataFrame, tokenizer_path: str, text: str = "text", id_col: str = "doc_id", tier_size: int = 65_536, cache_size: int = 500_000) -> DataFrame:

@@ -1,6 +1,7 @@
 """Each operator against brute force and on odd tables: nulls, empty and long texts, ties, repeats,
 empty tables, extra columns with clashing names."""
 
+import collections
 import hashlib
 import random
 import zlib
@@ -94,6 +95,21 @@ def test_token_counts_equal_the_library(docs, none):
     assert tokens.count_tokens(none, path).count() == 0
 
 
+def test_frequent_pieces_are_counted_over_all_texts(spark):
+    """Word k occurs k + 1 times in 120,000 rows: only the whole count tells which words are in front."""
+    rows = spark.range(120_000).selectExpr("concat('w', floor((sqrt(8 * id + 1) - 1) / 2), ' all\\nrare', id) AS text")
+    seen = collections.Counter(p for r in rows.collect() for p in tokens.pieces(r.text))
+    assert set(tokens.frequent_pieces(rows, "text", 300)) == {p for p, _ in seen.most_common(300)}
+    assert tokens.frequent_pieces(rows, "text", 0) == []
+
+
+def test_piece_rows_are_the_pieces(spark):
+    rng = random.Random(7)
+    texts = ["".join(rng.choice(["a", "The", " ", " ", "\n", "\t", ".", "é", "\x1c", "\x85", "\xa0", "\u3000", "\u200b", "\r\n", "<|endoftext|>"]) for _ in range(rng.randint(0, 9))) for _ in range(3_000)] + [None, ""]
+    rows = spark.createDataFrame([(t,) for t in texts], "text string")
+    assert collections.Counter(r.piece for r in tokens.piece_rows(rows, "text").collect()) == collections.Counter(p for t in texts for p in tokens.pieces(t or ""))
+
+
 def test_pieces_are_exact_on_random_text():
     rng, t = random.Random(3), Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     for _ in range(600):
