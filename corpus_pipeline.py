@@ -17,6 +17,8 @@ LEAST_SCORE = 0.3
 MIX_SHARE = 0.9
 #: Near copies share this much of their runs of so many words (op9 has a contract of its own).
 NEAR_LIKENESS, NEAR_WORDS = 0.8, 5
+#: Bytes of ids that a worker keeps while it packs: executors are fuller here than where packing runs alone.
+PACK_CACHE_BYTES = 40 << 20
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,7 +50,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every token of every document that is left, in sequences of 2,048. A null or empty text is its end
     token alone; repeated rows are packed each."""
-    packed = packing.pack_documents(docs, tokenizer_path("word_bpe_49k.json"))
+    packed = packing.pack_documents(docs, tokenizer_path("word_bpe_49k.json"), cache_bytes=PACK_CACHE_BYTES)
     return packed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 

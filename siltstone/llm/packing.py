@@ -16,6 +16,7 @@ occur; an empty table gives no rows; other columns of the input are not read.
 from __future__ import annotations
 
 import re
+import sys
 import zlib
 from collections.abc import Iterator
 
@@ -29,6 +30,8 @@ from .common import written
 from .tokens import _WORKER, LONGEST, library_ids, load_tokenizer
 
 _END_BYTES = 4
+#: What a worker's cache of ids may hold, and what an entry needs besides its word and ids.
+CACHE_BYTES, _ENTRY_BYTES = 160 << 20, 140
 
 
 class RoomTree:
@@ -136,32 +139,43 @@ def _encode_words(words: list[str], tokenizer) -> dict[str, bytes]:
     return out
 
 
-def encode_texts(texts: list[str], tokenizer_path: str, end_id: int, cache_size: int = 700_000) -> list[bytes]:
+def _held(words: list[str]) -> int:
+    """About the bytes that the cache needs for words, besides their ids."""
+    return sum(map(sys.getsizeof, words)) + _ENTRY_BYTES * len(words)
+
+
+def encode_texts(texts: list[str], tokenizer_path: str, end_id: int, cache_size: int = 700_000, cache_bytes: int = CACHE_BYTES) -> list[bytes]:
     """Each text's ids and the end id as little-endian 32-bit numbers.
 
     For a tokenizer that lower-cases, drops white space and sets letters apart from marks. Words'
-    ids are cached by the worker, those of up to LONGEST characters.
+    ids are cached by the worker, those of up to LONGEST characters, in `cache_size` entries and about
+    `cache_bytes` bytes, besides the words of the 256 texts at hand.
     """
     tokenizer = load_tokenizer(tokenizer_path)
     cache = _WORKER.setdefault(("ids", tokenizer_path), {})
+    size = ("ids held", tokenizer_path)
     end = end_id.to_bytes(_END_BYTES, "little")
     out = []
     for at in range(0, len(texts), 256):
         cut = [_words(t) for t in texts[at : at + 256]]
         absent = list(set().union(*cut).difference(cache))
-        if len(cache) + len(absent) > cache_size:
+        if len(cache) + len(absent) > cache_size or _WORKER.get(size, 0) + _held(absent) > cache_bytes:
             cache.clear()
+            _WORKER[size] = 0
             absent = list(set().union(*cut))
-        cache.update(_encode_words(absent, tokenizer))
+        new = _encode_words(absent, tokenizer)
+        cache.update(new)
         get = cache.__getitem__
         out += [b"".join(map(get, own)) + end for own in cut]
         for w in absent:
             if len(w) > LONGEST:
                 del cache[w]
+        kept = [w for w in absent if len(w) <= LONGEST]
+        _WORKER[size] = _WORKER.get(size, 0) + _held(kept) + sum(len(new[w]) for w in kept)
     return out
 
 
-def cut_documents(docs: DataFrame, tokenizer_path: str, window: int, end_id: int, text: str, id_col: str, with_ids: bool) -> DataFrame:
+def cut_documents(docs: DataFrame, tokenizer_path: str, window: int, end_id: int, text: str, id_col: str, with_ids: bool, cache_bytes: int = CACHE_BYTES) -> DataFrame:
     """One row per piece: (piece_key, id, start, length, ids_crc32, doc_tokens[, ids])."""
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"piece_key long, id {kind}, start long, length long, ids_crc32 long, doc_tokens long" + ", ids binary" * with_ids
@@ -172,7 +186,7 @@ def cut_documents(docs: DataFrame, tokenizer_path: str, window: int, end_id: int
             for at in range(0, len(batch), 512):
                 part = batch.iloc[at : at + 512]
                 rows = []
-                for i, ids in zip(part["id"], encode_texts(list(part["t"]), tokenizer_path, end_id), strict=True):
+                for i, ids in zip(part["id"], encode_texts(list(part["t"]), tokenizer_path, end_id, cache_bytes=cache_bytes), strict=True):
                     n, view = len(ids) // 4, memoryview(ids)
                     for start in range(0, n, window):
                         own = view[4 * start : 4 * (start + window)]
@@ -183,9 +197,9 @@ def cut_documents(docs: DataFrame, tokenizer_path: str, window: int, end_id: int
     return docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("t")).mapInPandas(cut, schema)
 
 
-def pack_documents(docs: DataFrame, tokenizer_path: str, window: int = 2048, end_id: int = 1, text: str = "text", id_col: str = "doc_id", group_rows: int = 16_384, with_ids: bool = False) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer_path: str, window: int = 2048, end_id: int = 1, text: str = "text", id_col: str = "doc_id", group_rows: int = 16_384, with_ids: bool = False, cache_bytes: int = CACHE_BYTES) -> DataFrame:
     """One row per piece with its sequence and its offset there; `ids` too on request."""
-    pieces = written(cut_documents(docs, tokenizer_path, window, end_id, text, id_col, with_ids), "pieces")
+    pieces = written(cut_documents(docs, tokenizer_path, window, end_id, text, id_col, with_ids, cache_bytes), "pieces")
     full = pieces.filter(F.col("length") == window).withColumns({"sequence_id": F.col("piece_key") * 2 + 1, "offset": F.lit(0).cast("long")})
     rest = pieces.filter(F.col("length") < window)
     groups = max(1, -(-rest.count() // group_rows))

@@ -4,6 +4,7 @@ empty tables, extra columns with clashing names."""
 import collections
 import hashlib
 import random
+import sys
 import zlib
 
 import numpy as np
@@ -127,6 +128,24 @@ def test_word_ids_are_exact_on_random_text():
         assert np.frombuffer(got, "<u4").tolist() == [*t.encode(text, add_special_tokens=False).ids, 1], repr(text)
 
 
+def test_the_cache_of_ids_is_bounded_in_bytes():
+    """Words of 100 characters in another script take far more than entries tell."""
+    path, limit = public_tokenizers.path("word_bpe_49k.json"), 1 << 20
+    rng, t = random.Random(6), Tokenizer.from_file(path)
+    texts = [" ".join("".join(rng.choices("日本語の文章", k=100)) for _ in range(4)) for _ in range(2_048)]
+    tokens._WORKER.clear()
+    most = 0
+    for at in range(0, len(texts), 256):
+        got = packing.encode_texts(texts[at : at + 256], path, 1, cache_bytes=limit)
+        cache = tokens._WORKER[("ids", path)]
+        most = max(most, sum(sys.getsizeof(w) + sys.getsizeof(ids) for w, ids in cache.items()))
+        assert np.frombuffer(got[0], "<u4").tolist() == [*t.encode(texts[at], add_special_tokens=False).ids, 1]
+    one = packing._held([w for x in texts[:256] for w in x.split()]) * 3
+    assert 0 < most <= limit + one
+    packing.encode_texts(texts, path, 1, cache_bytes=64 * limit)
+    assert len(tokens._WORKER[("ids", path)]) == len({w for x in texts for w in x.split()})
+
+
 def test_packing(docs, none):
     path = public_tokenizers.path("word_bpe_49k.json")
     t = Tokenizer.from_file(path)
