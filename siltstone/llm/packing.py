@@ -159,19 +159,22 @@ def encode_texts(texts: list[str], tokenizer_path: str, end_id: int, cache_size:
     for at in range(0, len(texts), 256):
         cut = [_words(t) for t in texts[at : at + 256]]
         absent = list(set().union(*cut).difference(cache))
-        if len(cache) + len(absent) > cache_size or _WORKER.get(size, 0) + _held(absent) > cache_bytes:
+        need = _held(absent)
+        if len(cache) + len(absent) > cache_size or _WORKER.get(size, 0) + need > cache_bytes:
             cache.clear()
             _WORKER[size] = 0
             absent = list(set().union(*cut))
+            need = _held(absent)
         new = _encode_words(absent, tokenizer)
         cache.update(new)
         get = cache.__getitem__
         out += [b"".join(map(get, own)) + end for own in cut]
+        need += sum(map(len, new.values()))
         for w in absent:
             if len(w) > LONGEST:
                 del cache[w]
-        kept = [w for w in absent if len(w) <= LONGEST]
-        _WORKER[size] = _WORKER.get(size, 0) + _held(kept) + sum(len(new[w]) for w in kept)
+                need -= _held([w]) + len(new[w])
+        _WORKER[size] = _WORKER.get(size, 0) + need
     return out
 
 
