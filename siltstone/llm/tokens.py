@@ -11,6 +11,9 @@ comes in runs, the text is cut only at its lone spaces. Piece lengths come from
 2. a worker's own cache, filled by the tokenizer library for what the table lacks, emptied when it
    reaches `cache_size` entries.
 
+The library is asked for many pieces at once, as one text: its tokens that begin with a space tell where
+a piece begins.
+
 A piece of more than LONGEST characters (a text in a script without spaces is one piece) goes straight
 to the library: neither tier holds it, so both are bounded in characters too.
 
@@ -25,6 +28,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -77,6 +81,31 @@ def library_ids(tokenizer, texts: list[str]) -> list[list[int]]:
     return [list(x) for x in tokenizer.encode(texts)]
 
 
+def piece_lengths(path: str, own: list[str]) -> list[int]:
+    """The library's count of each piece. Pieces whose one white space is a leading space are one text to it;
+    where its tokens do not tell them apart, and for all others, it is asked for each piece."""
+    tokenizer, key = load_tokenizer(path), ("starts", path)
+    if not hasattr(tokenizer, "encode_batch_fast"):
+        return [len(x) for x in library_ids(tokenizer, own)]
+    if key not in _WORKER:
+        vocab = tokenizer.get_vocab()
+        _WORKER[key] = np.zeros(max(vocab.values(), default=-1) + 1, bool)
+        _WORKER[key][[i for token, i in vocab.items() if token.startswith("\u0120")]] = True  # a byte-level space
+    out, plain = np.zeros(len(own), np.int64), np.array([p[:1] == " " and p[1:].split() == [p[1:]] for p in own], bool)
+    for at in range(0, len(own), 10_000):
+        part, joins = own[at : at + 10_000], plain[at : at + 10_000]
+        together = [p for p, yes in zip(part, joins, strict=True) if yes]
+        ids = np.array(tokenizer.encode_batch_fast(["".join(together)], add_special_tokens=False)[0].ids, np.int64)
+        starts = np.flatnonzero(_WORKER[key][ids])
+        if len(starts) == len(together) and (not len(ids) or (len(starts) and starts[0] == 0)):
+            out[at : at + 10_000][joins] = np.diff(np.append(starts, len(ids)))
+        else:
+            joins[:] = False
+        each = [p for p, yes in zip(part, joins, strict=True) if not yes]
+        out[at : at + 10_000][~joins] = [len(e.ids) for e in tokenizer.encode_batch_fast(each, add_special_tokens=False)]
+    return out.tolist()
+
+
 def piece_rows(docs: DataFrame, text: str) -> DataFrame:
     """(piece): a row for each of `pieces` of each text."""
     t: Column = F.col(text).cast("string")
@@ -109,16 +138,14 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, text: str = "text", id_co
     tier: dict[str, int] = {}
     if not whole:
         words = frequent_pieces(docs, text, tier_size)
-        tokenizer = load_tokenizer(tokenizer_path)
-        for at in range(0, len(words), 10_000):
-            part = words[at : at + 10_000]
-            tier.update(zip(part, map(len, library_ids(tokenizer, part)), strict=True))
+        tier.update(zip(words, piece_lengths(tokenizer_path, words), strict=True))
     shared = spark.sparkContext.broadcast(tier)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tokenizer = load_tokenizer(tokenizer_path)
         known = shared.value
-        cache = _WORKER.setdefault(("lengths", tokenizer_path), {})
+        cache = _WORKER.setdefault(("lengths", tokenizer_path), {})  # with the table's lengths, for one lookup a piece
+        cache.update(known)
         for batch in batches:
             counts = []
             for at in range(0, len(batch), 256):
@@ -127,19 +154,13 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, text: str = "text", id_co
                     counts += [len(x) for x in library_ids(tokenizer, texts)]
                     continue
                 cut = [pieces(t) for t in texts]
-                absent = list(set().union(*cut).difference(known, cache)) if cut else []
-                if len(cache) + len(absent) > cache_size:
+                absent = list(set().union(*cut).difference(cache))
+                if len(cache) + len(absent) > cache_size + len(known):
                     cache.clear()
-                    absent = list(set().union(*cut).difference(known))
-                for a in range(0, len(absent), 10_000):
-                    part = absent[a : a + 10_000]
-                    cache.update(zip(part, map(len, library_ids(tokenizer, part)), strict=True))
-                for own in cut:
-                    n = 0
-                    for p in own:
-                        k = known.get(p)
-                        n += cache[p] if k is None else k
-                    counts.append(n)
+                    cache.update(known)
+                    absent = list(set().union(*cut).difference(cache))
+                cache.update(zip(absent, piece_lengths(tokenizer_path, absent), strict=True))
+                counts += [sum(map(cache.__getitem__, own)) for own in cut]
                 for p in absent:
                     if len(p) > LONGEST:
                         del cache[p]

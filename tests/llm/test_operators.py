@@ -120,6 +120,32 @@ def test_pieces_are_exact_on_random_text():
         assert sum(len(t.encode(p, add_special_tokens=False).ids) for p in cut) == len(t.encode(text, add_special_tokens=False).ids), repr(text)
 
 
+def test_many_pieces_are_one_text_to_the_library():
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    t = Tokenizer.from_file(path)
+    rng = random.Random(11)
+    alphabet = ["a", "the", "\n", "\t", "\x1c", "\u00a0", "\u3000", "<|endoftext|>", "'s", "é", "日本", "\u0120", "😀", "\u0301", ".", "7", " "]
+    own = list({p for _ in range(3_000) for p in tokens.pieces("".join(rng.choice(alphabet) for _ in range(rng.randrange(1, 9))))} | {f" w{i}" for i in range(12_000)})
+    assert tokens.piece_lengths(path, own) == [len(t.encode(p, add_special_tokens=False).ids) for p in own]
+    assert tokens.piece_lengths(path, []) == []
+    asked = []
+
+    class Counted:
+        def encode_batch_fast(self, texts, **more):
+            asked.extend(texts)
+            return t.encode_batch_fast(texts, **more)
+
+        def get_vocab(self):
+            return t.get_vocab()
+
+    tokens._WORKER[("tokenizer", path)] = Counted()
+    try:
+        tokens.piece_lengths(path, [f" w{i}" for i in range(5_000)])
+    finally:
+        del tokens._WORKER[("tokenizer", path)]
+    assert len(asked) == 1
+
+
 def test_word_ids_are_exact_on_random_text():
     path = public_tokenizers.path("word_bpe_49k.json")
     rng, t = random.Random(4), Tokenizer.from_file(path)
