@@ -1,11 +1,13 @@
 """Near-duplicates by exact likeness: texts whose sets of word shingles have a Jaccard of `least` or more.
 
-Simhash within two bits finds almost equal texts only: at a likeness of 0.8 fingerprints differ in 4
-to 14 of 64 bits, and a grid of cells around a fingerprint grows with the power of that distance.
-Here each different text has BANDS x ROWS least values of its shingles' hashes. Two texts are
-candidates if they agree in all values of a band; those whose sketches (four bits of each value)
+Each different text has a fingerprint, 64 bits by the majority of its shingles' hashes. Texts of one
+fingerprint, and of fingerprints that op9's grid join finds within DISTANCE bits, are candidates. These are
+almost equal texts only: at a likeness of 0.8 fingerprints differ in 4 to 14 of 64 bits, and a grid of cells
+around a fingerprint grows with the power of that distance. For what lies beyond the grid each text
+has BANDS x ROWS least values of its shingles' hashes as well: two texts are candidates
+too if they agree in all values of a band; those whose sketches (four bits of each value)
 differ by over four standard deviations more than those of a pair of likeness `least` are left out
-inside the join, and of all others the likeness is computed from both texts. Both filters together
+inside the join. Of all candidates the likeness is computed from both texts. Both filters of the bands together
 lose about one in 10,000 pairs of exactly 0.8. Components are linked by `components`.
 
 Groups of a band with up to SMALL texts give their pairs. In larger groups all texts are first compared
@@ -31,11 +33,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import HOT_SHARE, clean_worker, hot_split_join, keep_first, written
+from .common import HOT_SHARE, clean_worker, keep_first, written
 from .components import components
+from .grid import links, majority
 
 _HASH = xxhash.xxh64_intdigest
 BANDS, ROWS = 32, 6
+DISTANCE, SEGMENTS = 2, 32
 SMALL, BLOCK, COLUMNS, ROUNDS = 32, 512, 4_096, 3
 _DRAW = np.random.default_rng(20_011)
 _XOR = _DRAW.integers(0, 1 << 32, (BANDS * ROWS, 1), dtype=np.uint32)
@@ -75,15 +79,27 @@ def signature(own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def signatures(keyed: DataFrame, words: int) -> DataFrame:
-    """(key, codes, sketch) of (key, text)."""
+    """(key, fp, codes, sketch) of (key, text)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         clean_worker()
         for batch in batches:
-            found = [signature(shingles(t, words)) for t in batch["text"]]
-            yield pd.DataFrame({"key": batch["key"], "codes": [c for c, _ in found], "sketch": [s for _, s in found]})
+            found = [(majority(own), *signature(own)) for own in (shingles(t, words) for t in batch["text"])]
+            fps = np.fromiter((f for f, _, _ in found), np.uint64, len(found)).view(np.int64)
+            yield pd.DataFrame({"key": batch["key"], "fp": fps, "codes": [c for _, c, _ in found], "sketch": [s for _, _, s in found]})
 
-    return keyed.mapInPandas(run, "key string, codes array<long>, sketch array<long>")
+    return keyed.mapInPandas(run, "key string, fp long, codes array<long>, sketch array<long>")
+
+
+def grid_pairs(nodes: DataFrame, distance: int = DISTANCE, segments: int = SEGMENTS) -> DataFrame:
+    """(a, b) of nodes (key, fp): the least key of a fingerprint with its other keys, and with the least key
+    of each fingerprint within `distance` bits."""
+    named = written(nodes.groupBy("fp").agg(F.min("key").alias("name"), F.count("*").alias("keys")), "fingerprints")
+    near = links(named.select("fp"), distance, segments)
+    for c in ("a", "b"):
+        near = near.join(named.select(F.col("fp").alias(c), F.col("name").alias(f"name_{c}")), c)
+    same = nodes.select("key", "fp").join(named.filter("keys > 1"), "fp").filter("key <> name").select(F.col("name").alias("a"), F.col("key").alias("b"))
+    return written(near.select(F.least("name_a", "name_b").alias("a"), F.greatest("name_a", "name_b").alias("b")).unionByName(same), "grid-pairs")
 
 
 def _close(a: str, b: str, least: float) -> Column:
@@ -107,10 +123,9 @@ def alike(pairs: DataFrame, texts: DataFrame, least: float, words: int) -> DataF
             yes = [likeness(shingles(x, words), shingles(y, words)) >= least for x, y in zip(batch["x"], batch["y"], strict=True)]
             yield batch.loc[np.array(yes, bool), ["a", "b"]]
 
-    total = pairs.count()
+    # Both are written, so both joins are by shuffle where they are large, and Spark splits a hot key's pairs.
     for key, name in (("a", "x"), ("b", "y")):
-        uses = pairs.groupBy(key).agg(F.count("*").alias("uses"))
-        pairs = hot_split_join(pairs, uses.join(texts.select(F.col("key").alias(key), F.col("text").alias(name)), key), key, "uses", total)
+        pairs = pairs.join(texts.select(F.col("key").alias(key), F.col("text").alias(name)), key)
     return written(pairs.mapInPandas(run, "a string, b string"), "alike")
 
 
@@ -197,14 +212,14 @@ def thinned(members: DataFrame, texts: DataFrame, least: float, words: int) -> t
     return links, written(rest.select("code", "key", "sketch", "size"), "thinned")
 
 
-def one_of_each(keyed: DataFrame, nodes: DataFrame, shared: DataFrame) -> DataFrame:
-    """One row of keyed for each key in shared; nodes (key, copies) tells how many rows keyed has of it.
+def one_of_each(keyed: DataFrame, nodes: DataFrame, asked: DataFrame) -> DataFrame:
+    """One row of keyed for each key in asked; nodes (key, copies) tells how many rows keyed has of it.
 
     Copies of a hot key, of which there are at most 1 / HOT_SHARE, become one row a task before they
     are shuffled; all others are shuffled by key.
     """
     least = max(1.0, (nodes.agg(F.sum("copies")).first()[0] or 0) * HOT_SHARE)
-    wanted = shared.select("key").distinct()
+    wanted = asked.select("key").distinct()
     hot = nodes.filter(F.col("copies") > least).select("key")
     cold = keyed.join(F.broadcast(hot), "key", "left_anti").join(wanted, "key", "left_semi")
     often = keyed.join(F.broadcast(hot.join(wanted, "key", "left_semi")), "key", "left_semi")
@@ -214,11 +229,13 @@ def one_of_each(keyed: DataFrame, nodes: DataFrame, shared: DataFrame) -> DataFr
 def linked(keyed: DataFrame, least: float = 0.8, words: int = 5) -> DataFrame:
     """(node, root): the component of every key of keyed (key, text; equal keys have equal texts) with a link."""
     each = written(signatures(keyed, words), "signatures").groupBy("key")
-    nodes = written(each.agg(F.first("codes").alias("codes"), F.first("sketch").alias("sketch"), F.count("*").alias("copies")), "sketches")
+    nodes = written(each.agg(F.first("fp").alias("fp"), F.first("codes").alias("codes"), F.first("sketch").alias("sketch"), F.count("*").alias("copies")), "sketches")
     cells = nodes.select("key", F.explode("codes").alias("code"))
     groups = cells.groupBy("code").agg(F.count("*").alias("size")).filter("size > 1")
     shared = written(cells.join(groups, "code").join(nodes.select("key", "sketch"), "key").select("code", "key", "sketch", "size"), "shared")
-    texts = written(one_of_each(keyed, nodes, shared), "candidates")
+    gridded = grid_pairs(nodes)
+    asked = shared.select("key").unionByName(gridded.select(F.explode(F.array("a", "b")).alias("key")))
+    texts = written(one_of_each(keyed, nodes, asked), "candidates")
     few, large = shared.filter(F.col("size") <= SMALL), shared.filter(F.col("size") > SMALL)
     found = []
     for _ in range(ROUNDS):
@@ -229,7 +246,7 @@ def linked(keyed: DataFrame, least: float = 0.8, words: int = 5) -> DataFrame:
         few, large = few.unionByName(rest.filter(F.col("size") <= SMALL)), rest.filter(F.col("size") > SMALL)
     l, r = few.alias("l"), few.alias("r")
     met = l.join(r, (F.col("l.code") == F.col("r.code")) & (F.col("l.key") < F.col("r.key")) & _close("l.sketch", "r.sketch", least))
-    pairs = written(met.select(F.col("l.key").alias("a"), F.col("r.key").alias("b")).distinct(), "pairs")
+    pairs = written(met.select(F.col("l.key").alias("a"), F.col("r.key").alias("b")).unionByName(gridded).distinct(), "pairs")
     many = block_links(large.select("code", "key", "size"), texts, least, words)
     for near in found:
         many = many.unionByName(near)

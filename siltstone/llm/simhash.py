@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from . import likeness
 from .common import clean_worker, hot_split_join, keep_first, written
 from .components import components
+from .grid import links, majority
 
 _HASH = xxhash.xxh64_intdigest
 
@@ -44,13 +45,7 @@ def simhash(text: str | None, words_per_shingle: int = 3, seed: int = 42) -> int
     ends = np.cumsum(lengths + 1) - 1
     starts = ends - lengths
     hashes = [_HASH(joined[a:b], seed) for a, b in zip(starts[: len(words) - k + 1].tolist(), ends[k - 1 :].tolist(), strict=True)]
-    counts = np.zeros(64, np.int64)
-    all_hashes = np.array(hashes, dtype="<u8")
-    for at in range(0, len(hashes), 65_536):
-        part = all_hashes[at : at + 65_536]
-        counts += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    bits = (counts * 2 > len(hashes)).astype(np.uint8)
-    return int(np.packbits(bits, bitorder="little").view("<u8")[0])
+    return majority(np.array(hashes, dtype="<u8"))
 
 
 def fingerprints(docs: DataFrame, text: str = "text", id_col: str = "doc_id", words_per_shingle: int = 3, seed: int = 42) -> DataFrame:
@@ -66,52 +61,6 @@ def fingerprints(docs: DataFrame, text: str = "text", id_col: str = "doc_id", wo
     return docs.select(F.col(id_col).alias("id"), F.col(text).cast("string").alias("t")).mapInPandas(run, f"id {kind}, fp long")
 
 
-def embedding(fp: Column, segments: int) -> Column:
-    """The segments' bit counts, packed into a bigint: one field of 64 / segments bits each."""
-    if segments == 64:
-        return fp
-    low = F.lit(0x5555555555555555).cast("long")
-    x, y = fp.bitwiseAND(low), F.shiftrightunsigned(fp, 1).bitwiseAND(low)
-    bits, out = 2, x.bitwiseXOR(y).bitwiseOR(F.shiftleft(x.bitwiseAND(y), 1))  # x + y without a carry into the sign
-    for mask in (0x3333333333333333, 0x0F0F0F0F0F0F0F0F):
-        if 64 // bits == segments:
-            return out
-        m = F.lit(mask).cast("long")
-        out, bits = out.bitwiseAND(m) + F.shiftrightunsigned(out, bits).bitwiseAND(m), 2 * bits
-    if 64 // bits != segments:
-        raise ValueError("segments must be 64, 32, 16 or 8")
-    return out
-
-
-def ball(cell: str, segments: int, radius: int) -> str:
-    """SQL for the cells within Manhattan distance `radius` of a cell: one count up or down a step."""
-    if not radius:
-        return f"array({cell})"
-    bits = 64 // segments
-    v = f"(shiftrightunsigned(c, {bits} * i) & {(1 << bits) - 1})"
-    step = f"array(if({v} < {bits}, c ^ shiftleft({v} ^ ({v} + 1), {bits} * i), null), if({v} > 0, c ^ shiftleft({v} ^ ({v} - 1), {bits} * i), null))"
-    near = f"concat(array(c), filter(flatten(transform(sequence(0, {segments - 1}), i -> {step})), x -> x is not null))"
-    around = f"flatten(transform({ball(cell, segments, radius - 1)}, c -> {near}))"
-    return around if radius == 1 else f"array_distinct({around})"
-
-
-def links(nodes: DataFrame, distance: int = 2, segments: int = 32) -> DataFrame:
-    """(a, b) for every pair of different fingerprints in `nodes` (fp, unique) within `distance`.
-
-    Two cells within Manhattan distance d have a cell between them that is within d / 2 of both, so
-    each side goes to the cells of a ball of half the radius and the join is on equal cells. With 32
-    segments a chance pair shares a cell about once in 10^11 pairs.
-    """
-    at = nodes.select("fp", embedding(F.col("fp"), segments).alias("cell"))
-    left = at.select(F.col("fp").alias("a"), F.explode(F.expr(ball("cell", segments, (distance + 1) // 2))).alias("cell"))
-    right = at.select(F.col("fp").alias("b"), F.explode(F.expr(ball("cell", segments, distance // 2))).alias("cell"))
-    near = (F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance)
-    if distance % 2:
-        near = (F.col("a") != F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance)
-    met = left.alias("l").join(right.alias("r"), (F.col("l.cell") == F.col("r.cell")) & near)
-    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-
-
 def near_duplicates(docs: DataFrame, text: str = "text", id_col: str = "doc_id", words_per_shingle: int = 3, distance: int = 2, segments: int = 32, seed: int = 42) -> DataFrame:
     """(id, fp, component): component is the least id that links reach."""
     fps = written(fingerprints(docs, text, id_col, words_per_shingle, seed), "fingerprints")
@@ -136,9 +85,9 @@ def deduplicate(docs: DataFrame, text: str = "text", id_col: str = "doc_id", lea
     """docs with one row of each component, that with the least id; rows without an id come last.
 
     Fingerprints within `distance` bits are linked, or, where `least` is given, texts whose shingles
-    have a Jaccard of that much: then candidates come from `likeness`, since no grid over bit counts
-    tells such texts from others (at 0.8 they differ in 4 to 14 of 64 bits, and a bound of 14 lets
-    0.45 % of all pairs through at 32 segments, 20 % at 16). Rows with null or repeated ids take part
+    have a Jaccard of that much: then `likeness` checks what the grid joins, and adds bands for what it cannot
+    reach (at 0.8 texts differ in 4 to 14 of 64 bits, and a bound of 14 lets 0.45 % of all pairs
+    through at 32 segments, 20 % at 16). Rows with null or repeated ids take part
     like any other; rows equal in id and fingerprint (or text) count as one.
     """
     if least is not None:

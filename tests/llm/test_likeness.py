@@ -4,6 +4,7 @@ import random
 
 import corpus_pipeline
 from siltstone.llm import likeness
+from siltstone.llm.grid import majority
 from pyspark.sql import functions as F
 
 
@@ -137,3 +138,27 @@ def test_recall_of_pairs_between_0_80_and_0_85(spark):
         if 0.80 <= len(a & b) / len(a | b) <= 0.85:
             rows += [(len(rows), " ".join(base)), (len(rows) + 1, " ".join(copy))]
     assert keys(stage(spark, rows)) == [(False, i) for i in range(0, len(rows), 2)]
+
+
+def test_the_grid_finds_what_no_band_holds(spark, monkeypatch):
+    """With bands that no two texts share, near copies within two bits are still linked, others are not."""
+    r = random.Random(21)
+    rows = []
+    for n in range(40):
+        base = ["".join(r.choices("abcdefghij", k=6)) for _ in range(600)]
+        copy = list(base)
+        for at in r.sample(range(600), n % 2 * 90):
+            copy[at] = "other"
+        rows += [(2 * n, " ".join(base)), (2 * n + 1, " ".join([*copy, "end"]))]
+    fps = [majority(likeness.shingles(t)) for _, t in rows]
+    expected = [(False, i) for i, _ in rows if not (i % 2 and i % 4 == 1 and (fps[i] ^ fps[i - 1]).bit_count() <= 2)]
+    assert 60 <= len(expected) <= 65
+    signed = likeness.signatures
+    monkeypatch.setattr(likeness, "signatures", lambda keyed, words: signed(keyed, words).withColumn("codes", F.array(F.xxhash64("key"))))
+    assert keys(stage(spark, rows)) == expected
+
+
+def test_grid_pairs(spark):
+    rows = [("k", 0), ("b", 0b11), ("c", 0b11), ("a", 0b11), ("d", 0b111100), ("e", -1)]
+    got = {(p.a, p.b) for p in likeness.grid_pairs(spark.createDataFrame(rows, "key string, fp long")).collect()}
+    assert got == {("a", "b"), ("a", "c"), ("a", "k")}
