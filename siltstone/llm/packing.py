@@ -15,13 +15,14 @@ occur; an empty table gives no rows; other columns of the input are not read.
 
 from __future__ import annotations
 
-import re
 import sys
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,6 +33,8 @@ from .tokens import _WORKER, LONGEST, library_ids, load_tokenizer
 _END_BYTES = 4
 #: What a worker's cache of ids may hold, and what an entry needs besides its word and ids.
 CACHE_BYTES, _ENTRY_BYTES = 160 << 20, 140
+#: Texts that are encoded at once, and characters after which no more are added.
+_CHUNK, _CHUNK_CHARS = 512, 4 << 20
 
 
 class RoomTree:
@@ -92,49 +95,86 @@ def best_fit_decreasing(lengths: list[int], window: int) -> tuple[list[int], lis
     return number, offset
 
 
-#: A full stop or comma that goes on a run of other marks.
-_MARKS = re.compile(r"[^\w \n][.,]|_[.,]")
+def _latin_table(of: Callable[[str], str]) -> bytes:
+    """For bytes.translate over Latin-1 text."""
+    return "".join(map(of, map(chr, range(256)))).encode("latin-1")
 
 
-def _words(text: str) -> list[str]:
-    """Parts at spaces and newlines, where a tokenizer that drops white space always cuts, and
-    before a full stop or comma after a letter or digit, where its pattern does.
+#: Lower case, and a space for a newline.
+_LOWER = _latin_table(lambda c: " " if c == "\n" else c.lower())
+#: Full stops and commas, what they may stand behind to be cut off, all other marks.
+_KINDS = _latin_table(lambda c: "." if c in ".," else "a" if c in " \n" or c.isalnum() else "_")
 
-    Latin-1 text is lower-cased at once, as the tokenizer would; a text that may hold a special
-    string or other scripts is only cut at its spaces.
-    """
-    if "<|" not in text:
-        try:
-            text.encode("latin-1")
-        except UnicodeEncodeError:
-            pass
-        else:
-            text = text.lower()
-            if not _MARKS.search(text):
-                text = text.replace(".", " .").replace(",", " ,")
-    return text.replace("\n", " ").split(" ")
 
+def _spaced(text: str) -> str:
+    """The text with a space wherever it is cut: at spaces and newlines, where a tokenizer that drops
+    white space always cuts, and before a full stop or comma after a letter or digit, where its pattern does.
 
-def _encode_words(words: list[str], tokenizer) -> dict[str, bytes]:
-    """Each word's ids. Words of letters only are single pre-tokens, so many are encoded as one text
-    and told apart by the numbers of its pre-tokens."""
-    out = {}
-    plain = [w for w in words if w.isalpha()]
+    Latin-1 text is lower-cased at once, as the tokenizer would; a text that may hold a special
+    string or other scripts is only cut at its spaces and newlines.
+    """
+    if "<|" in text:
+        return text.replace("\n", " ")
+    try:
+        raw = text.encode("latin-1")
+    except UnicodeEncodeError:
+        return text.replace("\n", " ")
+    kinds, raw = raw.translate(_KINDS), raw.translate(_LOWER)
+    if b"_." not in kinds and b".." not in kinds:
+        raw = raw.replace(b".", b" .").replace(b",", b" ,")
+    return raw.decode("latin-1")
+
+
+def _bounds(path: str) -> tuple[np.ndarray, str, int]:
+    """Which ids end a pre-token, and a special string with its id; without one, an empty string."""
+    key = ("bounds", path)
+    if key not in _WORKER:
+        tokenizer = load_tokenizer(path)
+        vocab, suffix = tokenizer.get_vocab(), getattr(tokenizer.model, "end_of_word_suffix", None)
+        ends = np.zeros(max(vocab.values(), default=-1) + 1, bool)
+        if suffix:
+            ends[[i for token, i in vocab.items() if token.endswith(suffix)]] = True
+        added = tokenizer.get_added_tokens_decoder().items()
+        apart = [(t.content, i) for i, t in added if t.special and not (t.normalized or t.lstrip or t.rstrip or t.single_word)]
+        _WORKER[key] = ends, *(apart[0] if apart else ("", -1))
+    return _WORKER[key]
+
+
+def _encode_words(words: list[str], path: str) -> dict[str, bytes]:
+    """Each word's ids. Many words are encoded as one text: words of letters only are single pre-tokens,
+    told apart by the ids that end one; between other words stands a special string, told by its id.
+    Where the numbers of words and bounds differ, the library is asked for each word, as for long ones."""
+    tokenizer, out = load_tokenizer(path), {}
+    ends, special, special_id = _bounds(path)
+
+    def together(part: list[str], between: str) -> np.ndarray:
+        return np.array(tokenizer.encode_batch_fast([between.join(part)], add_special_tokens=False)[0].ids, "<u4")
+
+    def share(part: list[str], ids: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> None:
+        data = ids.tobytes()
+        out.update((w, data[i:j]) for w, i, j in zip(part, (4 * starts).tolist(), (4 * stops).tolist(), strict=True))
+
+    plain, rest, each = [], [], []
+    for w in words:
+        (each if len(w) > LONGEST else plain if w.isalpha() else rest).append(w)
     for at in range(0, len(plain), 5_000):
         part = plain[at : at + 5_000]
-        got = tokenizer.encode(" ".join(part), add_special_tokens=False)
-        number = np.array(got.word_ids, np.int64)
-        ends = np.searchsorted(number, np.arange(len(part)), side="right") * 4
-        if not len(number) or number[-1] != len(part) - 1:
-            out.update((w, np.array(ids, "<u4").tobytes()) for w, ids in zip(part, library_ids(tokenizer, part), strict=True))
-            continue
-        ids, start = np.array(got.ids, "<u4").tobytes(), 0
-        for w, end in zip(part, ends.tolist(), strict=True):
-            out[w] = ids[start:end]
-            start = end
-    rest = [w for w in words if not w.isalpha()]
-    for at in range(0, len(rest), 10_000):
-        part = rest[at : at + 10_000]
+        ids = together(part, " ")
+        stops = np.flatnonzero(ends[ids]) + 1
+        if len(stops) == len(part) and stops[-1] == len(ids):
+            share(part, ids, np.append(0, stops[:-1]), stops)
+        else:
+            rest += part
+    for at in range(0, len(rest), 5_000):
+        part = rest[at : at + 5_000]
+        ids = together(part, f" {special} ")
+        stops = np.flatnonzero(ids == special_id)
+        if special and len(stops) == len(part) - 1:
+            share(part, ids, np.append(0, stops + 1), np.append(stops, len(ids)))
+        else:
+            each += part
+    for at in range(0, len(each), 10_000):
+        part = each[at : at + 10_000]
         out.update((w, np.array(ids, "<u4").tobytes()) for w, ids in zip(part, library_ids(tokenizer, part), strict=True))
     return out
 
@@ -144,37 +184,61 @@ def _held(words: list[str]) -> int:
     return sum(map(sys.getsizeof, words)) + _ENTRY_BYTES * len(words)
 
 
+def _word_ids(words: list[str], path: str, cache_size: int, cache_bytes: int) -> list[bytes]:
+    """The ids of different words, from the worker's cache of two generations where it has them.
+
+    A word is looked for in the younger, then the older one, from which it moves to the younger. When the
+    younger would outgrow half of the bounds it becomes the older one, so what is met now and then stays
+    and what was met once goes. A chunk that alone outgrows half of them is not kept as the older one.
+    """
+    young, old = _WORKER.setdefault(("ids", path), {}), _WORKER.setdefault(("older ids", path), {})
+    size = ("ids held", path)
+    out = list(map(young.get, words))
+    absent = [i for i, ids in enumerate(out) if ids is None]
+    own = [words[i] for i in absent]
+    found = {w: ids for w in own if (ids := old.pop(w, None)) is not None} if old else {}
+    found.update(_encode_words([w for w in own if w not in found], path))
+    for i, w in zip(absent, own, strict=True):
+        out[i] = found[w]
+        if len(w) > LONGEST:
+            del found[w]
+    need = _held(list(found)) + sum(map(len, found.values()))
+    if young and (2 * (len(young) + len(found)) > cache_size or 2 * (_WORKER.get(size, 0) + need) > cache_bytes):
+        keep = 2 * len(young) <= cache_size and 2 * _WORKER.get(size, 0) <= cache_bytes
+        _WORKER[("older ids", path)], _WORKER[size] = young if keep else {}, 0
+        young = _WORKER[("ids", path)] = {}
+    young.update(found)
+    _WORKER[size] = _WORKER.get(size, 0) + need
+    return out
+
+
 def encode_texts(texts: list[str], tokenizer_path: str, end_id: int, cache_size: int = 700_000, cache_bytes: int = CACHE_BYTES) -> list[bytes]:
     """Each text's ids and the end id as little-endian 32-bit numbers.
 
     For a tokenizer that lower-cases, drops white space and sets letters apart from marks. Words'
     ids are cached by the worker, those of up to LONGEST characters, in `cache_size` entries and about
-    `cache_bytes` bytes, besides the words of the 256 texts at hand.
+    `cache_bytes` bytes, besides the words of the texts at hand: _CHUNK, and one more than _CHUNK_CHARS
+    characters, at most. Arrow splits these and numbers their different words; only those are looked up.
     """
-    tokenizer = load_tokenizer(tokenizer_path)
-    cache = _WORKER.setdefault(("ids", tokenizer_path), {})
-    size = ("ids held", tokenizer_path)
-    end = end_id.to_bytes(_END_BYTES, "little")
-    out = []
-    for at in range(0, len(texts), 256):
-        cut = [_words(t) for t in texts[at : at + 256]]
-        absent = list(set().union(*cut).difference(cache))
-        need = _held(absent)
-        if len(cache) + len(absent) > cache_size or _WORKER.get(size, 0) + need > cache_bytes:
-            cache.clear()
-            _WORKER[size] = 0
-            absent = list(set().union(*cut))
-            need = _held(absent)
-        new = _encode_words(absent, tokenizer)
-        cache.update(new)
-        get = cache.__getitem__
-        out += [b"".join(map(get, own)) + end for own in cut]
-        need += sum(map(len, new.values()))
-        for w in absent:
-            if len(w) > LONGEST:
-                del cache[w]
-                need -= _held([w]) + len(new[w])
-        _WORKER[size] = _WORKER.get(size, 0) + need
+    out, part, chars = [], [], 0
+    for k, text in enumerate(texts, 1):
+        part.append(_spaced(text))
+        chars += len(text)
+        if k < len(texts) and len(part) < _CHUNK and chars < _CHUNK_CHARS:
+            continue
+        cut = pc.split_pattern(pa.array(part, pa.large_string()), " ")
+        words = cut.flatten().dictionary_encode()
+        own = _word_ids(words.dictionary.to_numpy(zero_copy_only=False).tolist(), tokenizer_path, cache_size, cache_bytes)
+        data = np.frombuffer(b"".join(own) + end_id.to_bytes(_END_BYTES, "little"), "<u4")
+        lengths = np.append(np.fromiter(map(len, own), np.int64, len(own)) // _END_BYTES, 1)
+        last = cut.offsets.to_numpy()[1:]
+        word = np.insert(words.indices.to_numpy(), last, len(own))  # the end id is one more word
+        length = lengths[word]
+        upto = np.cumsum(length)
+        ids = data[np.arange(upto[-1]) + np.repeat((np.cumsum(lengths) - lengths)[word] - upto + length, length)].tobytes()
+        stops = (_END_BYTES * upto[last + np.arange(len(part))]).tolist()
+        out += [ids[i:j] for i, j in zip([0, *stops], stops)]
+        part, chars = [], 0
     return out
 
 
@@ -186,8 +250,8 @@ def cut_documents(docs: DataFrame, tokenizer_path: str, window: int, end_id: int
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         key = TaskContext.get().partitionId() << 33
         for batch in batches:
-            for at in range(0, len(batch), 512):
-                part = batch.iloc[at : at + 512]
+            for at in range(0, len(batch), _CHUNK):
+                part = batch.iloc[at : at + _CHUNK]
                 rows = []
                 for i, ids in zip(part["id"], encode_texts(list(part["t"]), tokenizer_path, end_id, cache_bytes=cache_bytes), strict=True):
                     n, view = len(ids) // 4, memoryview(ids)

@@ -172,6 +172,78 @@ def test_the_cache_of_ids_is_bounded_in_bytes():
     assert len(tokens._WORKER[("ids", path)]) == len({w for x in texts for w in x.split()})
 
 
+class _Asked:
+    """A tokenizer that counts the words and the texts that it is asked for."""
+
+    def __init__(self, tokenizer):
+        self.tokenizer, self.words, self.texts = tokenizer, collections.Counter(), 0
+
+    def __getattr__(self, name):
+        of = getattr(self.tokenizer, name)
+        if not name.startswith("encode"):
+            return of
+
+        def asked(texts, **more):
+            all_texts = [texts] if isinstance(texts, str) else texts
+            self.texts += len(all_texts)
+            for x in all_texts:
+                self.words.update(x.split())
+            return of(texts, **more)
+
+        return asked
+
+
+def test_frequent_words_are_asked_for_once_though_the_cache_is_full(monkeypatch):
+    """What is met in every chunk stays; both generations together keep to the bound, besides a chunk."""
+    path, limit = public_tokenizers.path("word_bpe_49k.json"), 1 << 20
+    t = Tokenizer.from_file(path)
+    asked = _Asked(t)
+    tokens._WORKER.clear()
+    monkeypatch.setitem(tokens._WORKER, ("tokenizer", path), asked)
+    letters = ["".join("abcdefghij"[int(d)] for d in str(10_000 + i)) for i in range(90_000)]
+    common, rare = letters[:300] + [w + "!!" for w in letters[:100]], iter(letters[300:])
+    most = 0
+    for _ in range(25):
+        texts = [" ".join(common)] + [f"{next(rare)} {next(rare)}#" for _ in range(1_000)]
+        got = packing.encode_texts(texts, path, 1, cache_bytes=limit)
+        for k in (0, 1, 500, 1_000):
+            assert np.frombuffer(got[k], "<u4").tolist() == [*t.encode(texts[k], add_special_tokens=False).ids, 1]
+        held = [x for key, kept in tokens._WORKER.items() if key[0] in ("ids", "older ids") for x in kept.items()]
+        most = max(most, packing._held([w for w, _ in held]) + sum(len(ids) for _, ids in held))
+    tokens._WORKER.clear()
+    assert {asked.words[w] for w in common} == {1}
+    assert limit / 2 < most <= limit + packing._held(letters[:3_000])
+
+
+def test_words_with_marks_are_one_text_to_the_library(monkeypatch):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    t, rng = Tokenizer.from_file(path), random.Random(12)
+    alphabet = ["a", "the", "É", "'s", "'", "!", "###", "7", "42", "²", "<", "|>", "<|", ".", ",", "日本", "Σ", "İ", "\u0301", "\u0958", "\x00", "\x1c", "\u3000", "\t", "_", "😀"]
+    words = list({"".join(rng.choice(alphabet) for _ in range(rng.randrange(0, 6))) for _ in range(4_000)} | {"x" * 300, "日本語!" * 200})
+    for own in (words, [*words, "a<|endoftext|>b", "<|ENDOFTEXT|>", "<|startoftext|>"]):
+        got = packing._encode_words(own, path)
+        assert all(np.frombuffer(got[w], "<u4").tolist() == t.encode(w, add_special_tokens=False).ids for w in own) and len(got) == len(own)
+    asked = _Asked(t)
+    packing._bounds(path)
+    monkeypatch.setitem(tokens._WORKER, ("tokenizer", path), asked)
+    packing._encode_words([f"w{i}!" for i in range(5_000)], path)
+    assert asked.texts == 1
+    assert packing._encode_words([], path) == {}
+
+
+def test_texts_in_small_chunks_have_the_same_ids(monkeypatch):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    t, rng = Tokenizer.from_file(path), random.Random(13)
+    alphabet = ["word", "The", " ", " ", "\n", "ÀÉ", ".", ",", "_.", "..", "(a.b)", "3.14", "x,", "'s", "日本", "\x00", "\t", "<|endoftext|>"]
+    texts = ["", " ", "."] + ["".join(rng.choice(alphabet) for _ in range(rng.randrange(0, 30))) for _ in range(1_500)]
+    expected = [[*t.encode(x, add_special_tokens=False).ids, 1] for x in texts]
+    for chunk, chars in ((1, 1), (7, 1 << 20), (1_024, 100), (1_024, 4 << 20)):
+        monkeypatch.setattr(packing, "_CHUNK", chunk)
+        monkeypatch.setattr(packing, "_CHUNK_CHARS", chars)
+        assert [np.frombuffer(x, "<u4").tolist() for x in packing.encode_texts(texts, path, 1)] == expected
+    assert packing.encode_texts([], path, 1) == []
+
+
 def test_packing(docs, none):
     path = public_tokenizers.path("word_bpe_49k.json")
     t = Tokenizer.from_file(path)
