@@ -120,6 +120,20 @@ def test_findings(spark):
     assert {r.key: r.state for r in got} == {"a": "ACCEPTED", "b": "REGRESSION", "c": "STILL-OPEN", "d": "NEW", "e": "FIXED"}
 
 
+def test_finding_ids_of_one_hash(spark, tmp_path):
+    """Two findings of one hash, one repeated, and parts that are null: the query is its SQL; the operator tells the two apart."""
+    rows = [(1, 38, "view", '{"k": 31}'), (2, 156, "view", '{"k": 19}'), (3, 156, "view", '{"k": 19}'), (4, 38, "error", '{"k": 31}'), (5, None, "view", "x"), (6, 7, "error", None), (7, 7, None, "x")]
+    frame(spark, rows, "event_id long, user_id long, event_type string, props string").write.parquet(f"{tmp_path}/events.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    got = queries.QUERIES["finding_ids"](spark, str(tmp_path)).toPandas()
+    assert canonical(got) == canonical(con.sql(queries.ORACLE_SQL["finding_ids"]).df())
+    assert got.set_index("id").hash8[[1, 2, 3]].tolist() == ["1b469367"] * 3
+    found = frame(spark, [("QUA", f"src/{u}.py", f'  call( {{"k": {k}}} )') for u, k in ((38, 31), (156, 19), (156, 19))], "cat string, path string, line string")
+    of = {(r.path, r.hash8) for r in findings.finding_ids(found).collect()}
+    assert len(of) == 2 and ("src/156.py", "1b469367") in of and len({h for _, h in of}) == 2
+
+
 def test_plans(spark):
     got = frame(spark, [("IMG_20190601_1.jpg", 0), ("2018-02-03 10.11.12.jpg", 0), ("x.jpg", 1546300800), ("y", 0), ("IMG_20191301_1", 0)], "n string, t long").select(actions.capture_month(F.col("n"), F.col("t"), 2025)).collect()
     assert [tuple(r[0]) for r in got] == [(2019, 6, "filename"), (2018, 2, "filename"), (2019, 1, "mtime"), (0, 0, "unknown"), (0, 0, "unknown")]
