@@ -63,5 +63,6 @@ def links(nodes: DataFrame, distance: int = 2, segments: int = 32) -> DataFrame:
     near = (F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance)
     if distance % 2:
         near = (F.col("a") != F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance)
-    met = left.alias("l").join(right.alias("r"), (F.col("l.cell") == F.col("r.cell")) & near)
+    # Spark sizes an exploded side as its child, 65 times too low for a ball of one, and would broadcast it.
+    met = left.alias("l").hint("merge").join(right.alias("r"), (F.col("l.cell") == F.col("r.cell")) & near)
     return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()

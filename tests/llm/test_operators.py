@@ -448,6 +448,13 @@ def test_simhash_and_components(spark, none):
     assert simhash.near_duplicates(none).count() == 0
 
 
+def test_links_are_joined_by_shuffle(spark, tmp_path):
+    """Cells of fingerprints that are read from files, which Spark sizes as one row each, are not broadcast."""
+    spark.range(20_000).select(F.xxhash64("id").alias("fp")).write.parquet(f"{tmp_path}/nodes")
+    plan = simhash.links(spark.read.parquet(f"{tmp_path}/nodes"), 2, 32)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 @pytest.mark.parametrize("segments,distance", [(64, 2), (32, 2), (32, 3), (16, 1), (8, 2), (16, 4)])
 def test_links_lose_nothing(spark, segments, distance):
     rng = random.Random(segments + distance)
