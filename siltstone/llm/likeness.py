@@ -97,7 +97,7 @@ def grid_pairs(nodes: DataFrame, distance: int = DISTANCE, segments: int = SEGME
     named = written(nodes.groupBy("fp").agg(F.min("key").alias("name"), F.count("*").alias("keys")), "fingerprints")
     near = links(named.select("fp"), distance, segments)
     for c in ("a", "b"):
-        near = near.join(named.select(F.col("fp").alias(c), F.col("name").alias(f"name_{c}")), c)
+        near = near.hint("merge").join(named.select(F.col("fp").alias(c), F.col("name").alias(f"name_{c}")), c)
     same = nodes.select("key", "fp").join(named.filter("keys > 1"), "fp").filter("key <> name").select(F.col("name").alias("a"), F.col("key").alias("b"))
     return written(near.select(F.least("name_a", "name_b").alias("a"), F.greatest("name_a", "name_b").alias("b")).unionByName(same), "grid-pairs")
 
@@ -123,9 +123,10 @@ def alike(pairs: DataFrame, texts: DataFrame, least: float, words: int) -> DataF
             yes = [likeness(shingles(x, words), shingles(y, words)) >= least for x, y in zip(batch["x"], batch["y"], strict=True)]
             yield batch.loc[np.array(yes, bool), ["a", "b"]]
 
-    # Both are written, so both joins are by shuffle where they are large, and Spark splits a hot key's pairs.
+    # Files of repeated keys and texts are far smaller than their rows, so these joins are never left to Spark's
+    # sizes of files; both sides are written, and Spark splits a hot key's pairs.
     for key, name in (("a", "x"), ("b", "y")):
-        pairs = pairs.join(texts.select(F.col("key").alias(key), F.col("text").alias(name)), key)
+        pairs = pairs.hint("merge").join(texts.select(F.col("key").alias(key), F.col("text").alias(name)), key)
     return written(pairs.mapInPandas(run, "a string, b string"), "alike")
 
 
@@ -170,7 +171,7 @@ def block_links(members: DataFrame, texts: DataFrame, least: float, words: int)
         return pd.DataFrame([(keys[a], keys[b]) for a, b in forest([shingles(t, words) for t in rows["text"]], least)], columns=["a", "b"]).astype(str)
 
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    cut = members.withColumns({"n": blocks, "own": F.pmod(F.xxhash64("key"), blocks).cast("int")}).join(texts, "key")
+    cut = members.withColumns({"n": blocks, "own": F.pmod(F.xxhash64("key"), blocks).cast("int")}).hint("merge").join(texts, "key")
     dealt = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
     met = dealt.select("code", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "key", "text")
     return met.groupBy("code", "i", "j").applyInPandas(run, "a string, b string")
@@ -191,7 +192,7 @@ def to_representatives(pairs: DataFrame, texts: DataFrame, words: int) -> DataFr
     cut = pairs.join(sizes, "rep").withColumn("part", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int")).select("key", "rep", "part")
     of = texts.select(F.col("key").alias("rep"), F.col("text").alias("whole"))
     own = sizes.join(of, "rep").select(F.col("rep").alias("for"), F.col("whole").alias("text"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("nth"))
-    met = cut.join(texts, "key").groupBy("rep", "part").cogroup(own.groupBy("for", "nth")).applyInPandas(run, "key string, rep string, like double")
+    met = cut.hint("merge").join(texts, "key").groupBy("rep", "part").cogroup(own.groupBy("for", "nth")).applyInPandas(run, "key string, rep string, like double")
     return written(met, "representatives")
 
 
@@ -245,7 +246,8 @@ def linked(keyed: DataFrame, least: float = 0.8, words: int = 5) -> DataFrame:
         found.append(near)
         few, large = few.unionByName(rest.filter(F.col("size") <= SMALL)), rest.filter(F.col("size") > SMALL)
     l, r = few.alias("l"), few.alias("r")
-    met = l.join(r, (F.col("l.code") == F.col("r.code")) & (F.col("l.key") < F.col("r.key")) & _close("l.sketch", "r.sketch", least))
+    # A text's key and sketch are in up to BANDS rows, of which files hold far less than memory does.
+    met = l.hint("merge").join(r, (F.col("l.code") == F.col("r.code")) & (F.col("l.key") < F.col("r.key")) & _close("l.sketch", "r.sketch", least))
     pairs = written(met.select(F.col("l.key").alias("a"), F.col("r.key").alias("b")).unionByName(gridded).distinct(), "pairs")
     many = block_links(large.select("code", "key", "size"), texts, least, words)
     for near in found:

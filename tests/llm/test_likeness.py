@@ -125,6 +125,15 @@ def test_a_family_of_near_copies_is_dealt_in_proportion(spark, monkeypatch):
     assert dealt[1] <= 2.2 * dealt[0] and dealt[1] <= 12 * 2_000
 
 
+def test_pairs_and_their_texts_are_joined_by_shuffle(spark, monkeypatch):
+    """What Spark sizes too low by its files, sketches of repeated texts above all, is not broadcast."""
+    plans, keep = {}, likeness.written
+    monkeypatch.setattr(likeness, "written", lambda df, name: plans.update({name: df._jdf.queryExecution().executedPlan().toString()}) or keep(df, name))
+    assert len(stage(spark, family(20) + [(100, "one text"), (101, "another text of more words")])) == 3
+    for name in ("pairs", "alike"):
+        assert "SortMergeJoin" in plans[name] and "Broadcast" not in plans[name], name
+
+
 def test_recall_of_pairs_between_0_80_and_0_85(spark):
     """Planted pairs of that likeness: all but a few in ten thousand are to be found; here none may be lost."""
     r = random.Random(11)
