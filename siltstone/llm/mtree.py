@@ -19,7 +19,9 @@ until none promises more than the k-th score. Bounds have a slack for rounding,
 The directory (`max_cells` pivots and two for each band at most, `sample_rows` sampled rows to fit them)
 is all that the driver holds or broadcasts. A cell is cut into blocks of `block_rows` vectors, and its
 queries into blocks of `block_queries`, so no group grows with a hot cell. Equal vectors of an Arrow batch
-become one with its k + 1 least ids (no result needs more), as do equal queries.
+become one with its k + 1 least ids (no result needs more), as do equal queries. Pages and packs of queries hold
+their vectors as the narrowest whole numbers that fit. What a task holds of queries against cells is cut at
+`HELD` values, a pack at `PACK_BYTES`, so neither grows with the number of cells.
 
 Defined cases: null ids take no part, nor do vectors that are null, of another length than most (ties: the
 longer), or hold null or non-finite components (scaled ones included); zero vectors take part; of rows
@@ -43,8 +45,9 @@ from .common import clean_worker, written
 SLACK = 1e-6
 LOW, HIGH = -(2**63) + 1, 2**63 - 1
 EXACT = 2.0**53
-_PAGES = "cell int, block int, page int, pivot array<double>, up double, inner double, outer double, top double, least long, ids array<long>, of array<int>, vectors array<double>, far array<double>"
-_PACKS = "cell int, blocks int, n int, deal long, qids array<long>, q array<double>, angle array<double>, kth array<long>, kid array<long>"
+HELD, PACK_BYTES = 1 << 20, 8_192
+_PAGES = "cell int, block int, page int, pivot array<double>, up double, inner double, outer double, top double, least long, ids array<long>, of array<int>, vectors binary, far array<double>"
+_PACKS = "cell int, blocks int, n int, deal long, qids array<long>, q binary, angle array<double>, kth array<long>, kid array<long>"
 
 
 def integer_vectors(df: DataFrame, vector: str, id_col: str, scale: float) -> DataFrame:
@@ -63,6 +66,19 @@ def _matrix(column, dim: int) -> np.ndarray:
     return np.stack(rows).astype(np.float64) if rows else np.zeros((0, dim))
 
 
+def narrow(v: np.ndarray) -> tuple[bytes, np.ndarray]:
+    """(kind, components in it): the narrowest numbers that hold all; what is below EXACT is whole."""
+    for kind in "bhi":
+        if not v.size or (v.min() >= np.iinfo(kind).min and v.max() <= np.iinfo(kind).max):
+            return kind.encode(), v.astype(kind)
+    return b"d", v.astype(np.float64)
+
+
+def widened(b: bytes, rows: int, dim: int) -> np.ndarray:
+    """Components of a kind and bytes that `narrow` gave."""
+    return np.frombuffer(b, chr(b[0]), offset=1).astype(np.float64).reshape(rows, dim)
+
+
 def directions(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(unit vectors, lengths); a zero vector has no direction and stays zero."""
     most = np.abs(v).max(axis=1, initial=0.0)
@@ -137,9 +153,13 @@ class Directory:
     def assign(self, v: np.ndarray, top: float) -> tuple[np.ndarray, np.ndarray]:
         """(cell, angle) of vectors of the band that ends at `top`."""
         own = np.flatnonzero(self.tops == top)
-        far = angles(raised(v, top), self.pivots[own])
-        at = far.argmin(axis=1)
-        return own[at], far[np.arange(len(v)), at]
+        pivots, cell, least = self.pivots[own], np.zeros(len(v), np.int64), np.zeros(len(v))
+        step = max(1, HELD // len(own))
+        for at in range(0, len(v), step):
+            far = angles(raised(v[at : at + step], top), pivots)
+            best = far.argmin(axis=1)
+            cell[at : at + step], least[at : at + step] = own[best], far[np.arange(len(far)), best]
+        return cell, least
 
     def cover(self, stats: pd.DataFrame, block_rows: int) -> None:
         """stats: (cell, inner, outer, least, n) of every cell with a vector."""
@@ -197,13 +217,44 @@ def build_pages(rows: pd.DataFrame, pivots: np.ndarray, tops: np.ndarray, page_r
         up = float(angles(points[c : c + 1], pivots[cell : cell + 1])[0, 0])
         for at in range(0, len(mine), 2 * page_rows):
             part = mine[at : at + 2 * page_rows]
+            kind, thin = narrow(v[part])
             own = far[part, c]
             flat = np.concatenate([ids[i] for i in part])
             of_id = np.repeat(np.arange(len(part)), [len(ids[i]) for i in part])
-            out.append((cell, block, len(out), points[c], up, float(own[0]), float(own[-1]), top, int(flat.min()), flat, of_id.astype(np.int32), v[part].reshape(-1), own))
+            out.append((cell, block, len(out), points[c], up, float(own[0]), float(own[-1]), top, int(flat.min()), flat, of_id.astype(np.int32), kind + thin.tobytes(), own))
     return pd.DataFrame(out, columns=[c.split()[0] for c in _PAGES.split(", ")])
 
 
+def packs(tree: Directory, qid: np.ndarray, q: np.ndarray, kth: np.ndarray, kid: np.ndarray, visited: list | None, first: int) -> Iterator[pd.DataFrame]:
+    """Queries dealt to the `first` cells that promise most or, where `visited` tells the cells of each that
+    were searched, to all others that may hold something; about HELD values at a time."""
+    u, length = directions(q)
+    bound, far = tree.bounds(u, length, kth, kid)
+    if visited is None:
+        n = min(first, bound.shape[1])
+        best = np.argpartition(-bound, n - 1, axis=1)[:, :n]
+        go = np.zeros(bound.shape, bool)
+        np.put_along_axis(go, best, True, axis=1)
+        go &= bound > -np.inf
+    else:
+        go = worth(bound, tree.least[None, :], kth[:, None], kid[:, None]) & (bound > -np.inf)
+        for i, cells in enumerate(visited):
+            go[i, cells] = False
+    kind, thin = narrow(q)
+    pack = max(1, PACK_BYTES // max(1, thin.itemsize * q.shape[1]))
+    names, out, held = [c.split()[0] for c in _PACKS.split(", ")], [], 0
+    for cell in np.flatnonzero(go.any(axis=0)):
+        asking = np.flatnonzero(go[:, cell])
+        for at in range(0, len(asking), pack):
+            r = asking[at : at + pack]
+            out.append((cell, tree.blocks[cell], len(r), qid[r[0]], qid[r], kind + thin[r].tobytes(), far[r, cell], kth[r], kid[r]))
+            held += len(r) * (q.shape[1] + 4)
+            if held >= HELD:
+                yield pd.DataFrame(out, columns=names)
+                out, held = [], 0
+    yield pd.DataFrame(out, columns=names)
+
+
 class Found:
     """The best (score, id) pairs of each query so far, best first; one a different id."""
 
@@ -233,8 +284,8 @@ def search_pages(pages: pd.DataFrame, packs: pd.DataFrame, dim: int, most: int)
     empty = pd.DataFrame({"qid": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0, np.int64)})
     if not len(pages) or not len(packs):
         return empty
-    qid, q, above, kth, kid = (np.concatenate(packs[c].tolist()) for c in ("qids", "q", "angle", "kth", "kid"))
-    q = q.reshape(len(qid), dim)
+    qid, above, kth, kid = (np.concatenate(packs[c].tolist()) for c in ("qids", "angle", "kth", "kid"))
+    q = np.concatenate([widened(b, len(ids), dim) for b, ids in zip(packs["q"], packs["qids"], strict=True)])
     u, length = directions(q)
     pivots = np.stack(pages["pivot"].tolist())
     up, inner, outer, least = (pages[c].to_numpy() for c in ("up", "inner", "outer", "least"))
@@ -249,7 +300,7 @@ def search_pages(pages: pd.DataFrame, packs: pd.DataFrame, dim: int, most: int)
     met = angles(u, pivots)
     bound = np.where(may, promise(reach[:, None], np.maximum(met - outer[None, :], inner[None, :] - met)), -np.inf)
     order = np.argsort(-bound, axis=1, kind="stable")
-    held = [(np.asarray(p.vectors, np.float64).reshape(len(p.far), dim), np.asarray(p.ids, np.int64), np.asarray(p.of), np.asarray(p.far, np.float64)) for p in pages.itertuples()]
+    held = [(widened(p.vectors, len(p.far), dim), np.asarray(p.ids, np.int64), np.asarray(p.of), np.asarray(p.far, np.float64)) for p in pages.itertuples()]
     live = np.arange(len(qid))
     for step in range(len(pages)):
         page = order[live, step]
@@ -354,35 +405,19 @@ def search(
 
     each = asked.mapInPandas(once, "q array<double>, asking array<long>").withColumn("qid", F.monotonically_increasing_id())
     each = written(each, "mtree-queries")
-
-    def packs(tree: Directory, qid: np.ndarray, q: np.ndarray, kth: np.ndarray, kid: np.ndarray, visited: list | None) -> Iterator[pd.DataFrame]:
-        u, length = directions(q)
-        bound, far = tree.bounds(u, length, kth, kid)
-        if visited is None:
-            n = min(first, bound.shape[1])
-            best = np.argpartition(-bound, n - 1, axis=1)[:, :n]
-            go = np.zeros(bound.shape, bool)
-            np.put_along_axis(go, best, True, axis=1)
-            go &= bound > -np.inf
-        else:
-            go = worth(bound, tree.least[None, :], kth[:, None], kid[:, None]) & (bound > -np.inf)
-            for i, cells in enumerate(visited):
-                go[i, cells] = False
-        out = []
-        for cell in np.flatnonzero(go.any(axis=0)):
-            r = np.flatnonzero(go[:, cell])
-            out.append((cell, tree.blocks[cell], len(r), qid[r[0]], qid[r], q[r].reshape(-1), far[r, cell], kth[r], kid[r]))
-        yield pd.DataFrame(out, columns=[c.split()[0] for c in _PACKS.split(", ")])
+    # A step's queries, and those of one of `parts` tasks, against all cells are about HELD numbers.
+    step = max(64, min(1_024, HELD // len(pivots)))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), each.count() * len(pivots) // HELD)
 
     def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         clean_worker()
         for batch in batches:
-            for at in range(0, len(batch), 1_024):
-                part = batch.iloc[at : at + 1_024]
+            for at in range(0, len(batch), step):
+                part = batch.iloc[at : at + step]
                 again = "visited" in part
                 kth = part["kth"].to_numpy(np.int64) if again else np.full(len(part), LOW)
                 kid = part["kid"].to_numpy(np.int64) if again else np.full(len(part), HIGH)
-                yield from packs(tree.value, part["qid"].to_numpy(), _matrix(part["q"], dim), kth, kid, [np.asarray(x, int) for x in part["visited"]] if again else None)
+                yield from packs(tree.value, part["qid"].to_numpy(), _matrix(part["q"], dim), kth, kid, [np.asarray(x, int) for x in part["visited"]] if again else None, first)
 
     def meet(routed: DataFrame) -> DataFrame:
         shares = F.broadcast(routed.groupBy("cell").agg(F.ceil(F.sum("n") / block_queries).cast("int").alias("_shares")))  # a row a cell
@@ -401,7 +436,7 @@ def search(
     visited = routed.select("cell", F.explode("qids").alias("qid")).groupBy("qid").agg(F.collect_list("cell").alias("visited"))
     later = each.select("qid", "q").join(last, "qid", "left").join(visited, "qid", "left")
     later = later.select("qid", "q", F.coalesce("kth", F.lit(LOW)).alias("kth"), F.coalesce("kid", F.lit(HIGH)).alias("kid"), F.coalesce("visited", F.array().cast("array<int>")).alias("visited"))
-    rest = meet(written(later.mapInPandas(route, _PACKS), "mtree-rest"))
+    rest = meet(written(later.repartition(parts, "qid").mapInPandas(route, _PACKS), "mtree-rest"))
     top_rows = best(start.drop("rank").unionByName(rest), "qid", most).drop("rank")
     named = each.select("qid", F.explode("asking").alias("query_id")).join(top_rows, "qid").filter("query_id <> vec_id").drop("qid")
     return best(named, "query_id", k).select("query_id", "rank", "vec_id", "score")

@@ -84,6 +84,22 @@ def test_clusters_in_many_cells_and_pruning(spark):
     assert (mtree.promise(length * 128.0, low.to_numpy()) >= kth).mean() < 0.5
 
 
+def test_queries_of_many_cells_are_dealt_in_bounded_packs(spark, monkeypatch):
+    """Vectors without clusters, all of them asked: each query meets every cell, and neither a pack nor what a task holds grows."""
+    v = np.random.default_rng(4).normal(size=(1_100, 64))
+    rows, packed, keep = [(20 * i, x) for i, x in enumerate((v / np.linalg.norm(v, axis=1, keepdims=True)).tolist())], {}, mtree.written
+    monkeypatch.setattr(mtree, "written", lambda df, name: packed.setdefault(name, keep(df, name)))
+    assert found(spark, rows, cell_rows=50) == brute(rows)
+    most, pairs = packed["mtree-rest"].agg(F.max(F.size("qids")), F.sum(F.size("qids"))).first()
+    assert most <= mtree.PACK_BYTES // 64 and pairs > 10 * 1_100
+    whole = np.floor(64 * np.array([x for _, x in rows]))
+    tree = mtree.Directory(mtree.unit(np.concatenate([whole, np.zeros((1_100, 1))], axis=1)), np.full(1_100, 64.0))
+    n = np.arange(1_100)
+    tree.cover(__import__("pandas").DataFrame({"cell": n, "inner": 0.0, "outer": 3.0, "least": n, "n": 1}), 10)
+    dealt = [x["n"].sum() for x in mtree.packs(tree, n, whole, np.full(1_100, mtree.LOW), np.full(1_100, mtree.HIGH), [np.zeros(0, int)] * 1_100, 4)]
+    assert sum(dealt) == 1_100**2 and max(dealt) * 64 <= 1.1 * mtree.HELD
+
+
 def test_few_rows_and_none(spark):
     assert found(spark, []) == [] and found(spark, [(20, [1.0, 2.0])]) == [] and found(spark, [(20, [1.0]), (3, [2.0])], k=1) == [(20, 1, 3, 64 * 128)]
     assert found(spark, [(20, []), (21, []), (40, [])]) == [(20, 1, 21, 0), (20, 2, 40, 0), (40, 1, 20, 0), (40, 2, 21, 0)]
